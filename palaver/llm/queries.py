@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, html_extract, packing, sharding, token_count
+from . import ann_tree, chat_format, html_extract, language_id, packing, sharding, token_count
 from .tables import read_table
 
 
@@ -31,6 +31,14 @@ def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_sizes(read_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op7_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.nearest_five(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.document_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -43,6 +51,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_jump_sharding": op4_jump_sharding,
+    "op5_language_id": op5_language_id,
+    "op7_kmeans_tree_search": op7_kmeans_tree_search,
     "op8_token_counts": op8_token_counts,
     "op10_html_extract": op10_html_extract,
 }
