@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, chat_format, html_extract, language_id, packing, sharding, token_count
+from . import ann_tree, chat_format, html_extract, language_id, near_dup, packing, sharding, token_count
 from .tables import read_table
 
 
@@ -43,6 +43,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.document_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_odd_sketch_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), width=2, threshold=0.8)
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op7_kmeans_tree_search": op7_kmeans_tree_search,
     "op8_token_counts": op8_token_counts,
+    "op9_odd_sketch_near_dup": op9_odd_sketch_near_dup,
     "op10_html_extract": op10_html_extract,
 }
 
