@@ -259,9 +259,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         behind: deque = deque(maxlen=REACH)
         ahead: deque = deque()
         done: list[tuple] = []
+        kinds: list[pa.DataType] = []
 
         def rows():
             for batch in batches:
+                kinds[:] = batch.schema.types[:2]
                 for start in range(0, batch.num_rows, 500):
                     part = batch.slice(start, 500)
                     yield from zip(*(part.column(k).to_pylist() for k in range(6)), strict=True)
@@ -276,7 +278,6 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             done.clear()
             return pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(urls, kinds[1]), pa.array(texts, pa.string())], names=text_schema.names)
 
-        kinds = [pa.int64() if isinstance(pages.schema["page_id"].dataType, T.LongType) else None, pa.string()]
         for row in rows():
             ahead.append(row)
             if len(ahead) > REACH:
