@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_tree, chat_format, html_extract, language_id, near_dup, packing, sharding, token_count
+from . import ann_tree, chat_format, html_extract, language_id, line_dedup, near_dup, packing, sharding, token_count
 from .tables import read_table
 
 
@@ -35,6 +35,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_line_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.similar_lines(read_table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op7_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_tree.nearest_five(read_table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_jump_sharding": op4_jump_sharding,
     "op5_language_id": op5_language_id,
+    "op6_line_set_join": op6_line_set_join,
     "op7_kmeans_tree_search": op7_kmeans_tree_search,
     "op8_token_counts": op8_token_counts,
     "op9_odd_sketch_near_dup": op9_odd_sketch_near_dup,
