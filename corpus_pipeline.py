@@ -1,22 +1,54 @@
-"""The corpus pipeline: its stages, each on all that the stage before it kept."""
+"""The corpus pipeline: each stage works on all that the stage before it kept.
+
+Language identification drops what it rejects; line dedup removes repeated lines; near-dedup keeps
+one document of each group; decontamination drops documents that hold a test item; the rest is
+packed into sequences.  Every stage but the last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palaver.llm import packing
+from palaver.llm import decontaminate, language_id, line_dedup, near_dup, packing
 from palaver.llm.queries import tokenizer_path
-from palaver.llm.tables import read_table, store
+from palaver.llm.tables import fresh_name, read_table, store
 
 #: Some stages have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    own = fresh_name(docs, "own")
+    learned = docs.filter(~language_id.held_out() & F.col("doc_id").isNotNull())
+    model = language_id.learn(learned.select("doc_id", "text", "lang"))
+    told = docs.withColumn(own, language_id.identify_text(F.col("text"), model))
+    return told.filter(F.col(own)["accepted"]).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(docs, threshold=0.8)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.drop_near_duplicates(docs, width=5, threshold=0.8)
+
+
+def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
 
-STAGES = [("best_fit_packing", pack)]
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dup", dedup_documents),
+    ("decontaminate", drop_test_items),
+    ("best_fit_packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann_tree, chat_format, html_extract, language_id, line_dedup, near_dup, packing, sharding, token_count
+from . import ann_tree, chat_format, decontaminate, html_extract, language_id, line_dedup, near_dup, packing, sharding, token_count
 from .tables import read_table
 
 
@@ -27,6 +28,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op3_seeded_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.withColumn("score", F.round("score", 9))
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_sizes(read_table(spark, sf_dir, "documents"))
 
@@ -58,6 +64,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_seeded_alignment": op3_seeded_alignment,
     "op4_jump_sharding": op4_jump_sharding,
     "op5_language_id": op5_language_id,
     "op6_line_set_join": op6_line_set_join,
