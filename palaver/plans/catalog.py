@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import graph_queries, ingest_queries, message_queries, rollup_queries, search_queries, state_queries, token_queries
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = [
+    "ORACLE_SQL", "QUERIES", "graph_queries", "ingest_queries", "message_queries", "rollup_queries", "search_queries",
+    "state_queries", "token_queries",
+]
