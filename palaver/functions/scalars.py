@@ -69,7 +69,7 @@ def normalize_tags(tags: Column) -> Column:
 
 def is_trivial(text: Column, replies: tuple[str, ...] = TRIVIAL_REPLIES) -> Column:
     """Blank, under three characters, a stock reply, or without two ASCII letters in a row."""
-    trimmed = F.trim(F.coalesce(text, F.lit("")))
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n"))
     return (F.length(trimmed) < 3) | F.lower(trimmed).isin(*replies) | ~trimmed.rlike("[A-Za-z]{2}")
 
 

@@ -40,6 +40,10 @@ def postings(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms.groupBy("term", id_col).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda p: p - by)
+
+
 def match(
     index: DataFrame, id_col: str, *, required: Sequence[str] = (), any_of: Sequence[str] = (), excluded: Sequence[str] = (), phrases: Sequence[Sequence[str]] = ()
 ) -> DataFrame:
@@ -66,9 +70,9 @@ def match(
     if excluded:
         keep &= ~F.arrays_overlap("terms", F.array(*map(F.lit, excluded)))
     for phrase in phrases:
-        starts = F.transform(F.element_at("places", phrase[0]), lambda p: p)
+        starts = F.element_at("places", phrase[0])
         for k, term in enumerate(phrase[1:], 1):
-            starts = F.array_intersect(starts, F.transform(F.element_at("places", term), lambda p, k=k: p - k))
+            starts = F.array_intersect(starts, _moved(F.element_at("places", term), k))
         keep &= F.coalesce(F.size(starts) > 0, F.lit(False))
     return found.filter(keep).select(id_col, (F.col("total") / len(wanted)).alias("score"), "places")
 

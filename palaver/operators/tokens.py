@@ -159,4 +159,4 @@ def flatten(content: Column, names: Column | None = None) -> Column:
         F.transform(found, text_of),
         lambda gap, token: F.concat(gap, F.coalesce(token, F.lit(""))),
     )
-    return F.trim(F.array_join(parts, ""))
+    return F.btrim(F.array_join(parts, ""), F.lit(" \t\r\n"))

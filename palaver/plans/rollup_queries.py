@@ -10,13 +10,13 @@ from .registry import Tables, query
 _ACTIVE = """, h AS (SELECT channel_id, date_trunc('hour', created_at) AS bucket, count(*) AS n FROM messages GROUP BY 1, 2)
 SELECT c.channel_id, c.name, CAST(sum(h.n) AS BIGINT) AS total, max(h.bucket) + INTERVAL '1' HOUR AS last_active
 FROM h JOIN channels c ON c.channel_id = h.channel_id
-WHERE c.guild_id IN (1, 2, 3) AND h.bucket >= TIMESTAMP '2024-01-05 00:00:00' - INTERVAL '72' HOUR GROUP BY 1, 2"""
+WHERE c.guild_id IN (1, 2, 3) AND h.bucket >= TIMESTAMP '2024-01-03 00:00:00' - INTERVAL '72' HOUR GROUP BY 1, 2"""
 
 
 @query("active_channels", ("messages", "channels"), _ACTIVE)
 def _(t: Tables):
     dim = t.channels.filter("guild_id in (1, 2, 3)")
-    return R.active_channels(R.hourly_counts(t.messages), dim, since_hours=72, now="2024-01-05 00:00:00")
+    return R.active_channels(R.hourly_counts(t.messages), dim, since_hours=72, now="2024-01-03 00:00:00")
 
 
 @query("hourly_counts", ("messages",), "SELECT channel_id, date_trunc('hour', created_at) AS bucket, count(*) AS n FROM messages GROUP BY 1, 2")
