@@ -72,18 +72,27 @@ GUILD: Transitions = {
 }
 
 
-def fold(facts: DataFrame, key: str, rules: Transitions) -> DataFrame:
-    """The last state of each key; ``facts`` needs ``seq``, ``kind``, ``ok`` and ``number``.
+def fold(facts: DataFrame, key: str, rules: Transitions, before: DataFrame | None = None) -> DataFrame:
+    """The last state of each key of ``facts``, which need ``seq``, ``kind``, ``ok`` and ``number``.
 
-    A key's facts have one order, so they meet in one place: memory is bounded by the busiest key.
+    ``before`` holds the states that earlier facts led to (as this function returns them); keys without
+    one begin anew.  A key's facts have one order, so they meet in one place: memory is bounded by
+    the busiest key.
     """
-    start = "named_struct(" + ", ".join(f"'{name}', {first}" for name, (first, _) in rules.items()) + ")"
+    first = "named_struct(" + ", ".join(f"'{name}', {value}" for name, (value, _) in rules.items()) + ")"
     step = "named_struct(" + ", ".join(f"'{name}', {then}" for name, (_, then) in rules.items()) + ")"
     rows = facts.select(key, F.struct("seq", "kind", "ok", "number").alias("fact"))
     grouped = rows.groupBy(key).agg(F.sort_array(F.collect_list("fact")).alias("facts"))
-    return grouped.select(key, F.size("facts").alias("n_facts"), F.expr(f"aggregate(facts, {start}, (s, f) -> {step})").alias("s")).select(
-        key, "n_facts", *[F.col("s")[name].alias(name) for name in rules]
-    )
+    start = first
+    if before is not None:
+        held = before.select(key, F.struct(*rules).alias("held"), F.col("n_facts").alias("n_before"))
+        grouped = grouped.join(held, key, "left")
+        start = f"coalesce(held, {first})"
+    else:
+        grouped = grouped.withColumn("n_before", F.lit(0))
+    folded = F.expr(f"aggregate(facts, {start}, (s, f) -> {step})")
+    count = (F.size("facts") + F.coalesce("n_before", F.lit(0))).cast("int")
+    return grouped.select(key, count.alias("n_facts"), folded.alias("s")).select(key, "n_facts", *[F.col("s")[name].alias(name) for name in rules])
 
 
 def timeouts(facts: DataFrame, key: str, at: str, *, pending: tuple[str, ...], seconds: int = 30) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import uuid5_key
 from ..operators import filters, ingest as I, lifecycle as Y, models
+from ..streaming import jobs
 from . import views
 from .registry import Tables, query
 
@@ -41,6 +42,13 @@ def _(t: Tables):
     return last.select("entity_id", "n_facts", "state", "embedded", "tagged", "n_enriched")
 
 
+@query("stream_lifecycle", (), _fold_sql(_KINDS, Y.MESSAGE, _OK, "k AS n_facts, state, n_enriched"))
+def _(t: Tables):
+    stream = jobs.parquet_stream(t.spark, f"{t.sf_dir}/events.parquet").selectExpr(*views.VIEWS["facts"][1])
+    facts = stream.selectExpr("entity_id", "seq", f"{_KINDS} AS kind", f"{_OK} AS ok", "seq AS number")
+    return jobs.lifecycle_stream(facts, "entity_id", Y.MESSAGE).select("entity_id", "n_facts", "state", "n_enriched")
+
+
 @query("pending_edits", (), _fold_sql(_KINDS, Y.MESSAGE, _OK, "pending, n_coalesced"))
 def _(t: Tables):
     return Y.fold(_facts(t, _KINDS, _OK), "entity_id", Y.MESSAGE).select("entity_id", "pending", "n_coalesced")

@@ -11,13 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import filters, payloads, rollups, tokens
+from ..operators import filters, lifecycle, payloads, rollups, tokens
 from ..operators.ingest import parse_lines
 from ..plans import views
 from ..sources.capture import checked
 from ..sources.shared import scratch
 
-__all__ = ["hourly_stream", "next_poll", "project_stream", "replay_stream", "scratch"]
+__all__ = ["hourly_stream", "lifecycle_stream", "next_poll", "project_stream", "replay_stream", "scratch"]
 
 #: A query's lateness bound: later rows are left to the rollup's repair.
 WATERMARK = "1 hour"
@@ -32,8 +32,10 @@ def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], name: str,
     query.awaitTermination()
 
 
-def _parquet_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+def parquet_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A stream of a Parquet table's files, at most ``files`` in a micro-batch."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{path}*")
 
 
 def project_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -57,14 +59,14 @@ def project_stream(spark: SparkSession, path: str) -> DataFrame:
             part.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
         rows.unpersist()
 
-    _run(_parquet_stream(spark, path).selectExpr(*views.VIEWS["messages"][1]), write, "project")
+    _run(parquet_stream(spark, path).selectExpr(*views.VIEWS["messages"][1]), write, "project")
     return rollups.store_counts({name: spark.read.parquet(f"{out}/{name}") for name in names})
 
 
 def hourly_stream(spark: SparkSession, path: str) -> DataFrame:
     """Hourly counts by entity, each hour written once it is closed by the watermark."""
     out = scratch(spark, "hourly")
-    facts = _parquet_stream(spark, path).selectExpr(*views.VIEWS["facts"][1]).withWatermark("ts", WATERMARK)
+    facts = parquet_stream(spark, path).selectExpr(*views.VIEWS["facts"][1]).withWatermark("ts", WATERMARK)
     counts = facts.groupBy(F.window("ts", "1 hour"), "entity_id").agg(F.count("*").alias("n"))
     flat = counts.select(F.col("entity_id").alias("channel_id"), F.col("window.start").alias("bucket"), "n")
     _run(flat, lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/batch={k}"), "hourly")
@@ -80,6 +82,29 @@ def replay_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def lifecycle_stream(facts: DataFrame, key: str, rules: lifecycle.Transitions) -> DataFrame:
+    """A lifecycle over a stream of facts; returns the states it ended with.
+
+    Each micro-batch folds its facts onto the last version of the state table and writes the next one;
+    a batch that is run again writes the same version anew.  Facts must reach the stream in order by key.
+    """
+    spark, out = facts.sparkSession, scratch(facts.sparkSession, "states")
+    versions: list[int] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        earlier = [v for v in versions if v < batch_id]
+        before = session.read.parquet(f"{out}/version={earlier[-1]}") if earlier else None
+        after = lifecycle.fold(batch, key, rules, before)
+        if before is not None:
+            after = before.join(batch.select(key).distinct(), key, "left_anti").select(*after.columns).unionByName(after)
+        after.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+        versions[:] = [*earlier, batch_id]
+
+    _run(facts, write, "states")
+    return spark.read.parquet(f"{out}/version={versions[-1]}")
+
+
 def next_poll(results: DataFrame, key: str, at: str, minutes: int = 5) -> DataFrame:
     """When each entity is due again: some minutes after its last result."""
     return results.groupBy(key).agg((F.max(at) + F.expr(f"interval {minutes} minutes")).alias("due"))

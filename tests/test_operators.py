@@ -220,3 +220,17 @@ def test_stream_equals_batch(spark, sf_dir):
     batch = {(r["channel_id"], r["bucket"]): r["n"] for r in rollups.hourly_counts(t.facts.withColumnRenamed("entity_id", "channel_id"), at="ts").collect()}
     assert streamed and all(batch[k] == n for k, n in streamed.items())
     assert len(batch) - len(streamed) <= len({k for k in batch if k[1] >= max(b for _, b in batch) - __import__("datetime").timedelta(hours=2)})
+
+
+def test_lifecycle_stream_equals_batch(spark, sf_dir, tmp_path):
+    from palaver.plans import state_queries as Q
+    from palaver.plans.registry import Tables
+
+    facts = Q._facts(Tables(spark, sf_dir), Q._KINDS, Q._OK).drop("ts")
+    bounds = facts.agg(F.max("seq")).first()[0] // 3 + 1
+    for k in range(3):  # three files, in order
+        part = facts.filter((F.col("seq") / bounds).cast("int") == k)
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "facts"))
+    stream = jobs.parquet_stream(spark, str(tmp_path / "facts"), files=1)
+    streamed = {tuple(r) for r in jobs.lifecycle_stream(stream, "entity_id", lifecycle.MESSAGE).collect()}
+    assert streamed == {tuple(r) for r in lifecycle.fold(facts, "entity_id", lifecycle.MESSAGE).collect()}
