@@ -28,9 +28,9 @@ def dealt(df: DataFrame, keys: list[str], order: list[str] | None = None) -> Dat
     return df.repartition(*keys).sortWithinPartitions(*keys, *(order or []))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int, rows: int = 20_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int, rows: int = 20_000, size: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Cuts batches that are in the order of their first ``n_keys`` columns into chunks of whole
-    groups, of about ``rows`` rows or one group: each chunk, and the bounds of its groups."""
+    groups, of about ``rows`` rows or ``size`` bytes or one group: each chunk, and the bounds of its groups."""
     held: list[pa.RecordBatch] = []
     n_held = 0
     for batch in batches:
@@ -38,7 +38,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int, rows: int = 20_
             continue
         held.append(batch)
         n_held += batch.num_rows
-        if n_held < rows:
+        if n_held < rows and sum(b.nbytes for b in held) < size:
             continue
         chunk, bounds = _cut(held, n_keys)
         if len(bounds) > 2:
@@ -59,6 +59,21 @@ def _cut(held: list[pa.RecordBatch], n_keys: int) -> tuple[pa.RecordBatch, np.nd
     return chunk, np.r_[0, np.flatnonzero(change) + 1, chunk.num_rows]
 
 
+def stars(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows 0 .. n-1 as stars: every linked row but the first of its component, and that first."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    rows = np.flatnonzero(label != np.arange(n))
+    return rows, label[rows]
+
+
 def spanning_forest(n: int, own: np.ndarray, across: bool, linked) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the rows 0 .. n-1.
 

@@ -8,8 +8,8 @@ class has a similar class that begins earlier.
 The join is exact.  A line's tokens are ordered by rarity, and only a prefix of them is indexed:
 similar sets share a token within their prefixes.  Pairs that meet at a token pass the length
 filter, the positional filter (the tokens left after the shared one must suffice) and a parity
-filter (each differing token flips at most one bit of a 128-bit map, so the bits that differ
-cannot outnumber the differing tokens that the threshold allows).  Forests of what passes make
+filter (each differing token flips at most one bit of a parity map whose size grows with the set, so
+the bits that differ cannot outnumber the differing tokens that the threshold allows).  Forests of what passes make
 clumps; within a clump every pair of classes is verified on its full sets and counted.
 
 Rarity is a token's count over all lines, kept in a fixed number of hash buckets: any one order of
@@ -37,17 +37,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import dealt, in_block_pairs, spanning_forest, whole_groups
+from .blocks import dealt, in_block_pairs, stars, whole_groups
 from .graph import components
 from .near_dup import BROADCAST_IDS, _edges
 from .tables import fresh_name, store
 from .words import hash_spans, mix, slices, string_buffers, word_bounds
 
-#: Hash buckets of the token counts.
-COUNT_BUCKETS = 1 << 20
+#: Hash buckets of the token counts: the upper bits of a token's hash.
+COUNT_BITS = 20
+COUNT_BUCKETS = 1 << COUNT_BITS
+#: Clumps up to which pairs are laid out side by side; in larger ones each row meets the whole block.
+SMALL_CLUMP = 12
 #: Members of a block: postings of a token, full sets of a clump.
-POSTING_BLOCK, SET_BLOCK = 1024, 256
-PARITY_BITS = 128
+POSTING_BLOCK, SET_BLOCK = 65_536, 256
+#: Distinct tokens for each 64 bits of a parity map, and the most such words of a map.
+TOKENS_PER_WORD, MOST_WORDS = 80, 64
 
 
 def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,6 +75,10 @@ def distinct_tokens(words: np.ndarray, lines: np.ndarray, rank: np.ndarray) -> t
     return words[keep], lines[keep]
 
 
+def _bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
 def token_counts(docs: DataFrame) -> np.ndarray:
     """Occurrences of tokens over all lines, by hash bucket."""
 
@@ -79,7 +87,7 @@ def token_counts(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for start, stop in slices(batch.column("text")):
                 words, _, _ = line_words(batch.column("text").slice(start, stop - start))
-                total += np.bincount((words % np.uint64(COUNT_BUCKETS)).astype(np.int64), minlength=COUNT_BUCKETS)
+                total += np.bincount(_bucket(words), minlength=COUNT_BUCKETS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
@@ -94,16 +102,30 @@ def prefix_length(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(np.round(threshold * n, 9)).astype(np.int64) + 1
 
 
+def map_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of a parity map: a power of two that grows with the set."""
+    return np.minimum(1 << np.ceil(np.log2(np.maximum(n / TOKENS_PER_WORD, 1))).astype(np.int64), MOST_WORDS)
+
+
+def _folded(words: np.ndarray, starts: np.ndarray, wide: np.ndarray, rows: np.ndarray, to: int) -> np.ndarray:
+    """The maps of the rows, folded to ``to`` words: bit b of a wide map is bit b modulo the narrow width."""
+    out = np.zeros((len(rows), to), np.uint64)
+    span = np.arange(to)
+    for k in range(int((wide[rows] // to).max(initial=0))):
+        some = np.flatnonzero(wide[rows] // to > k)
+        out[some] ^= words[starts[rows[some], None] + k * to + span]
+    return out
+
+
 def _prints(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     salts = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93))
     a, b = (np.add.reduceat(mix(words ^ s), starts).view(np.int64) for s in salts)
     return a, b
 
 
-def line_sets(docs: DataFrame, threshold: float) -> DataFrame:
+def line_sets(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
     """One row for each line with words: ``doc_id``, ``line_no``, ``n`` distinct tokens, the set's
-    fingerprint ``set_a``, ``set_b``, parity bits ``bits_a``, ``bits_b``, and the ``prefix``."""
-    counts = token_counts(docs)
+    fingerprint ``set_a``, ``set_b``, parity ``bits``, and the ``prefix``."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,18 +133,23 @@ def line_sets(docs: DataFrame, threshold: float) -> DataFrame:
                 words, lines, first = line_words(batch.column("text").slice(start, stop - start))
                 if not len(words):
                     continue
-                rank = counts[(words % np.uint64(COUNT_BUCKETS)).astype(np.int64)]
+                rank = counts[_bucket(words)]
                 words, lines = distinct_tokens(words, lines, rank)
                 starts = np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]])
                 n = np.diff(np.r_[starts, len(lines)])
                 own = np.repeat(np.arange(len(starts)), n)
                 doc = np.searchsorted(first, lines[starts], "right") - 1
-                odd = np.bincount(own * PARITY_BITS + (words >> np.uint64(57)).astype(np.int64), minlength=len(starts) * PARITY_BITS) & 1
-                bits = np.packbits(odd.astype(np.uint8).reshape(-1, PARITY_BITS), axis=1).view(np.int64)
+                wide = map_words(n)
+                at = np.cumsum(wide) - wide
+                spot = at[own] * 64 + (words & (wide[own] * 64 - 1).astype(np.uint64)).astype(np.int64)
+                odd = np.bincount(spot, minlength=int(wide.sum()) * 64) & 1
+                bits = pa.Array.from_buffers(
+                    pa.binary(), len(n), [None, pa.py_buffer(np.r_[0, np.cumsum(wide * 8)].astype(np.int32)), pa.py_buffer(np.packbits(odd.astype(np.uint8), bitorder="little"))]
+                )
                 length = prefix_length(n, threshold)
                 inside = np.arange(len(words)) - starts[own] < length[own]
                 prefix = pa.ListArray.from_arrays(
-                    pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(words[inside].view(np.int64))
+                    pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array((words[inside] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 )
                 a, b = _prints(words, starts)
                 yield pa.RecordBatch.from_arrays(
@@ -132,61 +159,152 @@ def line_sets(docs: DataFrame, threshold: float) -> DataFrame:
                         pa.array(n.astype(np.int64)),
                         pa.array(a),
                         pa.array(b),
-                        pa.array(np.ascontiguousarray(bits[:, 0])),
-                        pa.array(np.ascontiguousarray(bits[:, 1])),
+                        bits,
                         prefix,
                     ],
-                    names=["doc_id", "line_no", "n", "set_a", "set_b", "bits_a", "bits_b", "prefix"],
+                    names=["doc_id", "line_no", "n", "set_a", "set_b", "bits", "prefix"],
                 )
 
-    schema = "doc_id long, line_no long, n long, set_a long, set_b long, bits_a long, bits_b long, prefix array<long>"
+    schema = "doc_id long, line_no long, n long, set_a long, set_b long, bits binary, prefix array<int>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, schema)
 
 
-def clump_edges(classes: DataFrame, threshold: float) -> DataFrame:
-    """Spanning forests of the pairs that pass the filters, within the postings of each token."""
-    postings = classes.select(F.posexplode("prefix").alias("pos", "token"), "id")
-    shared = postings.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1")
-    members = postings.join(shared, "token").join(classes.select("id", "n", "bits_a", "bits_b"), "id")
-    placed = in_block_pairs(members, ["token"], "id", F.col("members"), POSTING_BLOCK)
-    rows = dealt(placed.select("token", "low", "high", "own", "id", "n", "pos", "bits_a", "bits_b"), ["token", "low", "high"])
+def _postings(classes: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+    """The prefixes' tokens with what the filters need, cut into block pairs where a token is frequent.
+
+    A token's bucket count bounds its postings, so the number of its blocks is known beforehand.
+    Sets too small to be similar to any other set are left out.
+    """
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("prefix")
+            tokens = np.asarray(lists.flatten()).view(np.uint32).astype(np.uint64)
+            length = np.asarray(lists.value_lengths())
+            row = np.repeat(np.arange(batch.num_rows), length)
+            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(length) - length, length)
+            blocks = _n_blocks(tokens, counts)
+            ids = np.asarray(batch.column("id"))[row]
+            own = _own_block(ids, blocks)
+            at = np.repeat(np.arange(len(tokens)), blocks)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            low, high = np.minimum(own[at], other), np.maximum(own[at], other)
+            n = np.asarray(batch.column("n"))[row]
+            place = tokens << np.uint64(32) | np.minimum(n, _N_MAX).astype(np.uint64) << np.uint64(_POS_BITS) | np.minimum(pos, _POS_MAX).astype(np.uint64)
+            columns = [pa.array(c, pa.int64()) for c in (place[at].view(np.int64), low << 24 | high, ids[at])]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("bits").take(pa.array(row[at]))], names=names)
+
+    names = ["place", "pair", "id", "bits"]
+    smallest = math.ceil(round(threshold / (1 - threshold), 9)) if threshold < 1 else 2**62
+    picked = classes.filter(F.col("n") >= smallest).select("id", "n", "bits", "prefix")
+    return picked.mapInArrow(post, "place long, pair long, id long, bits binary")
+
+
+#: A posting's token (32 bits of its hash: a clash only makes a pair to verify), set size and position, in one
+#: number.  A size or position beyond its bits is cut, which loosens the filters and loses nothing.
+_POS_BITS = 12
+_POS_MAX, _N_MAX = (1 << _POS_BITS) - 1, (1 << (32 - _POS_BITS)) - 1
+
+
+def _n_blocks(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    most = counts[(tokens >> np.uint64(32 - COUNT_BITS)).astype(np.int64)].astype(np.int64)
+    return np.maximum(-(-most // POSTING_BLOCK), 1)
+
+
+def _own_block(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+
+
+def clump_edges(classes: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+    """Components, as stars, of the pairs that pass the filters within the postings of each token."""
+    placed = _postings(classes, counts, threshold)
+    token = F.shiftrightunsigned("place", 32)
+    # in the order of place, a token's postings stand in the order of their set sizes
+    rows = placed.repartition(token, "pair").sortWithinPartitions(token, "pair", "place").select(token.alias("token"), *placed.columns)
     share = threshold / (1 + threshold)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def passes(n, pos, bits, i, j):
-            """Whether rows i and j (index arrays or one index) pass the filters."""
-            both = n[i] + n[j]
-            need = np.ceil(np.round(share * both, 9))
-            fits = np.minimum(n[i], n[j]) >= np.round(threshold * np.maximum(n[i], n[j]), 9)
-            fits &= 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1 >= need
-            return fits & (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1) <= both - 2 * need)
-
-        for chunk, bounds in whole_groups(batches, 3):
-            low, high, own, ids, n, pos = (np.asarray(chunk.column(k)) for k in range(1, 7))
-            bits = np.column_stack([np.asarray(chunk.column(k)) for k in (7, 8)]).view(np.uint64)
-            count = np.diff(bounds)
-            pairs = bounds[:-1][count == 2]
-            pairs = pairs[(low[pairs] == high[pairs]) | (own[pairs] != own[pairs + 1])]
-            pairs = pairs[passes(n, pos, bits, pairs, pairs + 1)]
-            found = [(ids[pairs], ids[pairs + 1])]
-            for g in np.flatnonzero(count > 2):
-                s = slice(bounds[g], bounds[g + 1])
-                part = (n[s], pos[s], bits[s])
-                edges = spanning_forest(
-                    int(count[g]), own[s], low[bounds[g]] != high[bounds[g]], lambda i, rows, part=part: passes(*part, rows, i)
-                )
-                if edges:
-                    e = np.array(edges)
-                    found.append((ids[s][e[:, 0]], ids[s][e[:, 1]]))
-            yield _edges(found)
-
-    return rows.mapInArrow(link, "a long, b long").distinct()
+        sorted_batches = (pa.RecordBatch.from_arrays([b.column(k) for k in (0, 2, 1, 3, 4)], names=["token", "pair", "place", "id", "bits"]) for b in batches)
+        for chunk, bounds in whole_groups(sorted_batches, 2, rows=100_000):
+            token, pair, place, ids = (np.asarray(chunk.column(k)) for k in range(4))
+            raw, at = string_buffers(chunk.column(4))
+            words, starts, wide = raw.copy().view(np.uint64), at[:-1] // 8, np.diff(at) // 8
+            short = np.bitwise_xor.reduceat(words, starts)
+            n = (place >> _POS_BITS) & _N_MAX
+            pos = place & _POS_MAX
+            across = pair >> 24 != pair & 0xFFFFFF
+            own = _own_block(ids, _n_blocks(token.astype(np.uint64), counts))
+            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            # rows of a group stand in the order of n: those that the length filter allows follow each other
+            key = group * (1 << 32) + n
+            stop = np.searchsorted(key, group * (1 << 32) + np.floor(np.round(n / threshold, 9)).astype(np.int64), "right")
+            count = stop - np.arange(len(n)) - 1
+            found_a, found_b = [], []
+            ends = np.cumsum(count)
+            start = 0
+            while start < len(n):  # some two million pairs at a time
+                end = max(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 2_000_000, "right")), start + 1)
+                c = count[start:end]
+                i = np.repeat(np.arange(start, end), c)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+                both = n[i] + n[j]
+                need = np.ceil(np.round(share * both, 9))
+                good = np.bitwise_count(short[i] ^ short[j]) <= both - 2 * need
+                good &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+                good &= ~across[i] | (own[i] != own[j])
+                i, j, most = i[good], j[good], (both - 2 * need)[good]
+                width = np.minimum(wide[i], wide[j])
+                fits = width == 1  # these have been held against each other in full
+                for w in np.unique(width[width > 1]).tolist():
+                    some = np.flatnonzero(width == w)
+                    apart = _folded(words, starts, wide, i[some], w) ^ _folded(words, starts, wide, j[some], w)
+                    fits[some] = np.bitwise_count(apart).sum(axis=1) <= most[some]
+                found_a.append(i[fits])
+                found_b.append(j[fits])
+                start = end
+            row, root = stars(len(n), np.concatenate(found_a), np.concatenate(found_b))
+            yield _edges([(ids[row], ids[root])])
+
+    return rows.mapInArrow(link, "a long, b long").filter("a != b").distinct()
+
+
+def _small_pairs(edges: np.ndarray, sizes: np.ndarray, across: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of the small groups, some hundred thousand at a time."""
+    count = np.repeat(edges[1:], sizes) - np.arange(sizes.sum()) - 1
+    count[np.repeat(sizes > SMALL_CLUMP, sizes)] = 0
+    ends = np.cumsum(count)
+    start = 0
+    while start < len(count):
+        end = max(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 200_000, "right")), start + 1)
+        c = count[start:end]
+        i = np.repeat(np.arange(start, end), c)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        apart = ~across[i] | (own[i] != own[j])
+        yield i[apart], j[apart]
+        start = end
+
+
+def _similar(i: np.ndarray, j: np.ndarray, n: np.ndarray, firsts: np.ndarray, codes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs whose sets are similar; each row's codes are sorted."""
+    if not len(i):
+        return i, j
+    fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    i, j = i[fits], j[fits]
+    width = np.int64(codes.max()) + 1 if len(codes) else np.int64(1)
+    keys = np.repeat(np.arange(len(n)), n) * width + codes
+    pair = np.repeat(np.arange(len(i)), n[i])
+    token = np.arange(len(pair)) - np.repeat(np.cumsum(n[i]) - n[i], n[i]) + firsts[i][pair]
+    wanted = j[pair] * width + codes[token]
+    spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    both = np.bincount(pair, keys[spot] == wanted, len(i)) if len(i) else np.zeros(0)
+    good = 100 * both >= percent * (n[i] + n[j] - both)
+    return i[good], j[good]
 
 
 def verified_links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, threshold: float) -> DataFrame:
     """``id``, ``n_links`` (similar classes) and ``has_earlier`` for the classes that have links."""
     sizes = clumps.groupBy("component").agg(F.count("*").alias("members"))
-    members = clumps.join(sizes, "component").join(classes.drop("prefix", "bits_a", "bits_b", "n"), "id")
+    members = clumps.join(sizes, "component").join(classes.drop("prefix", "bits", "n"), "id")
     members = members.withColumnRenamed("doc_id", "first_doc")
     side = F.broadcast(members) if members.count() <= BROADCAST_IDS // 4 else members
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -199,51 +317,58 @@ def verified_links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, thres
     percent = round(threshold * 100)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, bounds in whole_groups(batches, 3, rows=4000):
+        for chunk, bounds in whole_groups(batches, 3, rows=20_000):
             low, high, own, ids, set_a, set_b = (np.asarray(chunk.column(k)) for k in range(1, 7))
             docs_of = np.asarray(chunk.column(7).fill_null(np.iinfo(np.int64).min))
             line_of = np.asarray(chunk.column(8))
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
-                raw, at = string_buffers(chunk.column(9).slice(start, stop - start))
-                begin, end = word_bounds(raw, at)
-                words = hash_spans(raw, begin, end)
-                words, owner = distinct_tokens(words, np.searchsorted(at, begin, "right") - 1, np.zeros(len(words), np.int8))
-                n = np.bincount(owner, minlength=stop - start)
-                firsts = np.cumsum(n) - n
-                # rows that repeat a document id with another text are not the class's line; and once is enough
-                good = n > 0
-                a, b = _prints(words, firsts[good])
-                right = np.zeros(stop - start, bool)
-                right[good] = (a == set_a[start:stop][good]) & (b == set_b[start:stop][good])
-                _, once = np.unique(np.where(right, ids[start:stop], -1), return_index=True)
-                chosen = np.sort(once[right[once]])
-                mark = np.zeros(stop - start, bool)
-                mark[chosen] = True
-                words, owner = words[mark[owner]], (np.cumsum(mark) - 1)[owner[mark[owner]]]
-                n = n[chosen]
-                firsts = np.cumsum(n) - n
-                rows = start + chosen
-                codes = np.unique(words, return_inverse=True)[1].reshape(-1)
-                seen = np.zeros(len(words) + 1, np.int32)
-                links, earlier = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
-                across = low[start] != high[start]
-                for i in range(len(rows)) if len(rows) > 1 else ():
-                    mine = codes[firsts[i] : firsts[i] + n[i]]
+            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            raw, at = string_buffers(chunk.column(9))
+            begin, end = word_bounds(raw, at)
+            words = hash_spans(raw, begin, end)
+            words, owner = distinct_tokens(words, np.searchsorted(at, begin, "right") - 1, np.zeros(len(words), np.int8))
+            n = np.bincount(owner, minlength=len(ids))
+            good = np.flatnonzero(n > 0)
+            # rows that repeat a document id with another text are not the class's line; and once is enough
+            a, b = _prints(words, (np.cumsum(n) - n)[good])
+            good = good[(a == set_a[good]) & (b == set_b[good])]
+            good = good[np.r_[True, (ids[good][1:] != ids[good][:-1]) | (group[good][1:] != group[good][:-1])]] if len(good) else good
+            mark = np.zeros(len(ids), bool)
+            mark[good] = True
+            codes = np.unique(words[mark[owner]], return_inverse=True)[1].reshape(-1)
+            low, high, own, ids, docs_of, line_of, group, n = (x[good] for x in (low, high, own, ids, docs_of, line_of, group, n))
+            firsts = np.cumsum(n) - n
+            links, earlier = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+
+            def note(i: np.ndarray, j: np.ndarray) -> None:
+                """Counts the links of paired rows, and marks the later of each pair."""
+                np.add.at(links, i, 1)
+                np.add.at(links, j, 1)
+                i_first = (docs_of[i] < docs_of[j]) | ((docs_of[i] == docs_of[j]) & (line_of[i] < line_of[j]))
+                earlier[np.where(i_first, j, i)] = True
+
+            edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(1, np.int64)
+            sizes = np.diff(edges)
+            for i, j in _small_pairs(edges, sizes, low != high, own):
+                note(*_similar(i, j, n, firsts, codes, percent))
+            for g in np.flatnonzero(sizes > SMALL_CLUMP):
+                s, e = edges[g], edges[g + 1]
+                block = codes[firsts[s] : firsts[e - 1] + n[e - 1]]
+                seen = np.zeros(int(block.max()) + 1, np.int32)
+                starts = firsts[s:e] - firsts[s]
+                for i in range(e - s - 1):
+                    mine = block[starts[i] : starts[i] + n[s + i]]
                     seen[mine] = 1
-                    both = np.add.reduceat(seen[codes], firsts)
+                    both = np.add.reduceat(seen[block[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
                     seen[mine] = 0
-                    hit = 100 * both >= percent * (n + n[i] - both)
-                    hit[i] = False
-                    if across:
-                        hit &= own[rows] != own[rows[i]]
-                    d, k = docs_of[rows], line_of[rows]
-                    links[i] = hit.sum()
-                    earlier[i] = (hit & ((d < d[i]) | ((d == d[i]) & (k < k[i])))).any()
-                some = links > 0
-                out.append((ids[rows[some]], links[some], earlier[some]))
-            columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "n_links", "has_earlier"])
+                    rest = n[s + i + 1 : e]
+                    hit = 100 * both >= percent * (rest + n[s + i] - both)
+                    if low[s] != high[s]:
+                        hit &= own[s + i + 1 : e] != own[s + i]
+                    j = s + i + 1 + np.flatnonzero(hit)
+                    if len(j):
+                        note(np.full(len(j), s + i), j)
+            some = links > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(earlier[some])], names=["id", "n_links", "has_earlier"])
 
     counted = rows.mapInArrow(verify, "id long, n_links long, has_earlier boolean")
     return counted.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.max("has_earlier").alias("has_earlier"))
@@ -254,19 +379,19 @@ def similar_lines(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     that one's first line (``class_doc``, ``class_line``), ``n_links`` (similar classes) and ``kept``."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
-    lines = line_sets(docs, threshold)
+    counts = token_counts(docs)
+    lines = line_sets(docs, counts, threshold)
     keys = ["set_a", "set_b", "n"]
     grouped = lines.groupBy(*keys).agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"),
-        F.first("bits_a").alias("bits_a"),
-        F.first("bits_b").alias("bits_b"),
+        F.first("bits").alias("bits"),
         F.first("prefix").alias("prefix"),
     )
     classes = store(
-        grouped.select(*keys, "first.doc_id", "first.line_no", "bits_a", "bits_b", "prefix", F.monotonically_increasing_id().alias("id")),
+        grouped.select(*keys, "first.doc_id", "first.line_no", "bits", "prefix", F.monotonically_increasing_id().alias("id")),
         "line_classes",
     )
-    clumps = components(clump_edges(classes, threshold))
+    clumps = components(clump_edges(classes, counts, threshold))
     links = verified_links(docs, classes, clumps, threshold)
     told = classes.select(*keys, F.col("doc_id").alias("class_doc"), F.col("line_no").alias("class_line"), "id").join(links, "id", "left")
     told = told.select(*keys, "class_doc", "class_line", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("has_earlier", F.lit(False)).alias("has_earlier"))
