@@ -8,7 +8,8 @@ subsequence; aligned lines are the site's furniture and are deleted.
 Differencing alone cannot give right results: a host may have a single page, adverts may differ
 on each page, and an article may rightly share a passage with its neighbour.  So what the markup
 says outright is held beside it: scripts, styles, forms and blocks that name themselves navigation,
-header, footer, sidebar, notice, advert or comments go; and where a page marks its article, lines
+header, footer, sidebar, notice, advert or comments go, as do list items that are all link outside an
+article; and where a page marks its article, lines
 outside it go and lines inside it stay even when a neighbour has them too.  A neighbour that shares
 all of a page's lines is a copy and says nothing of furniture, so the next nearest is taken.
 
@@ -61,12 +62,13 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE, LOOSE, OUTSIDE = 0, 1, 2
 
 
-def _is_furniture(attrs: list[tuple[str, str | None]]) -> bool:
+def _is_furniture(attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
             for token in value.split():
                 words = _WORD.findall(_CAMEL.sub("-", token).lower())
-                if words and (words[0] in FURNITURE or words[-1] in FURNITURE):
+                named = {words[0], words[-1]} & FURNITURE if words else set()
+                if named - ({"header"} if in_article else set()):  # an article's header holds its title
                     return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
@@ -82,13 +84,15 @@ class _Lines(HTMLParser):
         self.open: list[tuple[str, bool]] = []  # name, whether it drops what it holds
         self.dropping = self.articles = self.mains = self.headings = 0
         self.parts: list[str] = []
+        self.plain = False  # whether the line has text outside links
 
     def _end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
-            if text:
+            item = any(name == "li" for name, _ in self.open[-4:])
+            if text and (self.plain or self.articles or not item):  # a list item that is all link is a menu's
                 self.lines.append((text, self.articles > 0, self.mains > 0))
-            self.parts = []
+            self.parts, self.plain = [], False
 
     def _count(self, name: str, drops: bool, by: int) -> None:
         self.dropping += by * drops
@@ -125,8 +129,8 @@ class _Lines(HTMLParser):
         if tag == "article" and not self.articles and self.dropping:
             self._close_to(0)  # what drops was never closed
         drops = tag in DROPPED or (tag == "header" and not self.articles) or (
-            tag not in ("html", "body", "article", "main") and _is_furniture(attrs)
-        ) or (tag == "article" and self.articles > 0 and _is_furniture(attrs))
+            tag not in ("html", "body", "article", "main") and _is_furniture(attrs, self.articles > 0)
+        ) or (tag == "article" and self.articles > 0 and _is_furniture(attrs, True))
         self.open.append((tag, drops))
         self._count(tag, drops, 1)
 
@@ -145,6 +149,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.dropping:
             self.parts.append(data)
+            if not self.plain and not data.isspace():
+                self.plain = not any(name == "a" for name, _ in self.open[-6:])
 
 
 def page_lines(html: str | None) -> list[tuple[str, int]]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from palaver.llm import (
     ann_tree, blocks, chat_format, decontaminate, graph, html_extract, language_id, line_dedup, near_dup, packing, sharding, token_count, words,
 )
-from palaver.llm.queries import QUERIES, tokenizer_path
+from palaver.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,6 +63,32 @@ def test_registered_query_gives_rows(name, spark, sf_dir):
     assert QUERIES[name](spark, sf_dir).count() >= 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_registered_sql(name, spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    cursor = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(tuple(r[n] for n in names) for r in QUERIES[name](spark, sf_dir).collect()) == sorted(cursor.fetchall())
+
+
+def test_parity_maps_never_exceed_the_difference():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(70, 700))
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        other = np.concatenate([base[int(rng.integers(0, n // 6)) :], rng.integers(0, 2**64, int(rng.integers(0, n // 6)), dtype=np.uint64)])
+        wide = line_dedup.map_words(np.array([len(base), len(other)]))
+        maps = []
+        for values, w in zip((base, other), wide.tolist(), strict=True):
+            odd = np.bincount((values & np.uint64(64 * w - 1)).astype(int), minlength=64 * w) & 1
+            maps.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64))
+        a, b = line_dedup._folded(np.concatenate(maps), np.array([0, wide[0]]), wide, np.array([0, 1]), int(wide.min()))
+        assert np.bitwise_count(a ^ b).sum() <= len(set(base.tolist()) ^ set(other.tolist()))
+
+
 def test_chat_round_trip(spark):
     probe = chat_format.PROBE_TEXT
     texts = ["hi", "", None, probe, "<\\|x", "<\\\\|", "a\n<|im_end|>\nb", "é\U0001f600" * 50]
@@ -325,6 +351,14 @@ def test_html_without_an_article_loses_shared_lines(spark):
     assert sum(t == f"start {k}\n\nend {k}" for k, t in got.items()) >= 4  # some may stand alone at a range's edge
 
 
+def test_html_menus_and_article_headers():
+    menu = "<body><ul><li><a href='/a'>Home</a><li><a href='/b'>News</a> <li>An item with <a href='/c'>a link</a></ul><p>Body</p></body>"
+    assert [t for t, _ in html_extract.page_lines(menu)] == ["An item with a link", "Body"]
+    titled = "<article><div class='post-header'><h1>Title</h1></div><div class='share-bar'>Share</div><p>Text</article><div class='header'>Top</div>"
+    assert [t for t, z in html_extract.page_lines(titled) if z == html_extract.ARTICLE] == ["Title", "Text"]
+    assert html_extract.page_lines("<nav><p>open menu<article><p>Text") == [("Text", html_extract.ARTICLE)]
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rnd = random.Random(0)
     for _ in range(800):
