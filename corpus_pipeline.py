@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from palaver.llm import decontaminate, language_id, line_dedup, near_dup, packing
 from palaver.llm.queries import tokenizer_path
-from palaver.llm.tables import fresh_name, read_table, store
+from palaver.llm.tables import bound_batches, fresh_name, read_table, store
 
 #: Some stages have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     own = fresh_name(docs, "own")
     learned = docs.filter(~language_id.held_out() & F.col("doc_id").isNotNull())
     model = language_id.learn(learned.select("doc_id", "text", "lang"))
@@ -27,18 +28,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return line_dedup.drop_repeated_lines(docs, threshold=0.8)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return near_dup.drop_near_duplicates(docs, width=5, threshold=0.8)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import settle
+
 
 def in_block_pairs(members: DataFrame, keys: list[str], member: str, size: Column, block: int) -> DataFrame:
     """Cuts each group into blocks of about ``block`` members and gives every member a row for each
@@ -48,6 +50,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], n_keys: int, rows: int = 20_
         rows = max(rows, 2 * n_held) if len(bounds) == 2 else rows
     if held:
         yield _cut(held, n_keys)
+    settle()
 
 
 def _cut(held: list[pa.RecordBatch], n_keys: int) -> tuple[pa.RecordBatch, np.ndarray]:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import mix
+from .words import mix, settle
 
 #: Length of the longest n-gram.
 ORDER = 4
@@ -297,12 +297,13 @@ def identify_text(text: Column, model: Model) -> Column:
             for t in texts:
                 part.append(t or "")
                 size += len(part[-1])
-                if size > 500_000:
+                if size > 250_000:
                     parts.append(model.identify(part))
                     part, size = [], 0
             if part or not parts:
                 parts.append(model.identify(part))
             yield pd.concat(parts, ignore_index=True)
+            settle()
 
     return identify(F.coalesce(text, F.lit("")))
 

@@ -46,6 +46,8 @@ from .words import hash_spans, mix, slices, string_buffers, word_bounds
 #: Hash buckets of the token counts: the upper bits of a token's hash.
 COUNT_BITS = 20
 COUNT_BUCKETS = 1 << COUNT_BITS
+#: Pairs of postings that are laid out at once.
+PAIRS_AT_ONCE = 400_000
 #: Clumps up to which pairs are laid out side by side; in larger ones each row meets the whole block.
 SMALL_CLUMP = 12
 #: Members of a block: postings of a token, full sets of a clump.
@@ -225,7 +227,7 @@ def clump_edges(classes: DataFrame, counts: np.ndarray, threshold: float) -> Dat
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sorted_batches = (pa.RecordBatch.from_arrays([b.column(k) for k in (0, 2, 1, 3, 4)], names=["token", "pair", "place", "id", "bits"]) for b in batches)
-        for chunk, bounds in whole_groups(sorted_batches, 2, rows=100_000):
+        for chunk, bounds in whole_groups(sorted_batches, 2, rows=50_000):
             token, pair, place, ids = (np.asarray(chunk.column(k)) for k in range(4))
             raw, at = string_buffers(chunk.column(4))
             words, starts, wide = raw.copy().view(np.uint64), at[:-1] // 8, np.diff(at) // 8
@@ -242,8 +244,8 @@ def clump_edges(classes: DataFrame, counts: np.ndarray, threshold: float) -> Dat
             found_a, found_b = [], []
             ends = np.cumsum(count)
             start = 0
-            while start < len(n):  # some two million pairs at a time
-                end = max(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 2_000_000, "right")), start + 1)
+            while start < len(n):  # a bounded number of pairs at a time
+                end = max(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS_AT_ONCE, "right")), start + 1)
                 c = count[start:end]
                 i = np.repeat(np.arange(start, end), c)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
@@ -269,13 +271,13 @@ def clump_edges(classes: DataFrame, counts: np.ndarray, threshold: float) -> Dat
 
 
 def _small_pairs(edges: np.ndarray, sizes: np.ndarray, across: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of the small groups, some hundred thousand at a time."""
+    """All pairs of rows of the small groups, some thousands at a time (their sets are laid out)."""
     count = np.repeat(edges[1:], sizes) - np.arange(sizes.sum()) - 1
     count[np.repeat(sizes > SMALL_CLUMP, sizes)] = 0
     ends = np.cumsum(count)
     start = 0
     while start < len(count):
-        end = max(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 200_000, "right")), start + 1)
+        end = max(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS_AT_ONCE // 40, "right")), start + 1)
         c = count[start:end]
         i = np.repeat(np.arange(start, end), c)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
@@ -317,7 +319,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, thres
     percent = round(threshold * 100)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, bounds in whole_groups(batches, 3, rows=20_000):
+        for chunk, bounds in whole_groups(batches, 3, rows=10_000, size=4 << 20):
             low, high, own, ids, set_a, set_b = (np.asarray(chunk.column(k)) for k in range(1, 7))
             docs_of = np.asarray(chunk.column(7).fill_null(np.iinfo(np.int64).min))
             line_of = np.asarray(chunk.column(8))

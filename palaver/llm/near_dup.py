@@ -195,7 +195,7 @@ def exact_edges(docs: DataFrame, clumps: DataFrame, width: int, threshold: float
     percent = round(threshold * 100)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, bounds in whole_groups(batches, 3, rows=2000):
+        for chunk, bounds in whole_groups(batches, 3, rows=2000, size=2 << 20):
             low, high, own, ids = (np.asarray(chunk.column(k)) for k in (1, 2, 3, 4))
             found = []
             for start, stop in zip(bounds[:-1], bounds[1:], strict=True):

@@ -11,7 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
 
 
+#: Rows of an Arrow batch between Spark and a Python worker: texts are long.
+BATCH_ROWS = 2_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches of the session to ``BATCH_ROWS`` rows, unless it asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,6 +7,7 @@ whole batch is hashed by a few array operations.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ import pyarrow as pa
 #: Bytes of text that a task works on at once (a single longer text is taken whole).
 SLICE_BYTES = 1 << 20
 
+_libc = ctypes.CDLL(None)
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
@@ -58,6 +60,14 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         stop = min(max(stop, start + 1), len(texts))
         yield start, stop
         start = stop
+    settle()
+
+
+def settle() -> None:
+    """Hands freed memory back to the system: a Python worker lives on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
