@@ -21,8 +21,8 @@ no task emits more links than it has members.  What reaches the driver is the ta
 of fixed size.
 
 Edge cases: lines end at a line feed; lines without words are kept and match nothing; null and
-empty texts have no lines with words; rows that repeat a document id count as the same lines where their
-sets agree, and a null id is an id like any other (it sorts first); a document that loses all its
+empty texts have no lines with words; lines of equal sets at the same place of rows that repeat a
+document id are one line, and a null id is an id like any other (it sorts first); a document that loses all its
 words to earlier lines is dropped by ``drop_repeated_lines``.
 """
 
@@ -126,7 +126,8 @@ def _prints(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def line_sets(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """One row for each line with words: ``doc_id``, ``line_no``, ``n`` distinct tokens, the set's
+    """One row for each line with words: ``doc_id``, ``text_key`` (a hash of the document's text),
+    ``line_no``, ``n`` distinct tokens, the set's
     fingerprint ``set_a``, ``set_b``, parity ``bits``, and the ``prefix``."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,6 +158,7 @@ def line_sets(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(start, stop - start).take(pa.array(doc)),
+                        batch.column("text_key").slice(start, stop - start).take(pa.array(doc)),
                         pa.array((lines[starts] - first[doc]).astype(np.int64)),
                         pa.array(n.astype(np.int64)),
                         pa.array(a),
@@ -164,11 +166,11 @@ def line_sets(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
                         bits,
                         prefix,
                     ],
-                    names=["doc_id", "line_no", "n", "set_a", "set_b", "bits", "prefix"],
+                    names=["doc_id", "text_key", "line_no", "n", "set_a", "set_b", "bits", "prefix"],
                 )
 
-    schema = "doc_id long, line_no long, n long, set_a long, set_b long, bits binary, prefix array<int>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, schema)
+    schema = "doc_id long, text_key long, line_no long, n long, set_a long, set_b long, bits binary, prefix array<int>"
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(describe, schema)
 
 
 def _postings(classes: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
@@ -379,6 +381,10 @@ def verified_links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, thres
 def similar_lines(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """One row for each line with words: ``doc_id``, ``line_no`` (from 0), ``n_tokens``, its class by
     that one's first line (``class_doc``, ``class_line``), ``n_links`` (similar classes) and ``kept``."""
+    return _judged_lines(docs, threshold).drop("text_key")
+
+
+def _judged_lines(docs: DataFrame, threshold: float) -> DataFrame:
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     counts = token_counts(docs)
@@ -397,10 +403,10 @@ def similar_lines(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     links = verified_links(docs, classes, clumps, threshold)
     told = classes.select(*keys, F.col("doc_id").alias("class_doc"), F.col("line_no").alias("class_line"), "id").join(links, "id", "left")
     told = told.select(*keys, "class_doc", "class_line", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("has_earlier", F.lit(False)).alias("has_earlier"))
-    own = lines.select("doc_id", "line_no", *keys).join(told, keys)
+    own = lines.select("doc_id", "text_key", "line_no", *keys).join(told, keys)
     first = F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("class_line"))
     return own.select(
-        "doc_id", "line_no", F.col("n").alias("n_tokens"), "class_doc", "class_line", "n_links", (first & ~F.col("has_earlier")).alias("kept")
+        "doc_id", "text_key", "line_no", F.col("n").alias("n_tokens"), "class_doc", "class_line", "n_links", (first & ~F.col("has_earlier")).alias("kept")
     )
 
 
@@ -409,17 +415,18 @@ def drop_repeated_lines(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame
 
     Documents whose words all go are dropped.
     """
-    lines = similar_lines(docs, threshold=threshold)
+    lines = _judged_lines(docs, threshold)
     cuts = store(
-        lines.groupBy("doc_id")
+        lines.groupBy("doc_id", "text_key")
         .agg(F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("cut"), F.max("kept").alias("left"))
         .filter(F.size("cut") > 0),
         "cuts",
     )
-    own, cut, left = (fresh_name(docs, x) for x in ("own", "cut", "left"))
-    cuts = cuts.select(F.col("doc_id").alias(own), F.col("cut").alias(cut), F.col("left").alias(left))
+    own, key, cut, left = (fresh_name(docs, x) for x in ("own", "key", "cut", "left"))
+    cuts = cuts.select(F.col("doc_id").alias(own), F.col("text_key").alias(key), F.col("cut").alias(cut), F.col("left").alias(left))
     side = F.broadcast(cuts) if cuts.count() <= BROADCAST_IDS // 40 else cuts
-    joined = docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side[own]), "left").filter(F.coalesce(left, F.lit(True)))
+    same = docs["doc_id"].cast("long").eqNullSafe(side[own]) & (F.xxhash64(docs["text"]) == side[key])
+    joined = docs.join(side, same, "left").filter(F.coalesce(left, F.lit(True)))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, cuts: pd.Series) -> pd.Series:

@@ -188,6 +188,10 @@ def test_language_models_are_distributions_and_right(spark, sf_dir, odd_docs):
     assert {r["lang_pred"] for r in language_id.identify_documents(blank).collect()} == {"und"}
 
 
+def docs_of(like, rows):
+    return like.sparkSession.createDataFrame(rows, DOCS)
+
+
 def brute_lines(rows, threshold=80):
     lines = [(-(2**63) if i is None else i, k, frozenset(tokens_of(x))) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
     lines = sorted({x for x in lines if x[2]}, key=lambda x: x[:2])
@@ -224,6 +228,10 @@ def test_line_dedup_is_the_brute_force(odd_docs):
         else:
             assert r["doc_id"] not in kept
     assert line_dedup.similar_lines(odd_docs.filter("false")).count() == 0
+    # a line that goes from one text of a repeated id stays in the other
+    rows = [(1, "a b c d e f", "", "", 0), (2, "a b c d e f\ng h i j k l", "", "", 0), (2, "m n o p q r\ns t u v w x", "", "", 0), (None, "y z y1 z1", "", "", 0)]
+    texts = [r["text"] for r in line_dedup.drop_repeated_lines(docs_of(odd_docs, rows)).collect()]
+    assert sorted(texts) == ["a b c d e f", "g h i j k l", "m n o p q r\ns t u v w x", "y z y1 z1"]
 
 
 def test_prefixes_are_long_enough():
