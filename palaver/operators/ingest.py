@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The record kinds and the typed fields of their bodies.
 KINDS = {
@@ -27,24 +28,10 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 def demux(records: DataFrame, kind: str) -> DataFrame:
     """The typed rows of one kind; records of unknown kinds belong to none.  A null body is an error."""
     rows = records.filter(F.col("kind") == kind)
-    body = F.when(F.col("data").isNotNull(), F.from_json("data", KINDS[kind])).otherwise(F.raise_error(F.lit(f"{kind} without a body")).cast(_struct(kind)))
+    body = F.when(F.col("data").isNotNull(), F.from_json("data", KINDS[kind])).otherwise(F.raise_error(F.lit(f"{kind} without a body")).cast(T.StructType.fromDDL(KINDS[kind])))
     return rows.select(body.alias("b")).select("b.*")
 
 
-def _struct(kind: str) -> str:
-    return "struct<" + ", ".join(f"{n}: {t}" for n, t in (f.strip().split(" ", 1) for f in _fields(KINDS[kind]))) + ">"
-
-
-def _fields(ddl: str) -> list[str]:
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(ddl):
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            out.append(ddl[start:i])
-            start = i + 1
-    return [*out, ddl[start:]]
-
-
 def sync_plan(channels: DataFrame, cursors: DataFrame) -> DataFrame:
     """One row for each channel to sync, from its cursor or from 0."""
     return channels.join(cursors, "channel_id", "left").withColumn("cursor", F.coalesce("cursor", F.lit(0)))
