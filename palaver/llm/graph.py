@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     a node with very many neighbours is dealt out like any other and no lineage builds up.
     """
     current = store(_stars(edges), "edges")
-    while True:
+    while not _settled(current):
         # large-star: larger neighbours go to the smallest of the neighbourhood
         both = current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -27,13 +27,16 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a")
         linked = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(lowest.select("a", F.col("m").alias("b")))
-        following = store(linked.filter("a != b").distinct(), "edges")
-        # once every node links to one root that links nowhere, the edges are stars
-        several = following.groupBy("a").count().filter("count > 1").limit(1).count()
-        if not several and not following.join(following.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
-            roots = following.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id"))
-            return following.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(roots)
-        current = following
+        current = store(linked.filter("a != b").distinct(), "edges")
+    roots = current.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id"))
+    return current.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(roots)
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every node links to one root, and no root links on."""
+    several = edges.groupBy("a").count().filter("count > 1").select(F.col("a").alias("b"))
+    onward = edges.select("b").join(edges.select(F.col("a").alias("b")), "b", "left_semi")
+    return several.unionAll(onward).limit(1).count() == 0
 
 
 def _stars(edges: DataFrame) -> DataFrame:
