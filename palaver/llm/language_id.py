@@ -255,16 +255,11 @@ def learn(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS, max_languages:
     }
     model = _kneser_ney(grams)
     model.limit = np.full(len(model.languages), np.inf)
-    own, noise = identify_text(F.col("text"), model), identify_text(_shuffled("text"), model)
-    calibrate = sample.filter("aside").select("lang", own.alias("own"), noise.alias("noise"))
+    told = sample.filter("aside").select("lang", _calibration(F.col("text"), model).alias("own"))
     stats = (
-        calibrate.filter(F.col("own.lang_pred") == F.col("lang"))
+        told.filter(F.col("own.lang_pred") == F.col("lang"))
         .groupBy("lang")
-        .agg(
-            F.avg("own.cross_entropy").alias("mean"),
-            F.stddev_pop("own.cross_entropy").alias("sd"),
-            F.avg("noise.cross_entropy").alias("noise"),
-        )
+        .agg(F.avg("own.entropy").alias("mean"), F.stddev_pop("own.entropy").alias("sd"), F.avg("own.noise").alias("noise"))
     ).collect()
     for r in stats:
         limit = max(r["mean"] + 8 * r["sd"], (r["mean"] + r["noise"]) / 2)
@@ -272,19 +267,25 @@ def learn(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS, max_languages:
     return model
 
 
-def _shuffled(column: str) -> Column:
-    """The letters of a text in random order, drawn anew but alike for the same text."""
+def _calibration(text: Column, model: Model) -> Column:
+    """The language of a text, its cross-entropy, and that of its letters in random order (drawn anew
+    for each text, but alike for the same text); one function, so that a task needs one worker."""
 
-    @F.pandas_udf("string")
-    def shuffle(texts: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("lang_pred string, entropy double, noise double")
+    def calibrate(texts: pd.Series) -> pd.DataFrame:
+        own, noise = [], []
         for text in texts:
             letters = np.array(list(text))
             np.random.default_rng(zlib.crc32(text.encode())).shuffle(letters)
-            out.append("".join(letters))
-        return pd.Series(out, dtype=object)
-
-    return shuffle(F.col(column))
+            own.append(model.identify([text]))
+            noise.append(model.identify(["".join(letters)])["cross_entropy"])
+        settle()
+        if not own:
+            return pd.DataFrame({"lang_pred": [], "entropy": [], "noise": []})
+        told = pd.concat(own, ignore_index=True)
+        return pd.DataFrame({"lang_pred": told["lang_pred"], "entropy": told["cross_entropy"], "noise": pd.concat(noise, ignore_index=True)})
+
+    return calibrate(text)
 
 
 def identify_text(text: Column, model: Model) -> Column:

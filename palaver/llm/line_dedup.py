@@ -41,7 +41,7 @@ from .blocks import dealt, in_block_pairs, stars, whole_groups
 from .graph import components
 from .near_dup import BROADCAST_IDS, _edges
 from .tables import fresh_name, store
-from .words import hash_spans, mix, slices, string_buffers, word_bounds
+from .words import hash_spans, mix, settle, slices, string_buffers, word_bounds
 
 #: Hash buckets of the token counts: the upper bits of a token's hash.
 COUNT_BITS = 20
@@ -434,6 +434,7 @@ def drop_repeated_lines(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame
         for text, gone in zip(texts, cuts, strict=True):
             drop = set(gone)
             out.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop))
+        settle()
         return pd.Series(out, dtype=object)
 
     shorter = joined.filter(F.col(cut).isNotNull()).withColumn("text", without("text", cut))
