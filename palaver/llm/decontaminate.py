@@ -1,20 +1,21 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-Each test item's word trigrams are its seeds.  Their document frequencies are counted over all
-documents.  Seeds in at most one of ``RARE`` documents are kept, and besides them the rarer half of
-an item's seeds that occur, so that common phrases start no alignments while an item that leaked
-everywhere still has seeds.  A document's trigrams that
+Each test item's word trigrams are its seeds, all of them: a seed that is left out for being
+frequent may be the only one that an often copied edit still holds.  A document's trigrams that
 are seeds mark where an item may lie in it; hits of one item that are no further apart than an
 item's length make one window, and a word-level Smith-Waterman alignment of the item with that
 window scores exact, edited and paraphrased copies alike.  The score is the alignment's share of
 a perfect one; at ``MIN_SCORE`` or more the document holds the item.
 
+Common phrases start windows too, so a bound is taken first: no alignment scores more than the best
+run of the window's words with each word that the item has anywhere as a match and each other
+word as the least loss.  Only a window whose bound reaches the score is aligned; none that would is lost.
+
 Words are runs of letters and digits in lower case (ASCII punctuation and white space part them).
 
-Scale: two passes over the documents, no shuffle of texts.  The test items are sent to the
-executors in slices of at most ``SLICE_BYTES`` of text, one pass for each slice, so a benchmark
-of any size is held against the documents in bounded memory; only counts of an item's own seeds are
-aggregated.
+Scale: one pass over the documents, no shuffle.  The test items are sent to the executors in slices
+of at most ``SLICE_BYTES`` of text, one pass for each slice, so a benchmark of any size is held
+against the documents in bounded memory.  Work grows with the items that share a trigram with a document.
 
 Edge cases: null and empty texts match nothing; items of fewer than ``MIN_WORDS`` words (or null) are
 no evidence and are left out; an item id that repeats with several texts counts by its best; an
@@ -38,8 +39,6 @@ from .words import hash_spans, shingles, slices, string_buffers
 
 #: Words of a seed, the fewest words of an item, and the score from which an item is found.
 SEED_WORDS, MIN_WORDS, MIN_SCORE = 3, 5, 0.5
-#: A seed is rare if it is in no more than one of so many documents.
-RARE = 1000
 #: Bytes of item texts that are held at once.
 SLICE_BYTES = 16 << 20
 #: Alignment: a matching word, a differing word, a word left out or put in.
@@ -89,6 +88,13 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * m), j, end
 
 
+def reachable(item: np.ndarray, window: np.ndarray) -> float:
+    """A share of a perfect score that no alignment passes; ``item``: its words, sorted."""
+    spot = np.minimum(np.searchsorted(item, window), len(item) - 1)
+    sums = np.r_[0, np.cumsum(np.where(item[spot] == window, MATCH, max(DIFFER, GAP)))]
+    return min(1.0, int((sums - np.minimum.accumulate(sums)).max()) / (MATCH * len(item)))
+
+
 @dataclass
 class Items:
     """Test items as word hashes, and their seeds in one sorted array."""
@@ -98,6 +104,7 @@ class Items:
     seeds: np.ndarray
     item_of: np.ndarray
     place: np.ndarray
+    sorted: list[np.ndarray]
 
     def search(self, words: np.ndarray, min_score: float) -> list[dict]:
         """The items a document's words hold."""
@@ -124,6 +131,8 @@ class Items:
             # from where the item would begin at the first hit to where it would end at the last
             start = max(0, int(begin[part].min()) - slack)
             stop = min(len(words), int(begin[part].max()) + int(sizes[k]) + slack)
+            if reachable(self.sorted[k], words[start:stop]) < min_score:
+                continue
             score, j, end = align(self.words[k], words[start:stop])
             found = {"item_id": self.ids[k], "score": score, "start_word": start + j, "end_word": start + end}
             if score >= min_score and (found["item_id"] not in best or score > best[found["item_id"]]["score"]):
@@ -137,48 +146,7 @@ def _all_seeds(ids: list, words: list[np.ndarray]) -> Items:
     item_of = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64)
     place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
     order = np.argsort(seeds, kind="stable")
-    return Items(ids, words, seeds[order], item_of[order], place[order])
-
-
-def document_frequencies(docs: DataFrame, seeds: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many documents each of the sorted distinct seeds occurs, and the number of documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n_docs = np.zeros(len(seeds), np.int64), 0
-        for batch in batches:
-            n_docs += batch.num_rows
-            for start, stop in slices(batch.column("text")):
-                words, at = words_of(batch.column("text").slice(start, stop - start))
-                if len(words) < SEED_WORDS:
-                    continue
-                grams = shingles(words, SEED_WORDS)
-                spot = np.minimum(np.searchsorted(seeds, grams), len(seeds) - 1)
-                hit = np.flatnonzero(seeds[spot] == grams)
-                doc = np.searchsorted(at, hit, "right") - 1
-                inside = hit + SEED_WORDS <= at[doc + 1]  # not over a text's end
-                total += np.bincount(np.unique(doc[inside] * len(seeds) + spot[hit[inside]]) % len(seeds), minlength=len(seeds))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n_docs, total[some]])], names=["seed", "n"])
-
-    found = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(seeds) + 1, np.int64)  # the last: all documents
-    out[np.asarray(found["seed"])] = np.asarray(found["n"])
-    return out[:-1], int(out[-1])
-
-
-def rare_seeds(items: Items, docs: DataFrame) -> Items:
-    """Keeps the seeds that are rare in the documents, and the rarer half of an item's that occur."""
-    distinct = np.unique(items.seeds)
-    if not len(distinct):
-        return items
-    by_seed, n_docs = document_frequencies(docs, distinct)
-    frequency = by_seed[np.searchsorted(distinct, items.seeds)]
-    limit = np.full(len(items.words), n_docs // RARE)
-    for k in range(len(items.words)):
-        own = frequency[(items.item_of == k) & (frequency > 0)]
-        limit[k] = max(limit[k], np.median(own)) if len(own) else limit[k]
-    keep = frequency <= limit[items.item_of]
-    return Items(items.ids, items.words, items.seeds[keep], items.item_of[keep], items.place[keep])
+    return Items(ids, words, seeds[order], item_of[order], place[order], [np.sort(w) for w in words])
 
 
 def item_slices(benchmark: DataFrame) -> Iterator[Items]:
@@ -220,7 +188,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_score: float = MI
     ``start_word``, ``end_word`` (a span of the document's words)."""
     out = None
     for items in item_slices(benchmark):
-        found = found_items(F.col("text"), rare_seeds(items, docs), min_score)
+        found = found_items(F.col("text"), items, min_score)
         rows = docs.select("doc_id", F.explode(found).alias("hit")).select("doc_id", "hit.*")
         out = rows if out is None else out.unionAll(rows)
     if out is None:
@@ -233,6 +201,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, min_score: float
     """The rows of ``docs`` that hold no test item, with all their columns."""
     out = docs
     for items in item_slices(benchmark):
-        found = found_items(F.col("text"), rare_seeds(items, docs), min_score)
+        found = found_items(F.col("text"), items, min_score)
         out = out.filter(F.size(found) == 0)
     return out

@@ -417,6 +417,25 @@ def test_decontamination_finds_copies_and_edits(spark, sf_dir):
     assert decontaminate.drop_contaminated(docs.filter("false"), items).count() == 0
 
 
+def test_decontamination_finds_edits_that_are_copied_often(spark):
+    item = [f"q{k}" for k in range(20)]
+    edited = item[:6] + [w if k % 3 else f"new{k}" for k, w in enumerate(item[6:])]  # keeps the first four trigrams only
+    filler = " ".join(f"w{k}" for k in range(30))
+    rows = [(0, f"{filler} {' '.join(item)}")] + [(1 + k, f"{filler} {' '.join(edited)} {filler}") for k in range(2000)]
+    rows += [(3000, f"{filler} {' '.join(item[:6])} {filler}")]  # seeds, but no leak
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs, items).collect()} == set(range(2001))
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()] == [3000]
+
+
+def test_no_alignment_passes_its_bound():
+    rnd = np.random.default_rng(6)
+    for _ in range(300):
+        item, window = rnd.integers(0, 9, rnd.integers(5, 12)), rnd.integers(0, 12, rnd.integers(3, 40))
+        assert decontaminate.align(item, window)[0] <= decontaminate.reachable(np.sort(item), window)
+
+
 def test_word_hashes_follow_the_words():
     import pyarrow as pa
 
