@@ -2,20 +2,23 @@
 
 A page is cut into text lines, one for each block of its markup.  Pages are laid out by host and
 URL path, so that a page's neighbours in that order are the pages with the nearest paths on its
-host.  A page's lines are aligned with those of its nearest neighbour by a longest common
-subsequence; aligned lines are the site's furniture and are deleted.
+host; pages of equal lines count as one there, however many they are.  A page's lines are aligned
+with those of the nearer neighbour by a longest common subsequence; aligned lines are the site's
+furniture and are deleted.  A neighbour that shares all of a page's lines says nothing of
+furniture, so the one on the other side is taken; if that one does too, the lines that are
+common on the host are deleted, that is on more than half of its different pages and on ``FEW`` or more.
 
 Differencing alone cannot give right results: a host may have a single page, adverts may differ
 on each page, and an article may rightly share a passage with its neighbour.  So what the markup
-says outright is held beside it: scripts, styles, forms and blocks that name themselves navigation,
+says outright is a check beside it: scripts, styles, forms and blocks that name themselves navigation,
 header, footer, sidebar, notice, advert or comments go, as do list items that are all link outside an
-article; and where a page marks its article, lines
-outside it go and lines inside it stay even when a neighbour has them too.  A neighbour that shares
-all of a page's lines is a copy and says nothing of furniture, so the next nearest is taken.
+article; and where a page marks its article, lines outside it go and lines inside it
+stay even when a neighbour has them too.
 
-Scale: one range shuffle of the extracted lines (not of the html), which spreads a host with a
-third of all pages over many tasks; a task holds a few pages at a time.  A page's neighbours are
-looked for on its own side of a range boundary.
+Scale: the pages are parsed twice and compared by hashes of their lines: one range shuffle of the
+hashes, which spreads a host with a third of all pages over many tasks, and one aggregation that
+counts lines by host.  Where a range ends, the nearest different page beyond it is looked up from
+the ends of all ranges, which the driver holds (four pages a range).  Only the lines' verdicts are joined to the texts.
 
 Edge cases: null or empty html gives an empty text; a null or odd URL counts as host '' with the
 URL as path; repeated rows are copies of each other; markup that is never closed ends with the page.
@@ -24,17 +27,19 @@ URL as path; repeated rows are copies of each other; markup that is never closed
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Neighbours looked at on each side in path order.
-REACH = 2
+from .tables import store
+
+#: A line on fewer different pages of a host is not common there.
+FEW = 3
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -165,7 +170,7 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
     return [(x[0], LOOSE if not level else ARTICLE if x[level] else OUTSIDE) for x in parser.lines]
 
 
-def aligned(a: list[str], b: list[str]) -> list[bool]:
+def aligned(a: list, b: list) -> list[bool]:
     """For each line of ``a``, whether a longest common subsequence with ``b`` holds it."""
     out = [False] * len(a)
     lo, ha, hb = 0, len(a), len(b)
@@ -181,7 +186,7 @@ def aligned(a: list[str], b: list[str]) -> list[bool]:
     if not rows:
         return out
     # Python integers as bit vectors: one row of the table for each common line of a
-    masks: dict[str, int] = {}
+    masks: dict = {}
     for k, j in enumerate(cols):
         masks[b[j]] = masks.get(b[j], 0) | 1 << k
     full = (1 << len(cols)) - 1
@@ -212,19 +217,71 @@ def _path_nearness(a: str, b: str) -> int:
     return n
 
 
-def main_text(page: tuple[str, str, list[str], list[int]], near: list[tuple[str, str, list[str], list[int]]]) -> str:
-    """The page's text, by differencing with the nearest page of its host that is not its copy."""
-    host, path, lines, zones = page
-    shared = [False] * len(lines)
-    ranked = sorted((x for x in near if x[0] == host), key=lambda x: -_path_nearness(path, x[1]))
-    for other in ranked:
-        found = aligned(lines, other[2])
+def verdicts(path: str, lines: list[int], near: list[tuple[str, list[int]]], common: set[int]) -> tuple[list[bool], list[bool]]:
+    """For each line (as a hash) whether it goes outside a marked article, and whether inside one."""
+    shared, known = [False] * len(lines), not near
+    for _, other in sorted(near, key=lambda x: -_path_nearness(path, x[0])):
+        found = aligned(lines, other)
         if not all(found):
-            shared = found
+            shared, known = found, True
             break
-    return "\n\n".join(
-        line for line, zone, both in zip(lines, zones, shared, strict=True) if zone == ARTICLE or (zone == LOOSE and not both)
+    often = [x in common for x in lines]
+    return (shared, [a and b for a, b in zip(shared, often, strict=True)]) if known else (often, often)
+
+
+_PAGE = "struct<path:string,content:long,hashes:array<long>>"
+
+
+def _beyond(ends: list) -> list[tuple]:
+    """For each range of a host its nearest pages in other ranges that differ from its first and its last."""
+    hosts: dict = defaultdict(list)
+    for row in sorted(ends, key=lambda r: r["part"]):
+        hosts[row["host"]].append(row)
+    page = lambda x: (x["path"], x["content"], x["hashes"])
+    out = []
+    for host, rows in hosts.items():
+        for k, row in enumerate(rows):
+            found = []
+            for end, others, inner in (("first", reversed(rows[:k]), "before"), ("last", rows[k + 1 :], "after")):
+                own, far = row[end]["content"], "last" if end == "first" else "first"
+                seen = (x for other in others for x in (other[far], other[far][inner]) if x is not None)
+                found.append(next((page(x) for x in seen if x["content"] != own), None))
+            out.append((host, row["part"], *found))
+    return out
+
+
+def neighbours(light: DataFrame) -> DataFrame:
+    """The nearest pages of other content before and after each row by path: structs ``before`` and ``after``.
+
+    ``light`` has distinct ``host``, ``path``, ``content`` and with them ``hashes``.
+    """
+    spark = light.sparkSession
+    laid = store(light.repartitionByRange("host", "path", "content").withColumn("part", F.spark_partition_id()), "html_ranges")
+    up = Window.partitionBy("part", "host").orderBy("path", "content")
+    down = Window.partitionBy("part", "host").orderBy(F.desc("path"), F.desc("content"))
+    near, page = laid, F.struct("path", "content", "hashes")
+    for name, w in (("before", up), ("after", down)):
+        last = F.when(F.lag("content").over(w) != F.col("content"), F.lag(page).over(w))
+        near = near.withColumn(name, last)
+        near = near.withColumn(name, F.last(name, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    place = F.struct("path", "content")
+    ends = near.groupBy("host", "part").agg(
+        F.min_by(F.struct("path", "content", "hashes", "after"), place).alias("first"),
+        F.max_by(F.struct("path", "content", "hashes", "before"), place).alias("last"),
     )
+    split = laid.select("host", "part").distinct().groupBy("host").count().filter("count > 1").select("host")
+    beyond = spark.createDataFrame(_beyond(ends.join(split, "host").collect()), f"host string, part int, earlier {_PAGE}, later {_PAGE}")
+    near = near.join(F.broadcast(beyond), ["host", "part"], "left")
+    return near.withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")}).drop("earlier", "later", "part")
+
+
+def common_lines(light: DataFrame) -> DataFrame:
+    """``host`` and ``common``: hashes of the lines on most of its different pages (at most twice a page's lines)."""
+    pages = light.dropDuplicates(["host", "content"])
+    n = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
+    lines = pages.select("host", F.explode(F.array_distinct("hashes")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    often = lines.filter(F.col("n") >= FEW).join(n, "host").filter("2 * n > n_pages")
+    return often.groupBy("host").agg(F.collect_list("line").alias("common"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -259,42 +316,30 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                     names=parsed_schema.names,
                 )
 
-    text_schema = T.StructType([*parsed_schema.fields[:2], T.StructField("text", T.StringType())])
-
-    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        behind: deque = deque(maxlen=REACH)
-        ahead: deque = deque()
-        done: list[tuple] = []
-        kinds: list[pa.DataType] = []
-
-        def rows():
-            for batch in batches:
-                kinds[:] = batch.schema.types[:2]
-                for start in range(0, batch.num_rows, 500):
-                    part = batch.slice(start, 500)
-                    yield from zip(*(part.column(k).to_pylist() for k in range(6)), strict=True)
-
-        def settle() -> None:
-            page_id, u, *page = ahead.popleft()
-            done.append((page_id, u, main_text(tuple(page), [tuple(x[2:]) for x in (*behind, *ahead)])))
-            behind.append((page_id, u, *page))
-
-        def flush() -> pa.RecordBatch:
-            ids, urls, texts = zip(*done, strict=True)
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), pa.array(urls, kinds[1]), pa.array(texts, pa.string())], names=text_schema.names)
-
-        for row in rows():
-            ahead.append(row)
-            if len(ahead) > REACH:
-                settle()
-            if len(done) >= 500:
-                yield flush()
-        while ahead:
-            settle()
-        if done:
-            yield flush()
-
-    parsed = pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html").mapInArrow(parse, parsed_schema)
-    laid = parsed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return laid.mapInArrow(difference, text_schema).withColumn("n_chars", F.length("text").cast("long"))
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for r in batch.to_pylist():
+                near = [(x["path"], x["hashes"]) for x in (r["before"], r["after"]) if x is not None]
+                loose, marked = verdicts(r["path"], r["hashes"], near, set(r["common"] or ()))
+                if any(loose):
+                    for column, value in zip(out, (r["host"], r["path"], r["content"], loose, marked), strict=True):
+                        column.append(value)
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.bool_()), pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["host", "path", "content", "loose", "marked"])
+
+    raw = pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html")
+    parsed = raw.mapInArrow(parse, parsed_schema).withColumn("content", F.xxhash64("lines"))
+    hashes = F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes")
+    light = parsed.filter(F.size("lines") > 0).select("host", "path", "content", hashes).dropDuplicates(["host", "path", "content"])
+    light = store(light, "html_lines")
+    judged = neighbours(light).join(store(common_lines(light), "html_common"), "host", "left").select("host", "path", "content", "hashes", "before", "after", "common")
+    judged = store(judged.mapInArrow(judge, "host string, path string, content long, loose array<boolean>, marked array<boolean>"), "html_verdicts")
+
+    def stays(line: Column, i: Column) -> Column:
+        zone, goes = F.get("zones", i), F.when(F.get("zones", i) == LOOSE, F.get("loose", i))
+        return (zone != OUTSIDE) & ~F.coalesce(goes, F.lit(False))
+
+    texts = parsed.join(judged, ["host", "path", "content"], "left")
+    texts = texts.select("page_id", "url", F.array_join(F.filter("lines", stays), "\n\n").alias("text"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -359,6 +359,25 @@ def test_html_without_an_article_loses_shared_lines(spark):
     assert sum(t == f"start {k}\n\nend {k}" for k, t in got.items()) >= 4  # some may stand alone at a range's edge
 
 
+LOOSE_PAGE = "<html><body><div>Shop | News | About</div><p>{a}</p><p>Shared in the middle</p><p>{b}</p><div>All rights reserved</div></body></html>"
+
+
+def test_html_differencing_knows_no_range_edges_and_no_copy_groups(spark):
+    rows = [(k, f"https://h.example.org/blog/{k}", LOOSE_PAGE.format(a=f"start {k}", b=f"end {k}")) for k in range(6)]
+    rows += [(100 + k, f"https://h.example.org/blog/3?s={k:02}", rows[3][2]) for k in range(40)]
+    wanted = {i: f"start {3 if i >= 100 else i}\n\nend {3 if i >= 100 else i}" for i, _, _ in rows}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 3, 17):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert {r["page_id"]: r["text"] for r in html_extract.extract_pages(df).collect()} == wanted
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
 def test_html_menus_and_article_headers():
     menu = "<body><ul><li><a href='/a'>Home</a><li><a href='/b'>News</a> <li>An item with <a href='/c'>a link</a></ul><p>Body</p></body>"
     assert [t for t, _ in html_extract.page_lines(menu)] == ["An item with a link", "Body"]
