@@ -6,14 +6,14 @@ host; pages of equal lines count as one there, however many they are.  A page's
 with those of the nearer neighbour by a longest common subsequence; aligned lines are the site's
 furniture and are deleted.  A neighbour that shares all of a page's lines says nothing of
 furniture, so the one on the other side is taken; if that one does too, the lines that are
-common on the host are deleted, that is on more than half of its different pages and on ``FEW`` or more.
+common on the host are deleted.
 
 Differencing alone cannot give right results: a host may have a single page, adverts may differ
 on each page, and an article may rightly share a passage with its neighbour.  So what the markup
 says outright is a check beside it: scripts, styles, forms and blocks that name themselves navigation,
 header, footer, sidebar, notice, advert or comments go, as do list items that are all link outside an
-article; and where a page marks its article, lines outside it go and lines inside it
-stay even when a neighbour has them too.
+article; and where a page marks its article, lines outside it go, and a shared line inside it is
+restored unless it is common, that is on more than half of the host's different pages and on ``FEW`` or more.
 
 Scale: the pages are parsed twice and compared by hashes of their lines: one range shuffle of the
 hashes, which spreads a host with a third of all pages over many tasks, and one aggregation that
@@ -337,7 +337,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     judged = store(judged.mapInArrow(judge, "host string, path string, content long, loose array<boolean>, marked array<boolean>"), "html_verdicts")
 
     def stays(line: Column, i: Column) -> Column:
-        zone, goes = F.get("zones", i), F.when(F.get("zones", i) == LOOSE, F.get("loose", i))
+        zone, goes = F.get("zones", i), F.when(F.get("zones", i) == ARTICLE, F.get("marked", i)).otherwise(F.get("loose", i))
         return (zone != OUTSIDE) & ~F.coalesce(goes, F.lit(False))
 
     texts = parsed.join(judged, ["host", "path", "content"], "left")

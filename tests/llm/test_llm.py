@@ -378,6 +378,13 @@ def test_html_differencing_knows_no_range_edges_and_no_copy_groups(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
 
 
+def test_html_differencing_decides_in_articles_too(spark):
+    page = "<body><article><h1>Title {k}</h1><p>Follow us on all channels</p><p>Text {k}</p>{more}</article></body>"
+    rows = [(k, f"http://h.example.org/{k}", page.format(k=k, more="<p>A passage of two</p>" if k in (3, 4) else "")) for k in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title {k}\n\nText {k}" + ("\n\nA passage of two" if k in (3, 4) else "") for k in range(8)}
+
+
 def test_html_menus_and_article_headers():
     menu = "<body><ul><li><a href='/a'>Home</a><li><a href='/b'>News</a> <li>An item with <a href='/c'>a link</a></ul><p>Body</p></body>"
     assert [t for t, _ in html_extract.page_lines(menu)] == ["An item with a link", "Body"]
