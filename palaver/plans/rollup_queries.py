@@ -147,11 +147,20 @@ def _(t: Tables):
     return L.snapshot_changes(t.facts, "entity_id", "seq", ["kind"]).select("entity_id", "seq", "kind")
 
 
+def _daily_changes(facts):
+    daily = facts.withColumns({"day": F.date_trunc("day", "ts"), "none": F.lit(None).cast("timestamp")})
+    return L.fingerprint_changes(L.set_fingerprint(daily, ["entity_id", "day"], "seq", "none"), "entity_id", "day")
+
+
 @query(
     "fingerprint_changes", ("facts",),
     """, d AS (SELECT entity_id, date_trunc('day', ts) AS day, sha256(string_agg(CAST(seq AS STRING) || ':', '|' ORDER BY seq)) AS fingerprint FROM facts WHERE seq % 50 = 0 GROUP BY 1, 2)
     SELECT entity_id, day, fingerprint FROM (SELECT *, lag(fingerprint) OVER (PARTITION BY entity_id ORDER BY day) AS before FROM d) WHERE before IS DISTINCT FROM fingerprint""",
 )
 def _(t: Tables):
-    daily = t.facts.filter("seq % 50 = 0").withColumns({"day": F.date_trunc("day", "ts"), "none": F.lit(None).cast("timestamp")})
-    return L.fingerprint_changes(L.set_fingerprint(daily, ["entity_id", "day"], "seq", "none"), "entity_id", "day")
+    return _daily_changes(t.facts.filter("seq % 50 = 0"))
+
+
+@query("fingerprint_changes_whole")
+def _(t: Tables):
+    return _daily_changes(t.facts)

@@ -234,3 +234,20 @@ def test_lifecycle_stream_equals_batch(spark, sf_dir, tmp_path):
     stream = jobs.parquet_stream(spark, str(tmp_path / "facts"), files=1)
     streamed = {tuple(r) for r in jobs.lifecycle_stream(stream, "entity_id", lifecycle.MESSAGE).collect()}
     assert streamed == {tuple(r) for r in lifecycle.fold(facts, "entity_id", lifecycle.MESSAGE).collect()}
+
+
+def test_fingerprint_changes_of_all_events(spark, sf_dir):
+    from palaver.plans.catalog import QUERIES
+    from palaver.plans.registry import Tables
+
+    days = {}
+    for r in Tables(spark, sf_dir).facts.select("entity_id", "seq", F.date_trunc("day", "ts").alias("day")).collect():
+        days.setdefault((r["entity_id"], r["day"]), []).append(r["seq"])
+    wanted, before = set(), {}
+    for (entity, day), seqs in sorted(days.items()):
+        value = hashlib.sha256("|".join(f"{x}:" for x in sorted(seqs)).encode()).hexdigest()
+        if before.get(entity) != value:
+            wanted.add((entity, day, value))
+        before[entity] = value
+    got = QUERIES["fingerprint_changes_whole"](spark, sf_dir).collect()
+    assert len(got) == len(wanted) and {(r["entity_id"], r["day"], r["fingerprint"]) for r in got} == wanted
