@@ -11,8 +11,7 @@ common on the host are deleted.
 Differencing alone cannot give right results: a host may have a single page, adverts may differ
 on each page, and an article may rightly share a passage with its neighbour.  So what the markup
 says outright is a check beside it: scripts, styles, forms and blocks that name themselves navigation,
-header, footer, sidebar, notice, advert or comments go, as do list items that are all link outside an
-article; and where a page marks its article, lines outside it go, and a shared line inside it is
+header, footer, sidebar, notice, advert or comments go, inside an article only by a whole known name; and where a page marks its article, lines outside it go, and a shared line inside it is
 restored unless it is common, that is on more than half of the host's different pages and on ``FEW`` or more.
 
 Scale: the pages are parsed twice and compared by hashes of their lines: one range shuffle of the
@@ -50,7 +49,7 @@ BLOCK = frozenset(
 )
 DROPPED = frozenset(
     "script style noscript template head title nav footer aside form button select textarea option iframe svg canvas"
-    " object audio video dialog menu math".split()
+    " object audio video menu".split()
 )
 # Words by which blocks name themselves as furniture, in class, id or role.
 FURNITURE = frozenset(
@@ -59,6 +58,14 @@ FURNITURE = frozenset(
     " newsletter notice overlay pager pagination popup promo promoted promotion related respond search share sharing"
     " sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+# Whole names of blocks that are furniture inside an article too: a word that can be nothing else there, or one with its box.
+_PLAIN = (
+    "ad ads adsense advert advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo"
+    " disqus footer masthead nav navbar navigation newsletter pager pagination promo sharing sidebar signup sponsored toolbar topbar"
+).split()
+_BOXED = "consent cookie cookies gdpr menu modal popup promoted related respond search share skip social sponsor subscribe subscription widget".split()
+_BOXES = "articles banner bar block box button buttons container content form icons item link links list notice panel posts section slot stories unit widget wrapper".split()
+INSIDE = frozenset([*_PLAIN, *(f"{a}-{b}" for a in (*_PLAIN, *_BOXED) for b in _BOXES), "post-footer", "post-navigation", "entry-footer"])
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -67,13 +74,14 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE, LOOSE, OUTSIDE = 0, 1, 2
 
 
-def _is_furniture(attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
+def _is_furniture(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
+            if in_article and (tag == "p" or tag in _HEADING or (name == "id" and tag == "section" and value != "comments")):
+                continue  # a heading's or section's id may be made from its title, and an article's own wording may be a notice
             for token in value.split():
                 words = _WORD.findall(_CAMEL.sub("-", token).lower())
-                named = {words[0], words[-1]} & FURNITURE if words else set()
-                if named - ({"header"} if in_article else set()):  # an article's header holds its title
+                if "-".join(words) in INSIDE if in_article else words and {words[0], words[-1]} & FURNITURE:
                     return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
@@ -83,8 +91,9 @@ def _is_furniture(attrs: list[tuple[str, str | None]], in_article: bool) -> bool
 class _Lines(HTMLParser):
     """Collects (zone, text) lines in page order."""
 
-    def __init__(self) -> None:
+    def __init__(self, link_items: bool) -> None:
         super().__init__(convert_charrefs=True)
+        self.link_items = link_items
         self.lines: list[tuple[str, bool, bool]] = []  # text, in an article, in a main element
         self.open: list[tuple[str, bool]] = []  # name, whether it drops what it holds
         self.dropping = self.articles = self.mains = self.headings = 0
@@ -95,7 +104,7 @@ class _Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             item = any(name == "li" for name, _ in self.open[-4:])
-            if text and (self.plain or self.articles or not item):  # a list item that is all link is a menu's
+            if text and (self.plain or self.articles or self.link_items or not item):
                 self.lines.append((text, self.articles > 0, self.mains > 0))
             self.parts, self.plain = [], False
 
@@ -134,8 +143,8 @@ class _Lines(HTMLParser):
         if tag == "article" and not self.articles and self.dropping:
             self._close_to(0)  # what drops was never closed
         drops = tag in DROPPED or (tag == "header" and not self.articles) or (
-            tag not in ("html", "body", "article", "main") and _is_furniture(attrs, self.articles > 0)
-        ) or (tag == "article" and self.articles > 0 and _is_furniture(attrs, True))
+            tag not in ("html", "body", "article", "main") and _is_furniture(tag, attrs, self.articles > 0)
+        ) or (tag == "article" and self.articles > 0 and _is_furniture(tag, attrs, True)) or (tag == "dialog" and not self.articles)
         self.open.append((tag, drops))
         self._count(tag, drops, 1)
 
@@ -158,11 +167,14 @@ class _Lines(HTMLParser):
                 self.plain = not any(name == "a" for name, _ in self.open[-6:])
 
 
-def page_lines(html: str | None) -> list[tuple[str, int]]:
-    """The text lines of a page, without blocks that drop out by their own markup, and their zones."""
+def page_lines(html: str | None, link_items: bool = False) -> list[tuple[str, int]]:
+    """The text lines of a page, without blocks that drop out by their own markup, and their zones.
+
+    Unless ``link_items``, list items that are all link are left out where no article is marked.
+    """
     if not html:
         return []
-    parser = _Lines()
+    parser = _Lines(link_items)
     parser.feed(html)
     parser.close()
     parser._end_line()
@@ -306,7 +318,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         for whole in batches:
             for start, stop in slices(whole.column("html")):
                 batch = whole.slice(start, stop - start)
-                pages_lines = [page_lines(h) for h in batch.column("html").to_pylist()]
+                pages_lines = [page_lines(h, link_items=True) for h in batch.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(k) for k in range(4)]
                     + [

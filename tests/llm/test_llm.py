@@ -393,6 +393,21 @@ def test_html_menus_and_article_headers():
     assert html_extract.page_lines("<nav><p>open menu<article><p>Text") == [("Text", html_extract.ARTICLE)]
 
 
+def test_html_articles_keep_what_only_sounds_like_furniture():
+    kept = ["<h2 id='related-work'>A</h2>", "<section id='social-history'><p>B</section>", "<p class='notice'>C", "<div id='search-algorithms'>D</div>", "<p class='byline'>E"]
+    kept += ["<p>F <math><mi>x</mi></math>", "<dialog open>G</dialog>", "<section id='navigation'><h2 class='header'>H</h2></section>", "<div class='comment-theory'>I</div>"]
+    gone = ["<div class='related-posts'>x</div>", "<div role='navigation'>x</div>", "<div id='comments'>x</div>", "<div class='comments'>x</div>", "<div class='adSlot'>x</div>", "<ul class='share_buttons'><li>x</ul>"]
+    got = [t for t, _ in html_extract.page_lines("<article>" + "".join(kept + gone) + "</article>")]
+    assert got == ["A", "B", "C", "D", "E", "F x", "G", "H", "I"]
+
+
+def test_html_link_lists_go_only_if_shared(spark):
+    page = "<body><ul><li><a href='/'>Home</a></ul><p>Text {k}</p><ul><li><a href='/{k}'>Source {k}</a></ul></body>"
+    rows = [(k, f"http://h.example.org/{k}", page.format(k=k)) for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Text {k}\n\nSource {k}" for k in range(3)}
+
+
 def test_alignment_is_a_longest_common_subsequence():
     rnd = random.Random(0)
     for _ in range(800):
