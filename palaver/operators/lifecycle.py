@@ -7,6 +7,11 @@ that a state does not know changes nothing.
 
 from __future__ import annotations
 
+import itertools
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,27 +77,90 @@ GUILD: Transitions = {
 }
 
 
+#: Facts of a key that are folded as one array; a busier key's are cut into runs of about so many.
+CHUNK = 100_000
+#: How counters and marks of two runs of facts combine; strings and booleans are looked up instead.
+COMBINE = {"n_coalesced": "sum", "n_enriched": "sum", "cursor": "max", "last_synced": "last"}
+_UNTOUCHED = "CAST(-9223372036854775808 AS BIGINT)"
+
+
+def _struct(values: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in values.items()) + ")"
+
+
+def _step(rules: Transitions) -> str:
+    return _struct({name: then for name, (_, then) in rules.items()})
+
+
+def _starts(rules: Transitions) -> str:
+    """An array of every state a run of facts may start in, with its counters and marks untouched."""
+    states = sorted({x for _, then in rules.values() for x in re.findall(r"(?:THEN|ELSE) '(\w*)'", then)} | {""})
+    values = []
+    for name, (value, then) in rules.items():
+        rule = COMBINE.get(name)
+        flags = ["true", "false", *["CAST(NULL AS BOOLEAN)"] * ("f.ok" in then)]  # a fact's null may be taken over
+        values.append([_UNTOUCHED] if rule == "last" else [value] if rule else [f"'{x}'" for x in states] if value == "''" else flags)
+    return "array(" + ", ".join(_struct(dict(zip(rules, x, strict=True))) for x in itertools.product(*values)) + ")"
+
+
+def _fold_busy(facts: DataFrame, key: str, rules: Transitions, n: int) -> DataFrame:
+    """The runs of busy keys, each as a map from the state before it to the state after, in an array by key."""
+    k = -(-n // CHUNK)
+    cuts = facts.agg(F.percentile_approx("seq", [i / k for i in range(1, k)], max(10_000, 20 * k))).first()[0] if k > 1 else []
+
+    @F.pandas_udf("int")
+    def run_of(seq: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(cuts, "int64"), seq.fillna(-(1 << 53)).astype("int64")), dtype="int32")
+
+    fact = F.struct("seq", "kind", "ok", "number").alias("fact")
+    runs = facts.select(key, run_of(F.col("seq").cast("long")).alias("run"), fact).groupBy(key, "run").agg(F.sort_array(F.collect_list("fact")).alias("facts"))
+    ends = F.expr(f"transform({_starts(rules)}, x -> named_struct('from', x, 'to', aggregate(facts, x, (s, f) -> {_step(rules)})))")
+    runs = runs.select(key, "run", F.size("facts").alias("n"), ends.alias("ends"))
+    return runs.groupBy(key).agg(F.sum("n").alias("n_new"), F.sort_array(F.collect_list(F.struct("run", "ends"))).alias("runs"))
+
+
 def fold(facts: DataFrame, key: str, rules: Transitions, before: DataFrame | None = None) -> DataFrame:
     """The last state of each key of ``facts``, which need ``seq``, ``kind``, ``ok`` and ``number``.
 
     ``before`` holds the states that earlier facts led to (as this function returns them); keys without
-    one begin anew.  A key's facts have one order, so they meet in one place: memory is bounded by
-    the busiest key.
+    one begin anew.  A key's facts meet in one place up to ``CHUNK``.  A busier key is cut by ``seq`` into
+    runs that are folded in separate tasks from every state they may start in and then strung together,
+    so memory is bounded by a run and its states (facts of one ``seq`` are one run).  Rules with
+    other numeric fields than those of ``COMBINE`` are not cut.
     """
-    first = "named_struct(" + ", ".join(f"'{name}', {value}" for name, (value, _) in rules.items()) + ")"
-    step = "named_struct(" + ", ".join(f"'{name}', {then}" for name, (_, then) in rules.items()) + ")"
-    rows = facts.select(key, F.struct("seq", "kind", "ok", "number").alias("fact"))
-    grouped = rows.groupBy(key).agg(F.sort_array(F.collect_list("fact")).alias("facts"))
-    start = first
-    if before is not None:
-        held = before.select(key, F.struct(*rules).alias("held"), F.col("n_facts").alias("n_before"))
-        grouped = grouped.join(held, key, "left")
-        start = f"coalesce(held, {first})"
-    else:
-        grouped = grouped.withColumn("n_before", F.lit(0))
-    folded = F.expr(f"aggregate(facts, {start}, (s, f) -> {step})")
-    count = (F.size("facts") + F.coalesce("n_before", F.lit(0))).cast("int")
-    return grouped.select(key, count.alias("n_facts"), folded.alias("s")).select(key, "n_facts", *[F.col("s")[name].alias(name) for name in rules])
+    first = _struct({name: value for name, (value, _) in rules.items()})
+    cut = all(name in COMBINE or value in ("''", "true", "false") for name, (value, _) in rules.items())
+    counts = facts.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK)
+    busy = [tuple(r) for r in counts.collect()] if cut else []  # at most a CHUNK-th of the facts
+    some = facts
+    if busy:
+        names = F.broadcast(facts.sparkSession.createDataFrame([(x,) for x, _ in busy], facts.select(key).schema))
+        there = facts[key].eqNullSafe(names[key])
+        some = facts.join(names, there, "left_anti")
+        many = _fold_busy(facts.join(names, there, "left_semi"), key, rules, sum(n for _, n in busy))
+
+    def end(grouped: DataFrame, size: str, folded: str) -> DataFrame:
+        start, grouped = first, grouped.withColumn("n_before", F.lit(0))
+        if before is not None:
+            held = before.select(F.col(key), F.struct(*rules).alias("held"), F.col("n_facts").alias("n_before"))
+            grouped, start = grouped.drop("n_before").join(held, key, "left"), f"coalesce(held, {first})"
+        count = F.expr(f"CAST({size} + coalesce(n_before, 0) AS INT)")
+        done = grouped.select(key, count.alias("n_facts"), F.expr(folded.format(start=start)).alias("s"))
+        return done.select(key, "n_facts", *[F.col("s")[name].alias(name) for name in rules])
+
+    whole = some.select(key, F.struct("seq", "kind", "ok", "number").alias("fact")).groupBy(key).agg(F.sort_array(F.collect_list("fact")).alias("facts"))
+    out = end(whole, "size(facts)", f"aggregate(facts, {{start}}, (s, f) -> {_step(rules)})")
+    if not busy:
+        return out
+    same = " AND ".join(f"e.from.{name} <=> s.{name}" for name in rules if name not in COMBINE)
+    hit = f"filter(r.ends, e -> {same})[0].to"
+    how = {
+        "sum": "s.{0} + {1}.{0}",
+        "max": "greatest(s.{0}, {1}.{0})",
+        "last": f"CASE WHEN {{1}}.{{0}} <=> {_UNTOUCHED} THEN s.{{0}} ELSE {{1}}.{{0}} END",
+    }
+    then = _struct({name: how.get(COMBINE.get(name, ""), "{1}.{0}").format(name, hit) for name in rules})
+    return out.unionByName(end(many, "n_new", f"aggregate(runs, {{start}}, (s, r) -> {then})"))
 
 
 def timeouts(facts: DataFrame, key: str, at: str, *, pending: tuple[str, ...], seconds: int = 30) -> DataFrame:

@@ -251,3 +251,28 @@ def test_fingerprint_changes_of_all_events(spark, sf_dir):
         before[entity] = value
     got = QUERIES["fingerprint_changes_whole"](spark, sf_dir).collect()
     assert len(got) == len(wanted) and {(r["entity_id"], r["day"], r["fingerprint"]) for r in got} == wanted
+
+
+def test_busy_keys_are_folded_in_bounded_runs(spark, monkeypatch):
+    from palaver.operators import lifecycle as Y
+
+    kinds = {
+        "MESSAGE": "captured analyzed projected tagged classified edit fault replay tags_invalidated classify_invalidated timeout".split(),
+        "CHANNEL": "sync_due completed changed seen".split(), "GUILD": "sync_due changed heartbeat seen".split(),
+    }
+    runs_of_key = []
+    for name, known in kinds.items():
+        some = ", ".join(f"'{x}'" for x in known)
+        facts = spark.range(3000).selectExpr(
+            "if(id % 3 = 0, id % 50, -1) AS k", "id AS seq", f"element_at(array({some}), cast(1 + pmod(hash(id), {len(known)}) AS int)) AS kind",
+            "pmod(hash(id, 1), 9) <> 0 AS ok", "pmod(hash(id, 2), 1000L) AS number",
+        )
+        rules = getattr(Y, name)
+        get = lambda before=None: {r["k"]: r.asDict() for r in Y.fold(facts.filter("seq >= 500") if before else facts, "k", rules, before).collect()}
+        monkeypatch.setattr(Y, "CHUNK", 10**9)
+        wanted, held = get(), Y.fold(facts.filter("seq < 500"), "k", rules)
+        monkeypatch.setattr(Y, "CHUNK", 150)
+        assert get() == wanted and get(held) == wanted
+        runs = Y._fold_busy(facts.filter("k = -1"), "k", rules, 2000).selectExpr("size(runs) AS n").first()["n"]
+        runs_of_key.append(runs)
+    assert runs_of_key == [14, 14, 14]
