@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import components
+from .tables import discard, store
 from .words import settle
 
 
@@ -77,12 +79,25 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return rows, label[rows]
 
 
-def spanning_forest(n: int, own: np.ndarray, across: bool, linked) -> list[tuple[int, int]]:
+def star_edges(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Links between rows as edges ``a``, ``b`` from each id of a component to its smallest id.
+
+    Groups of the same members give the same edges, whatever the order of their rows.
+    """
+    row, root = stars(len(ids), a, b)
+    least = ids.copy()
+    np.minimum.at(least, root, ids[row])
+    linked = np.r_[row, np.unique(root)]
+    to = least[np.r_[root, np.unique(root)]]
+    some = ids[linked] != to
+    return pa.RecordBatch.from_arrays([pa.array(ids[linked][some], pa.int64()), pa.array(to[some], pa.int64())], names=["a", "b"])
+
+
+def spanning_forest(n: int, linked) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the rows 0 .. n-1.
 
-    ``linked(i, rows)`` tells which of ``rows`` link to row i.  With ``across``, only rows of
-    different ``own`` blocks are held against each other (each block by itself is another task's).
-    Every row is held against all rows not yet reached, so the forest spans what all pairs would.
+    ``linked(i, rows)`` tells which of ``rows`` link to row i.  Every row is held against all rows
+    not yet reached, so the forest spans what all pairs would.
     """
     edges: list[tuple[int, int]] = []
     rest = np.arange(n)
@@ -90,13 +105,98 @@ def spanning_forest(n: int, own: np.ndarray, across: bool, linked) -> list[tuple
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             i = queue.pop()
-            asked = rest[own[rest] != own[i]] if across else rest
-            if not len(asked):
-                continue
-            hits = asked[linked(i, asked)]
+            hits = rest[linked(i, rest)]
             if len(hits):
                 found = hits.tolist()
                 edges += [(i, j) for j in found]
                 queue += found
                 rest = rest[~np.isin(rest, hits, assume_unique=True)]
     return edges
+
+
+def links_across(label: np.ndarray, asking: np.ndarray, linked) -> list[tuple[int, int]]:
+    """Links that join different labels: the rows ``asking`` are held against all rows of other labels."""
+    label, edges = label.copy(), []
+    for i in asking.tolist():
+        others = np.flatnonzero(label != label[i])
+        if not len(others):
+            break
+        hits = others[linked(i, others)]
+        _, first = np.unique(label[hits], return_index=True)
+        if len(first):
+            edges += [(i, j) for j in hits[first].tolist()]
+            label[np.isin(label, label[hits])] = label[i]
+    return edges
+
+
+#: Members of a large group that every block of it is held against.
+PIVOTS = 4
+
+#: What a group's task is given beside the members' own columns.
+_PLACED = "group", "block", "asks", "label", "id"
+
+
+def linked_components(members: DataFrame, block: int, columns: list[str], linker: Callable, chunk: dict) -> DataFrame:
+    """Components (``id``, ``component``) of the links between members of the same group.
+
+    ``members`` has ``group``, ``id`` and ``members`` (the group's size), and the ``columns`` that
+    ``linker`` needs: given those of one group's rows as Arrow arrays, it returns the function
+    ``linked(i, rows)``.  An id may be in several groups.
+
+    Groups of more than ``block`` members are cut into blocks, each held against itself and against
+    a few pivots, so that a group of near copies comes together with work in proportion to its size.
+    Then only members that are still apart from the greater part of their group meet all its blocks: no
+    link is left out, and where most is linked few rows are sent twice.
+    """
+    n = F.ceil(F.col("members") / F.lit(float(block))).cast("int")
+    none = F.lit(None).cast("long")
+    plain = members.select("group", F.pmod(F.xxhash64("id"), n).cast("int").alias("block"), F.lit(True).alias("asks"), none.alias("label"), "id", *columns)
+    large = members.filter(F.col("members") > block)
+    by_hash = Window.partitionBy("group").orderBy(F.xxhash64("id"), "id")
+    pivots = large.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= PIVOTS)
+    spread = pivots.select("group", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"), F.lit(True).alias("asks"), none.alias("label"), "id", *columns)
+    first = _linked(plain.unionAll(spread), linker, chunk)
+    if large.select("group").isEmpty():
+        return components(first)
+    found = components(first)
+    label = F.coalesce("component", large["id"])
+    apart = large.select("group", "id", "members").join(found, "id", "left").select("group", large["id"], "members", label.alias("label"))
+    sizes = apart.groupBy("group", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = store(main.filter("most < all"), "split_groups")
+    split = apart.join(main, "group").withColumn("asks", F.col("label") != F.col("main"))
+    rows = split.join(large.select("group", "id", *columns), ["group", "id"])
+    asking, own = F.ceil((F.col("all") - F.col("most")) / F.lit(float(block))).cast("int"), F.pmod(F.xxhash64("id"), n).cast("int")
+    asked_by = F.pmod(F.xxhash64("id", F.lit(1)), asking).cast("int")
+    pair = lambda a, b: (a.cast("long") * n.cast("long") + b.cast("long")).alias("block")
+    every = lambda k: F.explode(F.sequence(F.lit(0), k - 1)).alias("other")
+    told = rows.select("*", every(asking)).select("group", pair(F.col("other"), own), F.lit(False).alias("asks"), "label", "id", *columns)
+    asks = rows.filter("asks").select("*", every(n)).select("group", pair(asked_by, F.col("other")), F.lit(True).alias("asks"), "label", "id", *columns)
+    across = _linked(told.unionAll(asks), linker, chunk)
+    out = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(across))
+    discard(found)
+    discard(main)
+    return out
+
+
+def _linked(placed: DataFrame, linker: Callable, chunk: dict) -> DataFrame:
+    rows = dealt(placed.withColumn("block", F.col("block").cast("long")), ["group", "block"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, bounds in whole_groups(batches, 2, **chunk):
+            ids = np.asarray(part.column(4))
+            found: list[tuple[int, int]] = []
+            for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if stop - start < 2:
+                    continue
+                own = part.slice(start, stop - start)
+                linked = linker(*own.columns[len(_PLACED) :])
+                if own.column(3).null_count:
+                    edges = spanning_forest(stop - start, linked)
+                else:
+                    edges = links_across(np.asarray(own.column(3)), np.flatnonzero(np.asarray(own.column(2))), linked)
+                found += [(start + i, start + j) for i, j in edges]
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            yield star_edges(ids, pairs[:, 0], pairs[:, 1])
+
+    return rows.mapInArrow(link, "a long, b long").distinct()

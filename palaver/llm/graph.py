@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import store
+from .tables import discard, store
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``id`` and ``component`` (its smallest reachable id) for every id of the edges ``a``, ``b``.
 
-    Alternating large-star and small-star rounds: in each, every node links its neighbours to the
-    smallest id that it knows, until the edges are stars.  Each round works on grouped minima and
-    joins, never on a node's neighbours in one place, and is written to the shared folder, so that
-    a node with very many neighbours is dealt out like any other and no lineage builds up.
+    A node whose one neighbour is smaller is a leaf: it is set aside and takes that neighbour's component in the
+    end, so that only what is not yet a star goes on.  Then alternating large-star and small-star rounds:
+    in each, every node links its neighbours to the smallest id that it knows, until the edges are
+    stars.  Each round works on grouped minima and joins, never on a node's neighbours in one
+    place, and is written to the shared folder, so that no lineage builds up.
     """
-    current = store(_stars(edges), "edges")
+    pairs = store(_pairs(edges), "edges")
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("least"), F.lit(0).alias("below")).unionAll(
+        pairs.select("b", F.lit(None).cast("long"), F.lit(1))
+    )
+    nodes = ends.groupBy("id").agg(F.count("least").alias("above"), F.sum("below").alias("below"), F.min("least").alias("least"))
+    leaf = (F.col("above") == 1) & (F.col("below") == 0)
+    leaves = store(nodes.filter(leaf).select(F.col("id").alias("a"), F.col("least").alias("b")), "leaves")
+    inner = nodes.filter(~leaf & (F.col("above") > 0)).select(F.col("id").alias("a"))
+    current = store(pairs.join(inner, "a", "left_semi"), "edges")
+    discard(pairs)
     while not _settled(current):
         # large-star: larger neighbours go to the smallest of the neighbourhood
         both = current.unionAll(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,9 +37,16 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a")
         linked = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(lowest.select("a", F.col("m").alias("b")))
-        current = store(linked.filter("a != b").distinct(), "edges")
-    roots = current.select(F.col("b").alias("id")).distinct().withColumn("component", F.col("id"))
-    return current.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(roots)
+        before, current = current, store(linked.filter("a != b").distinct(), "edges")
+        discard(before)
+    known = current.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    outer = leaves.join(known, leaves["b"] == known["id"], "left").select(leaves["a"].alias("id"), F.coalesce("component", "b").alias("component"))
+    told = known.unionAll(outer)
+    roots = told.select(F.col("component").alias("id")).distinct().withColumn("component", F.col("id"))
+    out = store(told.unionAll(roots), "components")
+    discard(current)
+    discard(leaves)
+    return out
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -39,7 +56,7 @@ def _settled(edges: DataFrame) -> bool:
     return several.unionAll(onward).limit(1).count() == 0
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def _pairs(edges: DataFrame) -> DataFrame:
     """Each pair once, the larger id first."""
     pairs = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     return pairs.distinct()

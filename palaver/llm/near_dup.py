@@ -6,38 +6,37 @@ sketch: a bitmap in which every sample toggles one bit, so that the population c
 sketches' XOR estimates the number of samples that differ, most precisely at high similarity.
 
 1. Classes that share a band key are candidates.  Within a band bucket, sketches that are near enough
-   (the threshold less five deviations) are linked; a spanning forest of these links is kept.
-2. The components of these forests are clumps: no link can run between two of them.
-3. Within a clump, full shingle sets are held against each other, and a spanning forest of
-   the links that hold exactly is kept.  Its components are the groups.
+   (the threshold less six deviations) are linked.
+2. The components of these links are clumps: no link can run between two of them.
+3. Within a clump, full shingle sets are held against each other; the components of the links that hold
+   exactly are the groups.
 
-With 32 bands of 4 samples a pair at similarity 0.8 misses all bands with probability 5e-8.  No
-pair within a clump is left out, so nothing else is lost.
+With 32 bands of 4 samples a pair at similarity 0.8 misses all bands with probability 5e-8, and six
+deviations of the sketch cost another 1e-9.  No pair within a clump is left out, so nothing else is lost.
 
-Scale: texts are read twice and never shuffled whole: the second time only documents in clumps
-are (a broadcast of their ids is used below ``BROADCAST_IDS``, a shuffled join above it).  Copies are
-collapsed by partial aggregation before anything is shuffled.  Large buckets and clumps are cut
-into blocks that meet in pairs, each in a task of its own; a group of blocks never emits more links
-than it has members.
+Scale: texts are read twice and shuffled once, by document, to bring those in clumps together.  Copies
+are collapsed by partial aggregation before anything is shuffled.  Large buckets and clumps are cut into
+blocks that first meet a few pivots; only members that stay apart from their group's greater part
+meet all of it (``linked_components``), so that a large group of near copies is worked through in proportion to its size.
 
 Edge cases: null and empty texts have an empty set and link with nothing; a text of fewer words
-than a shingle is one shingle as a whole; a null id links nothing and keeps itself; repeated rows are copies
-(each gives a row of the result); ties do not arise, as the smallest id stands for a group.
+than a shingle is one shingle as a whole; a null id links nothing and keeps itself; rows that repeat an id
+are documents of their own, by their texts, and a group's id is the smallest id of any; equal rows are
+copies (each gives a row of the result, and one of them stays where rows are dropped).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import dealt, in_block_pairs, spanning_forest, whole_groups
-from .graph import components
-from .tables import store
+from .blocks import linked_components
+from .tables import discard, fresh_name, store
 from .words import hashed_words, mix, shingles, slices
 
 #: Samples of a signature, in bands.
@@ -46,8 +45,6 @@ BANDS, ROWS = 32, 4
 SKETCH_BITS = 256
 #: Members of a block: sketches in a bucket, full sets in a clump.
 SKETCH_BLOCK, SET_BLOCK = 1024, 256
-#: Document ids up to which a join of them is broadcast (8 bytes each).
-BROADCAST_IDS = 2_000_000
 
 _rng = np.random.default_rng(41)
 _XOR = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -55,13 +52,13 @@ _MULTIPLY = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64
 
 
 def largest_distance(threshold: float, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> int:
-    """The XOR population count that a pair at the threshold exceeds by chance of five deviations."""
+    """The XOR population count that a pair at the threshold exceeds by chance of six deviations."""
     differing = 2 * samples * (1 - threshold)
     left = math.exp(-2 * differing / bits)
     mean = bits / 2 * (1 - left)
     by_samples = left * 2 * math.sqrt(samples * threshold * (1 - threshold))
     by_bits = math.sqrt(bits / 4 * (1 - left * left))
-    return math.ceil(mean + 5 * math.hypot(by_samples, by_bits))
+    return math.ceil(mean + 6 * math.hypot(by_samples, by_bits))
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +105,8 @@ def _lists(rows: np.ndarray, has: np.ndarray) -> pa.Array:
 
 
 def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, the set's fingerprint ``set_a``, ``set_b``, ``bands`` and ``sketch``."""
+    """``doc_id``, ``text_key`` (a hash of the text), ``n_shingles``, the set's fingerprint ``set_a``, ``set_b``,
+    ``bands`` and ``sketch``."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,122 +122,98 @@ def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(start, stop - start),
+                        batch.column("text_key").slice(start, stop - start),
                         pa.array(sizes.astype(np.int64)),
                         pa.array(prints[0].view(np.int64)),
                         pa.array(prints[1].view(np.int64)),
                         _lists(band_keys(samples), has),
                         _lists(odd_sketches(samples), has),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                    names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands", "sketch"],
                 )
 
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, schema)
+    schema = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(sketch, schema)
 
 
-def _edges(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a = np.concatenate([x for x, _ in pairs]) if pairs else np.zeros(0, np.int64)
-    b = np.concatenate([x for _, x in pairs]) if pairs else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def sketch_clumps(classes: DataFrame, threshold: float) -> DataFrame:
+    """Components of the near sketches that share a band bucket; needs ``id``, ``n``, ``bands``, ``sketch``."""
+    most, words = largest_distance(threshold), SKETCH_BITS // 64
+    exploded = classes.select(F.explode("bands").alias("group"), "id")
+    shared = exploded.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1")
+    members = exploded.join(shared, "group").join(classes.select("id", "n", "sketch"), "id")
 
+    def linker(sizes: pa.Array, sketches: pa.Array) -> Callable:
+        n = np.asarray(sizes)
+        bits = np.asarray(sketches.flatten()).view(np.uint64).reshape(-1, words)
 
-def clump_edges(classes: DataFrame, threshold: float) -> DataFrame:
-    """Spanning forests of near sketches within the band buckets."""
-    most, words = largest_distance(threshold), SKETCH_BITS // 64
-    exploded = classes.select(F.explode("bands").alias("bucket"), "doc_id")
-    shared = exploded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = exploded.join(shared, "bucket").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    placed = in_block_pairs(members, ["bucket"], "doc_id", F.col("members"), SKETCH_BLOCK)
-    rows = dealt(placed.select("bucket", "low", "high", "own", "doc_id", "n_shingles", "sketch"), ["bucket", "low", "high"])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, bounds in whole_groups(batches, 3):
-            low, high, own = (np.asarray(chunk.column(k)) for k in (1, 2, 3))
-            ids, sizes = np.asarray(chunk.column(4)), np.asarray(chunk.column(5))
-            bits = np.asarray(chunk.column(6).flatten()).view(np.uint64).reshape(-1, words)
-            found = []
-            count = np.diff(bounds)
-            pairs = bounds[:-1][count == 2]
-            pairs = pairs[(low[pairs] == high[pairs]) | (own[pairs] != own[pairs + 1])]
-            near = np.bitwise_count(bits[pairs] ^ bits[pairs + 1]).sum(axis=1) <= most
-            found.append((ids[pairs[near]], ids[pairs[near] + 1]))
-            for g in np.flatnonzero(count > 2):
-                s = slice(bounds[g], bounds[g + 1])
-                b, n = bits[s], sizes[s]
-
-                def linked(i: int, rows: np.ndarray, b=b, n=n) -> np.ndarray:
-                    fits = np.minimum(n[rows], n[i]) >= threshold * np.maximum(n[rows], n[i])
-                    return fits & (np.bitwise_count(b[rows] ^ b[i]).sum(axis=1) <= most)
-
-                edges = spanning_forest(len(b), own[s], low[bounds[g]] != high[bounds[g]], linked)
-                if edges:
-                    e = np.array(edges)
-                    found.append((ids[s][e[:, 0]], ids[s][e[:, 1]]))
-            yield _edges(found)
-
-    return rows.mapInArrow(link, "a long, b long").distinct()
-
-
-def exact_edges(docs: DataFrame, clumps: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Spanning forests, within each clump, of the links that hold on full shingle sets.
-
-    ``clumps``: ``id``, ``component``.
+        def linked(i: int, rows: np.ndarray) -> np.ndarray:
+            fits = np.minimum(n[rows], n[i]) >= threshold * np.maximum(n[rows], n[i])
+            return fits & (np.bitwise_count(bits[rows] ^ bits[i]).sum(axis=1) <= most)
+
+        return linked
+
+    return linked_components(members, SKETCH_BLOCK, ["n", "sketch"], linker, {})
+
+
+def exact_groups(docs: DataFrame, classes: DataFrame, clumps: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Components, within each clump, of the links that hold on full shingle sets.
+
+    ``classes``: ``id`` and its first document's ``doc_id``, ``text_key``; ``clumps``: ``id``, ``component``.
     """
     sizes = clumps.groupBy("component").agg(F.count("*").alias("members"))
-    members = clumps.join(sizes, "component").withColumnRenamed("id", "doc_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    side = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    # repeated rows of an id would be held against themselves: the pair of equal ids is dropped below
-    placed = in_block_pairs(texts.join(side, "doc_id"), ["component"], "doc_id", F.col("members"), SET_BLOCK)
-    rows = dealt(placed.select("component", "low", "high", "own", "doc_id", "text"), ["component", "low", "high"])
+    members = clumps.join(sizes, "component").join(classes.select("id", "doc_id", "text_key"), "id")
+    members = members.select("id", F.col("component").alias("group"), "members", F.col("doc_id").alias("first_doc"), F.col("text_key").alias("first_key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    same = (texts["doc_id"] == members["first_doc"]) & (texts["text_key"] == members["first_key"])
+    # equal rows of a document would be members twice: the pair of equal ids links nothing
+    held = texts.join(members, same).select("group", "id", "members", "text")
     percent = round(threshold * 100)
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, bounds in whole_groups(batches, 3, rows=2000, size=2 << 20):
-            low, high, own, ids = (np.asarray(chunk.column(k)) for k in (1, 2, 3, 4))
-            found = []
-            for start, stop in zip(bounds[:-1], bounds[1:], strict=True):
-                if stop - start < 2:
-                    continue
-                values, at = shingle_sets(chunk.column(5).slice(start, stop - start), width)
-                codes = np.unique(values, return_inverse=True)[1].reshape(-1)
-                mark = np.zeros(codes.max() + 1 if len(codes) else 1, np.int32)
-                n = np.diff(at)
-
-                def linked(i: int, rows: np.ndarray, codes=codes, at=at, n=n, mark=mark) -> np.ndarray:
-                    mark[codes[at[i] : at[i + 1]]] = 1
-                    if len(rows) * 4 < len(n):
-                        both = np.array([mark[codes[at[r] : at[r + 1]]].sum() for r in rows])
-                    else:
-                        both = np.add.reduceat(mark[codes], at[:-1])[rows]
-                    mark[codes[at[i] : at[i + 1]]] = 0
-                    return 100 * both >= percent * (n[rows] + n[i] - both)
-
-                edges = spanning_forest(stop - start, own[start:stop], low[start] != high[start], linked)
-                if edges:
-                    e = np.array(edges)
-                    found.append((ids[start:stop][e[:, 0]], ids[start:stop][e[:, 1]]))
-            yield _edges(found)
-
-    return rows.mapInArrow(link, "a long, b long").filter("a != b").distinct()
+    def linker(texts: pa.Array) -> Callable:
+        values, at = shingle_sets(texts, width)
+        codes = np.unique(values, return_inverse=True)[1].reshape(-1)
+        mark, n = np.zeros(codes.max() + 1 if len(codes) else 1, np.int32), np.diff(at)
 
+        def linked(i: int, rows: np.ndarray) -> np.ndarray:
+            mark[codes[at[i] : at[i + 1]]] = 1
+            if len(rows) * 4 < len(n):
+                both = np.array([mark[codes[at[r] : at[r + 1]]].sum() for r in rows])
+            else:
+                both = np.add.reduceat(mark[codes], at[:-1])[rows]
+            mark[codes[at[i] : at[i + 1]]] = 0
+            return 100 * both >= percent * (n[rows] + n[i] - both)
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``."""
+        return linked
+
+    return linked_components(held, SET_BLOCK, ["text"], linker, {"rows": 2000, "size": 2 << 20})
+
+
+_SET = ["set_a", "set_b", "n_shingles"]
+
+
+def _grouped(docs: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows of ``docs``, and for each distinct set its ``group`` (null: alone)."""
     sketched = store(sketch_documents(docs, width), "sketches")
-    keys = ["set_a", "set_b", "n_shingles"]
     classes = store(
         sketched.filter("n_shingles > 0 and doc_id is not null")
-        .groupBy(*keys)
-        .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        .groupBy(*_SET)
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .select(*_SET, "first.doc_id", "first.text_key", F.col("n_shingles").alias("n"), "bands", "sketch", F.monotonically_increasing_id().alias("id")),
         "classes",
     )
-    clumps = components(clump_edges(classes, threshold))
-    groups = components(exact_edges(docs, clumps, width, threshold))
-    stands = classes.select(*keys, F.col("doc_id").alias("stands"))
-    named = stands.join(groups.withColumnRenamed("id", "stands"), "stands", "left")
-    named = named.select(*keys, F.coalesce("component", "stands").alias("component_id"))
-    every = sketched.select("doc_id", *keys).join(named, keys, "left")
+    clumps = sketch_clumps(classes, threshold)
+    groups = exact_groups(docs, classes, clumps, width, threshold)
+    discard(clumps)
+    return sketched, classes.select(*_SET, "doc_id", "text_key", "id").join(groups, "id", "left").withColumnRenamed("component", "group")
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``."""
+    sketched, sets = _grouped(docs, width, threshold)
+    first = sets.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("first"))
+    named = sets.join(first, "group", "left").select(*_SET, F.coalesce("first", "doc_id").alias("component_id"))
+    every = sketched.select("doc_id", *_SET).join(named, _SET, "left")
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id"))
     return every.select("doc_id", "n_shingles", F.coalesce(own, F.col("doc_id")).alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
@@ -247,8 +221,21 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8)
 
 
 def drop_near_duplicates(docs: DataFrame, *, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with all their columns."""
-    gone = near_duplicates(docs, width=width, threshold=threshold).filter("not kept").select("doc_id").distinct()
-    gone = store(gone, "gone")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, docs["doc_id"].cast("long") == side["doc_id"], "left_anti")
+    """One row of each group, with all its columns: the smallest id's (of an id's texts that of the smallest hash).
+
+    Rows that are in no group stay, but for further rows of the same id and text.
+    """
+    sketched, sets = _grouped(docs, width, threshold)
+    place = F.struct("doc_id", "text_key")
+    first = sets.filter("group is not null").groupBy("group").agg(F.min(place).alias("first"))
+    named = sets.join(first, "group", "left").select(*_SET, F.coalesce("first", place).alias("stays"))
+    rows = sketched.groupBy("doc_id", "text_key", *_SET).agg(F.count("*").alias("n_rows")).join(named, _SET, "left")
+    goes = F.col("stays").isNotNull() & F.col("doc_id").isNotNull() & (F.col("stays") != place)
+    id_, key, all_go = (fresh_name(docs, x) for x in ("id", "key", "all_go"))
+    told = store(rows.filter(goes | (F.col("n_rows") > 1)).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), goes.alias(all_go)), "gone")
+    same = docs["doc_id"].cast("long").eqNullSafe(told[id_]) & (F.xxhash64(docs["text"]) == told[key])
+    kept = docs.join(told, same, "left_anti")
+    several = told.filter(~F.col(all_go))
+    if several.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(several, same).dropDuplicates([id_, key]).select(*docs.columns))

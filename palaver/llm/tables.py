@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
         found = LOCAL_CHECKPOINT_DIR
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -46,7 +48,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/palaver/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(stored: DataFrame) -> None:
+    """Deletes a table that ``store`` wrote; nothing that is still to be computed may read it."""
+    path = stored.sparkSession._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
+    path.getFileSystem(stored.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
