@@ -1,8 +1,8 @@
 """Words, shingles and their hashes as numpy arrays, straight from Arrow string buffers.
 
 A word is a run of bytes other than the ASCII white space ``\\x20 \\x09-\\x0D``; A-Z count as a-z.
-A word's hash is a polynomial in 2**64 over random values of its bytes, mixed at the end, so that a
-whole batch is hashed by a few array operations.
+A word's hash is made of its bytes eight at a time, so that a whole batch is hashed by a few array
+operations on as many numbers as it has words.
 """
 
 from __future__ import annotations
@@ -17,29 +17,13 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 
 _libc = ctypes.CDLL(None)
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
+_INSIDE = np.ones(256, bool)
+_INSIDE[[0x20, *range(0x09, 0x0E)]] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    key = hex(int(base))
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        out = np.full(size, base, dtype=np.uint64)
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-        if n > 4 * SLICE_BYTES:
-            return out[:n]  # a very long text: not kept
-        _powers[key] = have = out
-    return have[:n]
+#: Masks of the first 0 to 8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,21 +68,16 @@ def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
-def word_bounds(raw: np.ndarray, bounds: np.ndarray, breaks: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words; a text's bound ends a word."""
-    if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SPACE[raw]
-    first = np.zeros(len(raw) + 1, bool)
-    first[bounds] = True
-    before = np.empty(len(raw), bool)
-    before[0] = False
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | first[:-1]))
-    after = np.empty(len(raw), bool)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | first[1:])) + 1
+    inside = np.zeros(len(raw) + 2, bool)
+    np.take(_INSIDE, raw, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    split = bounds[inside[bounds] & inside[bounds + 1]]  # a text begins where another's word would go on
+    if len(split):
+        split = np.unique(split)
+        starts, ends = np.sort(np.r_[starts, split]), np.sort(np.r_[ends, split])
     return starts, ends
 
 
@@ -106,10 +85,20 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     """A hash of each span of bytes, by its (lower-cased) bytes alone."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _power(_BASE, len(raw)), out=sums[1:])
-    own = (sums[ends] - sums[starts]) * _power(_INVERSE, len(raw) + 1)[starts]
-    return mix(own + (ends - starts).astype(np.uint64))
+    low = np.zeros(len(raw) + 8, np.uint8)
+    np.take(_LOWER, raw, out=low[: len(raw)])
+    eight = np.ndarray(len(raw) + 1, "<u8", low, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    out = mix(eight[starts] & _FIRST[np.minimum(size, 8)])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        parts = -(-size[long] // 8)
+        firsts = np.cumsum(parts) - parts
+        k = np.arange(parts.sum()) - np.repeat(firsts, parts)
+        at = np.repeat(starts[long], parts) + 8 * k
+        value = eight[at] & _FIRST[np.minimum(np.repeat(ends[long], parts) - at, 8)]
+        out[long] = np.add.reduceat(mix(value + k.astype(np.uint64) * _BASE), firsts)
+    return mix(out + size.astype(np.uint64) * _BASE)
 
 
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
