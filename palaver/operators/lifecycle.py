@@ -9,17 +9,47 @@ from __future__ import annotations
 
 import itertools
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fields of a state: initial value and next value.
-Transitions = dict[str, tuple[str, str]]
+
+class Field(NamedTuple):
+    """A field of a state: its value at first, the next one, and how two runs of facts combine.
+
+    ``by``: "sum", "max", "first" or "last" (null until a run touches it); without one the field has few
+    values (a string of ``THEN``s, or a boolean) and decides what the next facts do.
+    """
+
+    start: str
+    then: str
+    by: str = ""
+
+
+Transitions = dict[str, Field]
+
+_TIME = "CAST(NULL AS TIMESTAMP)"
+
+
+def _stamps(handled: str, settled: str) -> Transitions:
+    """``created_on`` once, ``updated_on`` at every fact that is handled, ``settled_on`` where it settles."""
+    return {
+        "created_on": Field(_TIME, f"coalesce(s.created_on, CASE WHEN {handled} THEN f.at END)", "first"),
+        "updated_on": Field(_TIME, f"CASE WHEN {handled} THEN coalesce(f.at, s.updated_on) ELSE s.updated_on END", "last"),
+        "settled_on": Field(_TIME, f"CASE WHEN {settled} THEN coalesce(f.at, s.settled_on) ELSE s.settled_on END", "last"),
+    }
+
+
+_ENRICHED = "s.state = 'Classifying' AND f.kind = 'classified' AND NOT s.pending"
+_COALESCED = """s.pending AND ((s.state = 'ProjectPending' AND f.kind = 'projected') OR (s.state = 'Tagging' AND f.kind = 'tagged')
+          OR (s.state = 'Classifying' AND f.kind = 'classified'))"""
+_KNOWN = "('captured', 'analyzed', 'projected', 'tagged', 'classified', 'edit', 'fault', 'timeout', 'replay', 'tags_invalidated', 'classify_invalidated')"
 
 MESSAGE: Transitions = {
-    "state": (
+    "state": Field(
         "''",
         """CASE WHEN s.state = '' THEN CASE WHEN f.kind = 'captured' THEN 'AnalyzePending' ELSE '' END
         WHEN s.state = 'AnalyzePending' AND f.kind = 'analyzed' THEN CASE WHEN f.ok THEN 'ProjectPending' ELSE 'Excluded' END
@@ -35,53 +65,91 @@ MESSAGE: Transitions = {
         WHEN s.state = 'Faulted' AND f.kind = 'replay' AND NOT s.tagged THEN 'Classifying'
         ELSE s.state END""",
     ),
-    "pending": (
+    "pending": Field(
         "false",
         """CASE WHEN s.state IN ('AnalyzePending', 'ProjectPending', 'Tagging', 'Classifying') AND f.kind = 'edit' THEN true
         WHEN (s.state = 'ProjectPending' AND f.kind = 'projected') OR (s.state = 'Tagging' AND f.kind = 'tagged')
           OR (s.state = 'Classifying' AND f.kind = 'classified') THEN false ELSE s.pending END""",
     ),
-    "embedded": (
+    "embedded": Field(
         "false",
         """CASE WHEN s.state = 'ProjectPending' AND f.kind = 'projected' AND NOT s.pending THEN false
         WHEN s.state = 'Tagging' AND f.kind = 'tagged' THEN NOT s.pending
         WHEN s.state = 'Classifying' AND f.kind = 'classified' AND s.pending THEN false ELSE s.embedded END""",
     ),
-    "tagged": (
+    "tagged": Field(
         "false",
         """CASE WHEN s.state = 'ProjectPending' AND f.kind = 'projected' AND NOT s.pending THEN false
         WHEN s.state = 'Classifying' AND f.kind = 'classified' THEN NOT s.pending ELSE s.tagged END""",
     ),
-    "n_coalesced": (
-        "0",
-        """CASE WHEN s.pending AND ((s.state = 'ProjectPending' AND f.kind = 'projected') OR (s.state = 'Tagging' AND f.kind = 'tagged')
-          OR (s.state = 'Classifying' AND f.kind = 'classified')) THEN s.n_coalesced + 1 ELSE s.n_coalesced END""",
+    "n_coalesced": Field("0", f"CASE WHEN {_COALESCED} THEN s.n_coalesced + 1 ELSE s.n_coalesced END", "sum"),
+    "n_enriched": Field("0", f"CASE WHEN {_ENRICHED} THEN s.n_enriched + 1 ELSE s.n_enriched END", "sum"),
+    **_stamps(
+        f"(s.state <> '' OR f.kind = 'captured') AND f.kind IN {_KNOWN}",
+        f"""(s.state = 'AnalyzePending' AND f.kind = 'analyzed' AND NOT coalesce(f.ok, false)) OR ({_ENRICHED})
+        OR (s.state IN ('AnalyzePending', 'ProjectPending') AND f.kind IN ('fault', 'timeout')) OR (s.state IN ('Tagging', 'Classifying') AND f.kind = 'fault')""",
     ),
-    "n_enriched": ("0", "CASE WHEN s.state = 'Classifying' AND f.kind = 'classified' AND NOT s.pending THEN s.n_enriched + 1 ELSE s.n_enriched END"),
 }
 
+_DONE = "f.kind = 'completed' AND s.state = 'Syncing'"
+
+#: Facts: sync_due, completed (``number``: the cursor, ``ok``: caught up, ``size``, ``name``, ``type``, ``parent``),
+#: changed (``ok``: present), pins (``digest``), poll.
 CHANNEL: Transitions = {
-    "state": (
-        "''",
-        """CASE WHEN f.kind = 'sync_due' THEN 'Syncing' WHEN f.kind = 'completed' AND s.state = 'Syncing' THEN 'CaughtUp'
-        WHEN s.state = '' THEN 'Known' ELSE s.state END""",
+    "state": Field("''", f"CASE WHEN f.kind = 'sync_due' AND s.state IN ('', 'CaughtUp') THEN 'Syncing' WHEN {_DONE} THEN 'CaughtUp' ELSE s.state END"),
+    "cursor": Field("CAST(0 AS BIGINT)", f"CASE WHEN {_DONE} THEN greatest(s.cursor, coalesce(f.number, s.cursor)) ELSE s.cursor END", "max"),
+    "caught_up": Field("false", f"CASE WHEN {_DONE} THEN coalesce(f.ok, false) WHEN f.kind = 'sync_due' AND s.state = 'CaughtUp' THEN false ELSE s.caught_up END"),
+    "is_present": Field("true", "s.is_present AND NOT (f.kind = 'changed' AND s.state <> '' AND NOT coalesce(f.ok, true))"),
+    "last_count": Field("CAST(NULL AS BIGINT)", f"CASE WHEN {_DONE} THEN coalesce(f.size, s.last_count) ELSE s.last_count END", "last"),
+    "profile": Field(
+        "CAST(NULL AS STRUCT<name: STRING, type: INT, parent_id: BIGINT>)",
+        f"CASE WHEN {_DONE} THEN named_struct('name', f.name, 'type', f.type, 'parent_id', f.parent) ELSE s.profile END", "last",
     ),
-    "cursor": ("CAST(0 AS BIGINT)", "CASE WHEN f.kind = 'completed' AND s.state = 'Syncing' THEN greatest(s.cursor, f.number) ELSE s.cursor END"),
-    "is_present": ("true", "s.is_present AND NOT (f.kind = 'changed' AND NOT f.ok)"),
-}
+    "pins": Field("CAST(NULL AS STRING)", "CASE WHEN f.kind = 'pins' AND s.state = 'CaughtUp' THEN coalesce(f.digest, s.pins) ELSE s.pins END", "last"),
+    "last_synced": Field(_TIME, f"CASE WHEN {_DONE} THEN coalesce(f.at, s.last_synced) ELSE s.last_synced END", "last"),
+    **_stamps("f.kind = 'sync_due' OR (s.state <> '' AND f.kind IN ('completed', 'changed', 'pins', 'poll'))", _DONE),
+}
+
+_BEAT = "f.kind = 'heartbeat' AND s.state = 'Synced' AND s.is_present AND coalesce(f.stale, false)"
 
+#: Facts (by way of ``guild_facts``): sync_due, changed (``ok``: present, ``name``, ``roles``), heartbeat.
 GUILD: Transitions = {
-    "state": ("''", "CASE WHEN f.kind IN ('sync_due', 'heartbeat') THEN 'Syncing' WHEN f.kind = 'changed' THEN 'Synced' WHEN s.state = '' THEN 'Known' ELSE s.state END"),
-    "last_synced": ("CAST(0 AS BIGINT)", "CASE WHEN f.kind = 'changed' THEN f.number ELSE s.last_synced END"),
-    "is_present": ("true", "s.is_present AND NOT (f.kind = 'changed' AND NOT f.ok)"),
-}
+    "state": Field(
+        "''",
+        f"""CASE WHEN f.kind = 'sync_due' AND s.state IN ('', 'Synced') THEN 'Syncing' WHEN {_BEAT} THEN 'Syncing'
+        WHEN f.kind = 'changed' AND s.state = 'Syncing' THEN 'Synced' ELSE s.state END""",
+    ),
+    "is_present": Field("true", "s.is_present AND NOT (f.kind = 'changed' AND s.state <> '' AND NOT coalesce(f.ok, true))"),
+    "last_synced": Field(_TIME, "CASE WHEN f.kind = 'changed' AND s.state <> '' THEN coalesce(f.synced_at, f.at, s.last_synced) ELSE s.last_synced END", "last"),
+    "profile": Field(
+        "CAST(NULL AS STRUCT<name: STRING, roles: ARRAY<STRUCT<id: BIGINT, name: STRING>>>)",
+        "CASE WHEN f.kind = 'changed' AND s.state <> '' THEN named_struct('name', f.name, 'roles', f.roles) ELSE s.profile END", "last",
+    ),
+    **_stamps(f"f.kind = 'sync_due' OR (s.state <> '' AND f.kind = 'changed') OR ({_BEAT})", "f.kind = 'changed' AND s.state = 'Syncing'"),
+}
+
+
+def guild_facts(facts: DataFrame, key: str, before: DataFrame | None = None) -> DataFrame:
+    """Guild facts with ``stale``: whether the guild's last sync lies before a heartbeat's ``cutoff``.
+
+    A ``changed`` counts from the guild's first ``sync_due`` on.  It is a running window, so a guild's facts stream
+    through it and the fold needs no more than a boolean.  ``before``: states that earlier facts led to.
+    """
+    held = facts
+    if before is not None:
+        held = facts.join(before.select(key, F.col("last_synced").alias("_held"), (F.col("state") != "").alias("_known")), key, "left")
+    else:
+        held = facts.withColumns({"_held": F.expr(_TIME), "_known": F.lit(False)})
+    past = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.coalesce("_known", F.lit(False)) | F.coalesce(F.max(F.col("kind") == "sync_due").over(past), F.lit(False))
+    held = held.withColumn("_counts", known & (F.col("kind") == "changed"))
+    synced = F.coalesce(F.last(F.when(F.col("_counts"), F.coalesce("synced_at", "at")), ignorenulls=True).over(past), "_held")
+    stale = F.when(F.col("kind") == "heartbeat", synced.isNull() | (synced < F.col("cutoff")))
+    return held.withColumn("stale", stale).drop("_held", "_known", "_counts")
 
 
 #: Facts of a key that are folded as one array; a busier key's are cut into runs of about so many.
 CHUNK = 100_000
-#: How counters and marks of two runs of facts combine; strings and booleans are looked up instead.
-COMBINE = {"n_coalesced": "sum", "n_enriched": "sum", "cursor": "max", "last_synced": "last"}
-_UNTOUCHED = "CAST(-9223372036854775808 AS BIGINT)"
 
 
 def _struct(values: dict[str, str]) -> str:
@@ -89,20 +157,24 @@ def _struct(values: dict[str, str]) -> str:
 
 
 def _step(rules: Transitions) -> str:
-    return _struct({name: then for name, (_, then) in rules.items()})
+    return _struct({name: field.then for name, field in rules.items()})
 
 
 def _starts(rules: Transitions) -> str:
     """An array of every state a run of facts may start in, with its counters and marks untouched."""
-    states = sorted({x for _, then in rules.values() for x in re.findall(r"(?:THEN|ELSE) '(\w*)'", then)} | {""})
+    states = sorted({x for field in rules.values() for x in re.findall(r"(?:THEN|ELSE) '(\w*)'", field.then)} | {""})
     values = []
-    for name, (value, then) in rules.items():
-        rule = COMBINE.get(name)
-        flags = ["true", "false", *["CAST(NULL AS BOOLEAN)"] * ("f.ok" in then)]  # a fact's null may be taken over
-        values.append([_UNTOUCHED] if rule == "last" else [value] if rule else [f"'{x}'" for x in states] if value == "''" else flags)
+    for field in rules.values():
+        flags = ["true", "false", *["CAST(NULL AS BOOLEAN)"] * (" f.ok" in field.then and "coalesce(f.ok" not in field.then)]
+        values.append([field.start] if field.by else [f"'{x}'" for x in states] if field.start == "''" else flags)
     return "array(" + ", ".join(_struct(dict(zip(rules, x, strict=True))) for x in itertools.product(*values)) + ")"
 
 
+def _fact(facts: DataFrame, key: str) -> Column:
+    """All that a fact has, in the order of ``seq`` (ties: by the rest)."""
+    return F.struct("seq", *[c for c in facts.columns if c not in ("seq", key)]).alias("fact")
+
+
 def _fold_busy(facts: DataFrame, key: str, rules: Transitions, n: int) -> DataFrame:
     """The runs of busy keys, each as a map from the state before it to the state after, in an array by key."""
     k = -(-n // CHUNK)
@@ -112,26 +184,23 @@ def _fold_busy(facts: DataFrame, key: str, rules: Transitions, n: int) -> DataFr
     def run_of(seq: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(np.array(cuts, "int64"), seq.fillna(-(1 << 53)).astype("int64")), dtype="int32")
 
-    fact = F.struct("seq", "kind", "ok", "number").alias("fact")
-    runs = facts.select(key, run_of(F.col("seq").cast("long")).alias("run"), fact).groupBy(key, "run").agg(F.sort_array(F.collect_list("fact")).alias("facts"))
+    runs = facts.select(key, run_of(F.col("seq").cast("long")).alias("run"), _fact(facts, key)).groupBy(key, "run").agg(F.sort_array(F.collect_list("fact")).alias("facts"))
     ends = F.expr(f"transform({_starts(rules)}, x -> named_struct('from', x, 'to', aggregate(facts, x, (s, f) -> {_step(rules)})))")
     runs = runs.select(key, "run", F.size("facts").alias("n"), ends.alias("ends"))
     return runs.groupBy(key).agg(F.sum("n").alias("n_new"), F.sort_array(F.collect_list(F.struct("run", "ends"))).alias("runs"))
 
 
 def fold(facts: DataFrame, key: str, rules: Transitions, before: DataFrame | None = None) -> DataFrame:
-    """The last state of each key of ``facts``, which need ``seq``, ``kind``, ``ok`` and ``number``.
+    """The last state of each key of ``facts``, which need ``seq``, ``kind`` and what the rules read of a fact.
 
     ``before`` holds the states that earlier facts led to (as this function returns them); keys without
     one begin anew.  A key's facts meet in one place up to ``CHUNK``.  A busier key is cut by ``seq`` into
     runs that are folded in separate tasks from every state they may start in and then strung together,
-    so memory is bounded by a run and its states (facts of one ``seq`` are one run).  Rules with
-    other numeric fields than those of ``COMBINE`` are not cut.
+    so memory is bounded by a run and its states (facts of one ``seq`` are one run).
     """
-    first = _struct({name: value for name, (value, _) in rules.items()})
-    cut = all(name in COMBINE or value in ("''", "true", "false") for name, (value, _) in rules.items())
+    first = _struct({name: field.start for name, field in rules.items()})
     counts = facts.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK)
-    busy = [tuple(r) for r in counts.collect()] if cut else []  # at most a CHUNK-th of the facts
+    busy = [tuple(r) for r in counts.collect()]  # at most a CHUNK-th of the facts
     some = facts
     if busy:
         names = F.broadcast(facts.sparkSession.createDataFrame([(x,) for x, _ in busy], facts.select(key).schema))
@@ -148,25 +217,19 @@ def fold(facts: DataFrame, key: str, rules: Transitions, before: DataFrame | Non
         done = grouped.select(key, count.alias("n_facts"), F.expr(folded.format(start=start)).alias("s"))
         return done.select(key, "n_facts", *[F.col("s")[name].alias(name) for name in rules])
 
-    whole = some.select(key, F.struct("seq", "kind", "ok", "number").alias("fact")).groupBy(key).agg(F.sort_array(F.collect_list("fact")).alias("facts"))
+    whole = some.select(key, _fact(facts, key)).groupBy(key).agg(F.sort_array(F.collect_list("fact")).alias("facts"))
     out = end(whole, "size(facts)", f"aggregate(facts, {{start}}, (s, f) -> {_step(rules)})")
     if not busy:
         return out
-    same = " AND ".join(f"e.from.{name} <=> s.{name}" for name in rules if name not in COMBINE)
+    same = " AND ".join(f"e.from.{name} <=> s.{name}" for name, field in rules.items() if not field.by)
     hit = f"filter(r.ends, e -> {same})[0].to"
-    how = {
-        "sum": "s.{0} + {1}.{0}",
-        "max": "greatest(s.{0}, {1}.{0})",
-        "last": f"CASE WHEN {{1}}.{{0}} <=> {_UNTOUCHED} THEN s.{{0}} ELSE {{1}}.{{0}} END",
-    }
-    then = _struct({name: how.get(COMBINE.get(name, ""), "{1}.{0}").format(name, hit) for name in rules})
+    how = {"": "{1}.{0}", "sum": "s.{0} + {1}.{0}", "max": "greatest(s.{0}, {1}.{0})", "first": "coalesce(s.{0}, {1}.{0})", "last": "coalesce({1}.{0}, s.{0})"}
+    then = _struct({name: how[field.by].format(name, hit) for name, field in rules.items()})
     return out.unionByName(end(many, "n_new", f"aggregate(runs, {{start}}, (s, r) -> {then})"))
 
 
 def timeouts(facts: DataFrame, key: str, at: str, *, pending: tuple[str, ...], seconds: int = 30) -> DataFrame:
     """Requests that no fact of their key followed in time, with the moment at which each times out."""
-    from pyspark.sql import Window
-
     following = F.lead(at).over(Window.partitionBy(key).orderBy(at, "seq"))
     marked = facts.withColumn("next_at", following)
     late = F.col("next_at").isNull() | (F.col("next_at") > F.col(at) + F.expr(f"interval {seconds} seconds"))

@@ -15,53 +15,133 @@ _KINDS = (
     "WHEN 'click' THEN CASE WHEN seq % 2 = 0 THEN 'tagged' ELSE 'classified' END WHEN 'purchase' THEN 'edit' "
     "ELSE CASE seq % 4 WHEN 0 THEN 'fault' WHEN 1 THEN 'replay' WHEN 2 THEN 'tags_invalidated' ELSE 'classify_invalidated' END END"
 )
-_SYNCS = "CASE kind WHEN 'signup' THEN 'sync_due' WHEN 'view' THEN 'completed' WHEN 'click' THEN 'changed' WHEN 'error' THEN 'heartbeat' ELSE 'seen' END"
+_CHANNEL_KINDS = "CASE kind WHEN 'signup' THEN 'sync_due' WHEN 'view' THEN 'completed' WHEN 'click' THEN 'changed' WHEN 'error' THEN 'pins' ELSE CASE WHEN seq % 3 = 0 THEN 'poll' ELSE 'seen' END END"
+_GUILD_KINDS = "CASE kind WHEN 'signup' THEN 'sync_due' WHEN 'click' THEN 'changed' WHEN 'view' THEN 'heartbeat' WHEN 'error' THEN 'heartbeat' ELSE 'seen' END"
+_OK, _PRESENT = "seq % 5 <> 0", "seq % 97 <> 0"
+#: What channel and guild facts carry beside their kind, in the SQL that Spark and the oracle share.
+_CARRIED = (
+    "ts AS at", "seq AS number", "seq % 7 AS size", "concat('n', CAST(seq % 10 AS STRING)) AS name", "CAST(seq % 3 AS INT) AS type",
+    "CASE WHEN seq % 2 = 0 THEN seq END AS parent", "concat('d', CAST(seq % 5 AS STRING)) AS digest",
+    "CASE WHEN seq % 4 <> 0 THEN ts - INTERVAL '2' HOUR END AS synced_at", "ts - INTERVAL '30' HOUR AS cutoff",
+)
 
+# The oracle's SQL is written from the lifecycles' tables by hand, apart from the library's rules: a transition is a
+# row (state, kind, guard, next state, what it does), and a fact without a row changes nothing.
+_WALK = """, q AS (SELECT entity_id, {kinds} AS kind, {ok} AS ok, {carried}, row_number() OVER (PARTITION BY entity_id ORDER BY seq) AS k FROM facts),
+  tr AS (SELECT * FROM (VALUES {moves}) x({columns}))"""
+
+_MESSAGE_MOVES = """
+  ('', 'captured', '', 'AnalyzePending', ''),
+  ('AnalyzePending', 'analyzed', 'ok', 'ProjectPending', ''), ('AnalyzePending', 'analyzed', 'not ok', 'Excluded', 'settle'),
+  ('AnalyzePending', 'fault', '', 'Faulted', 'settle'), ('AnalyzePending', 'timeout', '', 'Faulted', 'settle'),
+  ('ProjectPending', 'fault', '', 'Faulted', 'settle'), ('ProjectPending', 'timeout', '', 'Faulted', 'settle'),
+  ('ProjectPending', 'projected', 'edited', 'ProjectPending', 'again'), ('ProjectPending', 'projected', 'clean', 'Tagging', 'reset'),
+  ('Tagging', 'tagged', 'edited', 'ProjectPending', 'discard'), ('Tagging', 'tagged', 'clean', 'Classifying', 'embed'), ('Tagging', 'fault', '', 'Faulted', 'settle'),
+  ('Classifying', 'classified', 'edited', 'ProjectPending', 'discard'), ('Classifying', 'classified', 'clean', 'Enriched', 'enrich'), ('Classifying', 'fault', '', 'Faulted', 'settle'),
+  ('Enriched', 'edit', '', 'ProjectPending', ''), ('Enriched', 'tags_invalidated', '', 'Tagging', ''), ('Enriched', 'classify_invalidated', '', 'Classifying', ''),
+  ('Faulted', 'replay', 'no vector', 'Tagging', ''), ('Faulted', 'replay', 'no tags', 'Classifying', ''),
+  ('AnalyzePending', 'edit', '', 'AnalyzePending', 'queue'), ('ProjectPending', 'edit', '', 'ProjectPending', 'queue'),
+  ('Tagging', 'edit', '', 'Tagging', 'queue'), ('Classifying', 'edit', '', 'Classifying', 'queue')"""
+_MESSAGE_WALK = (
+    views.cte("facts").replace("WITH ", "WITH RECURSIVE ", 1) + _WALK.format(kinds=_KINDS, ok=_OK, carried="ts AS at", moves=_MESSAGE_MOVES, columns="a, kind, guard, b, does")
+    + """, s AS (SELECT DISTINCT entity_id, CAST(0 AS BIGINT) AS k, '' AS state, false AS pending, false AS embedded, false AS tagged, 0 AS n_coalesced, 0 AS n_enriched,
+      CAST(NULL AS TIMESTAMP) AS created_on, CAST(NULL AS TIMESTAMP) AS updated_on, CAST(NULL AS TIMESTAMP) AS settled_on FROM q
+    UNION ALL
+    SELECT s.entity_id, f.k, coalesce(tr.b, s.state),
+      CASE WHEN tr.does = 'queue' THEN true WHEN tr.does IN ('again', 'discard', 'reset', 'embed', 'enrich') THEN false ELSE s.pending END,
+      CASE tr.does WHEN 'embed' THEN true WHEN 'reset' THEN false WHEN 'discard' THEN false ELSE s.embedded END,
+      CASE WHEN tr.does = 'enrich' THEN true WHEN tr.does = 'reset' OR (tr.does = 'discard' AND s.state = 'Classifying') THEN false ELSE s.tagged END,
+      s.n_coalesced + CASE WHEN tr.does IN ('again', 'discard') THEN 1 ELSE 0 END, s.n_enriched + CASE WHEN tr.does = 'enrich' THEN 1 ELSE 0 END,
+      coalesce(s.created_on, CASE WHEN tr.b IS NOT NULL THEN f.at END), CASE WHEN s.state <> '' OR tr.b IS NOT NULL THEN f.at ELSE s.updated_on END,
+      CASE WHEN tr.does IN ('settle', 'enrich') THEN f.at ELSE s.settled_on END
+    FROM s JOIN q f ON f.entity_id = s.entity_id AND f.k = s.k + 1
+    LEFT JOIN tr ON tr.a = s.state AND tr.kind = f.kind AND CASE tr.guard WHEN 'ok' THEN f.ok WHEN 'not ok' THEN NOT f.ok WHEN 'edited' THEN s.pending WHEN 'clean' THEN NOT s.pending
+      WHEN 'no vector' THEN NOT s.embedded WHEN 'no tags' THEN s.embedded AND NOT s.tagged ELSE true END)
+  SELECT entity_id, {columns} FROM s QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY k DESC) = 1"""
+)
 
-def _fold_sql(kinds: str, rules: Y.Transitions, ok: str, columns: str) -> str:
-    """The same fold as a recursive query, one fact of each key a step."""
-    base = views.cte("facts").replace("WITH ", "WITH RECURSIVE ", 1)
-    first = ", ".join(f"{v} AS {n}" for n, (v, _) in rules.items())
-    then = ", ".join(f"{v} AS {n}" for n, (_, v) in rules.items())
-    return f"""{base}, q AS (SELECT entity_id, {kinds} AS kind, {ok} AS ok, seq AS number, row_number() OVER (PARTITION BY entity_id ORDER BY seq) AS k FROM facts),
-      s AS (SELECT entity_id, CAST(0 AS BIGINT) AS k, {first} FROM (SELECT DISTINCT entity_id FROM q)
-        UNION ALL SELECT s.entity_id, f.k, {then} FROM s JOIN q f ON f.entity_id = s.entity_id AND f.k = s.k + 1)
-      SELECT entity_id, {columns} FROM s QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY k DESC) = 1"""
+_CHANNEL_WALK = (
+    views.cte("facts").replace("WITH ", "WITH RECURSIVE ", 1)
+    + _WALK.format(
+        kinds=_CHANNEL_KINDS, ok=_PRESENT, carried=", ".join(_CARRIED), columns="a, kind, b",
+        moves="""('', 'sync_due', 'Syncing'), ('CaughtUp', 'sync_due', 'Syncing'), ('Syncing', 'completed', 'CaughtUp'),
+  ('Syncing', 'sync_due', 'Syncing'), ('Syncing', 'changed', 'Syncing'), ('Syncing', 'pins', 'Syncing'), ('Syncing', 'poll', 'Syncing'),
+  ('CaughtUp', 'completed', 'CaughtUp'), ('CaughtUp', 'changed', 'CaughtUp'), ('CaughtUp', 'pins', 'CaughtUp'), ('CaughtUp', 'poll', 'CaughtUp')""",
+    )
+    + """, s AS (SELECT DISTINCT entity_id, CAST(0 AS BIGINT) AS k, '' AS state, CAST(0 AS BIGINT) AS cursor, false AS caught_up, true AS is_present, CAST(NULL AS BIGINT) AS last_count,
+      CAST(NULL AS STRING) AS name, CAST(NULL AS INT) AS type, CAST(NULL AS BIGINT) AS parent_id, CAST(NULL AS STRING) AS pins, CAST(NULL AS TIMESTAMP) AS last_synced,
+      CAST(NULL AS TIMESTAMP) AS created_on, CAST(NULL AS TIMESTAMP) AS updated_on, CAST(NULL AS TIMESTAMP) AS settled_on FROM q
+    UNION ALL
+    SELECT s.entity_id, f.k, coalesce(tr.b, s.state), CASE WHEN done AND f.number > s.cursor THEN f.number ELSE s.cursor END,
+      CASE WHEN done THEN f.ok WHEN s.state = 'CaughtUp' AND tr.b = 'Syncing' THEN false ELSE s.caught_up END,
+      CASE WHEN tr.kind = 'changed' AND NOT f.ok THEN false ELSE s.is_present END, CASE WHEN done THEN f.size ELSE s.last_count END,
+      CASE WHEN done THEN f.name ELSE s.name END, CASE WHEN done THEN f.type ELSE s.type END, CASE WHEN done THEN f.parent ELSE s.parent_id END,
+      CASE WHEN tr.kind = 'pins' AND s.state = 'CaughtUp' THEN f.digest ELSE s.pins END, CASE WHEN done THEN f.at ELSE s.last_synced END,
+      CASE WHEN s.state = '' AND tr.b IS NOT NULL THEN f.at ELSE s.created_on END, CASE WHEN tr.b IS NOT NULL THEN f.at ELSE s.updated_on END, CASE WHEN done THEN f.at ELSE s.settled_on END
+    FROM s JOIN q f ON f.entity_id = s.entity_id AND f.k = s.k + 1
+    LEFT JOIN (SELECT *, a = 'Syncing' AND kind = 'completed' AS done FROM tr) tr ON tr.a = s.state AND tr.kind = f.kind)
+  SELECT entity_id, state, cursor, caught_up, is_present, last_count, name, type, parent_id, pins, last_synced, created_on, updated_on, settled_on
+  FROM s QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY k DESC) = 1"""
+)
 
+_GUILD_WALK = (
+    views.cte("facts").replace("WITH ", "WITH RECURSIVE ", 1)
+    + _WALK.format(
+        kinds=_GUILD_KINDS, ok=_PRESENT, columns="a, kind, b",
+        carried=", ".join(_CARRIED) + ", CASE seq % 3 WHEN 0 THEN 'r0' WHEN 1 THEN 'r0,r1' ELSE 'r0,r1,r2' END AS roles",
+        moves="""('', 'sync_due', 'Syncing'), ('Synced', 'sync_due', 'Syncing'), ('Syncing', 'sync_due', 'Syncing'),
+  ('Synced', 'heartbeat', 'Syncing'), ('Syncing', 'changed', 'Synced'), ('Synced', 'changed', 'Synced')""",
+    )
+    + """, s AS (SELECT DISTINCT entity_id, CAST(0 AS BIGINT) AS k, '' AS state, true AS is_present, CAST(NULL AS TIMESTAMP) AS last_synced, CAST(NULL AS STRING) AS name, CAST(NULL AS STRING) AS roles,
+      CAST(NULL AS TIMESTAMP) AS created_on, CAST(NULL AS TIMESTAMP) AS updated_on, CAST(NULL AS TIMESTAMP) AS settled_on FROM q
+    UNION ALL
+    SELECT s.entity_id, f.k, coalesce(tr.b, s.state), CASE WHEN tr.kind = 'changed' AND NOT f.ok THEN false ELSE s.is_present END,
+      CASE WHEN tr.kind = 'changed' THEN coalesce(f.synced_at, f.at) ELSE s.last_synced END,
+      CASE WHEN tr.kind = 'changed' THEN f.name ELSE s.name END, CASE WHEN tr.kind = 'changed' THEN f.roles ELSE s.roles END,
+      CASE WHEN s.state = '' AND tr.b IS NOT NULL THEN f.at ELSE s.created_on END, CASE WHEN tr.b IS NOT NULL THEN f.at ELSE s.updated_on END,
+      CASE WHEN tr.a = 'Syncing' AND tr.b = 'Synced' THEN f.at ELSE s.settled_on END
+    FROM s JOIN q f ON f.entity_id = s.entity_id AND f.k = s.k + 1
+    LEFT JOIN tr ON tr.a = s.state AND tr.kind = f.kind AND (f.kind <> 'heartbeat' OR (s.is_present AND (s.last_synced IS NULL OR s.last_synced < f.cutoff))))
+  SELECT entity_id, state, is_present, last_synced, name, roles, created_on, updated_on, settled_on
+  FROM s QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY k DESC) = 1"""
+)
 
-def _facts(t: Tables, kinds: str, ok: str):
-    return t.facts.selectExpr("entity_id", "seq", f"{kinds} AS kind", f"{ok} AS ok", "seq AS number", "ts")
+_STAMPS = "created_on", "updated_on", "settled_on"
 
 
-_OK, _PRESENT = "seq % 5 <> 0", "seq % 97 <> 0"
+def _message_facts(facts):
+    return facts.selectExpr("entity_id", "seq", f"{_KINDS} AS kind", f"{_OK} AS ok", "ts AS at")
 
 
-@query("message_lifecycle", (), _fold_sql(_KINDS, Y.MESSAGE, _OK, "k AS n_facts, state, embedded, tagged, n_enriched"))
+@query("message_lifecycle", (), _MESSAGE_WALK.format(columns="k AS n_facts, state, embedded, tagged, n_enriched, created_on, updated_on, settled_on"))
 def _(t: Tables):
-    last = Y.fold(_facts(t, _KINDS, _OK), "entity_id", Y.MESSAGE)
-    return last.select("entity_id", "n_facts", "state", "embedded", "tagged", "n_enriched")
+    last = Y.fold(_message_facts(t.facts), "entity_id", Y.MESSAGE)
+    return last.select("entity_id", "n_facts", "state", "embedded", "tagged", "n_enriched", *_STAMPS)
 
 
-@query("stream_lifecycle", (), _fold_sql(_KINDS, Y.MESSAGE, _OK, "k AS n_facts, state, n_enriched"))
+@query("stream_lifecycle", (), _MESSAGE_WALK.format(columns="k AS n_facts, state, n_enriched, settled_on"))
 def _(t: Tables):
     stream = jobs.parquet_stream(t.spark, f"{t.sf_dir}/events.parquet").selectExpr(*views.VIEWS["facts"][1])
-    facts = stream.selectExpr("entity_id", "seq", f"{_KINDS} AS kind", f"{_OK} AS ok", "seq AS number")
-    return jobs.lifecycle_stream(facts, "entity_id", Y.MESSAGE).select("entity_id", "n_facts", "state", "n_enriched")
+    return jobs.lifecycle_stream(_message_facts(stream), "entity_id", Y.MESSAGE).select("entity_id", "n_facts", "state", "n_enriched", "settled_on")
 
 
-@query("pending_edits", (), _fold_sql(_KINDS, Y.MESSAGE, _OK, "pending, n_coalesced"))
+@query("pending_edits", (), _MESSAGE_WALK.format(columns="pending, n_coalesced"))
 def _(t: Tables):
-    return Y.fold(_facts(t, _KINDS, _OK), "entity_id", Y.MESSAGE).select("entity_id", "pending", "n_coalesced")
+    return Y.fold(_message_facts(t.facts), "entity_id", Y.MESSAGE).select("entity_id", "pending", "n_coalesced")
 
 
-@query("channel_lifecycle", (), _fold_sql(_SYNCS, Y.CHANNEL, _PRESENT, "state, cursor, is_present"))
+@query("channel_lifecycle", (), _CHANNEL_WALK)
 def _(t: Tables):
-    return Y.fold(_facts(t, _SYNCS, _PRESENT), "entity_id", Y.CHANNEL).drop("n_facts")
+    facts = t.facts.selectExpr("entity_id", "seq", f"{_CHANNEL_KINDS} AS kind", f"{_PRESENT} AS ok", *_CARRIED)
+    return Y.fold(facts, "entity_id", Y.CHANNEL).drop("n_facts").select("*", "profile.*").drop("profile")
 
 
-@query("guild_lifecycle", (), _fold_sql(_SYNCS, Y.GUILD, _PRESENT, "state, last_synced, is_present"))
+@query("guild_lifecycle", (), _GUILD_WALK)
 def _(t: Tables):
-    return Y.fold(_facts(t, _SYNCS, _PRESENT), "entity_id", Y.GUILD).drop("n_facts")
+    roles = "transform(sequence(0, seq % 3), i -> named_struct('id', i, 'name', concat('r', i))) AS roles"
+    facts = t.facts.selectExpr("entity_id", "seq", f"{_GUILD_KINDS} AS kind", f"{_PRESENT} AS ok", *_CARRIED, roles)
+    last = Y.fold(Y.guild_facts(facts, "entity_id"), "entity_id", Y.GUILD)
+    return last.select("entity_id", "state", "is_present", "last_synced", "profile.name", F.array_join("profile.roles.name", ",").alias("roles"), *_STAMPS)
 
 
 @query(
@@ -95,10 +175,10 @@ def _(t: Tables):
     return filters.invalidated(rows, "model", "m2", "1996-01-01 00:00:00").select("seq")
 
 
-@query("invalidate_classify", (), f"SELECT seq FROM ({_GUILD_STATES}) WHERE state = 'Enriched' AND model IS DISTINCT FROM 'm1' AND last_synced < TIMESTAMP '1994-01-01 00:00:00'")
+@query("invalidate_classify", (), f"SELECT seq FROM ({_GUILD_STATES}) WHERE state = 'Enriched' AND model IS DISTINCT FROM 'm1' AND last_synced < TIMESTAMP '1997-01-01 00:00:00'")
 def _(t: Tables):
     rows = _states(t).withColumnRenamed("last_synced", "indexed_at")
-    return filters.invalidated(rows, "model", "m1", "1994-01-01 00:00:00").select("seq")
+    return filters.invalidated(rows, "model", "m1", "1997-01-01 00:00:00").select("seq")
 
 
 @query("replay_selection", (), f"SELECT seq, CASE WHEN seq % 3 = 0 THEN 'tag' WHEN seq % 3 = 1 THEN 'classify' ELSE 'unroutable' END AS route FROM ({_GUILD_STATES}) WHERE state = 'Faulted'")
@@ -112,9 +192,9 @@ def _(t: Tables):
     return filters.presence_ratchet(_states(t), "entity_id")
 
 
-@query("heartbeat_fanout", (), f"SELECT r_regionkey AS beat, seq FROM region JOIN ({_GUILD_STATES}) e ON e.last_synced < TIMESTAMP '1993-01-01 00:00:00' + r_regionkey * INTERVAL '30' DAY AND is_present AND state <> 'Syncing'")
+@query("heartbeat_fanout", (), f"SELECT r_regionkey AS beat, seq FROM region JOIN ({_GUILD_STATES}) e ON e.last_synced < TIMESTAMP '1996-01-01 00:00:00' + r_regionkey * INTERVAL '30' DAY AND is_present AND state <> 'Syncing'")
 def _(t: Tables):
-    beats = t.region.selectExpr("r_regionkey AS beat", "timestamp'1993-01-01 00:00:00' + r_regionkey * interval '30' day AS cutoff")
+    beats = t.region.selectExpr("r_regionkey AS beat", "timestamp'1996-01-01 00:00:00' + r_regionkey * interval '30' day AS cutoff")
     return I.heartbeat_fanout(beats, _states(t)).select("beat", "seq")
 
 

@@ -124,8 +124,8 @@ PATH = ["captured", "analyzed", "projected", "tagged", "classified"]
     ],
 )
 def test_message_lifecycle(spark, kinds, state, pending, enriched):
-    rows = [(1, k, kind.rstrip("!"), not kind.endswith("!"), 0) for k, kind in enumerate(kinds)]
-    facts = spark.createDataFrame(rows, "id long, seq long, kind string, ok boolean, number long")
+    rows = [(1, k, kind.rstrip("!"), not kind.endswith("!")) for k, kind in enumerate(kinds)]
+    facts = spark.createDataFrame(rows, "id long, seq long, kind string, ok boolean").withColumn("at", F.timestamp_seconds("seq"))
     last = lifecycle.fold(facts, "id", lifecycle.MESSAGE).collect()
     if state is None:
         assert last == []
@@ -226,7 +226,7 @@ def test_lifecycle_stream_equals_batch(spark, sf_dir, tmp_path):
     from palaver.plans import state_queries as Q
     from palaver.plans.registry import Tables
 
-    facts = Q._facts(Tables(spark, sf_dir), Q._KINDS, Q._OK).drop("ts")
+    facts = Q._message_facts(Tables(spark, sf_dir).facts)
     bounds = facts.agg(F.max("seq")).first()[0] // 3 + 1
     for k in range(3):  # three files, in order
         part = facts.filter((F.col("seq") / bounds).cast("int") == k)
@@ -258,21 +258,83 @@ def test_busy_keys_are_folded_in_bounded_runs(spark, monkeypatch):
 
     kinds = {
         "MESSAGE": "captured analyzed projected tagged classified edit fault replay tags_invalidated classify_invalidated timeout".split(),
-        "CHANNEL": "sync_due completed changed seen".split(), "GUILD": "sync_due changed heartbeat seen".split(),
+        "CHANNEL": "sync_due completed changed pins poll seen".split(), "GUILD": "sync_due changed heartbeat seen".split(),
     }
-    runs_of_key = []
     for name, known in kinds.items():
         some = ", ".join(f"'{x}'" for x in known)
         facts = spark.range(3000).selectExpr(
             "if(id % 3 = 0, id % 50, -1) AS k", "id AS seq", f"element_at(array({some}), cast(1 + pmod(hash(id), {len(known)}) AS int)) AS kind",
-            "pmod(hash(id, 1), 9) <> 0 AS ok", "pmod(hash(id, 2), 1000L) AS number",
+            "if(pmod(hash(id, 3), 20) = 0, null, pmod(hash(id, 1), 9) <> 0) AS ok", "pmod(hash(id, 2), 1000L) AS number", "timestamp_seconds(id * 60) AS at",
+            "if(id % 7 = 0, null, id % 5) AS size", "concat('n', id % 11) AS name", "cast(id % 3 AS int) AS type", "if(id % 2 = 0, id, null) AS parent", "concat('d', id % 4) AS digest",
+            "if(id % 4 = 0, null, timestamp_seconds(id * 60 - 50)) AS synced_at", "timestamp_seconds(id * 60 - 3000) AS cutoff", "array(named_struct('id', id, 'name', 'r')) AS roles",
         )
         rules = getattr(Y, name)
-        get = lambda before=None: {r["k"]: r.asDict() for r in Y.fold(facts.filter("seq >= 500") if before else facts, "k", rules, before).collect()}
+
+        def get(low, before=None, facts=facts, rules=rules, name=name):
+            some = facts.filter(f"seq >= {low}")
+            some = Y.guild_facts(some, "k", before) if name == "GUILD" else some
+            return {r["k"]: r.asDict(recursive=True) for r in Y.fold(some, "k", rules, before).collect()}
+
         monkeypatch.setattr(Y, "CHUNK", 10**9)
-        wanted, held = get(), Y.fold(facts.filter("seq < 500"), "k", rules)
+        early = facts.filter("seq < 500")
+        wanted, held = get(0), Y.fold(Y.guild_facts(early, "k") if name == "GUILD" else early, "k", rules).cache()
+        assert len({r["state"] for r in wanted.values()}) > 1
         monkeypatch.setattr(Y, "CHUNK", 150)
-        assert get() == wanted and get(held) == wanted
-        runs = Y._fold_busy(facts.filter("k = -1"), "k", rules, 2000).selectExpr("size(runs) AS n").first()["n"]
-        runs_of_key.append(runs)
-    assert runs_of_key == [14, 14, 14]
+        assert get(0) == wanted and get(500, held) == wanted
+        runs = Y._fold_busy((Y.guild_facts(facts, "k") if name == "GUILD" else facts).filter("k = -1"), "k", rules, 2000).selectExpr("size(runs) AS n").first()["n"]
+        assert runs == 14
+
+
+CHANNEL_FACTS = "id long, seq long, kind string, ok boolean, number long, size long, name string, type int, parent long, digest string"
+
+
+@pytest.mark.parametrize(
+    ("facts", "wanted"),
+    [
+        ([("changed", False), ("completed", True, 9)], {"state": "", "is_present": True, "cursor": 0, "created_on": None}),
+        ([("sync_due",), ("completed", True, 9, 3, "general", 11, 5)], {"state": "CaughtUp", "cursor": 9, "caught_up": True, "last_count": 3, "profile": {"name": "general", "type": 11, "parent_id": 5}}),
+        ([("sync_due",), ("completed", True, 9), ("sync_due",), ("completed", False, 0, 0)], {"state": "CaughtUp", "cursor": 9, "caught_up": False, "last_count": 0}),
+        ([("sync_due",), ("completed", True, 9), ("sync_due",)], {"state": "Syncing", "caught_up": False}),
+        ([("sync_due",), ("sync_due",), ("changed", False), ("changed", True)], {"state": "Syncing", "is_present": False}),
+        ([("sync_due",), ("pins", None, None, None, None, None, None, "early"), ("completed", True, 1)], {"state": "CaughtUp", "pins": None}),
+        ([("sync_due",), ("completed", True, 1), ("pins", None, None, None, None, None, None, "d1"), ("poll",)], {"state": "CaughtUp", "pins": "d1"}),
+    ],
+)
+def test_channel_lifecycle(spark, facts, wanted):
+    rows = [(1, k, *f, *[None] * (8 - len(f))) for k, f in enumerate(facts)]
+    df = spark.createDataFrame(rows, CHANNEL_FACTS).withColumn("at", F.timestamp_seconds("seq"))
+    last = lifecycle.fold(df, "id", lifecycle.CHANNEL).first().asDict(recursive=True)
+    assert {name: last[name] for name in wanted} == wanted
+
+
+@pytest.mark.parametrize(
+    ("facts", "state", "present", "roles"),
+    [
+        ([("heartbeat", None, 99)], "", True, None),
+        ([("changed", True)], "", True, None),
+        ([("sync_due",)], "Syncing", True, None),
+        ([("sync_due",), ("changed", True)], "Synced", True, [1]),
+        ([("sync_due",), ("changed", True), ("changed", True)], "Synced", True, [2]),
+        ([("sync_due",), ("heartbeat", None, 99), ("changed", True)], "Synced", True, [2]),
+        ([("sync_due",), ("changed", True), ("heartbeat", None, 1)], "Synced", True, [1]),
+        ([("sync_due",), ("changed", True), ("heartbeat", None, 2)], "Syncing", True, [1]),
+        ([("sync_due",), ("changed", False), ("heartbeat", None, 99)], "Synced", False, [1]),
+        ([("sync_due",), ("changed", False), ("changed", True), ("sync_due",)], "Syncing", False, [2]),
+    ],
+)
+def test_guild_lifecycle(spark, facts, state, present, roles):
+    rows = [(1, k, *f, *[None] * (3 - len(f))) for k, f in enumerate(facts)]
+    df = spark.createDataFrame(rows, "id long, seq long, kind string, ok boolean, late long").withColumns(
+        {"at": F.timestamp_seconds("seq"), "cutoff": F.timestamp_seconds("late"), "synced_at": F.lit(None).cast("timestamp"), "name": F.lit("g"), "roles": F.expr("array(named_struct('id', seq, 'name', 'r'))")}
+    )
+    last = lifecycle.fold(lifecycle.guild_facts(df, "id"), "id", lifecycle.GUILD).first()
+    got = last["profile"] and [r["id"] for r in last["profile"]["roles"]]
+    assert (last["state"], last["is_present"], got) == (state, present, roles)
+
+
+def test_lifecycle_stamps(spark):
+    kinds = ["edit", "captured", "analyzed", "edit", "projected", "projected", "tagged", "classified", "seen", "replay"]
+    rows = [(1, k, kind, True) for k, kind in enumerate(kinds)]
+    facts = spark.createDataFrame(rows, "id long, seq long, kind string, ok boolean").withColumn("at", F.timestamp_seconds("seq"))
+    last = lifecycle.fold(facts, "id", lifecycle.MESSAGE).select(*[F.unix_timestamp(c).alias(c) for c in ("created_on", "updated_on", "settled_on")]).first()
+    assert tuple(last) == (1, 9, 7)
