@@ -1,7 +1,9 @@
 """Reply threads over messages (``message_id``, ``reply_to_id``, ``created_at``).
 
-Both directions are recursive self-joins by level, for many roots at once.  Each level joins the last
-level's frontier only; cycles end at the depth bound and, as bag semantics ask, may repeat rows.
+Both directions are walked level by level, for many roots at once.  Each level joins the last level's frontier
+only and is written to the shared folder, so neither the number of rows nor the depth is
+bounded by one plan; a walk ends where a level is empty.  Cycles end at the depth bound and, as bag
+semantics ask, may repeat rows.
 """
 
 from __future__ import annotations
@@ -9,27 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels that one plan holds.
-MAX_DEPTH = 100
+from ..sources.shared import stored
 
 
 def _walk(messages: DataFrame, roots: DataFrame, depth: int, down: bool) -> DataFrame:
-    if depth > MAX_DEPTH:
-        raise ValueError(f"depth is held at {MAX_DEPTH}")
     view = messages.select("message_id", "reply_to_id", "created_at")
     start = view.join(roots.select(F.col("message_id").alias("root_id")).distinct(), F.col("message_id") == F.col("root_id"))
+    start = start.select("root_id", "message_id", "reply_to_id", "created_at", F.lit(0).alias("depth"))
     if depth <= 0:
-        return start.select("root_id", "message_id", "reply_to_id", "created_at", F.lit(0).alias("depth")).filter("false")
-    step = "m.reply_to_id = t.message_id" if down else "m.message_id = t.reply_to_id"
-    return messages.sparkSession.sql(
-        f"""WITH RECURSIVE t(root_id, message_id, reply_to_id, created_at, depth) AS (
-              SELECT root_id, message_id, reply_to_id, created_at, 0 FROM {{start}}
-              UNION ALL
-              SELECT t.root_id, m.message_id, m.reply_to_id, m.created_at, t.depth + 1
-              FROM t JOIN {{view}} m ON {step} WHERE t.depth < {int(depth)})
-            SELECT * FROM t""",
-        start=start, view=view,
-    )
+        return start.filter("false")
+    out = level = stored(start, "walk")
+    for k in range(1, depth + 1):
+        m = view.alias("m")
+        step = F.col("m.reply_to_id") == F.col("t.message_id") if down else F.col("m.message_id") == F.col("t.reply_to_id")
+        found = level.alias("t").join(m, step).select("t.root_id", "m.message_id", "m.reply_to_id", "m.created_at", F.lit(k).alias("depth"))
+        level = stored(found, "walk")
+        if level.isEmpty():
+            break
+        out = out.unionAll(level)
+    return out
 
 
 def thread_descendants(messages: DataFrame, roots: DataFrame, *, max_depth: int) -> DataFrame:

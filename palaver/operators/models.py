@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import filters
 from .search import words
 
 
@@ -33,7 +34,30 @@ def classify_batch(df: DataFrame, key: str, text: str, keywords: DataFrame, *, m
     return each.join(keywords, "word").select(key, "tag", F.lit(model).alias("model_version")).distinct()
 
 
-def reenrich(entities: DataFrame, texts: DataFrame, chosen: DataFrame, key: str, text: str, *, model: str) -> DataFrame:
-    """Entities with the chosen ones embedded anew; the others are untouched."""
-    fresh = embed_batch(texts.join(chosen.select(key), key, "left_semi"), text, model=model).select(key, "embedding", "model_version")
-    return entities.join(fresh.select(key), key, "left_anti").select(key, "embedding", "model_version").unionByName(fresh)
+def reenrich(
+    entities: DataFrame, texts: DataFrame, text: str, keywords: DataFrame, *, embed_model: str, classify_model: str, cutoff: str,
+    fn: Callable[[list[str]], list[list[float]]] | None = None,
+) -> DataFrame:
+    """Selective re-run after a model's upgrade; the other entities are untouched.
+
+    ``entities`` has ``message_id``, ``state``, ``indexed_at``, ``embedding``, ``embed_version``, ``tags``, ``classify_version``.
+    Enriched ones of another embedding model that were indexed before the cutoff are embedded and classified anew, those of
+    another classifier only classified.  Entities without a text stay as they are.
+    """
+    key, columns = "message_id", ["message_id", "state", "indexed_at", "embedding", "embed_version", "tags", "classify_version"]
+    own = texts.select(key, text)
+    old_vector = filters.invalidated(entities, "embed_version", embed_model, cutoff).select(key).join(own, key)
+    old_tags = filters.invalidated(entities, "classify_version", classify_model, cutoff).select(key)
+    again = old_vector.select(key).unionAll(old_tags.join(own.select(key), key, "left_semi")).distinct().join(own, key)
+    tagged = classify_batch(again, key, text, keywords, model=classify_model).groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("new_tags"))
+    vectors = embed_batch(old_vector, text, fn, model=embed_model).select(key, F.col("embedding").alias("new_vector"), F.col("model_version").alias("new_model"))
+    marked = entities.join(again.select(key, F.lit(True).alias("again")), key, "left").join(vectors, key, "left").join(tagged, key, "left")
+    told = marked.withColumns(
+        {
+            "embedding": F.coalesce("new_vector", "embedding"),
+            "embed_version": F.coalesce("new_model", "embed_version"),
+            "tags": F.when(F.col("again"), F.coalesce("new_tags", F.array().cast("array<string>"))).otherwise(F.col("tags")),
+            "classify_version": F.when(F.col("again"), F.lit(classify_model)).otherwise(F.col("classify_version")),
+        }
+    )
+    return told.select(*columns)

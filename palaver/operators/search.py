@@ -9,17 +9,21 @@ the number of query terms.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import snippet_words
 
 #: Words that are not indexed.
 STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
-#: Query vectors up to which they are broadcast.
-BROADCAST_QUERIES = 10_000
+#: Buckets of terms of a stored index, and tasks that may write one bucket.
+TERM_BUCKETS, BUCKET_WRITERS = 64, 8
+#: Vectors of a block: rows, and queries.
+ROW_BLOCK, QUERY_BLOCK = 8_192, 1_024
 
 
 def stem(term: Column) -> Column:
@@ -40,6 +44,21 @@ def postings(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms.groupBy("term", id_col).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def write_index(index: DataFrame, path: str, id_col: str) -> None:
+    """Stores postings by bucket of their terms, sorted by term; a term that is everywhere is written by several tasks."""
+    dealt = index.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(BUCKET_WRITERS)))
+    dealt.sortWithinPartitions("bucket", "term", id_col).write.partitionBy("bucket").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """A stored index; ``match`` reads only its terms' buckets."""
+    return spark.read.parquet(path)
+
+
 def _moved(places: Column, by: int) -> Column:
     return F.transform(places, lambda p: p - by)
 
@@ -49,12 +68,15 @@ def match(
 ) -> DataFrame:
     """Messages with all required terms and phrases, one of ``any_of`` and no excluded term, with ``score``.
 
-    One pass over the few terms asked for (the term filter reaches the scan of a stored index).
+    One pass over the few terms asked for; of a stored index only their buckets are read, and the term filter
+    reaches the scan.
     """
     wanted = [*dict.fromkeys([*required, *any_of, *(t for p in phrases for t in p)])]
     if not wanted:
         raise ValueError("a search needs a term to find")
     hits = index.filter(F.col("term").isin(*wanted, *excluded))
+    if "bucket" in index.columns:
+        hits = hits.filter(F.col("bucket").isin(*[_bucket(F.lit(t)) for t in (*wanted, *excluded)]))
     per_term = F.aggregate(F.sequence(F.lit(1), F.col("tf").cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / (i * i))
     found = hits.groupBy(id_col).agg(
         F.collect_set("term").alias("terms"),
@@ -123,25 +145,56 @@ def vector_topk(vectors: DataFrame, query: Sequence[float], *, k: int, where: Co
     return rows.filter(size).withColumn("score", score).orderBy(F.desc("score"), "message_id").limit(k)
 
 
+def _packed(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame:
+    """Vectors in blocks: ``ids``, the unit vectors as one array of doubles, and ``n`` of them."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, block):
+                part = batch.slice(start, block)
+                data = np.asarray(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1)
+                size = np.sqrt(np.einsum("ij,ij->i", data, data))[:, None]
+                unit = np.divide(data, size, out=np.zeros_like(data), where=size > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([np.asarray(part.column(0)).tobytes()], pa.binary()), pa.array([unit.tobytes()], pa.binary()), pa.array([part.num_rows])], names=["ids", "unit", "n"]
+                )
+
+    typed = rows.select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).filter(F.col(vector).isNotNull() & F.col(key).isNotNull())
+    return typed.mapInArrow(pack, "ids binary, unit binary, n long")
+
+
 def vector_topk_batch(vectors: DataFrame, queries: DataFrame, *, k: int) -> DataFrame:
-    """The k best rows of many queries (``query_id``, ``query``), exactly.
+    """The k best rows of many queries (``query_id``, ``query``), exactly: ``query_id``, ``message_id``, ``score``, ``rank``.
 
-    The queries are broadcast up to ``BROADCAST_QUERIES``, else dealt out in slices against all rows; the rank
-    bound is applied before the shuffle.
+    Rows and queries are packed into blocks, and each pair of blocks is one matrix product of which the k best a
+    query are kept, so what is shuffled is k rows for each query and block of rows.  All vectors must be of one
+    length; a zero vector scores 0; null vectors take no part; ties go to the smaller id.
     """
-    n = queries.count()
-    parts = -(-n // BROADCAST_QUERIES) or 1
-    sliced = queries.select("query_id", F.col("query"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part"))
-    rows = with_norm(vectors).select("message_id", "embedding", "norm")
-    asked = sliced.withColumn("own", F.sqrt(dot(F.col("query"), F.col("query"))))
-    out = None
-    for part in range(parts):
-        pairs = rows.crossJoin(F.broadcast(asked.filter(F.col("part") == part)))
-        score = F.when((F.col("norm") == 0) | (F.col("own") == 0), 0.0).otherwise(dot(F.col("embedding"), F.col("query")) / (F.col("norm") * F.col("own")))
-        scored = pairs.select("query_id", "message_id", score.alias("score"))
-        out = scored if out is None else out.unionAll(scored)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, asked = (np.frombuffer(row[c], np.int64) for c in ("ids", "query_ids"))
+                left, right = np.frombuffer(row["query_unit"]).reshape(len(asked), -1), np.frombuffer(row["unit"]).reshape(len(ids), -1)
+                score = left @ right.T
+                least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k, None] - 1e-9 if len(ids) > k else np.full((len(asked), 1), -np.inf)
+                near = score >= least  # with all that may tie at the bound
+                for q in range(len(asked)):
+                    at = np.flatnonzero(near[q])
+                    # a product's last bits depend on its place in a matrix: equal rows must score alike
+                    exact = (right[at] * left[q]).sum(axis=1)
+                    first = np.lexsort((ids[at], -exact))[:k]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(first), asked[q])), pa.array(ids[at[first]]), pa.array(exact[first])], names=["query_id", "message_id", "score"]
+                    )
+
+    if k <= 0:
+        raise ValueError("k > 0 is needed")
+    asked = _packed(queries, "query_id", "query", QUERY_BLOCK).select(F.col("ids").alias("query_ids"), F.col("unit").alias("query_unit"))
+    pairs = _packed(vectors, "message_id", "embedding", ROW_BLOCK).select("ids", "unit").crossJoin(asked)
+    found = pairs.mapInArrow(best, "query_id long, message_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "message_id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def vector_ann(vectors: DataFrame, query: Sequence[float], *, k: int, buckets: float = 0.5, tables: int = 24) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters, ingest as I, latest as L, payloads as P
-from ..sources import capture
+from ..sources import capture, sinks
 from ..streaming import jobs
-from .registry import Tables, query
+from . import message_queries, token_queries  # noqa: F401  (their SQL is counted below)
+from .registry import ORACLE_SQL, Tables, query
 
 M, C = ("messages",), ("channels",)
 
@@ -32,14 +33,17 @@ def _(t: Tables):
     return parts[0].unionByName(parts[1])
 
 
-@query("capture_sink")
+_RECORD_KINDS = "SELECT 'messageCaptured' AS kind, count(*) AS n FROM messages UNION ALL SELECT 'messageEditObserved', count(*) FROM messages WHERE turn % 2 = 1 UNION ALL SELECT 'somethingElse', count(*) FROM messages"
+
+
+@query("capture_sink", M, _RECORD_KINDS)
 def _(t: Tables):
     path = jobs.scratch(t.spark, "capture")
     capture.write_log(I.parse_lines(_lines(t)).filter("kind <> ''"), path, session="20240101T000000")
     return capture.read_log(t.spark, path).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("capture_scan")
+@query("capture_scan", M, "SELECT message_id, author_id FROM messages")
 def _(t: Tables):
     path = jobs.scratch(t.spark, "capture")
     capture.write_log(I.parse_lines(_lines(t)).filter("kind <> ''"), path, session="20240101T000000")
@@ -100,28 +104,36 @@ def _(t: Tables):
 def _(t: Tables):
     target = t.facts.select("entity_id", "kind", F.lit(-1).cast("long").alias("last_seq")).distinct()
     batch = t.facts.filter("seq % 2 = 0").select("entity_id", "kind", F.col("seq").alias("last_seq"), "seq")
-    return L.upsert(target, batch, ["entity_id", "kind"], "seq")
+    path = jobs.scratch(t.spark, "facts")
+    sinks.write_upsert(target.withColumn("seq", F.lit(0)), path, ["entity_id", "kind"], "seq", version=0)
+    return sinks.write_upsert(batch, path, ["entity_id", "kind"], "seq", version=1)
 
 
 @query("replace_by_key", M, "SELECT message_id, author_id, CASE WHEN turn % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM messages")
 def _(t: Tables):
     target = t.messages.select("message_id", "author_id", F.lit("old").alias("version"))
     batch = t.messages.filter("turn % 2 = 0").select("message_id", "author_id", F.explode(F.array(F.lit("stale"), F.lit("new"))).alias("version"))
-    return L.upsert(target, batch.withColumn("seq", F.when(F.col("version") == "new", 2).otherwise(1)), ["message_id"], "seq")
+    path = jobs.scratch(t.spark, "messages")
+    sinks.write_upsert(target.withColumn("seq", F.lit(0)), path, ["message_id"], "seq", version=0)
+    return sinks.write_upsert(batch.withColumn("seq", F.when(F.col("version") == "new", 2).otherwise(1)), path, ["message_id"], "seq", version=1)
 
 
 @query("replace_children", M, "SELECT message_id, ordinal FROM messages, (SELECT unnest([0, 1]) AS ordinal) WHERE turn % 2 = 1 OR ordinal = 0")
 def _(t: Tables):
     target = t.messages.select("message_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("ordinal"))
     touched = t.messages.filter("turn % 2 = 0")
-    return L.replace_children(target, touched.select("message_id", F.lit(0).alias("ordinal")), touched, "message_id")
+    path = jobs.scratch(t.spark, "children")
+    sinks.write_children(target, target, path, "message_id", version=0)
+    return sinks.write_children(touched.select("message_id", F.lit(0).alias("ordinal")), touched, path, "message_id", version=1)
 
 
 @query("vector_upsert", ("vectors",), "SELECT message_id, channel_id, CASE WHEN message_id % 3 = 0 THEN 'changed' ELSE tag END AS tag FROM vectors")
 def _(t: Tables):
     rows = t.vectors.select("message_id", "channel_id", "tag", "embedding")
     batch = rows.filter("message_id % 3 = 0").withColumns({"tag": F.lit("changed"), "seq": F.lit(1)})
-    return L.upsert(rows, batch, ["message_id"], "seq").drop("embedding")
+    path = jobs.scratch(t.spark, "vectors")
+    sinks.write_upsert(rows.withColumn("seq", F.lit(0)), path, ["message_id"], "seq", version=0)
+    return sinks.write_upsert(batch, path, ["message_id"], "seq", version=1).drop("embedding")
 
 
 @query("sync_plan", ("messages", "channels"), _CURSORS + " SELECT c.channel_id, c.name, coalesce(k.cursor, 0) AS cursor FROM channels c LEFT JOIN k ON k.channel_id = c.channel_id")
@@ -145,17 +157,34 @@ def _(t: Tables):
     return filters.inaccessible_events(t.channels.select("channel_id", status.alias("status"), (F.col("channel_id") * 10).alias("cursor")))
 
 
-@query("stream_project")
+def _rows_of(name: str, sql: str) -> str:
+    return f"SELECT '{name}' AS table_name, count(*) AS n FROM ({sql})"
+
+
+@query(
+    "stream_project", (),
+    " UNION ALL ".join(
+        _rows_of(name, sql)
+        for name, sql in (
+            ("messages", "SELECT * FROM conversations"), ("tags", "SELECT unnest([1, 2]) FROM conversations"),
+            ("references", ORACLE_SQL["reference_rows"]), ("attachments", ORACLE_SQL["attachment_rows"]), ("embeds", ORACLE_SQL["embed_rows"]),
+        )
+    ),
+)
 def _(t: Tables):
     return jobs.project_stream(t.spark, f"{t.sf_dir}/conversations.parquet")
 
 
-@query("stream_hourly")
+@query(
+    "stream_hourly", ("facts",),
+    """, h AS (SELECT entity_id AS channel_id, date_trunc('hour', ts) AS bucket, count(*) AS n FROM facts GROUP BY 1, 2)
+    SELECT * FROM h WHERE bucket + INTERVAL '1' HOUR <= (SELECT max(ts) - INTERVAL '1' HOUR FROM facts)""",
+)
 def _(t: Tables):
     return jobs.hourly_stream(t.spark, f"{t.sf_dir}/events.parquet")
 
 
-@query("replay_stream")
+@query("replay_stream", M, _RECORD_KINDS)
 def _(t: Tables):
     path = jobs.scratch(t.spark, "capture")
     capture.write_log(I.parse_lines(_lines(t)).filter("kind <> ''"), path, session="20240101T000000")

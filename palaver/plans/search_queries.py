@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import filters, search as S
+from ..sources.shared import scratch
 from .registry import Tables, query
 
 _STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
@@ -24,8 +25,24 @@ _DOCS = "WITH " + _index_sql("documents", "doc_id", "text")
 _MESSAGES = ", " + _index_sql("messages", "message_id", "plain_text")
 
 
+_written: dict[tuple, str] = {}
+
+
+def _index(t: Tables, table: str, key: str, text: str):
+    """The stored index of a table, written at the first search of this session and again once its files change."""
+    rows = getattr(t, table)
+    files = [t.spark._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(rows.inputFiles())]
+    stamps = [f.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(f).getModificationTime() for f in files]
+    name = (t.spark.sparkContext.applicationId, t.sf_dir, table, *stamps)
+    if name not in _written:
+        path = scratch(t.spark, f"{table}-index")
+        S.write_index(S.postings(rows, key, text), path, key)
+        _written[name] = path
+    return S.read_index(t.spark, _written[name])
+
+
 def _documents(t: Tables):
-    return S.postings(t.documents, "doc_id", "text")
+    return _index(t, "documents", "doc_id", "text")
 
 
 @query("text_postings", (), _DOCS + " SELECT term, count(*) AS documents, CAST(sum(tf) AS BIGINT) AS occurrences FROM ix GROUP BY 1")
@@ -124,7 +141,7 @@ _LEX = _MESSAGES + f", lex AS (SELECT message_id, {_SCORE.format(n=1)} AS lex FR
     JOIN messages m ON m.message_id = coalesce(lex.message_id, sem.message_id)""",
 )
 def _(t: Tables):
-    index = S.postings(t.messages, "message_id", "plain_text")
+    index = _index(t, "messages", "message_id", "plain_text")
     hits = S.match(index, "message_id", required=["whst"]).select("message_id", F.round("score", 6).alias("score"))
     near = S.vector_topk(t.vectors, _query_vector(), k=50).select((F.col("message_id") * 1000).alias("message_id"), F.round("score", 6).alias("score"))
     both = S.hybrid(S.top(hits, "message_id", 50), near, t.messages.select("message_id", "author_id"))
@@ -133,5 +150,5 @@ def _(t: Tables):
 
 @query("filtered_search", ("messages",), _MESSAGES + " SELECT m.message_id FROM messages m JOIN ix ON ix.message_id = m.message_id WHERE term = 'whst' AND guild_id = 1 AND author_id = 9")
 def _(t: Tables):
-    kept = t.messages.filter(filters.conjunctive(guild_id=1, author_id=9))
-    return S.match(S.postings(kept, "message_id", "plain_text"), "message_id", required=["whst"]).select("message_id")
+    kept = t.messages.filter(filters.conjunctive(guild_id=1, author_id=9)).select("message_id")
+    return S.match(_index(t, "messages", "message_id", "plain_text"), "message_id", required=["whst"]).select("message_id").join(kept, "message_id", "left_semi")

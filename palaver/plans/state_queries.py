@@ -205,7 +205,7 @@ def _(t: Tables):
     return I.correlate(facts, known, "key").select("seq", "entity_id")
 
 
-@query("embed_batch")
+@query("embed_batch", ("messages",), "SELECT message_id, CAST(len(list_filter(regexp_split_to_array(lower(coalesce(plain_text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS DOUBLE) AS mass, 'words-64' AS model_version FROM messages")
 def _(t: Tables):
     made = models.embed_batch(t.messages, "plain_text", model="words-64")
     return made.select("message_id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("mass"), "model_version")
@@ -222,8 +222,20 @@ def _(t: Tables):
     return models.classify_batch(t.documents, "doc_id", "text", keywords, model="keywords").select("doc_id", "tag")
 
 
-@query("reenrich")
+_RERUN = """, e AS (SELECT message_id, turn % 4 <> 3 AS enriched, turn % 3 = 0 AS fresh, turn % 2 = 0 AS labelled, created_at < TIMESTAMP '2024-01-15 00:00:00' AS due,
+    list_contains(regexp_split_to_array(lower(coalesce(plain_text, '')), '[^\\p{L}\\p{N}]+'), 'the') AS said FROM messages),
+  r AS (SELECT *, enriched AND due AND NOT fresh AS vector, enriched AND due AND (NOT fresh OR NOT labelled) AS again FROM e)
+SELECT CASE WHEN vector OR fresh THEN 'words-64' ELSE 'old' END AS embed_version, CASE WHEN again OR labelled THEN 'keywords' ELSE 'old' END AS classify_version,
+  CASE WHEN NOT again THEN 'kept' WHEN said THEN 'english' ELSE '' END AS tags, count(*) AS n FROM r GROUP BY 1, 2, 3"""
+
+
+@query("reenrich", ("messages",), _RERUN)
 def _(t: Tables):
-    old = t.vectors.select((F.col("message_id") * 1000).alias("message_id"), "embedding", F.lit("old").alias("model_version"))
-    done = models.reenrich(old, t.messages, t.messages.filter("turn = 0"), "message_id", "plain_text", model="words-64")
-    return done.groupBy("model_version").agg(F.count("*").alias("n"))
+    entities = t.messages.select(
+        "message_id", F.when(F.col("turn") % 4 != 3, "Enriched").otherwise("Faulted").alias("state"), F.col("created_at").alias("indexed_at"),
+        F.array(F.lit(0.0).cast("float")).alias("embedding"), F.when(F.col("turn") % 3 == 0, "words-64").otherwise("old").alias("embed_version"),
+        F.array(F.lit("kept")).alias("tags"), F.when(F.col("turn") % 2 == 0, "keywords").otherwise("old").alias("classify_version"),
+    )
+    keywords = t.spark.createDataFrame([("the", "english")], "word string, tag string")
+    done = models.reenrich(entities, t.messages, "plain_text", keywords, embed_model="words-64", classify_model="keywords", cutoff="2024-01-15 00:00:00")
+    return done.groupBy("embed_version", "classify_version", F.array_join("tags", ",").alias("tags")).agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder (single-machine tests).
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
@@ -14,6 +14,35 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
         found = LOCAL_CHECKPOINT_DIR
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/palaver/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back, which cuts its lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def finished(spark: SparkSession, path: str, key: str) -> list[int]:
+    """The numbers N of the folders ``key=N`` under ``path`` whose write was committed, in order."""
+    at, fs = _folder(spark, path)
+    if not fs.exists(at):
+        return []
+    names = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith(f"{key}=")]
+    done = [p for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=", 1)[1]) for p in done)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    at, fs = _folder(spark, path)
+    fs.delete(at, True)

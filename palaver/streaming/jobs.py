@@ -1,7 +1,8 @@
 """Structured Streaming jobs; each runs what is there to its end and returns the table that it wrote.
 
-Sinks write one folder for each micro-batch, named by the batch's number and overwritten if the
-batch is run again, so a restarted query leaves no row twice.
+A job's folder holds its offsets and what it wrote: one folder for each micro-batch, named by the
+batch's number and overwritten if the batch is run again.  A job that is started again on its folder
+goes on where it stopped and leaves no row twice.  An empty source gives empty tables.
 """
 
 from __future__ import annotations
@@ -10,99 +11,141 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import filters, lifecycle, payloads, rollups, tokens
+from ..operators import filters, latest, lifecycle, payloads, rollups, tokens
 from ..operators.ingest import parse_lines
 from ..plans import views
 from ..sources.capture import checked
-from ..sources.shared import scratch
+from ..sources.shared import discard, finished, scratch
 
-__all__ = ["hourly_stream", "lifecycle_stream", "next_poll", "project_stream", "replay_stream", "scratch"]
+__all__ = ["hourly_stream", "lifecycle_stream", "next_poll", "project_stream", "replay_stream", "scratch", "start_projection"]
 
 #: A query's lateness bound: later rows are left to the rollup's repair.
 WATERMARK = "1 hour"
+#: Every so many batches the state of a lifecycle is written whole; the others write what they changed.
+WHOLE_STATE = 16
 
 
-def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], name: str, mode: str = "append") -> None:
-    query = (
-        stream.writeStream.outputMode(mode).trigger(availableNow=True)
-        .option("checkpointLocation", scratch(stream.sparkSession, f"{name}-offsets"))
-        .foreachBatch(write).start()
-    )
-    query.awaitTermination()
+def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str, every: str | None = None) -> StreamingQuery:
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/offsets").foreachBatch(write)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def _read(spark: SparkSession, path: str, empty: DataFrame) -> DataFrame:
+    """What the batches under ``path`` wrote; ``empty`` gives the columns."""
+    parts = [f"{path}/batch={k}" for k in finished(spark, path, "batch")]
+    return spark.read.schema(empty.schema).parquet(*parts) if parts else spark.createDataFrame([], empty.schema)
 
 
 def parquet_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
-    """A stream of a Parquet table's files, at most ``files`` in a micro-batch."""
+    """A stream of a Parquet table (a file, or a folder of files), at most ``files`` in a micro-batch."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{path}*")
+    folder, _, name = path.rstrip("/").rpartition("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():  # a stream reads folders
+        path, reader = folder, reader.option("pathGlobFilter", name)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+
+
+def _fan_out(messages: DataFrame) -> dict[str, DataFrame]:
+    rows = tokens.with_tokens(payloads.parse_payload(messages))
+    tags = rows.select("message_id", F.explode(F.array(F.concat(F.lit("author"), "author_id"), F.lit("chat"))).alias("tag"))
+    return {
+        "messages": filters.project(rows).drop("tokens"), "references": tokens.reference_rows(rows),
+        "attachments": payloads.attachment_rows(rows), "embeds": payloads.embed_rows(rows), "tags": tags,
+    }
 
 
-def project_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Messages fanned out to five tables; returns the rows of each.
+def start_projection(messages: DataFrame, folder: str, *, every: str | None = "10 seconds") -> StreamingQuery:
+    """Starts the fan-out of a stream of messages into five tables under ``folder``.
 
-    The fan-out reads one persisted micro-batch, and each table's part of a batch is one folder.
+    A micro-batch is flushed after ``every`` (None: what is there, then the end) or when the stream's own
+    bound on a batch is reached; its rows are persisted once for the five writes.
     """
-    out = scratch(spark, "projected")
-    names = ("messages", "references", "attachments", "embeds", "tags")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = tokens.with_tokens(payloads.parse_payload(batch)).persist()
-        if rows.isEmpty():
-            rows.unpersist()
-            return
-        tags = rows.select("message_id", F.explode(F.array(F.concat(F.lit("author"), "author_id"), F.lit("chat"))).alias("tag"))
-        parts = (
-            filters.project(rows).drop("tokens"), tokens.reference_rows(rows), payloads.attachment_rows(rows), payloads.embed_rows(rows), tags,
-        )
-        for name, part in zip(names, parts, strict=True):
-            part.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
-        rows.unpersist()
-
-    _run(parquet_stream(spark, path).selectExpr(*views.VIEWS["messages"][1]), write, "project")
-    return rollups.store_counts({name: spark.read.parquet(f"{out}/{name}") for name in names})
-
-
-def hourly_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Hourly counts by entity, each hour written once it is closed by the watermark."""
-    out = scratch(spark, "hourly")
+        held = batch.persist()
+        try:
+            for name, part in _fan_out(held).items():
+                part.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        finally:
+            held.unpersist()
+
+    return _start(messages, write, folder, every)
+
+
+def project_stream(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """Messages fanned out to five tables; returns the rows of each."""
+    folder = folder or scratch(spark, "projected")
+    stream = parquet_stream(spark, path).selectExpr(*views.VIEWS["messages"][1])
+    start_projection(stream, folder, every=None).awaitTermination()
+    empty = _fan_out(spark.createDataFrame([], stream.schema))
+    return rollups.store_counts({name: _read(spark, f"{folder}/{name}", like) for name, like in empty.items()})
+
+
+def hourly_stream(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """Hourly counts by entity of the hours that the watermark has closed, each written once.
+
+    Hours that end after the last fact's time less ``WATERMARK`` are still open: they are written when later facts close
+    them, in this run or the next one on the folder.
+    """
+    folder = folder or scratch(spark, "hourly")
     facts = parquet_stream(spark, path).selectExpr(*views.VIEWS["facts"][1]).withWatermark("ts", WATERMARK)
     counts = facts.groupBy(F.window("ts", "1 hour"), "entity_id").agg(F.count("*").alias("n"))
     flat = counts.select(F.col("entity_id").alias("channel_id"), F.col("window.start").alias("bucket"), "n")
-    _run(flat, lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/batch={k}"), "hourly")
-    return spark.read.parquet(out).drop("batch")
+    _start(flat, lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/hours/batch={k}"), folder).awaitTermination()
+    return _read(spark, f"{folder}/hours", flat)
 
 
-def replay_stream(spark: SparkSession, path: str) -> DataFrame:
+def replay_stream(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
     """A capture log as a stream at full speed; returns its records by kind."""
-    out = scratch(spark, "replayed")
-    lines = spark.readStream.text(f"{path}/*/*").select("value")
-    records = checked(parse_lines(lines))
-    _run(records, lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/batch={k}"), "replay")
-    return spark.read.parquet(out).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-def lifecycle_stream(facts: DataFrame, key: str, rules: lifecycle.Transitions) -> DataFrame:
+    folder = folder or scratch(spark, "replayed")
+    records = checked(parse_lines(spark.readStream.text(f"{path}/*/*").select("value")))
+    _start(records, lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/records/batch={k}"), folder).awaitTermination()
+    return _read(spark, f"{folder}/records", records).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def _states(spark: SparkSession, path: str, key: str, before: int | None = None) -> DataFrame | None:
+    """The states after all batches (before one, if given): each key's newest row since the last whole state."""
+    parts = [k for k in finished(spark, path, "batch") if before is None or k < before]
+    if not parts:
+        return None
+    parts = [k for k in parts if k >= parts[-1] - parts[-1] % WHOLE_STATE]
+    rows = [spark.read.parquet(f"{path}/batch={k}").withColumn("_batch", F.lit(k)) for k in parts]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    return latest.dedup_last(every, [key], "_batch").drop("_batch")
+
+
+def lifecycle_stream(facts: DataFrame, key: str, rules: lifecycle.Transitions, folder: str | None = None) -> DataFrame:
     """A lifecycle over a stream of facts; returns the states it ended with.
 
-    Each micro-batch folds its facts onto the last version of the state table and writes the next one;
-    a batch that is run again writes the same version anew.  Facts must reach the stream in order by key.
+    Each micro-batch folds its facts onto the states of its keys and writes those anew; every ``WHOLE_STATE``-th
+    batch writes all states, and what lies before the one before that is deleted.  All that a batch
+    needs lies in ``folder``, so a job that died goes on from there.  Facts must reach the stream in order by key.
     """
-    spark, out = facts.sparkSession, scratch(facts.sparkSession, "states")
-    versions: list[int] = []
+    spark = facts.sparkSession
+    folder = folder or scratch(spark, "states")
+    path = f"{folder}/states"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        earlier = [v for v in versions if v < batch_id]
-        before = session.read.parquet(f"{out}/version={earlier[-1]}") if earlier else None
-        after = lifecycle.fold(batch, key, rules, before)
-        if before is not None:
+        before = _states(session, path, key, batch_id)
+        own = None if before is None else before.join(batch.select(key).distinct(), key, "left_semi")
+        after = lifecycle.fold(batch, key, rules, own)
+        if before is not None and batch_id % WHOLE_STATE == 0:
             after = before.join(batch.select(key).distinct(), key, "left_anti").select(*after.columns).unionByName(after)
-        after.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
-        versions[:] = [*earlier, batch_id]
-
-    _run(facts, write, "states")
-    return spark.read.parquet(f"{out}/version={versions[-1]}")
+        after.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if batch_id % WHOLE_STATE == 0:
+            for old in finished(session, path, "batch"):
+                if old < batch_id - WHOLE_STATE:
+                    discard(session, f"{path}/batch={old}")
+
+    _start(facts, write, folder).awaitTermination()
+    states = _states(spark, path, key)
+    return states if states is not None else lifecycle.fold(spark.createDataFrame([], facts.schema), key, rules)
 
 
 def next_poll(results: DataFrame, key: str, at: str, minutes: int = 5) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palaver.functions import scalars as S
 from palaver.operators import dims, filters, ingest, latest, lifecycle, payloads, render, rollups, search, tokens
 from palaver.operators import graph as G
-from palaver.sources import capture
+from palaver.sources import capture, sinks
 from palaver.streaming import jobs
 
 
@@ -338,3 +338,113 @@ def test_lifecycle_stamps(spark):
     facts = spark.createDataFrame(rows, "id long, seq long, kind string, ok boolean").withColumn("at", F.timestamp_seconds("seq"))
     last = lifecycle.fold(facts, "id", lifecycle.MESSAGE).select(*[F.unix_timestamp(c).alias(c) for c in ("created_on", "updated_on", "settled_on")]).first()
     assert tuple(last) == (1, 9, 7)
+
+
+def test_versioned_sink_is_idempotent(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *x: spark.createDataFrame(list(x), "a long, b long, v string, seq long")
+    sinks.write_upsert(rows((1, 1, "x", 0), (1, 2, "x", 0), (1, 1, "y", 1)), path, ["a", "b"], "seq", version=0)
+    batch = rows((1, 2, "z", 5), (1, 2, "w", 4), (2, 1, "n", 1))
+    got = [{tuple(r) for r in sinks.write_upsert(batch, path, ["a", "b"], "seq", version=1).collect()} for _ in range(2)]
+    assert got[0] == got[1] == {(1, 1, "y"), (1, 2, "z"), (2, 1, "n")}
+    # a version whose write did not end is not there
+    (tmp_path / "t" / "version=2").mkdir()
+    assert {tuple(r) for r in sinks.read_version(spark, path).collect()} == got[0]
+    sinks.write_upsert(rows(), path, ["a", "b"], "seq", version=3)
+    assert {tuple(r) for r in sinks.read_version(spark, path).collect()} == got[0]
+    assert not (tmp_path / "t" / "version=0").exists()
+    assert sinks.read_version(spark, str(tmp_path / "none")) is None
+
+
+def test_weekly_table_replaces_touched_weeks_and_prunes(spark, tmp_path):
+    path = str(tmp_path / "w")
+    rows = spark.range(200).selectExpr("id", "timestamp_seconds(id * 86400) AS at", "'old' AS v", "0 AS seq")
+    sinks.write_weeks(rows, path, ["id"], "seq", "at")
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "w").glob("week=*/*.parquet")}
+    batch = rows.filter("id between 30 and 32").withColumn("v", F.lit("new"))
+    for _ in range(2):
+        sinks.write_weeks(batch, path, ["id"], "seq", "at")
+    got = {r["id"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert got == {i: "new" if 30 <= i <= 32 else "old" for i in range(200)}
+    after = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "w").glob("week=*/*.parquet")}
+    assert len(set(before.items()) - set(after.items())) == 1  # one week's file gave way
+    some = sinks.between(spark, path, "at", "1970-01-20 00:00:00", "1970-01-25 00:00:00")
+    assert sorted(r["id"] for r in some.collect()) == [19, 20, 21, 22, 23]
+    assert "PartitionFilters: [isnotnull(week" in some._jdf.queryExecution().toString()
+    assert {f.split("week=")[1].split("/")[0] for f in some.select(F.input_file_name().alias("f")).distinct().toPandas()["f"]} <= {"2", "3"}
+
+
+def test_stored_index_reads_its_terms_buckets(spark, tmp_path):
+    docs = spark.range(300).selectExpr("id", "concat('common term', id % 7, ' word', id) AS text")
+    index = search.postings(docs, "id", "text")
+    search.write_index(index, str(tmp_path / "ix"), "id")
+    kept = search.read_index(spark, str(tmp_path / "ix"))
+    want = {tuple(r) for r in search.match(index, "id", required=["common", "term3"]).select("id", "score").collect()}
+    found = search.match(kept, "id", required=["common", "term3"])
+    assert {tuple(r) for r in found.select("id", "score").collect()} == want and len(want) == 43
+    read = kept.filter(kept["bucket"].isin(*[search._bucket(F.lit(x)) for x in ("common", "term3")])).select(F.input_file_name().alias("f")).distinct().count()
+    assert read <= 2 * search.BUCKET_WRITERS < len(kept.inputFiles())
+
+
+def test_batched_vector_search_is_the_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "ROW_BLOCK", 70)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 9)
+    rnd = np.random.default_rng(4)
+    data = rnd.normal(size=(500, 8)).astype("float32")
+    data[100:140] = data[0]
+    data[7] = 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)] + [(900, None)], "message_id long, embedding array<float>")
+    asked = rows.filter("message_id % 20 = 0").select(F.col("message_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = {(r["query_id"], r["rank"]): r["message_id"] for r in search.vector_topk_batch(rows, asked, k=6).collect()}
+    unit = data.astype(float) / np.maximum(np.linalg.norm(data.astype(float), axis=1), 1e-300)[:, None]
+    for q in range(0, 500, 20):
+        order = np.lexsort((np.arange(500), -(unit * unit[q]).sum(axis=1)))[:6]
+        assert [got[q, k + 1] for k in range(6)] == order.tolist()
+    assert search.vector_topk_batch(rows, asked.filter("false"), k=3).count() == 0
+
+
+def test_approximate_search_recall(spark, sf_dir):
+    from palaver.plans.registry import Tables
+    from palaver.plans.search_queries import _query_vector
+
+    vectors = Tables(spark, sf_dir).vectors
+    exact = {r["message_id"] for r in search.vector_topk(vectors, _query_vector(), k=10).collect()}
+    near = {r["message_id"] for r in search.vector_ann(vectors, _query_vector(), k=10).collect()}
+    assert len(exact & near) >= 9
+
+
+def test_embedding_by_a_callable(spark):
+    from palaver.operators import models
+
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "")], "message_id long, text string")
+    made = models.embed_batch(df, "text", lambda texts: [[float(len(x)), 1.0] for x in texts], model="sizes").collect()
+    assert {r["message_id"]: (r["embedding"], r["model_version"]) for r in made} == {1: ([2.0, 1.0], "sizes"), 2: ([0.0, 1.0], "sizes"), 3: ([0.0, 1.0], "sizes")}
+
+
+def test_walks_go_beyond_a_million_rows_and_a_hundred_levels(spark):
+    wide = spark.range(1_200_000).selectExpr("id AS message_id", "if(id % 2 = 1, id - 1, null) AS reply_to_id", "timestamp_seconds(id) AS created_at")
+    assert G.thread_descendants(wide, wide, max_depth=1).count() == 1_800_000
+    chain = spark.range(104).selectExpr("id AS message_id", "if(id > 0, id - 1, null) AS reply_to_id", "timestamp_seconds(id) AS created_at").coalesce(1)
+    assert G.reply_ancestors(chain, chain.filter("message_id = 103"), max_depth=102).count() == 103
+
+
+def test_streams_go_on_after_they_stopped_and_take_empty_sources(spark, sf_dir, tmp_path):
+    from palaver.plans import state_queries as Q
+    from palaver.plans.registry import Tables
+
+    facts = Q._message_facts(Tables(spark, sf_dir).facts)
+    source, folder = str(tmp_path / "facts"), str(tmp_path / "job")
+    facts.filter("false").write.parquet(source)
+    run = lambda: jobs.lifecycle_stream(jobs.parquet_stream(spark, source, files=1), "entity_id", lifecycle.MESSAGE, folder)
+    assert run().count() == 0
+    bounds = facts.agg(F.max("seq")).first()[0] // 20 + 1
+    for k in range(20):  # the job is started anew for each few files and passes a whole state
+        facts.filter((F.col("seq") / bounds).cast("int") == k).coalesce(1).write.mode("append").parquet(source)
+        if k in (2, 3, 19):
+            last = run()
+    assert {tuple(r) for r in last.collect()} == {tuple(r) for r in lifecycle.fold(facts, "entity_id", lifecycle.MESSAGE).collect()}
+    empty = str(tmp_path / "conversations.parquet")
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("false").write.parquet(empty)
+    assert [r["n"] for r in jobs.project_stream(spark, empty).collect()] == [0] * 5
