@@ -6,10 +6,11 @@ bucket ``b`` the next jump goes to ``floor((b + 1) * 2**31 / (r + 1))`` where ``
 ``n_shards`` is the shard.  There is no ring table, and a further shard takes rows only into
 itself: about ``1 / (n + 1)`` of them.
 
-Scale: the shard is a pure function of the key, so there is no shuffle of texts.  Slots within a
-shard are numbered in fine sub-buckets of the key (a narrow shuffle of the kept columns), and the
-sub-buckets' offsets are a table of ``n_shards * SUB_BUCKETS`` rows, so a broadcast of it has a
-fixed bound.  A shard is never sorted in one task.
+Scale: the shard is a pure function of the key, so there is no shuffle of texts.  A walk takes about
+``ln(n_shards)`` jumps; the few keys that need more than the usual bound walk on.  Slots within a
+shard are numbered in fine sub-buckets of the row (key and order columns: rows that share a key are
+spread), a narrow shuffle of the kept columns, and the offsets of the ``n_shards * SUB_BUCKETS`` sub-buckets are
+joined to them where they are.  A shard is never sorted in one task.
 
 Edge cases: a null key hashes as 0; a null text counts as empty; repeated rows get the same shard
 and slots of their own; an empty table gives an empty result; columns of the input with the names
@@ -18,6 +19,8 @@ of the results are replaced by them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,26 +66,32 @@ def jump_hash(key: Column, n_shards: int) -> Column:
         moved = F.struct(s.alias("s"), acc["j"].alias("b"), j.alias("j"))
         return F.when(acc["j"] < n_shards, moved).otherwise(acc)
 
-    # each live step raises j by one at least: after n_shards steps none is below n_shards
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n_shards)), start, step, lambda acc: acc["b"]).cast("int")
+    # jump k has a mean of ln(n_shards) predecessors: far fewer than this bound, but for one key in very many
+    bound = min(n_shards, 20 + math.ceil(4 * math.log(n_shards + 1)))
+    near = F.aggregate(F.sequence(F.lit(1), F.lit(bound)), start, step)
+    if bound == n_shards:  # each live step raises j by one at least: none is below n_shards now
+        return near["b"].cast("int")
+    # evaluated for the walks that are not at their end
+    rest = F.when(near["j"] < n_shards, F.sequence(F.lit(1), F.lit(n_shards))).otherwise(F.array(F.lit(0)))
+    return F.aggregate(rest, near, step, lambda acc: acc["b"]).cast("int")
 
 
 def assign_shards(df: DataFrame, key: str, n_shards: int, *, order: list[str] | None = None) -> DataFrame:
     """All columns of ``df`` plus ``shard``, ``slot`` (gapless from 0 in each shard) and
     ``grown_shard`` (the shard were there one more)."""
     sub, start, rank = (fresh_name(df, x) for x in ("sub", "start", "rank"))
-    buckets = F.pmod(F.xxhash64(F.col(key)), F.lit(SUB_BUCKETS)).cast("int")
+    buckets = F.pmod(F.xxhash64(key, *(order or [])), F.lit(SUB_BUCKETS)).cast("int")
     shard = jump_hash(F.col(key), n_shards)
     keyed = df.drop(*[c for c in df.columns if c.lower() in ("shard", "slot", "grown_shard") and c != key])
     marked = keyed.withColumns({"shard": shard, "grown_shard": jump_hash(F.col(key), n_shards + 1), sub: buckets})
-    # reads the key column alone: one row for each sub-bucket of a shard
+    # reads the key and order columns alone: one row for each sub-bucket of a shard
     sizes = keyed.select(shard.alias("shard"), buckets.alias(sub)).groupBy("shard", sub).agg(F.count("*").alias(rank))
     before = Window.partitionBy("shard").orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", sub, F.coalesce(F.sum(rank).over(before), F.lit(0)).alias(start))
     inside = Window.partitionBy("shard", sub).orderBy(key, *(order or []))
     numbered = marked.withColumn(rank, F.row_number().over(inside) - 1)
     return (
-        numbered.join(F.broadcast(starts), ["shard", sub])
+        numbered.join(starts, ["shard", sub])
         .withColumn("slot", (F.col(rank) + F.col(start)).cast("long"))
         .select(*keyed.columns, "shard", "slot", "grown_shard")
     )
