@@ -32,6 +32,25 @@ KEPT_WORDS = 400_000
 #: Symbols that are merged at once.
 MERGE_SYMBOLS = 2_000_000
 
+# Code points that the library's version of Unicode does not know as letters or digits, though the
+# version of the pattern engine here does; and letters whose lower case the library knows and Python does not.
+LATER = (
+    "\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    "\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3"
+    "\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191"
+    "\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96"
+    "\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4"
+    "\U0001e6fe\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+#: Texts without such a code point have none of the above.
+_HIGH = regex.compile("[\u0558-\U0010ffff]")
+_LATER = regex.compile(f"[{LATER}]")
+
 
 def _byte_letters() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -55,6 +74,8 @@ class PairMerger:
         if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or model.get("byte_fallback"):
             raise ValueError("this file's normalizer or model is not one that is counted here")
         self.words = regex.compile(pattern)
+        known = "[[{}]--[" + LATER + "]]"
+        self.later_words = regex.compile(pattern.replace(r"\p{L}", known.format(r"\p{L}")).replace(r"\p{N}", known.format(r"\p{N}")), regex.V1)
         marks = [a["content"] for a in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, marks))) if marks else None
         letters, vocab, suffix = _byte_letters(), model["vocab"], model.get("end_of_word_suffix") or ""
@@ -134,10 +155,17 @@ class PairMerger:
         if batch:
             self.kept.update(zip(batch, self.survivors([w.encode() for w in batch]).tolist(), strict=True))
 
-    def _normal(self, text: str) -> str:
+    def _words(self, text: str) -> list[str]:
+        """The pre-tokens of a text as the library normalizes and cuts it."""
+        if text.isascii():
+            return self.words.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
+        high = _HIGH.search(text) is not None
+        if high:
+            text = text.translate(LOWER)
         # one character at a time, as the library lowers: no context-dependent final sigma
-        return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+        text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+        return (self.later_words if high and _LATER.search(text) else self.words).findall(text)
 
     def counts(self, texts: list[str]) -> list[int]:
         cut: list[list[str]] = []
@@ -149,7 +177,7 @@ class PairMerger:
             extra.append(len(parts) - 1)
             found: list[str] = []
             for part in parts:
-                found += self.words.findall(self._normal(part))
+                found += self._words(part)
             cut.append(found)
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
