@@ -3,7 +3,8 @@
 For each language an interpolated Kneser-Ney model of characters (lower-cased letters; all else is
 one space) is learned from a bounded sample of labelled documents.  The models lie side by side in
 sorted hash arrays, one for each order: a found n-gram gives its interpolated log-probability under
-every language at once, and a missing one backs off through the arrays of context weights.  The
+every language of its group at once, and a missing one backs off through the arrays of context
+weights.  Groups are of at most ``GROUP`` languages, so the arrays grow in proportion to the languages.  The
 language with the lowest cross-entropy per character wins.
 
 Rejection is calibrated on labelled documents that were kept out of the counts: the limit lies
@@ -11,8 +12,8 @@ midway between their mean cross-entropy and that of their own letters in random
 within eight deviations of the mean), with more room for short texts.  A text whose best
 cross-entropy is above it is not ``accepted``; nor is a text without letters.
 
-Scale: learning collects n-grams of a sample of about ``SAMPLE_DOCS`` documents for each of at most
-``MAX_LANGUAGES`` languages, whatever the table's size.  Prediction is one pass without a shuffle; the
+Scale: learning collects n-grams of a sample of about ``SAMPLE_DOCS`` documents for each language,
+whatever the table's size.  Prediction is one pass without a shuffle; the
 model that is sent to the executors is bounded by the sample.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0 and not accepted; if nothing is
@@ -22,7 +23,6 @@ sorts first; whole texts are scored, however long; repeated rows are scored agai
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,14 +32,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import store
 from .words import mix, settle
 
 #: Length of the longest n-gram.
 ORDER = 4
 #: Labelled documents of a language that are learned from (the bound of the sample), counts and calibration.
 SAMPLE_DOCS = 400
-#: Languages that are learned, the most frequent first.
-MAX_LANGUAGES = 200
+#: Languages whose models share arrays.
+GROUP = 8
+#: Characters that are scored, or counted, at once.
+SLICE_CHARS = 250_000
 #: One in so many sampled documents is kept for calibration.
 CALIBRATION = 5
 #: Characters beyond which a text's confidence grows no more.
@@ -93,35 +96,19 @@ def _look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 @dataclass
-class Model:
-    """Kneser-Ney models of several languages in sorted hash arrays."""
+class Group:
+    """Kneser-Ney models of some languages in sorted hash arrays."""
 
-    languages: list[str] = field(default_factory=list)
     #: for each order: sorted n-gram keys, and log-probabilities by language
     grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     #: for each order: sorted context keys, and log back-off weights by language
     contexts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     #: log-probability of a character that no language has, by language
     floor: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: the largest accepted cross-entropy of a long text, by language
-    limit: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cross-entropy per character by text and language; characters; whether there is a letter."""
-        points, bounds, has = fold(texts)
-        sizes = np.diff(bounds) - (ORDER - 1)
-        total = np.zeros((len(texts), len(self.languages)))
-        some = sizes > 0
-        if some.any() and self.languages:
-            # the first of an n-gram's positions, for each character of a text
-            starts = np.cumsum(sizes) - sizes
-            at = np.arange(sizes.sum()) + np.repeat(bounds[:-1] - starts, sizes)
-            total[some] = np.add.reduceat(self._position_scores(points, at), starts[some], axis=0)
-        return -total / np.maximum(sizes, 1)[:, None], sizes, has
-
-    def _position_scores(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def position_scores(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log-probabilities, by language, of the last characters of the n-grams that start at ``at``."""
-        out = np.empty((len(at), len(self.languages)))
+        out = np.empty((len(at), len(self.floor)))
         left: np.ndarray | None = None
         for order in range(ORDER, 0, -1):
             keys, logs = self.grams[order - 1]
@@ -143,6 +130,36 @@ class Model:
         out[left] += self.floor
         return out
 
+
+@dataclass
+class Model:
+    """The models of all languages, which stand in the order of their names, group after group."""
+
+    languages: list[str] = field(default_factory=list)
+    groups: list[Group] = field(default_factory=list)
+    #: the largest accepted cross-entropy of a long text, by language
+    limit: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy per character by text and language; characters; whether there is a letter."""
+        points, bounds, has = fold(texts)
+        sizes = np.diff(bounds) - (ORDER - 1)
+        total = np.zeros((len(texts), len(self.languages)))
+        some = sizes > 0
+        if some.any() and self.languages:
+            # the first of an n-gram's positions, for each character of a text
+            starts = np.cumsum(sizes) - sizes
+            at = np.arange(sizes.sum()) + np.repeat(bounds[:-1] - starts, sizes)
+            own = np.repeat(np.arange(len(texts)), sizes)
+            for k, group in enumerate(self.groups):
+                columns = slice(k * GROUP, k * GROUP + len(group.floor))
+                for first in range(0, len(at), 2 * SLICE_CHARS):  # a long text is scored piece by piece
+                    part = slice(first, first + 2 * SLICE_CHARS)
+                    scores, owner = group.position_scores(points, at[part]), own[part]
+                    edges = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                    total[owner[edges], columns] += np.add.reduceat(scores, edges, axis=0)
+        return -total / np.maximum(sizes, 1)[:, None], sizes, has
+
     def identify(self, texts: list[str]) -> pd.DataFrame:
         entropy, sizes, has = self.entropies(texts)
         if not self.languages:
@@ -166,18 +183,23 @@ class Model:
 def _kneser_ney(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """``grams``: for each language the distinct ORDER-grams (rows of code points) and their counts."""
     languages = sorted(grams)
-    model = Model(languages)
+    n_chars = len(np.unique(np.concatenate([np.unique(g) for g, _ in grams.values()]))) + 1
+    groups = [_group([grams[x] for x in languages[k : k + GROUP]], n_chars) for k in range(0, len(languages), GROUP)]
+    return Model(languages, groups, np.full(len(languages), np.inf))
+
+
+def _group(grams: list[tuple[np.ndarray, np.ndarray]], n_chars: int) -> Group:
+    model = Group()
     tables: list[list[tuple[np.ndarray, np.ndarray]]] = []  # by order, by language: n-grams and counts
     for order in range(ORDER, 0, -1):
         level = []
-        for i, lang in enumerate(languages):
+        for i in range(len(grams)):
             if order == ORDER:
-                level.append(grams[lang])
+                level.append(grams[i])
             else:  # continuation counts: distinct characters before the n-gram
                 suffixes, counts = np.unique(tables[0][i][0][:, 1:], axis=0, return_counts=True)
                 level.append((suffixes, counts))
         tables.insert(0, level)
-    n_chars = len(np.unique(np.concatenate([g for g, _ in tables[0]]))) + 1
     lower: np.ndarray | None = None  # probabilities of the union's n-grams one order down
     lower_grams: np.ndarray | None = None
     for order in range(1, ORDER + 1):
@@ -186,8 +208,8 @@ def _kneser_ney(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         index = {g.tobytes(): k for k, g in enumerate(union)}
         contexts, context_of = np.unique(union[:, :-1], axis=0, return_inverse=True) if order > 1 else (union[:1, :0], np.zeros(len(union), int))
         context_of = context_of.reshape(-1)
-        probs = np.zeros((len(union), len(languages)))
-        weights = np.zeros((len(contexts), len(languages)))
+        probs = np.zeros((len(union), len(grams)))
+        weights = np.zeros((len(contexts), len(grams)))
         for i, (g, c) in enumerate(level):
             c = c.astype(float)
             once, twice = (c == 1).sum(), (c == 2).sum()
@@ -219,28 +241,40 @@ def _kneser_ney(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return model
 
 
-def learn(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS, max_languages: int = MAX_LANGUAGES) -> Model:
+def _parts(texts: pd.Series) -> Iterator[list[str]]:
+    """The texts (nulls: empty) in lists of about ``SLICE_CHARS`` characters; one list at least."""
+    part, size, n = [], 0, 0
+    for t in texts:
+        part.append(t or "")
+        size += len(part[-1])
+        if size > SLICE_CHARS:
+            yield part
+            part, size, n = [], 0, n + 1
+    if part or not n:
+        yield part
+
+
+def learn(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Learns from the columns ``doc_id``, ``text`` and ``lang`` of a bounded sample of rows."""
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not sizes:
-        return Model()
+    sizes = store(usable.groupBy("lang").agg(F.count("*").alias("docs")), "languages")
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], math.ceil(1e6 * min(1.0, sample_docs / r["count"])))])
-    sample = usable.filter(draw < F.coalesce(share[F.col("lang")], F.lit(0))).select(
-        "text", "lang", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibrate")), F.lit(CALIBRATION)) == 0).alias("aside")
-    )
+    share = F.ceil(F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("docs")) * 1e6)
+    # a language of few documents is learned from all of them, and then accepts whatever it is nearest to
+    aside = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibrate")), F.lit(CALIBRATION)) == 0) & (F.col("docs") >= 2 * CALIBRATION)
+    sample = usable.join(sizes, "lang").filter(draw < share).select("text", "lang", aside.alias("aside"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, part in batch.groupby("lang"):
-                points, bounds, has = fold(part["text"].tolist())
-                rows = np.lib.stride_tricks.sliding_window_view(points, ORDER) if len(points) >= ORDER else np.zeros((0, ORDER), np.uint32)
-                own = np.ones(len(rows), bool)
-                for b in bounds[1:-1]:
-                    own[max(b - ORDER + 1, 0) : b] = False  # windows over two texts
-                grams, counts = np.unique(rows[own], axis=0, return_counts=True)
-                yield pd.DataFrame({"lang": lang, "gram": [g.astype("<u4").tobytes() for g in grams], "n": counts})
+                for texts in _parts(part["text"]):
+                    points, bounds, has = fold(texts)
+                    rows = np.lib.stride_tricks.sliding_window_view(points, ORDER) if len(points) >= ORDER else np.zeros((0, ORDER), np.uint32)
+                    own = np.ones(len(rows), bool)
+                    for b in bounds[1:-1]:
+                        own[max(b - ORDER + 1, 0) : b] = False  # windows over two texts
+                    grams, counts = np.unique(rows[own], axis=0, return_counts=True)
+                    yield pd.DataFrame({"lang": lang, "gram": [g.astype("<u4").tobytes() for g in grams], "n": counts})
 
     counted = (
         sample.filter(~F.col("aside")).select("text", "lang").mapInPandas(count, "lang string, gram binary, n long")
@@ -254,7 +288,6 @@ def learn(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS, max_languages:
         for lang, part in found.groupby("lang")
     }
     model = _kneser_ney(grams)
-    model.limit = np.full(len(model.languages), np.inf)
     told = sample.filter("aside").select("lang", _calibration(F.col("text"), model).alias("own"))
     stats = (
         told.filter(F.col("own.lang_pred") == F.col("lang"))
@@ -294,16 +327,7 @@ def identify_text(text: Column, model: Model) -> Column:
     @F.pandas_udf("lang_pred string, score double, cross_entropy double, accepted boolean")
     def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            parts, part, size = [], [], 0
-            for t in texts:
-                part.append(t or "")
-                size += len(part[-1])
-                if size > 250_000:
-                    parts.append(model.identify(part))
-                    part, size = [], 0
-            if part or not parts:
-                parts.append(model.identify(part))
-            yield pd.concat(parts, ignore_index=True)
+            yield pd.concat([model.identify(part) for part in _parts(texts)], ignore_index=True)
             settle()
 
     return identify(F.coalesce(text, F.lit("")))
