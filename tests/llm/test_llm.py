@@ -156,7 +156,7 @@ def test_jump_hash(spark, odd_docs):
 
     keys = [0, 1, -1, 2**63 - 1, -(2**63), *range(10**12, 10**12 + 200)]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    for n in (1, 2, 17, 100):
+    for n in (1, 2, 17, 100, 3000):
         assert all(r["s"] == jump(r["k"], n) for r in df.select("k", sharding.jump_hash(F.col("k"), n).alias("s")).collect())
     out = sharding.sharded_sizes(odd_docs).collect()
     assert len(out) == odd_docs.count()
@@ -165,6 +165,8 @@ def test_jump_hash(spark, odd_docs):
         slots[r["shard"]].append(r["slot"])
         assert r["grown_shard"] in (r["shard"], 16)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    texts = Counter((r["doc_id"], len((r["text"] or "").encode()) + (1), zlib.crc32((r["text"] or "").encode()), jump(r["doc_id"] or 0, 16), jump(r["doc_id"] or 0, 17)) for r in odd_docs.collect())
+    assert texts == Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in out)
     clash = sharding.assign_shards(odd_docs.withColumnRenamed("source", "slot"), "doc_id", 4)
     assert clash.columns == ["doc_id", "text", "lang", "n_chars", "shard", "slot", "grown_shard"]
 
@@ -179,7 +181,7 @@ def test_language_models_are_distributions_and_right(spark, sf_dir, odd_docs):
     alphabet = sorted(set(language_id.fold([r["text"] for r in docs.select("text").collect()])[0].tolist()))
     for context in ("the", "ein", " qz"):
         points = np.array([[*map(ord, context), c] for c in alphabet], np.uint32).reshape(-1)
-        logs = model._position_scores(points, np.arange(len(alphabet)) * 4)
+        logs = model.groups[0].position_scores(points, np.arange(len(alphabet)) * 4)
         assert np.all(np.exp(logs).sum(axis=0) < 1.0001) and np.all(np.exp(logs).sum(axis=0) > 0.9)
     odd = language_id.identify_documents(odd_docs).collect()
     assert {r["lang_pred"] for r in odd if r["doc_id"] in (1, 2, 3)} == {"und"}
@@ -188,6 +190,69 @@ def test_language_models_are_distributions_and_right(spark, sf_dir, odd_docs):
     assert {r["lang_pred"] for r in language_id.identify_documents(blank).collect()} == {"und"}
 
 
+def test_language_scores_are_plain_kneser_ney(spark):
+    """Against interpolated Kneser-Ney written out with dictionaries, for many languages and one text at a time."""
+    rnd = random.Random(6)
+    samples = {f"l{k:02d}": ["".join(rnd.choice("abcde"[k % 3 :] + "xyz "[: k % 4 + 1]) for _ in range(80)) for _ in range(6)] for k in range(11)}
+
+    def plain(texts):
+        tables = {4: Counter()}
+        for t in texts:
+            points = fold_plain(t)
+            for i in range(3, len(points)):
+                tables[4][points[i - 3 : i + 1]] += 1
+        for order in (3, 2, 1):
+            tables[order] = Counter(g[1:] for g in tables[order + 1])  # distinct characters before
+        return tables
+
+    def fold_plain(t):
+        return "   " + "".join(f"{run} " for run in re.findall("[a-z]+", t.lower()))
+
+    def prob(tables, gram, n_chars):
+        if not gram:
+            return 1 / n_chars
+        table = tables[len(gram)]
+        once, twice = (sum(c == k for c in table.values()) for k in (1, 2))
+        discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.95)
+        same = [c for g, c in table.items() if g[:-1] == gram[:-1]]
+        below = prob(tables, gram[1:], n_chars)
+        if not same:
+            return below
+        return max(table[gram] - discount, 0) / sum(same) * (gram in table) + discount * len(same) / sum(same) * below
+
+    grams = {}
+    for lang, texts in samples.items():
+        counts = plain(texts)[4]
+        grams[lang] = (np.array([[*map(ord, g)] for g in counts], np.uint32), np.array([*counts.values()]))
+        order = np.lexsort(grams[lang][0].T[::-1])
+        grams[lang] = (grams[lang][0][order], grams[lang][1][order])
+    model = language_id._kneser_ney(grams)
+    assert len(model.groups) == 2 and model.languages == sorted(samples)
+    n_chars = len({c for g, _ in grams.values() for c in g.reshape(-1).tolist()}) + 1
+    tested = ["abxed cq", "zzz", "deb ac", "q"]
+    entropy, sizes, _ = model.entropies(tested)
+    for i, text in enumerate(tested):
+        points = fold_plain(text)
+        for j, lang in enumerate(model.languages):
+            tables = plain(samples[lang])
+            total = sum(math.log(prob(tables, points[k - 3 : k + 1], n_chars)) for k in range(3, len(points)))
+            assert entropy[i, j] == pytest.approx(-total / (len(points) - 3))
+
+
+def test_languages_reject_noise_and_other_scripts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) between 200 and 5000").select("doc_id", "text", "lang")
+    model = language_id.learn(docs)
+    rnd = random.Random(1)
+    own = [r["text"] for r in docs.limit(40).collect()]
+    noise = ["".join(rnd.sample(t, len(t))) for t in own]
+    other = ["съешь же ещё этих мягких французских булок да выпей чаю " * 5, "你好世界今天天气很好我们去公园玩" * 5]
+    told = spark.createDataFrame([(t, k) for k, group in enumerate((own, noise, other)) for t in group], "text string, kind int")
+    got = told.select("kind", language_id.identify_text(F.col("text"), model).alias("own")).groupBy("kind").agg(F.avg(F.col("own.accepted").cast("int"))).collect()
+    assert {r[0]: r[1] for r in got} == {0: 1.0, 1: 0.0, 2: 0.0}
+    many = docs.withColumn("lang", F.concat("lang", (F.col("doc_id") % 60).cast("string")))
+    assert len(language_id.learn(many).languages) == many.select("lang").distinct().count() > 100
+
+
 def docs_of(like, rows):
     return like.sparkSession.createDataFrame(rows, DOCS)
 
@@ -242,22 +307,78 @@ def test_prefixes_are_long_enough():
 
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates_are_the_brute_force(odd_docs, width):
-    rows = [(r["doc_id"], r["text"]) for r in odd_docs.filter("doc_id is not null and doc_id <> 5").collect()]
-    sets = {}
+    rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]  # ids repeat, with the same text and with another
+
+    def shingle_set(text):
+        w = tokens_of(text)
+        return frozenset(tuple(w[k : k + width]) for k in range(max(len(w) - width + 1, 1))) if w else frozenset()
+
+    sets = sorted({shingle_set(t) for i, t in rows if i is not None} - {frozenset()}, key=sorted)
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    group = union(pairs, range(len(sets)))
+    of = {s: group[k] for k, s in enumerate(sets)}
+    first = {}
+    for i, t in rows:
+        s = shingle_set(t)
+        if i is not None and s:
+            first[of[s]] = min(first.get(of[s], i), i)
+    wanted = Counter()
     for i, t in rows:
-        w = tokens_of(t)
-        sets[i] = frozenset(tuple(w[k : k + width]) for k in range(max(len(w) - width + 1, 1))) if w else frozenset()
-    ids = sorted(sets)
-    pairs = [(a, b) for x, a in enumerate(ids) for b in ids[:x] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    wanted = union(pairs, ids)
-    got = near_dup.near_duplicates(odd_docs.filter("doc_id <> 5"), width=width).collect()
-    assert len(got) == len(rows)
-    assert {r["doc_id"]: (r["component_id"], r["n_shingles"], r["kept"]) for r in got} == {i: (wanted[i], len(sets[i]), wanted[i] == i) for i in ids}
-    kept = near_dup.drop_near_duplicates(odd_docs.filter("doc_id <> 5 or doc_id is null"), width=width)
-    assert {r["doc_id"] for r in kept.collect()} == {i for i in ids if wanted[i] == i} | {None}
+        s = shingle_set(t)
+        c = first[of[s]] if i is not None and s else i
+        wanted[i, len(s), c, i == c] += 1
+    got = near_dup.near_duplicates(odd_docs, width=width).collect()
+    assert Counter(tuple(r) for r in got) == wanted
+    # one row of each group stays, and one of equal rows; a text that only shares an id with a copy is not lost
+    kept = Counter((r["doc_id"], r["text"]) for r in near_dup.drop_near_duplicates(odd_docs, width=width).collect())
+    assert max(kept.values()) == 1
+    assert Counter(of[shingle_set(t)] for i, t in kept if i is not None and shingle_set(t)) == Counter(set(of.values()))
+    assert {(i, t) for i, t in kept if i is None or not shingle_set(t)} == {(i, t) for i, t in rows if i is None or not shingle_set(t)}
+    assert all(i == first[of[shingle_set(t)]] for i, t in kept if i is not None and shingle_set(t))
     assert near_dup.near_duplicates(odd_docs.filter("false")).count() == 0
 
 
+def test_near_duplicates_keep_what_only_shares_an_id(odd_docs):
+    t, u, x = "a b c d e f g h", "i j k l m n o p", "q r s t u v w x"
+    docs = docs_of(odd_docs, [(1, t, "", "", 0), (5, t, "", "", 0), (5, u, "", "", 0), (7, x, "", "", 0), (7, x, "", "", 0)])
+    assert sorted((r["doc_id"], r["text"]) for r in near_dup.drop_near_duplicates(docs).collect()) == [(1, t), (5, u), (7, x)]
+
+
+def test_large_groups_are_worked_through_in_proportion(odd_docs, monkeypatch):
+    """Blocks and pivots: the same groups as all pairs, and rows sent in proportion to a group's size."""
+    rnd = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+
+    def copies(n, first):
+        rows = []
+        for k in range(n):
+            w = [*base]
+            w[rnd.randrange(60)] = f"x{first + k}"
+            rows.append((first + k, " ".join(w), "", "", 0))
+        return rows
+
+    for name in ("SKETCH_BLOCK", "SET_BLOCK"):
+        monkeypatch.setattr(near_dup, name, 16)
+    sent = []
+    linked = blocks._linked
+
+    def counted(placed, linker, chunk):
+        placed = placed.cache()
+        sent.append(placed.count())
+        return linked(placed, linker, chunk)
+
+    monkeypatch.setattr(blocks, "_linked", counted)
+    totals = []
+    chain = [(10_000 + k, " ".join(f"c{j}" for j in range(3 * k, 3 * k + 60)), "", "", 0) for k in range(80)]  # near only to its neighbours
+    for n in (200, 800):
+        sent.clear()
+        rows = copies(n, 0) + chain
+        got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs_of(odd_docs, rows), width=1).collect()}
+        assert got == {**{k: 0 for k in range(n)}, **{10_000 + k: 10_000 for k in range(80)}}
+        totals.append(sum(sent))
+    assert totals[1] < 5 * totals[0]
+
+
 def test_odd_sketch_distance_follows_similarity():
     rnd = np.random.default_rng(3)
     far = near_dup.largest_distance(0.8)
@@ -341,6 +462,15 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <section class="comments"><p>Nice post!</p></section><footer>By</footer></article><div id="comments">More</div><footer>&copy; 2024</footer></body></html>"""
 
 
+def test_token_counts_of_every_code_point():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    texts = [f"a{c}b 1{c}{c} {c}. {c}x" for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    wanted = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+    assert token_count.merger(path).counts(texts) == wanted
+
+
 def test_html_of_a_marked_article(spark):
     rows = [(1, "http://a.example.com/x/1", PAGE), (2, None, None), (3, "http://a.example.com/x/2", ""), (4, "no url", "plain <b>text</b>"), (5, "http://a.example.com/x/1", PAGE)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
@@ -438,11 +568,12 @@ def test_alignment_scores():
 
 
 def test_decontamination_finds_copies_and_edits(spark, sf_dir):
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").unionByName(spark.createDataFrame([(900, None), (901, "too short")], "item_id long, text string"))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").unionByName(spark.createDataFrame([(900, None), (901, "tiny item"), (902, "w9 w11 w10 w12"), (903, ".")], "item_id long, text string"))
     rnd = random.Random(3)
     texts = [(r["item_id"], r["text"]) for r in items.filter("text is not null").collect() if len(r["text"].split()) > 12]
     filler = " ".join(f"w{k}" for k in range(400))
-    rows, wanted = [(0, None), (1, ""), (2, filler), (None, texts[0][1])], {(None, texts[0][0])}
+    rows, wanted = [(0, None), (1, ""), (2, filler), (3, "a tiny item"), (None, texts[0][1])], {(None, texts[0][0]), (4, 901), (5, 902)}
+    rows += [(4, "Tiny, item!"), (5, f"{filler} w9 w11 w10, w12 {filler}")]
     for k in range(60):
         i, text = rnd.choice(texts)
         w = text.split()
@@ -453,7 +584,7 @@ def test_decontamination_finds_copies_and_edits(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()}
     assert got == wanted
-    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()} == {0, 1, 2}
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()} == {0, 1, 2, 3}
     assert decontaminate.contaminated(docs, items.filter("false")).count() == 0
     assert decontaminate.drop_contaminated(docs.filter("false"), items).count() == 0
 
@@ -470,6 +601,56 @@ def test_decontamination_finds_edits_that_are_copied_often(spark):
     assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()] == [3000]
 
 
+def test_contaminated_pairs_are_the_brute_force(spark):
+    """Every pair of a document and an item that shares a trigram and scores enough by plain Smith-Waterman, and no other."""
+    rnd = random.Random(8)
+    vocabulary = [f"v{k}" for k in range(40)]
+    items = [(k, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(5, 14)))) for k in range(12)]
+    docs = []
+    for k in range(60):
+        w = rnd.choice(items)[1].split()
+        for _ in range(rnd.randrange(0, 6)):
+            w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
+        docs.append((k, " ".join([rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 20))] + w + [rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 20))])))
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    code = {v: k for k, v in enumerate(vocabulary)}
+    scores = {}
+    for i, text in docs:
+        for j, item in items:
+            if grams(text.split()) & grams(item.split()):
+                scores[i, j] = plain_smith_waterman([code[w] for w in item.split()], [code[w] for w in text.split()])
+    wanted = {pair: score for pair, score in scores.items() if score >= 0.5}
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in found}
+    # two alignments that share no hit may lie in windows of their own: then the better one counts, as it does here
+    assert got == pytest.approx(wanted) and len(wanted) > 30
+    for r in found:
+        w, item = docs[r["doc_id"]][1].split(), dict(items)[r["item_id"]].split()
+        span = [code[x] for x in w[r["start_word"] : r["end_word"]]]
+        assert plain_smith_waterman([code[x] for x in item], span) == pytest.approx(r["score"])
+
+
+def test_words_of_scripts_without_spaces_and_signs():
+    import pyarrow as pa
+
+    texts = ["«Hola» mundo—bien", "你好，世界 abc", "ภาษา", "l’eau d'or", "À É à é", "", None]
+    words_, at = decontaminate.words_of(pa.array(texts))
+    assert [int(at[i + 1] - at[i]) for i in range(len(texts))] == [3, 5, 4, 4, 4, 0, 0]
+    assert words_[at[4]] == words_[at[4] + 2] and words_[at[4] + 1] == words_[at[4] + 3]
+
+
+def test_long_items_are_aligned_in_the_memory_of_a_window():
+    import tracemalloc
+
+    rnd = np.random.default_rng(2)
+    item = rnd.integers(0, 10**9, 4000)
+    window = np.r_[rnd.integers(0, 10**9, 3000), np.delete(item, slice(0, 4000, 7)), rnd.integers(0, 10**9, 3000)]
+    tracemalloc.start()
+    score, start, end = decontaminate.align(item, window)
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20 and 0.6 < score < 0.9 and (start, end) == (3000, len(window) - 3000)
+    tracemalloc.stop()
+
+
 def test_no_alignment_passes_its_bound():
     rnd = np.random.default_rng(6)
     for _ in range(300):
