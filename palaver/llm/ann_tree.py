@@ -9,7 +9,10 @@ Candidates are scored exactly, in double precision, on the original vectors.
 
 Scale: the tree and the calibration are bounded by parameters.  Vectors are dealt out by leaf and,
 within a leaf, by blocks of bounded size, so that a leaf (or a vector that a third of the rows
-share) is spread over many tasks; a query goes to each block of the leaves that it visits.
+share) is spread over many tasks; a query goes to each block of the leaves that it visits, and
+where queries are many they are cut into parts of bounded size that meet the blocks one by one.
+As the tree's size is bounded, the share of the rows that a query is held against depends on the
+data and not on their number: few leaves where vectors lie in clusters, most of them where they do not.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part,
 nor do rows without an id or with another length than most vectors have; ties go to the smaller id;
@@ -30,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import store
+
 #: Numbers in the sample that the tree is fitted on (vectors times their length).
 SAMPLE_NUMBERS = 1 << 20
 #: Children of a node, and the sample's vectors below which a node is a leaf.
 BRANCHES, LEAF_SAMPLE = 8, 48
 #: Calibration vectors, and the share of their true neighbours that the visited leaves must hold.
 CALIBRATION, RECALL = 256, 0.96
-#: Vectors of a leaf that one task scores at once.
-BLOCK = 8192
+#: Vectors of a leaf that one task scores at once, and the queries that it scores them for.
+BLOCK, QUERY_BLOCK = 8192, 32_768
 
 
 def usable(vector: Column) -> Column:
@@ -176,15 +181,16 @@ def build_index(vectors: DataFrame, *, k: int = 5) -> tuple[Tree, int] | None:
     draw = F.pmod(F.xxhash64("vec_id", F.lit("tree")), F.lit(1 << 40))
     size = max(SAMPLE_NUMBERS // dim, 4 * CALIBRATION)
     taken = rows.filter(draw < math.ceil((1 << 40) * min(1.0, size / count))).toArrow()
-    sample = _matrix(taken["embedding"], dim)
-    if not len(sample):
-        taken = rows.limit(size).toArrow()
-        sample = _matrix(taken["embedding"], dim)
-    tree = fit_tree(unit(sample))
-    # the sample comes in no set order; by hash, the calibration vectors are always the same
-    ids = np.asarray(taken["vec_id"], np.int64)
-    chosen = np.argsort((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")[:CALIBRATION]
-    probes, probe_ids = sample[chosen], ids[chosen]
+    if not taken.num_rows:
+        taken = rows.orderBy(draw, "vec_id", "embedding").limit(size).toArrow()
+    sample, ids = _matrix(taken["embedding"], dim), np.asarray(taken["vec_id"], np.int64)
+    # the sample comes in no set order: in that of a hash, tree and calibration are always the same
+    order = np.lexsort((*sample.T[::-1], ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    sample, ids = sample[order], ids[order]
+    # the calibration vectors take no part in the fit, unless there are hardly any others
+    held = CALIBRATION if len(sample) >= 2 * CALIBRATION else 0
+    tree = fit_tree(unit(sample[held:]))
+    probes, probe_ids = sample[:CALIBRATION], ids[:CALIBRATION]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Leaf sizes, and each probe's best of this task, with their leaves."""
@@ -235,8 +241,11 @@ def build_index(vectors: DataFrame, *, k: int = 5) -> tuple[Tree, int] | None:
 
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Each query's ``k`` nearest rows: ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``."""
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    stored_as = f"array<{kind if kind in ('float', 'double') else 'double'}>"
+
     def pick(df: DataFrame) -> DataFrame:
-        own = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+        own = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(stored_as).alias("embedding"))
         return own.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
 
     vectors, queries = pick(vectors), pick(queries)
@@ -245,6 +254,12 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str =
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree, dim = built
     blocks = np.maximum(1, -(-tree.sizes // BLOCK))
+    same = F.size("embedding") == dim
+    distinct = store(queries.filter(same).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    parts = max(1, -(-distinct.count() // QUERY_BLOCK))
+
+    def part_of(ids: np.ndarray) -> np.ndarray:
+        return ((ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % parts
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,28 +267,29 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str =
                 leaves = tree.assign(unit(_matrix(batch.column("embedding"), dim)))
                 own = np.asarray(batch.column("vec_id"), np.int64).astype(np.uint64)
                 block = ((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks[leaves]
-                yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(block), *batch.columns], names=["leaf", "block", "vec_id", "embedding"])
+                for part in range(parts):
+                    yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(block * parts + part), *batch.columns], names=["leaf", "block", "vec_id", "embedding"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             units = unit(_matrix(batch.column("embedding"), dim))
-            rows, leaves, parts = [], [], []
+            own = part_of(np.asarray(batch.column("vec_id"), np.int64)).tolist()
+            rows, leaves, places = [], [], []
             for i, query in enumerate(units):
                 for leaf in tree.visit(query, k):
-                    for part in range(blocks[leaf]):
+                    for block in range(blocks[leaf]):
                         rows.append(i)
                         leaves.append(leaf)
-                        parts.append(part)
+                        places.append(block * parts + own[i])
             taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(parts, pa.int64()), *taken.columns], names=["leaf", "block", "vec_id", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(places, pa.int64()), *taken.columns], names=["leaf", "block", "vec_id", "embedding"])
 
-    schema = "leaf long, block long, vec_id long, embedding array<float>"
-    same = F.size("embedding") == dim
+    schema = f"leaf long, block long, vec_id long, embedding {stored_as}"
     indexed = vectors.filter(same).mapInArrow(index, schema)
-    distinct = queries.filter(same).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    visiting = distinct.mapInArrow(walk, schema)
+    # the walk is the queries' work: dealt over all cores, however small their table
+    visiting = distinct.repartition(vectors.sparkSession.sparkContext.defaultParallelism, "vec_id").mapInArrow(walk, schema)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         q, v = _matrix(right["embedding"], dim), _matrix(left["embedding"], dim)
