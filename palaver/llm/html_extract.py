@@ -14,7 +14,7 @@ says outright is a check beside it: scripts, styles, forms and blocks that name
 header, footer, sidebar, notice, advert or comments go, inside an article only by a whole known name; and where a page marks its article, lines outside it go, and a shared line inside it is
 restored unless it is common, that is on more than half of the host's different pages and on ``FEW`` or more.
 
-Scale: the pages are parsed twice and compared by hashes of their lines: one range shuffle of the
+Scale: the pages are parsed once, their lines are written to the shared folder and compared by hashes: one range shuffle of the
 hashes, which spreads a host with a third of all pages over many tasks, and one aggregation that
 counts lines by host.  Where a range ends, the nearest different page beyond it is looked up from
 the ends of all ranges, which the driver holds (four pages a range).  Only the lines' verdicts are joined to the texts.
@@ -30,6 +30,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -197,28 +198,64 @@ def aligned(a: list, b: list) -> list[bool]:
     cols = [j for j in range(lo, hb) if b[j] in common]
     if not rows:
         return out
-    # Python integers as bit vectors: one row of the table for each common line of a
+    lines_a, lines_b = [a[i] for i in rows], [b[j] for j in cols]
+    for i in _subsequence(lines_a, lines_b):
+        out[rows[i]] = True
+    return out
+
+
+#: Cells of an alignment's table whose bit rows are kept at once; a larger one is divided.
+TABLE_CELLS = 1 << 26
+
+
+def _masks(b: list) -> dict:
     masks: dict = {}
-    for k, j in enumerate(cols):
-        masks[b[j]] = masks.get(b[j], 0) | 1 << k
-    full = (1 << len(cols)) - 1
+    for k, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << k
+    return masks
+
+
+def _subsequence(a: list, b: list) -> list[int]:
+    """The places in ``a`` of a longest common subsequence with ``b``.
+
+    Python integers as bit vectors: one row of the table for each line of ``a``, in which a zero bit is a column where
+    the length grows.  A large table is divided at the middle row (after Hirschberg), so memory stays in proportion to the lines.
+    """
+    if not a or not b:
+        return []
+    masks, full = _masks(b), (1 << len(b)) - 1
+    if len(a) * len(b) > TABLE_CELLS and len(a) > 1:
+        middle = len(a) // 2
+
+        def lengths(some: list, masks: dict) -> np.ndarray:
+            state = full
+            for x in some:
+                hit = state & masks.get(x, 0)
+                state = ((state + hit) | (state - hit)) & full
+            grows = np.unpackbits(np.frombuffer(state.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")[: len(b)] == 0
+            return np.r_[0, np.cumsum(grows)]
+
+        left, right = lengths(a[:middle], masks), lengths(a[middle:][::-1], _masks(b[::-1]))
+        cut = int((left + right[::-1]).argmax())
+        del left, right, masks
+        return _subsequence(a[:middle], b[:cut]) + [middle + i for i in _subsequence(a[middle:], b[cut:])]
     state, states = full, []
-    for i in rows:
+    for x in a:
         states.append(state)
-        hit = state & masks[a[i]]
+        hit = state & masks.get(x, 0)
         state = ((state + hit) | (state - hit)) & full
-    k = len(cols)
-    for i, before in zip(reversed(rows), reversed(states), strict=True):
-        # a zero bit of a state is a column where the length grows
+    out, k = [], len(b)
+    for i in range(len(a) - 1, -1, -1):
+        before, own = states[i], masks.get(a[i], 0)
         below = (1 << k) - 1
-        hit = before & masks[a[i]]
+        hit = before & own
         after = ((before + hit) | (before - hit)) & full
         if (~after & below).bit_count() > (~before & below).bit_count():
-            out[i] = True
-            k = (masks[a[i]] & below).bit_length() - 1
+            out.append(i)
+            k = (own & below).bit_length() - 1
             while (~before & ((1 << k) - 1)).bit_count() != (~after & below).bit_count() - 1:
-                k = (masks[a[i]] & ((1 << k) - 1)).bit_length() - 1
-    return out
+                k = (own & ((1 << k) - 1)).bit_length() - 1
+    return out[::-1]
 
 
 def _path_nearness(a: str, b: str) -> int:
@@ -341,7 +378,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["host", "path", "content", "loose", "marked"])
 
     raw = pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html")
-    parsed = raw.mapInArrow(parse, parsed_schema).withColumn("content", F.xxhash64("lines"))
+    parsed = store(raw.mapInArrow(parse, parsed_schema).withColumn("content", F.xxhash64("lines")), "html_pages")
     hashes = F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes")
     light = parsed.filter(F.size("lines") > 0).select("host", "path", "content", hashes).dropDuplicates(["host", "path", "content"])
     light = store(light, "html_lines")
