@@ -262,7 +262,7 @@ def learn(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Model:
     share = F.ceil(F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("docs")) * 1e6)
     # a language of few documents is learned from all of them, and then accepts whatever it is nearest to
     aside = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibrate")), F.lit(CALIBRATION)) == 0) & (F.col("docs") >= 2 * CALIBRATION)
-    sample = usable.join(sizes, "lang").filter(draw < share).select("text", "lang", aside.alias("aside"))
+    sample = store(usable.join(sizes, "lang").filter(draw < share).select("text", "lang", aside.alias("aside")), "sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .blocks import dealt, in_block_pairs, star_edges, whole_groups
 from .graph import components
-from .tables import fresh_name, store
+from .tables import discard, fresh_name, store
 from .words import hash_spans, mix, slices, string_buffers, word_bounds
 
 #: Entries of the table of rarities: the upper bits of a token's hash.
@@ -419,16 +419,18 @@ def verified_links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, thres
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(earlier[some])], names=["id", "n_links", "has_earlier"])
 
     counted = rows.mapInArrow(verify, "id long, n_links long, has_earlier boolean")
-    return counted.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.max("has_earlier").alias("has_earlier"))
+    # written, so that the texts' shuffle files go before the lines are joined
+    return store(counted.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.max("has_earlier").alias("has_earlier")), "line_links")
 
 
 def similar_lines(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame:
     """One row for each line with words: ``doc_id``, ``line_no`` (from 0), ``n_tokens``, its class by
     that one's first line (``class_doc``, ``class_line``), ``n_links`` (similar classes) and ``kept``."""
-    return _judged_lines(docs, threshold).drop("text_key")
+    return _judged_lines(docs, threshold)[0].drop("text_key")
 
 
-def _judged_lines(docs: DataFrame, threshold: float) -> DataFrame:
+def _judged_lines(docs: DataFrame, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
+    """The judged lines, and the stored tables that they are read from."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     rarity = token_rarities(docs)
@@ -446,12 +448,14 @@ def _judged_lines(docs: DataFrame, threshold: float) -> DataFrame:
     )
     clumps = components(clump_edges(classes, rarity, threshold))
     links = verified_links(docs, classes, clumps, threshold)
+    discard(clumps)
     told = classes.select(*keys, F.col("doc_id").alias("class_doc"), F.col("line_no").alias("class_line"), "id").join(links, "id", "left")
     told = told.select(*keys, "class_doc", "class_line", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("has_earlier", F.lit(False)).alias("has_earlier"))
     own = lines.select("doc_id", "text_key", "line_no", *keys).join(told, keys)
     first = F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("class_line"))
     whole = [F.col(c).cast("long").alias(x) for c, x in (("line_no", "line_no"), ("n", "n_tokens"))]
-    return own.select("doc_id", "text_key", *whole, "class_doc", F.col("class_line").cast("long"), "n_links", (first & ~F.col("has_earlier")).alias("kept"))
+    judged = own.select("doc_id", "text_key", *whole, "class_doc", F.col("class_line").cast("long"), "n_links", (first & ~F.col("has_earlier")).alias("kept"))
+    return judged, [lines, classes, links]
 
 
 def _marks(cut: Column) -> Column:
@@ -465,12 +469,14 @@ def drop_repeated_lines(docs: DataFrame, *, threshold: float = 0.8) -> DataFrame
 
     Documents whose words all go are dropped.
     """
-    lines = _judged_lines(docs, threshold)
+    lines, read = _judged_lines(docs, threshold)
     cuts = lines.groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias("cut"), F.max("kept").alias("left")
     )
     own, key, gone, left = (fresh_name(docs, x) for x in ("own", "key", "gone", "left"))
     cuts = store(cuts.filter(F.size("cut") > 0).select(F.col("doc_id").alias(own), F.col("text_key").alias(key), _marks(F.col("cut")).alias(gone), F.col("left").alias(left)), "cuts")
+    for table in read:
+        discard(table)
     same = docs["doc_id"].cast("long").eqNullSafe(cuts[own]) & (F.xxhash64(docs["text"]) == cuts[key])
     joined = docs.join(cuts, same, "left").filter(F.coalesce(left, F.lit(True)))
     stays = F.filter(F.split("text", "\n"), lambda x, k: ~F.coalesce(F.get(F.col(gone), k), F.lit(False)))
