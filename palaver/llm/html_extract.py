@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import store
+from .tables import discard, store
 
 #: A line on fewer different pages of a host is not common there.
 FEW = 3
@@ -299,10 +299,10 @@ def _beyond(ends: list) -> list[tuple]:
     return out
 
 
-def neighbours(light: DataFrame) -> DataFrame:
+def neighbours(light: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The nearest pages of other content before and after each row by path: structs ``before`` and ``after``.
 
-    ``light`` has distinct ``host``, ``path``, ``content`` and with them ``hashes``.
+    ``light`` has distinct ``host``, ``path``, ``content`` and with them ``hashes``.  Also returns the stored table that is read.
     """
     spark = light.sparkSession
     laid = store(light.repartitionByRange("host", "path", "content").withColumn("part", F.spark_partition_id()), "html_ranges")
@@ -321,7 +321,7 @@ def neighbours(light: DataFrame) -> DataFrame:
     split = laid.select("host", "part").distinct().groupBy("host").count().filter("count > 1").select("host")
     beyond = spark.createDataFrame(_beyond(ends.join(split, "host").collect()), f"host string, part int, earlier {_PAGE}, later {_PAGE}")
     near = near.join(F.broadcast(beyond), ["host", "part"], "left")
-    return near.withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")}).drop("earlier", "later", "part")
+    return near.withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")}).drop("earlier", "later", "part"), laid
 
 
 def common_lines(light: DataFrame) -> DataFrame:
@@ -378,12 +378,16 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["host", "path", "content", "loose", "marked"])
 
     raw = pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html")
-    parsed = store(raw.mapInArrow(parse, parsed_schema).withColumn("content", F.xxhash64("lines")), "html_pages")
+    parsed = store(raw.mapInArrow(parse, parsed_schema).withColumn("content", F.xxhash64("lines")), "html_pages", "zstd")
     hashes = F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes")
     light = parsed.filter(F.size("lines") > 0).select("host", "path", "content", hashes).dropDuplicates(["host", "path", "content"])
     light = store(light, "html_lines")
-    judged = neighbours(light).join(store(common_lines(light), "html_common"), "host", "left").select("host", "path", "content", "hashes", "before", "after", "common")
+    near, laid = neighbours(light)
+    common = store(common_lines(light), "html_common")
+    judged = near.join(common, "host", "left").select("host", "path", "content", "hashes", "before", "after", "common")
     judged = store(judged.mapInArrow(judge, "host string, path string, content long, loose array<boolean>, marked array<boolean>"), "html_verdicts")
+    for table in (light, laid, common):
+        discard(table)
 
     def stays(line: Column, i: Column) -> Column:
         zone, goes = F.get("zones", i), F.when(F.get("zones", i) == ARTICLE, F.get("marked", i)).otherwise(F.get("loose", i))

@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     It cuts the lineage (a lost executor costs a re-read, not a recomputation), keeps the
@@ -46,7 +46,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palaver/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
