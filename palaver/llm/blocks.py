@@ -136,12 +136,13 @@ PIVOTS = 4
 _PLACED = "group", "block", "asks", "label", "id"
 
 
-def linked_components(members: DataFrame, block: int, columns: list[str], linker: Callable, chunk: dict) -> DataFrame:
+def linked_components(members: DataFrame, block: int, columns: list[str], linker: Callable, chunk: dict, pairs: Callable | None = None) -> DataFrame:
     """Components (``id``, ``component``) of the links between members of the same group.
 
     ``members`` has ``group``, ``id`` and ``members`` (the group's size), and the ``columns`` that
     ``linker`` needs: given those of one group's rows as Arrow arrays, it returns the function
-    ``linked(i, rows)``.  An id may be in several groups.
+    ``linked(i, rows)``.  ``pairs`` tells the same of many groups of two at once: given the columns of all rows and the
+    places of the firsts and of the seconds, which pairs link.  An id may be in several groups.
 
     Groups of more than ``block`` members are cut into blocks, each held against itself and against
     a few pivots, so that a group of near copies comes together with work in proportion to its size.
@@ -155,7 +156,7 @@ def linked_components(members: DataFrame, block: int, columns: list[str], linker
     by_hash = Window.partitionBy("group").orderBy(F.xxhash64("id"), "id")
     pivots = large.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= PIVOTS)
     spread = pivots.select("group", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"), F.lit(True).alias("asks"), none.alias("label"), "id", *columns)
-    first = _linked(plain.unionAll(spread), linker, chunk)
+    first = _linked(plain.unionAll(spread), linker, chunk, pairs)
     if large.select("group").isEmpty():
         return components(first)
     found = components(first)
@@ -179,15 +180,20 @@ def linked_components(members: DataFrame, block: int, columns: list[str], linker
     return out
 
 
-def _linked(placed: DataFrame, linker: Callable, chunk: dict) -> DataFrame:
+def _linked(placed: DataFrame, linker: Callable, chunk: dict, pairs: Callable | None = None) -> DataFrame:
     rows = dealt(placed.withColumn("block", F.col("block").cast("long")), ["group", "block"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bounds in whole_groups(batches, 2, **chunk):
             ids = np.asarray(part.column(4))
             found: list[tuple[int, int]] = []
+            least = 2
+            if pairs is not None:
+                two = bounds[:-1][np.diff(bounds) == 2]
+                two = two[pairs(*part.columns[len(_PLACED) :], two, two + 1)]
+                found, least = [(i, i + 1) for i in two.tolist()], 3
             for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if stop - start < 2:
+                if stop - start < least:
                     continue
                 own = part.slice(start, stop - start)
                 linked = linker(*own.columns[len(_PLACED) :])
@@ -196,7 +202,7 @@ def _linked(placed: DataFrame, linker: Callable, chunk: dict) -> DataFrame:
                 else:
                     edges = links_across(np.asarray(own.column(3)), np.flatnonzero(np.asarray(own.column(2))), linked)
                 found += [(start + i, start + j) for i, j in edges]
-            pairs = np.array(found, np.int64).reshape(-1, 2)
-            yield star_edges(ids, pairs[:, 0], pairs[:, 1])
+            links = np.array(found, np.int64).reshape(-1, 2)
+            yield star_edges(ids, links[:, 0], links[:, 1])
 
     return rows.mapInArrow(link, "a long, b long").distinct()

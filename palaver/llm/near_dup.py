@@ -143,17 +143,16 @@ def sketch_clumps(classes: DataFrame, threshold: float) -> DataFrame:
     shared = exploded.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1")
     members = exploded.join(shared, "group").join(classes.select("id", "n", "sketch"), "id")
 
-    def linker(sizes: pa.Array, sketches: pa.Array) -> Callable:
+    def pairs(sizes: pa.Array, sketches: pa.Array, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
         n = np.asarray(sizes)
         bits = np.asarray(sketches.flatten()).view(np.uint64).reshape(-1, words)
+        fits = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
+        return fits & (np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= most)
 
-        def linked(i: int, rows: np.ndarray) -> np.ndarray:
-            fits = np.minimum(n[rows], n[i]) >= threshold * np.maximum(n[rows], n[i])
-            return fits & (np.bitwise_count(bits[rows] ^ bits[i]).sum(axis=1) <= most)
-
-        return linked
+    def linker(sizes: pa.Array, sketches: pa.Array) -> Callable:
+        return lambda i, rows: pairs(sizes, sketches, i, rows)
 
-    return linked_components(members, SKETCH_BLOCK, ["n", "sketch"], linker, {})
+    return linked_components(members, SKETCH_BLOCK, ["n", "sketch"], linker, {}, pairs)
 
 
 def exact_groups(docs: DataFrame, classes: DataFrame, clumps: DataFrame, width: int, threshold: float) -> DataFrame:

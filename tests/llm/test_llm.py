@@ -371,10 +371,10 @@ def test_large_groups_are_worked_through_in_proportion(odd_docs, monkeypatch):
     sent = []
     linked = blocks._linked
 
-    def counted(placed, linker, chunk):
+    def counted(placed, *rest):
         placed = placed.cache()
         sent.append(placed.count())
-        return linked(placed, linker, chunk)
+        return linked(placed, *rest)
 
     monkeypatch.setattr(blocks, "_linked", counted)
     totals = []
