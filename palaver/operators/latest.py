@@ -6,8 +6,14 @@ row that sorts last by all its columns stands, so results do not depend on the p
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dedup_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -56,17 +62,58 @@ def snapshot_changes(df: DataFrame, key: str, order: str, watched: list[str]) ->
     return marked.filter("changed").drop("changed")
 
 
+def _digests(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hashes sorted rows (``width`` group columns, pair, whether the group begins) group after group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, begun = None, hashlib.sha256(), False
+
+        def closed(keys: list[pa.RecordBatch], values: list[str]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(keys).combine_chunks()
+            return rows.append_column("fingerprint", pa.array(values, pa.string())).to_batches()[0]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group, pairs = batch.select(list(range(width))), batch.column(width).to_pylist()
+            starts = np.flatnonzero(batch.column(width + 1).to_numpy(zero_copy_only=False)).tolist()
+            keys, values = [], []
+            ends = [*starts, batch.num_rows]
+            for at, end, fresh in zip([0, *starts], ends, [False, *[True] * len(starts)], strict=True):
+                if fresh:
+                    if key is not None:
+                        keys.append(key)
+                        values.append(digest.hexdigest())
+                    key, digest, begun = group.slice(at, 1), hashlib.sha256(), False
+                told = [p for p in pairs[at:end] if p is not None]
+                if told:
+                    digest.update(("|" * begun + "|".join(told)).encode())
+                    begun = True
+            if keys:
+                yield closed(keys, values)
+        if key is not None:
+            yield closed([key], [digest.hexdigest()])
+
+    return run
+
+
 def set_fingerprint(df: DataFrame, group: list[str], member: str, version: str) -> DataFrame:
     """SHA-256 of a group's sorted ``id:version`` pairs; it does not depend on their order.
 
-    ``version`` is a timestamp (null: empty); it is written in UTC with 100 ns digits.
+    ``version`` is a timestamp (null: empty); it is written in UTC with 100 ns digits.  Null ids are left out.
+    The hash of a sequence asks for one task a group: its rows are sorted (with spilling) and hashed as they
+    pass, so memory does not grow with the group.
     """
     stamp = F.coalesce(F.date_format(version, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0+00:00'"), F.lit(""))
-    parts = F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(member).alias("id"), stamp.alias("v")))),
-        lambda p: F.concat(p["id"].cast("string"), F.lit(":"), p["v"]),
+    w = Window.partitionBy(*group).orderBy("__id", "__stamp")
+    rows = df.select(*group, F.col(member).alias("__id"), stamp.alias("__stamp"))
+    marked = rows.select(
+        *group,
+        F.concat(F.col("__id").cast("string"), F.lit(":"), F.col("__stamp")).alias("__pair"),
+        F.lag(F.lit(True)).over(w).isNull().alias("__first"),
     )
-    return df.groupBy(*group).agg(F.sha2(F.array_join(parts, "|"), 256).alias("fingerprint"))
+    fields = [T.StructField(f.name, f.dataType) for f in marked.schema.fields[: len(group)]]
+    return marked.mapInArrow(_digests(len(group)), T.StructType([*fields, T.StructField("fingerprint", T.StringType())]))
 
 
 def fingerprint_changes(df: DataFrame, key: str, at: str, value: str = "fingerprint") -> DataFrame:

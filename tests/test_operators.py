@@ -73,6 +73,25 @@ def test_fingerprint_ignores_order(spark):
         assert got["c"] == hashlib.sha256(b"1:").hexdigest()
 
 
+def test_fingerprint_of_groups_longer_than_a_batch(spark):
+    """A group's hash goes on over batches; null ids are left out, null groups are groups, and other columns may clash."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        ids = spark.range(5000, numPartitions=7).select(
+            F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 50 == 1, F.col("id")).otherwise(-1).alias("g"),
+            F.when(F.col("id") % 11 > 0, F.col("id")).alias("id"), F.lit(None).cast("timestamp").alias("v"), F.lit("x").alias("fingerprint"),
+        )
+        members: dict = {}
+        for r in ids.collect():
+            members.setdefault(r["g"], []).append(r["id"])
+        wanted = {g: hashlib.sha256("|".join(f"{x}:" for x in sorted(x for x in xs if x is not None)).encode()).hexdigest() for g, xs in members.items()}
+        got = latest.set_fingerprint(ids, ["g"], "id", "v").collect()
+        assert len(got) == len(wanted) and {r["g"]: r["fingerprint"] for r in got} == wanted
+        assert latest.set_fingerprint(ids.filter("false"), ["g"], "id", "v").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_dedup_last(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 3), (1, "c", 2), (2, "x", 1), (2, None, 1)], "k long, v string, seq long")
     assert {(r["k"], r["v"]) for r in latest.dedup_last(df, ["k"], "seq").collect()} == {(1, "b"), (2, "x")}
