@@ -136,52 +136,58 @@ PIVOTS = 4
 _PLACED = "group", "block", "asks", "label", "id"
 
 
-def linked_components(members: DataFrame, block: int, columns: list[str], linker: Callable, chunk: dict, pairs: Callable | None = None) -> DataFrame:
+def linked_components(members: DataFrame, block: int, attach: Callable[[DataFrame], DataFrame], columns: list[str], linker: Callable, chunk: dict, pairs: Callable | None = None) -> DataFrame:
     """Components (``id``, ``component``) of the links between members of the same group.
 
-    ``members`` has ``group``, ``id`` and ``members`` (the group's size), and the ``columns`` that
-    ``linker`` needs: given those of one group's rows as Arrow arrays, it returns the function
-    ``linked(i, rows)``.  ``pairs`` tells the same of many groups of two at once: given the columns of all rows and the
-    places of the firsts and of the seconds, which pairs link.  An id may be in several groups.
+    ``members`` is a stored table of ``group``, ``id`` and ``members`` (the group's size); ``attach`` joins to rows with
+    an ``id`` the ``columns`` that ``linker`` needs: given those of one group's rows as Arrow arrays, it returns the
+    function ``linked(i, rows)``.  ``pairs`` tells the same of many groups of two at once: given the columns of all rows
+    and the places of the firsts and of the seconds, which pairs link.  An id may be in several groups.
 
     Groups of more than ``block`` members are cut into blocks, each held against itself and against
     a few pivots, so that a group of near copies comes together with work in proportion to its size.
     Then only members that are still apart from the greater part of their group meet all its blocks: no
     link is left out, and where most is linked few rows are sent twice.
+
+    Members are dealt to blocks by their ids alone; the columns are joined once, and a row is
+    repeated for its blocks only after that.
     """
-    n = F.ceil(F.col("members") / F.lit(float(block))).cast("int")
-    none = F.lit(None).cast("long")
-    plain = members.select("group", F.pmod(F.xxhash64("id"), n).cast("int").alias("block"), F.lit(True).alias("asks"), none.alias("label"), "id", *columns)
+    n = F.ceil(F.col("members") / F.lit(float(block))).cast("long")
+    own = F.pmod(F.xxhash64("id"), n)
+    no_label = F.lit(None).cast("long").alias("label")
     large = members.filter(F.col("members") > block)
-    by_hash = Window.partitionBy("group").orderBy(F.xxhash64("id"), "id")
-    pivots = large.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= PIVOTS)
-    spread = pivots.select("group", F.explode(F.sequence(F.lit(0), n - 1)).alias("block"), F.lit(True).alias("asks"), none.alias("label"), "id", *columns)
-    first = _linked(plain.unionAll(spread), linker, chunk, pairs)
-    if large.select("group").isEmpty():
-        return components(first)
-    found = components(first)
+    some_large = not large.isEmpty()
+    placed = members.select("group", F.array(own).alias("blocks"), F.lit(True).alias("asks"), no_label, "id")
+    if some_large:
+        by_hash = Window.partitionBy("group").orderBy(F.xxhash64("id"), "id")
+        pivots = large.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= PIVOTS)
+        placed = placed.unionAll(pivots.select("group", F.sequence(F.lit(0).cast("long"), n - 1), F.lit(True), no_label, "id"))
+    found = components(_linked(attach(placed), columns, linker, chunk, pairs))
+    if not some_large:
+        return found
     label = F.coalesce("component", large["id"])
-    apart = large.select("group", "id", "members").join(found, "id", "left").select("group", large["id"], "members", label.alias("label"))
+    apart = large.join(found, "id", "left").select("group", large["id"], "members", label.alias("label"))
     sizes = apart.groupBy("group", "label").agg(F.count("*").alias("n"))
     main = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     main = store(main.filter("most < all"), "split_groups")
+    if main.isEmpty():
+        discard(main)
+        return found
     split = apart.join(main, "group").withColumn("asks", F.col("label") != F.col("main"))
-    rows = split.join(large.select("group", "id", *columns), ["group", "id"])
-    asking, own = F.ceil((F.col("all") - F.col("most")) / F.lit(float(block))).cast("int"), F.pmod(F.xxhash64("id"), n).cast("int")
-    asked_by = F.pmod(F.xxhash64("id", F.lit(1)), asking).cast("int")
-    pair = lambda a, b: (a.cast("long") * n.cast("long") + b.cast("long")).alias("block")
-    every = lambda k: F.explode(F.sequence(F.lit(0), k - 1)).alias("other")
-    told = rows.select("*", every(asking)).select("group", pair(F.col("other"), own), F.lit(False).alias("asks"), "label", "id", *columns)
-    asks = rows.filter("asks").select("*", every(n)).select("group", pair(asked_by, F.col("other")), F.lit(True).alias("asks"), "label", "id", *columns)
-    across = _linked(told.unionAll(asks), linker, chunk)
+    asking = F.ceil((F.col("all") - F.col("most")) / F.lit(float(block))).cast("long")
+    asked_by = F.pmod(F.xxhash64("id", F.lit(1)), asking)
+    every = lambda k, at: F.transform(F.sequence(F.lit(0).cast("long"), k - 1), at).alias("blocks")
+    told = split.select("group", every(asking, lambda other: other * n + own), F.lit(False).alias("asks"), "label", "id")
+    asks = split.filter("asks").select("group", every(n, lambda other: asked_by * n + other), F.lit(True).alias("asks"), "label", "id")
+    across = _linked(attach(told.unionAll(asks)), columns, linker, chunk)
     out = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(across))
     discard(found)
     discard(main)
     return out
 
 
-def _linked(placed: DataFrame, linker: Callable, chunk: dict, pairs: Callable | None = None) -> DataFrame:
-    rows = dealt(placed.withColumn("block", F.col("block").cast("long")), ["group", "block"])
+def _linked(placed: DataFrame, columns: list[str], linker: Callable, chunk: dict, pairs: Callable | None = None) -> DataFrame:
+    rows = dealt(placed.select("group", F.explode("blocks").alias("block"), "asks", "label", "id", *columns), ["group", "block"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bounds in whole_groups(batches, 2, **chunk):
@@ -205,4 +211,4 @@ def _linked(placed: DataFrame, linker: Callable, chunk: dict, pairs: Callable |
             links = np.array(found, np.int64).reshape(-1, 2)
             yield star_edges(ids, links[:, 0], links[:, 1])
 
-    return rows.mapInArrow(link, "a long, b long").distinct()
+    return rows.mapInArrow(link, "a long, b long")

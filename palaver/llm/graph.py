@@ -22,9 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
         pairs.select("b", F.lit(None).cast("long"), F.lit(1))
     )
     nodes = ends.groupBy("id").agg(F.count("least").alias("above"), F.sum("below").alias("below"), F.min("least").alias("least"))
+    nodes = store(nodes.filter("above > 0"), "nodes")
     leaf = (F.col("above") == 1) & (F.col("below") == 0)
-    leaves = store(nodes.filter(leaf).select(F.col("id").alias("a"), F.col("least").alias("b")), "leaves")
-    inner = nodes.filter(~leaf & (F.col("above") > 0)).select(F.col("id").alias("a"))
+    leaves = nodes.filter(leaf).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    inner = nodes.filter(~leaf).select(F.col("id").alias("a"))
     current = store(pairs.join(inner, "a", "left_semi"), "edges")
     discard(pairs)
     while not _settled(current):
@@ -45,15 +46,15 @@ def components(edges: DataFrame) -> DataFrame:
     roots = told.select(F.col("component").alias("id")).distinct().withColumn("component", F.col("id"))
     out = store(told.unionAll(roots), "components")
     discard(current)
-    discard(leaves)
+    discard(nodes)
     return out
 
 
 def _settled(edges: DataFrame) -> bool:
     """Whether the edges are stars: every node links to one root, and no root links on."""
-    several = edges.groupBy("a").count().filter("count > 1").select(F.col("a").alias("b"))
-    onward = edges.select("b").join(edges.select(F.col("a").alias("b")), "b", "left_semi")
-    return several.unionAll(onward).limit(1).count() == 0
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return edges.isEmpty() or nodes.filter("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def _pairs(edges: DataFrame) -> DataFrame:

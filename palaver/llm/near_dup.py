@@ -141,7 +141,7 @@ def sketch_clumps(classes: DataFrame, threshold: float) -> DataFrame:
     most, words = largest_distance(threshold), SKETCH_BITS // 64
     exploded = classes.select(F.explode("bands").alias("group"), "id")
     shared = exploded.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1")
-    members = exploded.join(shared, "group").join(classes.select("id", "n", "sketch"), "id")
+    members = store(exploded.join(shared, "group"), "bucket_members")
 
     def pairs(sizes: pa.Array, sketches: pa.Array, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
         n = np.asarray(sizes)
@@ -152,7 +152,10 @@ def sketch_clumps(classes: DataFrame, threshold: float) -> DataFrame:
     def linker(sizes: pa.Array, sketches: pa.Array) -> Callable:
         return lambda i, rows: pairs(sizes, sketches, i, rows)
 
-    return linked_components(members, SKETCH_BLOCK, ["n", "sketch"], linker, {}, pairs)
+    attach = lambda rows: rows.join(classes.select("id", "n", "sketch"), "id")
+    found = linked_components(members, SKETCH_BLOCK, attach, ["n", "sketch"], linker, {}, pairs)
+    discard(members)
+    return found
 
 
 def exact_groups(docs: DataFrame, classes: DataFrame, clumps: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -161,12 +164,15 @@ def exact_groups(docs: DataFrame, classes: DataFrame, clumps: DataFrame, width:
     ``classes``: ``id`` and its first document's ``doc_id``, ``text_key``; ``clumps``: ``id``, ``component``.
     """
     sizes = clumps.groupBy("component").agg(F.count("*").alias("members"))
-    members = clumps.join(sizes, "component").join(classes.select("id", "doc_id", "text_key"), "id")
-    members = members.select("id", F.col("component").alias("group"), "members", F.col("doc_id").alias("first_doc"), F.col("text_key").alias("first_key"))
+    members = store(clumps.join(sizes, "component").select(F.col("component").alias("group"), "id", "members"), "clump_members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    same = (texts["doc_id"] == members["first_doc"]) & (texts["text_key"] == members["first_key"])
-    # equal rows of a document would be members twice: the pair of equal ids links nothing
-    held = texts.join(members, same).select("group", "id", "members", "text")
+    firsts = classes.select("id", F.col("doc_id").alias("first_doc"), F.col("text_key").alias("first_key"))
+
+    def attach(rows: DataFrame) -> DataFrame:
+        # equal rows of a document become members twice: the pair of equal ids links nothing
+        named = rows.join(firsts, "id")
+        return texts.join(named, (texts["doc_id"] == named["first_doc"]) & (texts["text_key"] == named["first_key"]))
+
     percent = round(threshold * 100)
 
     def linker(texts: pa.Array) -> Callable:
@@ -185,7 +191,9 @@ def exact_groups(docs: DataFrame, classes: DataFrame, clumps: DataFrame, width:
 
         return linked
 
-    return linked_components(held, SET_BLOCK, ["text"], linker, {"rows": 2000, "size": 2 << 20})
+    found = linked_components(members, SET_BLOCK, attach, ["text"], linker, {"rows": 2000, "size": 2 << 20})
+    discard(members)
+    return found
 
 
 _SET = ["set_a", "set_b", "n_shingles"]
