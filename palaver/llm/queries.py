@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, chat_format, decontaminate, hard_negatives, html_extract, language_id, line_dedup, near_dup, packing, sharding, token_count
+from . import ann_tree, chat_format, collocations, decontaminate, hard_negatives, html_extract, language_id, line_dedup, near_dup, packing, sharding, token_count
 from .tables import read_table
 
 
@@ -65,6 +65,10 @@ def op11_rtree_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine_embeddings(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_tiled_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), least=10, limit=2_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_odd_sketch_near_dup": op9_odd_sketch_near_dup,
     "op10_html_extract": op10_html_extract,
     "op11_rtree_hard_negatives": op11_rtree_hard_negatives,
+    "op13_tiled_collocations": op13_tiled_collocations,
 }
 
 #: SQL for those of the queries that it can express at whole-table cost.
@@ -111,4 +116,31 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, p
   vec_id AS negative_id, positive_score, score AS negative_score
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10""",
+    "op13_tiled_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+f1 AS (SELECT lang, x, count(*) AS n FROM (SELECT lang, unnest(ws) AS x FROM w) GROUP BY 1, 2),
+f2 AS (SELECT lang, g.x, g.y, count(*) AS n
+  FROM (SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: {'x': ws[i], 'y': ws[i + 1]})) AS g FROM w) GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+f3 AS (SELECT lang, g.x, g.y, g.z, count(*) AS n
+  FROM (SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: {'x': ws[i], 'y': ws[i + 1], 'z': ws[i + 2]})) AS g FROM w) GROUP BY 1, 2, 3, 4 HAVING count(*) >= 10),
+cuts AS (
+  SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, f2.n AS a, 1 AS k, l.n AS l, r.n AS r
+  FROM f2 JOIN f1 l ON l.lang = f2.lang AND l.x = f2.x JOIN f1 r ON r.lang = f2.lang AND r.x = f2.y
+  WHERE NOT EXISTS (FROM f3 WHERE f3.lang = f2.lang AND f3.x = f2.x AND f3.y = f2.y AND 100 * f3.n >= 50 * f2.n)
+    AND NOT EXISTS (FROM f3 WHERE f3.lang = f2.lang AND f3.y = f2.x AND f3.z = f2.y AND 100 * f3.n >= 50 * f2.n)
+  UNION ALL
+  SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.n, 1, l.n, r.n
+  FROM f3 JOIN f1 l ON l.lang = f3.lang AND l.x = f3.x JOIN f2 r ON r.lang = f3.lang AND r.x = f3.y AND r.y = f3.z
+  UNION ALL
+  SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.n, 2, l.n, r.n
+  FROM f3 JOIN f2 l ON l.lang = f3.lang AND l.x = f3.x AND l.y = f3.y JOIN f1 r ON r.lang = f3.lang AND r.x = f3.z),
+best AS (
+  SELECT lang, phrase, a, l, r, CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score
+  FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f1 GROUP BY 1)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, total.n, score
+FROM best JOIN total ON total.lang = best.lang QUALIFY rank <= 2000""",
 }

@@ -17,8 +17,8 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 
 _libc = ctypes.CDLL(None)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] = _LOWER[97:123]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] = LOWER[97:123]
 _INSIDE = np.ones(256, bool)
 _INSIDE[[0x20, *range(0x09, 0x0E)]] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -68,10 +68,10 @@ def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
-def word_bounds(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words; a text's bound ends a word."""
+def word_bounds(raw: np.ndarray, bounds: np.ndarray, kept: np.ndarray = _INSIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of ``kept`` bytes); a text's bound ends a word."""
     inside = np.zeros(len(raw) + 2, bool)
-    np.take(_INSIDE, raw, out=inside[1:-1])
+    np.take(kept, raw, out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     split = bounds[inside[bounds] & inside[bounds + 1]]  # a text begins where another's word would go on
@@ -86,7 +86,7 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     if not len(starts):
         return np.zeros(0, np.uint64)
     low = np.zeros(len(raw) + 8, np.uint8)
-    np.take(_LOWER, raw, out=low[: len(raw)])
+    np.take(LOWER, raw, out=low[: len(raw)])
     eight = np.ndarray(len(raw) + 1, "<u8", low, strides=(1,))  # the eight bytes from each place on
     size = ends - starts
     out = mix(eight[starts] & _FIRST[np.minimum(size, 8)])
