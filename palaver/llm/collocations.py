@@ -41,7 +41,7 @@ from .words import LOWER, mix, settle, string_buffers, word_bounds
 #: Bytes of text of a chunk, and of all chunks that a task gathers at once.
 CHUNK_BYTES, GATHERED_BYTES = 8 << 20, 32 << 20
 #: Occurrences that a task counts at once.
-BUFFER = 1 << 22
+BUFFER = 1 << 21
 #: Side of a tile; tiles (i, j) with (i + 1) * (j + 1) up to ``DENSE`` are counted densely.
 TILE, DENSE = 256, 16
 #: Bits (as a power of two) of the table of frequent pairs, and pairs that are ranked anew for dense tiles.
