@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_tree, chat_format, collocations, decontaminate, hard_negatives, html_extract, language_id, line_dedup, near_dup, packing, sharding, token_count
+from . import ann_tree, chat_format, collocations, decontaminate, hard_negatives, html_extract, language_id, line_dedup, near_dup, packing, sharding, token_count, toxicity
 from .tables import read_table
 
 
@@ -65,6 +65,10 @@ def op11_rtree_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine_embeddings(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op13_tiled_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"), least=10, limit=2_000)
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_odd_sketch_near_dup": op9_odd_sketch_near_dup,
     "op10_html_extract": op10_html_extract,
     "op11_rtree_hard_negatives": op11_rtree_hard_negatives,
+    "op12_gru_toxicity": op12_gru_toxicity,
     "op13_tiled_collocations": op13_tiled_collocations,
 }
 
