@@ -18,8 +18,8 @@ model by the sample.  Scoring is one pass over all texts without a shuffle: the
 worked out once for about a megabyte of text, and windows run through the network in batches of fixed size.
 
 Edge cases: null and empty texts, and those without a word, score as a window without words does; whole texts are scored, however
-long; labels other than 0 and 1 are left out, as are those of unknown documents, and a document with several labels counts with each; without labels of
-both kinds every score is the known labels' mean (0 without any); repeated rows are scored again.
+long; labels other than 0 and 1 are left out, as are those of unknown documents; a document with both labels counts with each, an id that
+repeats by its smallest text; without labels of both kinds every score is the known labels' mean (0 without any); repeated rows are scored again.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import store
 from .words import LOWER, hash_spans, mix, settle, slices, string_buffers, word_bounds
 
 #: The bound of the sample: labelled documents of each kind, and the longest that is taken.
@@ -419,16 +418,21 @@ def calibrate(logit: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds:
     return max(float(theta[0]), 1e-3), float(theta[1])
 
 
-def learn(labelled: DataFrame) -> Model:
-    """Learns from the columns ``text`` and ``toxic`` (0 or 1) of a bounded sample of rows, drawn by a hash of ``doc_id``."""
-    usable = labelled.filter(F.col("toxic").isin(0, 1) & (F.length("text") <= SAMPLE_CHARS))
+def learn(documents: DataFrame, labels: DataFrame) -> Model:
+    """Learns from the columns ``doc_id``, ``text`` and ``toxic`` (0 or 1) of a bounded sample of labels, drawn by a hash of their ids.
+
+    Only the sample's ids meet the texts, and are few enough to be sent to them.
+    """
+    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return Model(float(max(counts, default=0)))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 30))
     share = [min(1.0, bound / counts[k]) for k, bound in ((0, SAMPLE_CLEAN), (1, SAMPLE_TOXIC))]
     taken = usable.filter(draw < F.when(F.col("toxic") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30))))
-    rows = taken.select(F.xxhash64("doc_id").alias("at"), "text", F.col("toxic").cast("int").alias("toxic")).toArrow().sort_by([("at", "ascending"), ("text", "ascending"), ("toxic", "ascending")])
+    texts = documents.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(taken), "doc_id")
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("at", F.xxhash64("doc_id")).toArrow()
+    rows = rows.sort_by([("at", "ascending"), ("toxic", "ascending")])
     label = np.asarray(rows["toxic"], np.int64)
     if len(np.unique(label)) < 2:
         return Model(counts[1] / (counts[0] + counts[1]))
@@ -458,7 +462,5 @@ def held_out() -> Column:
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Learns from the labelled documents that are not held out, and scores all; toxic from 0.3 on."""
-    own = labels.filter(~held_out()).select("doc_id", "toxic")
-    labelled = store(documents.select("doc_id", "text").join(own, "doc_id"), "labelled")
-    scored = score(documents, learn(labelled))
+    scored = score(documents, learn(documents, labels.filter(~held_out())))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
