@@ -152,6 +152,29 @@ def _(t: Tables):
     return Y.timeouts(t.facts, "entity_id", "ts", pending=("signup", "view"))
 
 
+def _timer_facts(t: Tables):
+    stream = jobs.parquet_stream(t.spark, f"{t.sf_dir}/events.parquet").selectExpr(*views.VIEWS["facts"][1])
+    return stream.select("entity_id", "seq", "kind", F.col("ts").alias("at"))
+
+
+@query(
+    "stream_timeouts", ("facts",),
+    "SELECT entity_id, seq, ts + INTERVAL '30' SECOND AS timeout_at FROM (SELECT *, lead(ts) OVER (PARTITION BY entity_id ORDER BY ts, seq) AS n FROM facts) WHERE kind IN ('signup', 'view') AND (n IS NULL OR n > ts + INTERVAL '30' SECOND)",
+)
+def _(t: Tables):
+    timers = jobs.timer_stream(_timer_facts(t), "entity_id", sets=("signup", "view"), seconds=30)
+    return timers.filter("status <> 'cancelled'").select("entity_id", "seq", F.col("due").alias("timeout_at"))
+
+
+@query(
+    "stream_polls", ("facts",),
+    "SELECT entity_id, seq, ts + INTERVAL '5' MINUTE AS due FROM (SELECT *, lead(ts) OVER (PARTITION BY entity_id ORDER BY ts, seq) AS n FROM facts WHERE kind = 'view') WHERE n IS NULL OR n > ts + INTERVAL '5' MINUTE",
+)
+def _(t: Tables):
+    timers = jobs.timer_stream(_timer_facts(t), "entity_id", sets=("view",), seconds=300, cancels=False)
+    return timers.filter("status <> 'cancelled'").select("entity_id", "seq", "due")
+
+
 _GUILD_STATES = "SELECT o_custkey AS entity_id, CASE o_orderstatus WHEN 'P' THEN 'Syncing' WHEN 'F' THEN 'Enriched' ELSE 'Faulted' END AS state, CAST(o_orderdate AS TIMESTAMP) AS last_synced, o_orderkey % 5 <> 0 AS is_present, o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN 'm1' WHEN 1 THEN 'm2' END AS model FROM orders"
 
 

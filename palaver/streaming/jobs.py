@@ -11,20 +11,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 from ..operators import filters, latest, lifecycle, payloads, rollups, tokens
 from ..operators.ingest import parse_lines
 from ..plans import views
 from ..sources.capture import checked
 from ..sources.shared import discard, finished, scratch
+from . import keyed
 
-__all__ = ["hourly_stream", "lifecycle_stream", "next_poll", "project_stream", "replay_stream", "scratch", "start_projection"]
+__all__ = ["hourly_stream", "lifecycle_stream", "next_poll", "project_stream", "replay_stream", "scratch", "start_projection", "timer_stream"]
 
 #: A query's lateness bound: later rows are left to the rollup's repair.
 WATERMARK = "1 hour"
-#: Every so many batches the state of a lifecycle is written whole; the others write what they changed.
-WHOLE_STATE = 16
+#: Batches of a keyed job's log beyond which it is merged when it is read.
+MERGED_AFTER = 32
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str, every: str | None = None) -> StreamingQuery:
@@ -106,46 +109,77 @@ def replay_stream(spark: SparkSession, path: str, folder: str | None = None) ->
     return _read(spark, f"{folder}/records", records).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def _states(spark: SparkSession, path: str, key: str, before: int | None = None) -> DataFrame | None:
-    """The states after all batches (before one, if given): each key's newest row since the last whole state."""
-    parts = [k for k in finished(spark, path, "batch") if before is None or k < before]
-    if not parts:
-        return None
-    parts = [k for k in parts if k >= parts[-1] - parts[-1] % WHOLE_STATE]
-    rows = [spark.read.parquet(f"{path}/batch={k}").withColumn("_batch", F.lit(k)) for k in parts]
-    every = rows[0]
-    for more in rows[1:]:
-        every = every.unionByName(more)
-    return latest.dedup_last(every, [key], "_batch").drop("_batch")
-
-
-def lifecycle_stream(facts: DataFrame, key: str, rules: lifecycle.Transitions, folder: str | None = None) -> DataFrame:
-    """A lifecycle over a stream of facts; returns the states it ended with.
-
-    Each micro-batch folds its facts onto the states of its keys and writes those anew; every ``WHOLE_STATE``-th
-    batch writes all states, and what lies before the one before that is deleted.  All that a batch
-    needs lies in ``folder``, so a job that died goes on from there.  Facts must reach the stream in order by key.
+def _log(spark: SparkSession, path: str, empty: DataFrame, keys: list[str]) -> DataFrame:
+    """What a keyed job's batches wrote: the newest row by ``keys``.  A long log is first merged into one table."""
+    merged, parts = finished(spark, path, "merged"), finished(spark, path, "batch")
+    upto = merged[-1] if merged else -1
+    folders = [f"{path}/merged={upto}"] * bool(merged) + [f"{path}/batch={k}" for k in parts if k > upto]
+    if not folders:
+        return spark.createDataFrame([], empty.schema)
+    newest = latest.dedup_last(spark.read.schema(empty.schema).parquet(*folders), keys, "step")
+    if len(folders) <= MERGED_AFTER:
+        return newest
+    newest.write.mode("overwrite").parquet(f"{path}/merged={parts[-1]}")
+    for old in merged:
+        discard(spark, f"{path}/merged={old}")
+    for old in parts:
+        discard(spark, f"{path}/batch={old}")
+    return spark.read.schema(empty.schema).parquet(f"{path}/merged={parts[-1]}")
+
+
+def _keyed(facts: DataFrame, key: str, processor: StatefulProcessor, schema: StructType, keys: list[str], folder: str, delay: str) -> DataFrame:
+    """Runs a keyed job to its end; returns the newest of its rows by ``keys``."""
+    spark = facts.sparkSession
+    path, provider = f"{folder}/rows", "spark.sql.streaming.stateStore.providerClass"
+    grouped = facts.withWatermark("at", delay).groupBy(key)
+    rows = grouped.transformWithState(processor, outputStructType=schema, outputMode="Update", timeMode="EventTime")
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, STATE_STORE)
+    try:
+        writer = rows.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/offsets")
+        query = writer.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{path}/batch={k}")).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(provider, before)
+    query.awaitTermination()
+    return _log(spark, path, spark.createDataFrame([], schema), keys)
+
+
+def lifecycle_stream(
+    facts: DataFrame, key: str, rules: lifecycle.Transitions, folder: str | None = None, *, delay: str = WATERMARK, request: keyed.Request | None = None
+) -> DataFrame:
+    """A lifecycle over a stream of facts in keyed state; returns the states it ended with, as ``lifecycle.fold`` does.
+
+    Facts need ``seq``, ``kind`` and ``at``, their event time, and may come in any order within ``delay``; later ones are
+    dropped.  With a ``request``, one that is not answered in time becomes a fact of kind ``timeout`` by an event-time timer.  State and offsets
+    lie in ``folder``: a job that died goes on from there, and a batch costs what its own keys cost.
     """
     spark = facts.sparkSession
-    folder = folder or scratch(spark, "states")
-    path = f"{folder}/states"
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        before = _states(session, path, key, batch_id)
-        own = None if before is None else before.join(batch.select(key).distinct(), key, "left_semi")
-        after = lifecycle.fold(batch, key, rules, own)
-        if before is not None and batch_id % WHOLE_STATE == 0:
-            after = before.join(batch.select(key).distinct(), key, "left_anti").select(*after.columns).unionByName(after)
-        after.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        if batch_id % WHOLE_STATE == 0:
-            for old in finished(session, path, "batch"):
-                if old < batch_id - WHOLE_STATE:
-                    discard(session, f"{path}/batch={old}")
-
-    _start(facts, write, folder).awaitTermination()
-    states = _states(spark, path, key)
-    return states if states is not None else lifecycle.fold(spark.createDataFrame([], facts.schema), key, rules)
+    step = next(step for known, step in keyed.STEPS if known is rules)
+    like = lifecycle.fold(lifecycle.guild_facts(spark.createDataFrame([], facts.schema), key) if rules is lifecycle.GUILD else spark.createDataFrame([], facts.schema), key, rules)
+    start = spark.range(1).selectExpr(*[f"{field.start} AS {name}" for name, field in rules.items()]).first().asDict()
+    fields = [like.schema[name] for name in rules]
+    count = StructField("n_facts", IntegerType())
+    state = StructType([StructField("step", LongType()), StructField("deadline", TimestampType()), count, *fields])
+    out = StructType([like.schema[key], StructField("step", LongType()), count, *fields])
+    fact = StructType([f for f in facts.schema if f.name != key])
+    processor = keyed.Lifecycle(state, fact, out, step, start, request)
+    return _keyed(facts, key, processor, out, [key], folder or scratch(spark, "states"), delay).drop("step")
+
+
+def timer_stream(
+    facts: DataFrame, key: str, *, sets: tuple[str, ...], seconds: float, cancels: bool = True, folder: str | None = None, delay: str = WATERMARK
+) -> DataFrame:
+    """Timers that facts set, replace and cancel: ``key``, ``seq`` (unique by key), ``due`` and ``status``, the last known.
+
+    A status is ``cancelled`` (or replaced) by a fact in time, ``fired`` by one that came late or by the watermark, or ``open``.
+    """
+    spark = facts.sparkSession
+    facts = facts.select(key, "seq", "kind", "at")
+    due = [StructField("seq", facts.schema["seq"].dataType), StructField("due", TimestampType())]
+    state = StructType([StructField("step", LongType()), *due])
+    out = StructType([facts.schema[key], StructField("step", LongType()), *due, StructField("status", StringType())])
+    processor = keyed.Timers(state, StructType(facts.schema.fields[1:]), out, sets, seconds, cancels)
+    return _keyed(facts, key, processor, out, [key, "seq"], folder or scratch(spark, "timers"), delay).drop("step")
 
 
 def next_poll(results: DataFrame, key: str, at: str, minutes: int = 5) -> DataFrame:
