@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import render
+
 
 def resolve_channels(refs: DataFrame, channels: DataFrame) -> DataFrame:
     """Names for channel references (``ref_id``); one's own channel by ``home_name`` where given.
@@ -45,10 +47,15 @@ def hydrate(hits: DataFrame, messages: DataFrame) -> DataFrame:
     return hits.join(messages, "message_id")
 
 
-def message_lookup(messages: DataFrame, tags: DataFrame, channels: DataFrame, message_id: int) -> DataFrame:
-    """One message with its tags and channel label, or nothing."""
+def _viewed(messages: DataFrame, tags: DataFrame, channels: DataFrame, fmt: str | None, names: dict[str, DataFrame]) -> DataFrame:
+    labelled = label_channels(attach_tags(messages, tags), channels)
+    return labelled if fmt is None else render.render(labelled, channels, fmt=fmt, **names)
+
+
+def message_lookup(messages: DataFrame, tags: DataFrame, channels: DataFrame, message_id: int, *, fmt: str | None = None, **names: DataFrame) -> DataFrame:
+    """One message with its tags, channel label and, in a format, its body (``names``: ``users``, ``roles``); or nothing."""
     one = messages.filter(F.col("message_id") == message_id)
-    return label_channels(attach_tags(one, tags.filter(F.col("message_id") == message_id)), channels)
+    return _viewed(one, tags.filter(F.col("message_id") == message_id), channels, fmt, names)
 
 
 def recent_messages(messages: DataFrame, *, channel_id: int | None = None, count: int = 50) -> DataFrame:
@@ -59,3 +66,12 @@ def recent_messages(messages: DataFrame, *, channel_id: int | None = None, count
     rows = messages if channel_id is None else messages.filter(F.col("channel_id") == channel_id)
     w = Window.partitionBy("channel_id").orderBy(F.desc("created_at"), F.desc("message_id"))
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= count)
+
+
+def recent_view(
+    messages: DataFrame, tags: DataFrame, channels: DataFrame, *, channel_id: int | None = None, count: int = 50, fmt: str = "plain", **names: DataFrame
+) -> DataFrame:
+    """The newest messages of each channel, or of one, with tags, channel label and body in a format."""
+    recent = recent_messages(messages, channel_id=channel_id, count=count)
+    few = tags.join(recent.select("message_id"), "message_id", "left_semi")
+    return _viewed(recent, few, channels, fmt, names)

@@ -2,7 +2,8 @@
 
 A body is an ordered array of tokens: one ordered alternation finds the leftmost token, the first
 alternative that matches wins, and code is opaque.  The text between tokens are the gaps.
-Nesting of formats and quotes is not rebuilt: what readers need is order, existence and text.
+Nesting of formats and quotes is not rebuilt: what readers need is order, existence and text.  Format
+markers are paired over the whole body, with a stand-in for each token, so a pair may enclose tokens.
 """
 
 from __future__ import annotations
@@ -120,12 +121,46 @@ def quote_lines(content: Column) -> Column:
     return F.when(block != "", F.concat(lines, F.array(block))).otherwise(lines)
 
 
+#: Format markers, in the order in which they are tried.
+MARKERS = (r"\*\*\*", r"\*\*", r"\*", "__", "_", "~~", r"\|\|")
+#: Stand-ins while markers are paired: a token, the bounds of a pair that was found, a quoted line and a quote to the end.
+#: They are noncharacters of Unicode; a body's own become U+FFFD.
+_TOKEN, _OPEN, _CLOSE, _LINE, _BLOCK = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4"
+_INNER = f"[^{_OPEN}{_CLOSE}]"
+_SPAN = "|".join((f"({_BLOCK})({_INNER}+)", f"({_LINE})([^\n{_OPEN}{_CLOSE}]+)", *(f"{m}({_INNER}+?){m}" for m in MARKERS)))
+_INSIDE = "$1$3" + _OPEN + "".join(f"${k}" for k in (2, 4, *range(5, 5 + len(MARKERS)))) + _CLOSE
+#: A pair's inside holds no marker of its own kind, so pairs lie within each other no deeper than there are kinds, with two quotes.
+_DEPTH = len(MARKERS) + 2
+
+
+def _masked(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), _TOKEN + _OPEN + _CLOSE + _LINE + _BLOCK, "\ufffd" * 5)
+
+
+def _unmarked(text: Column) -> Column:
+    """Text without its paired markers: the leftmost one that has a partner first, then what is inside by itself."""
+    pairs = F.reduce(F.sequence(F.lit(1), F.lit(_DEPTH)), text, lambda x, _: F.regexp_replace(x, _SPAN, _INSIDE))
+    return F.when(text.rlike(r"[*_~|]"), F.regexp_replace(pairs, f"[{_OPEN}{_CLOSE}]", "")).otherwise(text)
+
+
 def strip_format(text: Column) -> Column:
-    """Text without its paired markers, the longest first; unpaired markers stay."""
-    out = text
-    for mark in (r"\*\*\*", r"\*\*", r"\*", "__", "_", "~~", r"\|\|"):
-        out = F.regexp_replace(out, f"(?s){mark}(.+?){mark}", "$1")
-    return out
+    """Text without its paired markers; unpaired markers stay, and a pair has something inside."""
+    return _unmarked(_masked(text))
+
+
+def plain_gaps(content: Column, *, every_line: bool = False) -> Column:
+    """The gaps without markers that are paired over the whole body, tokens standing in between.
+
+    A quoted line is a text of its own, and so is all that a ``>>> `` quotes, whose mark becomes ``> ``, at each of its lines if asked for.
+    """
+    body = F.array_join(F.transform(gaps(content), _masked), _TOKEN)
+    body = F.regexp_replace(F.regexp_replace(body, "(?<![^\n])>>> ", _BLOCK), "(?<![^\n])> ", _LINE)
+    body = _unmarked(body)
+    if every_line:
+        at = F.instr(body, _BLOCK)
+        quoted = F.replace(F.substr(body, at), F.lit("\n"), F.lit("\n> "))
+        body = F.when(at > 0, F.concat(F.substr(body, F.lit(1), at - 1), quoted)).otherwise(body)
+    return F.split(F.regexp_replace(body, f"[{_LINE}{_BLOCK}]", "> "), _TOKEN, -1)
 
 
 def flatten(content: Column, names: Column | None = None) -> Column:
@@ -133,7 +168,7 @@ def flatten(content: Column, names: Column | None = None) -> Column:
 
     ``names`` maps ``kind:id`` to a name.
     """
-    found, between = tokens(content), gaps(content)
+    found, between = tokens(content), plain_gaps(content)
 
     def text_of(t: Column) -> Column:
         key = F.concat_ws(":", t["kind"], t["ref_id"].cast("string"))
@@ -145,7 +180,7 @@ def flatten(content: Column, names: Column | None = None) -> Column:
             .when(t["kind"] == "custom_emoji", F.concat(F.lit(":"), t["name"], F.lit(":")))
             .when(t["kind"] == "code", F.concat(F.lit("\n"), code_content(t["raw"]), F.lit("\n")))
             .when(t["kind"] == "icode", code_content(t["raw"]))
-            .when((t["kind"] == "link") & (t["name"] != ""), F.concat(t["name"], F.lit(" ("), t["url"], F.lit(")")))
+            .when((t["kind"] == "link") & (t["name"] != ""), F.concat(strip_format(t["name"]), F.lit(" ("), t["url"], F.lit(")")))
             .when(t["kind"] == "link", t["url"])
             .when(
                 t["kind"] == "timestamp",
@@ -155,7 +190,7 @@ def flatten(content: Column, names: Column | None = None) -> Column:
         )
 
     parts = F.zip_with(
-        F.transform(between, strip_format),
+        between,
         F.transform(found, text_of),
         lambda gap, token: F.concat(gap, F.coalesce(token, F.lit(""))),
     )

@@ -206,14 +206,28 @@ def _(t: Tables):
     return dims.hydrate(hits, t.messages.select("message_id", "author_id"))
 
 
-@query("message_lookup", ("messages", "channels", "vectors"), "SELECT m.message_id, m.author_id, m.created_at, coalesce(c.name, CAST(m.channel_id AS STRING)) AS channel, coalesce(v.tag, '') AS tags, m.plain_text FROM messages m LEFT JOIN channels c ON c.channel_id = m.channel_id LEFT JOIN vectors v ON v.message_id * 1000 = m.message_id WHERE m.message_id = 5000")
+_BODY = """'@' || CAST(1 + m.conv_id % 7 AS STRING) || ' ' || m.plain_text || ' #' || coalesce(k.name, '<unknown channel>') || CASE WHEN turn % 3 = 0 THEN ' x = <@1>' ELSE ' https://example.com/a' END"""
+_SEEN = "coalesce(c.name, CAST(m.channel_id AS STRING)) AS channel, coalesce(v.tags, '') AS tags"
+_WITH = (
+    "LEFT JOIN channels c ON c.channel_id = m.channel_id LEFT JOIN channels k ON k.channel_id = m.conv_id % 30 "
+    "LEFT JOIN (SELECT message_id * 1000 AS message_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM vectors GROUP BY 1) v ON v.message_id = m.message_id"
+)
+
+
+def _tags(t: Tables):
+    return t.vectors.select((F.col("message_id") * 1000).alias("message_id"), "tag")
+
+
+@query("message_lookup", ("messages", "channels", "vectors"), f"SELECT m.message_id, m.author_id, m.created_at, {_SEEN}, m.plain_text, {_BODY} AS body FROM messages m {_WITH} WHERE m.message_id = 5000")
 def _(t: Tables):
-    tags = t.vectors.select((F.col("message_id") * 1000).alias("message_id"), "tag")
-    one = dims.message_lookup(t.messages, tags, t.channels, 5000)
-    return one.select("message_id", "author_id", "created_at", "channel", F.array_join("tags", ",").alias("tags"), "plain_text")
+    one = dims.message_lookup(t.messages, _tags(t), t.channels, 5000, fmt="plain")
+    return one.select("message_id", "author_id", "created_at", "channel", F.array_join("tags", ",").alias("tags"), "plain_text", "body")
 
 
-@query("recent_messages", ("messages", "channels"), "SELECT message_id, channel_id, created_at, channel, place FROM (SELECT m.*, coalesce(c.name, CAST(m.channel_id AS STRING)) AS channel, CAST(row_number() OVER (PARTITION BY m.channel_id ORDER BY created_at DESC, message_id DESC) AS INT) AS place FROM messages m LEFT JOIN channels c ON c.channel_id = m.channel_id) WHERE place <= 5")
+@query(
+    "recent_messages", ("messages", "channels", "vectors"),
+    f"SELECT m.message_id, m.channel_id, m.created_at, place, {_SEEN}, {_BODY} AS body FROM (SELECT *, CAST(row_number() OVER (PARTITION BY channel_id ORDER BY created_at DESC, message_id DESC) AS INT) AS place FROM messages) m {_WITH} WHERE place <= 5",
+)
 def _(t: Tables):
-    recent = dims.recent_messages(t.messages, count=5)
-    return dims.label_channels(recent, t.channels).select("message_id", "channel_id", "created_at", "channel", "place")
+    recent = dims.recent_view(t.messages, _tags(t), t.channels, count=5)
+    return recent.select("message_id", "channel_id", "created_at", "place", "channel", F.array_join("tags", ",").alias("tags"), "body")

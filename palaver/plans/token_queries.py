@@ -18,6 +18,17 @@ _RICH = (
 )
 
 
+#: A body whose markers enclose tokens, stand within each other, or have no partner.
+_MARKED = (
+    "concat('**hey <@', CAST(conv_id AS STRING), '>** ||<#', CAST(turn AS STRING), '> spoiler|| **a `x*y` b** ~~[*site*](https://a.example.com/p_q_r)~~ _❤️_ ', "
+    "'***all __of _', CAST(turn AS STRING), '_ it__*** **open <@1> *one* \n> *quoted\nline* ** <t:1700000000:R>\n>>> __deep\nend__ <@&7>')"
+)
+
+
+def _marked(t: Tables):
+    return t.messages.selectExpr("message_id", "conv_id", "turn", f"{_MARKED} AS content")
+
+
 def _rich(t: Tables):
     return t.messages.selectExpr("message_id", "conv_id", "turn", f"{_RICH} AS content")
 
@@ -51,10 +62,15 @@ def _(t: Tables):
     return _rich(t).select("message_id", F.explode(K.quote_lines(deep)).alias("quoted"))
 
 
-@query("strip_format", M, "SELECT message_id, 'bold ' || CAST(turn AS STRING) || ' both under gone a*b ' || CAST(conv_id AS STRING) || ' hid' AS stripped FROM messages")
+@query(
+    "strip_format", M,
+    "SELECT message_id, 'bold ' || CAST(turn AS STRING) || ' both under gone a*b ' || CAST(conv_id AS STRING) || ' hid' AS stripped FROM messages UNION ALL "
+    "SELECT message_id, 'in out * ' || CAST(turn AS STRING) || ' a _b c **x ~~' FROM messages",
+)
 def _(t: Tables):
     text = F.concat(F.lit("**bold "), F.col("turn").cast("string"), F.lit("** ***both*** __under__ ~~gone~~ a*b "), F.col("conv_id").cast("string"), F.lit(" ||hid||"))
-    return t.messages.select("message_id", K.strip_format(text).alias("stripped"))
+    odd = F.concat(F.lit("**__~~||*in*||~~ out__** ***** "), F.col("turn").cast("string"), F.lit(" *a _b* c **x ~~"))
+    return t.messages.select("message_id", K.strip_format(text).alias("stripped")).unionAll(t.messages.select("message_id", K.strip_format(odd)))
 
 
 @query("emoji_counts", M, "SELECT emoji, CAST(n * (SELECT count(*) FROM messages) AS BIGINT) AS n FROM (VALUES ('❤️', 1), ('\U0001f44d\U0001f3fd', 1)) v(emoji, n)")
@@ -81,29 +97,51 @@ _FLAT = (
 )
 
 
-@query("flatten_text", M, f"SELECT message_id, {_FLAT} AS flat FROM messages")
+_FLAT_MARKED = (
+    "'hey @' || CAST(conv_id AS STRING) || ' #' || CAST(turn AS STRING) || ' spoiler a x*y b site (https://a.example.com/p_q_r) ❤️ all of ' || CAST(turn AS STRING) || "
+    "' it open @1 one ' || chr(10) || '> *quoted' || chr(10) || 'line*  2023-11-14T22:13:20Z' || chr(10) || '> deep' || chr(10) || 'end @7'"
+)
+
+
+@query("flatten_text", M, f"SELECT message_id, {_FLAT} AS flat FROM messages UNION ALL SELECT message_id, {_FLAT_MARKED} FROM messages")
 def _(t: Tables):
-    return _rich(t).select("message_id", K.flatten(F.col("content")).alias("flat"))
+    both = _rich(t).select("message_id", "content").unionAll(_marked(t).select("message_id", "content"))
+    return both.select("message_id", K.flatten(F.col("content")).alias("flat"))
+
+
+_USERS, _ROLES = "c_custkey AS user_id", "CAST(n_nationkey AS BIGINT) AS role_id"
 
 
 @query(
     "render_plain", ("messages", "channels"),
-    "SELECT m.message_id, '@' || CAST(1 + m.conv_id % 7 AS STRING) || ' ' || m.conv_id || ' #' || coalesce(c.name, '<unknown channel>') || ' end' AS body FROM messages m LEFT JOIN channels c ON c.channel_id = m.channel_id",
+    """SELECT m.message_id, '@' || CAST(1 + m.conv_id % 7 AS STRING) || ' ' || m.conv_id || ' #' || coalesce(c.name, '<unknown channel>') || ' end' AS body FROM messages m LEFT JOIN channels c ON c.channel_id = m.channel_id
+    UNION ALL SELECT m.message_id, 'hey @' || coalesce(u.c_name, CAST(m.conv_id AS STRING)) || ' #' || coalesce(c.name, '<unknown channel>') || ' spoiler a x*y b site (https://a.example.com/p_q_r) ❤️ all of ' || CAST(turn AS STRING) ||
+      ' it open @' || (SELECT c_name FROM customer WHERE c_custkey = 1) || ' one ' || chr(10) || '> *quoted' || chr(10) || 'line*  2023-11-14' || chr(10) || '> deep' || chr(10) || '> end @' || (SELECT n_name FROM nation WHERE n_nationkey = 7)
+    FROM messages m LEFT JOIN channels c ON c.channel_id = m.turn LEFT JOIN customer u ON u.c_custkey = m.conv_id""",
 )
 def _(t: Tables):
     short = t.messages.withColumn("content", F.expr("concat('<@', 1 + conv_id % 7, '> ', conv_id, ' <#', channel_id, '> end')"))
-    return render.render(short, t.channels, fmt="plain").select("message_id", "body")
+    users, roles = t.customer.selectExpr(_USERS, "c_name AS name"), t.nation.selectExpr(_ROLES, "n_name AS name")
+    plain = render.render(short, t.channels, fmt="plain").select("message_id", "body")
+    return plain.unionAll(render.render(_marked(t), t.channels, users=users, roles=roles, fmt="plain").select("message_id", "body"))
 
 
 @query(
     "render_markdown", ("messages", "channels"),
-    """SELECT m.message_id, CASE WHEN m.reply_to_id IS NOT NULL THEN '> ↪ replying to @' || CAST(m.reply_to_id AS STRING) || chr(10) ELSE '' END ||
-      '@' || CAST(1 + m.conv_id % 7 AS STRING) || ' `x` #' || coalesce(c.name, '<unknown channel>') ||
-      CASE WHEN turn % 2 = 0 THEN chr(10) || '---' || chr(10) || '[f' || CAST(turn AS STRING) || '](https://cdn.example.com/' || CAST(turn AS STRING) || ')' ELSE '' END AS body
-    FROM messages m LEFT JOIN channels c ON c.channel_id = m.channel_id""",
+    """SELECT m.message_id, CASE WHEN m.reply_to_id IS NOT NULL THEN '> ↪ replying to @' || CASE WHEN turn % 3 = 0 THEN 'unknown' ELSE coalesce(r.c_name, CAST(m.author_id AS STRING)) END || chr(10) ELSE '' END ||
+      '**@' || coalesce(u.c_name, CAST(1 + m.conv_id % 7 AS STRING)) || '** `x` #' || coalesce(c.name, '<unknown channel>') || ' [a](https://e.example.com) https://e.example.com ```py' || chr(10) || 'y' || chr(10) || '```' ||
+      CASE WHEN turn % 2 = 0 THEN chr(10) || chr(10) || '---' || chr(10) || '[' || CASE WHEN turn % 4 = 0 THEN 'https://cdn.example.com/' ELSE 'f' END || CAST(turn AS STRING) || '](https://cdn.example.com/' || CAST(turn AS STRING) || ')' || chr(10) ELSE '' END ||
+      CASE WHEN turn % 3 = 1 THEN chr(10) || chr(10) || '---' || chr(10) || '**T' || CAST(conv_id AS STRING) || '**' || chr(10) || 'https://e.example.com/' || CAST(turn AS STRING) || chr(10) || 'only text' || chr(10) ELSE '' END AS body
+    FROM messages m LEFT JOIN channels c ON c.channel_id = m.channel_id LEFT JOIN customer u ON u.c_custkey = 1 + m.conv_id % 7 LEFT JOIN customer r ON r.c_custkey = m.author_id""",
 )
 def _(t: Tables):
-    short = t.messages.withColumn("content", F.expr("concat('<@', 1 + conv_id % 7, '> `x` <#', channel_id, '>')"))
-    link = F.struct(F.concat(F.lit("f"), "turn").alias("label"), F.concat(F.lit("https://cdn.example.com/"), "turn").alias("url"))
-    short = short.withColumn("links", F.when(F.col("turn") % 2 == 0, F.array(link)))
-    return render.render(short, t.channels, fmt="markdown").select("message_id", "body")
+    body = "concat('**<@', 1 + conv_id % 7, '>** `x` <#', channel_id, '> [a](https://e.example.com) [](https://e.example.com) ```py\ny\n```')"
+    url = "concat('https://cdn.example.com/', turn)"
+    embeds = "array(named_struct('title', concat('T', conv_id), 'description', '', 'url', concat('https://e.example.com/', turn)), named_struct('title', CAST(NULL AS STRING), 'description', 'only text', 'url', ''))"
+    short = t.messages.selectExpr(
+        "message_id", "channel_id", "reply_to_id", "CASE WHEN turn % 3 <> 0 THEN author_id END AS reply_author_id", f"{body} AS content",
+        f"CASE WHEN turn % 2 = 0 THEN array(named_struct('filename', CASE WHEN turn % 4 <> 0 THEN concat('f', turn) END, 'url', {url})) END AS attachments",
+        f"CASE WHEN turn % 3 = 1 THEN {embeds} END AS embeds",
+    )
+    users = t.customer.selectExpr(_USERS, "c_name AS name")
+    return render.render(short, t.channels, users=users, fmt="markdown").select("message_id", "body")

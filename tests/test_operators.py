@@ -50,6 +50,34 @@ def test_flatten(spark, content, flat):
     assert one(spark, tokens.flatten(F.lit(content).cast("string"))) == flat
 
 
+@pytest.mark.parametrize(
+    ("content", "flat"),
+    [("**hey <@1>**", "hey @1"), ("||<#5> spoiler||", "#5 spoiler"), ("**a `x*y` b**", "a x*y b"), ("~~[*s*](https://a.example.com/p_q)~~", "s (https://a.example.com/p_q)"),
+     ("_❤️_ ***both <@&2>***", "❤️ both @2"), ("*a _b* c_", "a _b c_"), ("*a **b* c**", "a b c**"), ("**__~~||*in*||~~ out__**", "in out"), ("****", "**"), ("** open <@1> *", "** open @1 *"),
+     ("> *a\nb*", "> *a\nb*"), ("*a\n> b*", "a\n> b"), ("> **q** x\n>>> a\n> *b*", "> q x\n> a\n> b"), ("*x*\ufdd0\ufdd1 *y*", "x\ufffd\ufffd y"), ("```\n*a*\n``` *b*", "*a*\n b")],
+)
+def test_flatten_pairs_markers_around_tokens(spark, content, flat):
+    assert one(spark, tokens.flatten(F.lit(content))) == flat
+
+
+def test_render_with_names_replies_and_trailer(spark):
+    rows = [(1, "*hi* <@5> <@6> <@&5> <#9> <t:0:R> [a](https://x.example.com)", 7, 5), (2, "x", 7, None), (3, "y", None, None)]
+    m = spark.createDataFrame(rows, "message_id long, content string, reply_to_id long, reply_author_id long")
+    files = F.array(F.struct(F.lit("f").alias("filename"), F.lit("u<").alias("url")), F.struct(F.lit(None).cast("string").alias("filename"), F.lit("v").alias("url")))
+    m = m.withColumn("attachments", F.when(F.col("message_id") == 1, files))
+    m = m.withColumn("embeds", F.array(F.struct(F.lit("T").alias("title"), F.lit(None).cast("string").alias("description"), F.lit("w").alias("url"))))
+    named = lambda key, *rows: spark.createDataFrame(list(rows), f"{key} long, name string")
+    names = {"users": named("user_id", (5, "ann"), (6, "")), "roles": named("role_id", (5, "mods"), (5, "mods"))}
+    body = lambda fmt: {r["message_id"]: r["body"] for r in render.render(m, named("channel_id", (1, "c")), fmt=fmt, **names).collect()}
+    assert body("plain") == {1: "hi @ann @6 @mods #<unknown channel> 1970-01-01 a (https://x.example.com)", 2: "x", 3: "y"}
+    rest = "\n\n---\n**T**\nw\n"
+    assert body("markdown") == {
+        1: "> ↪ replying to @ann\n*hi* @ann @6 @mods #<unknown channel> 1970-01-01 [a](https://x.example.com)\n\n---\n[f](u<)\n[v](v)\n" + rest,
+        2: "> ↪ replying to @unknown\nx" + rest, 3: "y" + rest,
+    }
+    assert '<a href="u&lt;">f</a>' in body("html")[1] and body("html")[3].startswith("y\n")
+
+
 def test_flatten_with_names(spark):
     names = F.create_map(F.lit("user:42"), F.lit("bob"), F.lit("channel:7"), F.lit("announcements"))
     assert one(spark, tokens.flatten(F.lit("hey <@42> check <#7>"), names)) == "hey @bob check #announcements"
