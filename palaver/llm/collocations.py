@@ -35,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import discard, store
+from .tables import batches_of, discard, store
 from .words import LOWER, mix, settle, string_buffers, word_bounds
 
 #: Bytes of text of a chunk, and of all chunks that a task gathers at once.
 CHUNK_BYTES, GATHERED_BYTES = 8 << 20, 32 << 20
+#: Chunks that a task is given at once.
+CHUNK_ROWS = 4
 #: Occurrences that a task counts at once.
 BUFFER = 1 << 21
 #: Side of a tile; tiles (i, j) with (i + 1) * (j + 1) up to ``DENSE`` are counted densely.
@@ -63,7 +65,7 @@ def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     starts, ends = word_bounds(raw, bounds, _WORD)
     if not len(starts):
         return pa.array([], pa.large_string()), np.zeros(0, np.int32)
-    cuts = np.cumsum(_BREAK[raw], dtype=np.int64)[starts] + np.searchsorted(bounds, starts, "right")
+    cuts = np.cumsum(_BREAK[raw], dtype=np.int32)[starts] + np.searchsorted(bounds, starts, "right")
     offsets = np.r_[0, np.cumsum(ends - starts)]
     letters = LOWER[raw[_WORD[raw]]]
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
@@ -286,10 +288,11 @@ def collocations(documents: DataFrame, *, least: int = 10, limit: int = 2_000, s
     frequent = each.groupBy("lang", "word").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     ranked = store(_ranked(frequent), "ranked_words")
     totals = store(chunks.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    sequences = store(_sequences(chunks, ranked), "sequences", "zstd")
-    discard(chunks)
-    pairs = store(_pairs(sequences, least), "pairs")
-    triples = store(_triples(sequences, pairs, least), "triples")
+    with batches_of(documents.sparkSession, CHUNK_ROWS):
+        sequences = store(_sequences(chunks, ranked), "sequences", "zstd")
+        discard(chunks)
+        pairs = store(_pairs(sequences, least), "pairs")
+        triples = store(_triples(sequences, pairs, least), "triples")
     discard(sequences)
 
     word = lambda name, at: ranked.select("lang", F.col("id").cast("long").alias(at), F.col("word").alias(f"w{name}"), F.col("f").alias(f"f{name}"))

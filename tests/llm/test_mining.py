@@ -52,11 +52,11 @@ def test_hard_negatives_equal_brute_force(spark):
 
 
 def test_hard_negatives_of_repeated_rows(spark):
-    rows = [(100, 1, [1.0, 0.5]), (100, 1, [0.5, 0.5]), (1, 1, [1.0, 1.0]), (1, 1, [1.0, 1.0]), (2, 2, [0.5, 0.0]), (2, 2, [0.5, 0.0]), (3, 3, [0.4, 0.1])]
+    rows = [(100, 1, [1.0, 0.5]), (100, 1, [0.5, 0.5]), (1, 1, [1.0, 1.0]), (1, 1, [1.0, 1.0]), (2, 2, [0.5, 0.2]), (2, 2, [0.5, 0.2]), (3, 3, [0.7, 0.1])]
     df = spark.createDataFrame([(i, label, v, "x") for i, label, v in rows], VECTORS)
     found = hard_negatives.mine(df, df.filter("vec_id = 100"))
     assert {r["positive_id"] for r in found.collect()} == {1}
-    assert sorted((r["positive_rank"], r["rank"], r["negative_id"]) for r in found.collect()) == [(p, k + 1, i) for p in (1, 2) for k, i in enumerate((2, 2, 3))]
+    assert sorted((r["positive_rank"], r["rank"], r["negative_id"]) for r in found.collect()) == [(p, k + 1, i) for p in (1, 2) for k, i in enumerate((3, 2, 2))]
 
 
 def test_tree_gives_what_a_scan_gives_and_leaves_nodes_closed():
