@@ -1,10 +1,10 @@
 """Full-text, vector and hybrid search.
 
 Text is indexed as postings: one row for each term of a message with its positions.  A term is a
-lower-case run of letters and digits, without stop words, reduced by a few English endings; each
-distinct term is a plain column expression, so the index is built without Python.  The
-rank of a message sums, over the matched query terms, 1/(i+1)^2 for the i-th occurrence, and divides by
-the number of query terms.
+lower-case run of letters and digits, without stop words, reduced by the English stemmer; words are
+stemmed once each, as a table of distinct words, so the index is built without Python.  What a search
+asks for goes through the same rules.  The rank of a message sums, over the matched query terms, 1/(i+1)^2 for
+the i-th occurrence, and divides by the number of query terms.
 """
 
 from __future__ import annotations
@@ -17,86 +17,111 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import snippet_words
-
-#: Words that are not indexed.
-STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
-#: Buckets of terms of a stored index, and tasks that may write one bucket.
-TERM_BUCKETS, BUCKET_WRITERS = 64, 8
+from .stem import stemmed
+
+#: English words that are not indexed.
+STOP_WORDS = tuple(
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs "
+    "themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or "
+    "because as until while of at by for with about against between into through during before after above below to from up down in out on off over under "
+    "again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can "
+    "will just don should now".split()
+)
 #: Vectors of a block: rows, and queries.
 ROW_BLOCK, QUERY_BLOCK = 8_192, 1_024
 
 
-def stem(term: Column) -> Column:
-    """Plural and verb endings of words of at least five letters."""
-    long = F.length(term) >= 5
-    cut = F.regexp_replace(term, "(?:ing|ed|ly|es|s)$", "")
-    return F.when(long & (F.length(cut) >= 3), cut).otherwise(term)
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
 def postings(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``term``, the id, ``tf`` and the sorted ``positions`` (counted over all words)."""
-    each = messages.select(id_col, F.posexplode(words(F.col(text_col))).alias("pos", "word"))
-    terms = each.filter(~F.col("word").isin(*STOP_WORDS)).select(id_col, stem(F.col("word")).alias("term"), "pos")
-    return terms.groupBy("term", id_col).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-
-
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+    each = messages.select(id_col, F.posexplode(words(F.col(text_col))).alias("pos", "word")).filter(~F.col("word").isin(*STOP_WORDS))
+    known = stemmed(each.select("word").distinct())
+    terms = each.join(known, "word").groupBy("term", id_col)
+    return terms.agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def write_index(index: DataFrame, path: str, id_col: str) -> None:
-    """Stores postings by bucket of their terms, sorted by term; a term that is everywhere is written by several tasks."""
-    dealt = index.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(BUCKET_WRITERS)))
-    dealt.sortWithinPartitions("bucket", "term", id_col).write.partitionBy("bucket").parquet(path)
+#: An asked text's terms, each with its place among the text's words.
+Asked = list[tuple[str, int]]
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """A stored index; ``match`` reads only its terms' buckets."""
-    return spark.read.parquet(path)
+def analysed(spark: SparkSession, texts: Sequence[str]) -> list[Asked]:
+    """Asked texts by the index's own rules; one of stop words alone has no terms."""
+    if not texts:
+        return []
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    each = rows.select("k", F.posexplode(words(F.col("text"))).alias("pos", "word")).filter(~F.col("word").isin(*STOP_WORDS))
+    found = stemmed(each).select("k", "term", "pos").collect()
+    out: list[Asked] = [[] for _ in texts]
+    for k, term, pos in sorted(found, key=lambda r: r["pos"]):
+        out[k].append((term, pos))
+    return out
 
 
 def _moved(places: Column, by: int) -> Column:
     return F.transform(places, lambda p: p - by)
 
 
+def _there(asked: Asked) -> Column:
+    """Whether a message has an asked text: its term, or its terms at the same distances."""
+    (term, first), *rest = asked
+    if not rest:
+        return F.array_contains("terms", term)
+    starts = F.element_at("places", term)
+    for other, pos in rest:
+        starts = F.array_intersect(starts, _moved(F.element_at("places", other), pos - first))
+    return F.coalesce(F.size(starts) > 0, F.lit(False))
+
+
 def match(
-    index: DataFrame, id_col: str, *, required: Sequence[str] = (), any_of: Sequence[str] = (), excluded: Sequence[str] = (), phrases: Sequence[Sequence[str]] = ()
+    index: DataFrame, id_col: str, *, required: Sequence[str] = (), any_of: Sequence[str | Sequence[str]] = (), excluded: Sequence[str] = (),
+    phrases: Sequence[str | Sequence[str]] = (),
 ) -> DataFrame:
-    """Messages with all required terms and phrases, one of ``any_of`` and no excluded term, with ``score``.
+    """Messages with all required texts and phrases, one of each group of ``any_of`` and no excluded text, with ``score``.
 
-    One pass over the few terms asked for; of a stored index only their buckets are read, and the term filter
-    reaches the scan.
+    Texts are as users type them: a word in any case and form; several words are a phrase, whose stop words keep their
+    places.  ``any_of`` is one group of texts, or a list of groups.  Texts of stop words alone are left out; if nothing is left to find,
+    nothing is found.  One pass over the few terms asked for: of a stored index only their buckets are read.
     """
-    wanted = [*dict.fromkeys([*required, *any_of, *(t for p in phrases for t in p)])]
-    if not wanted:
+    groups = [list(any_of)] if any(isinstance(x, str) for x in any_of) else [list(g) for g in any_of]
+    if not required and not phrases and not any(groups):
         raise ValueError("a search needs a term to find")
-    hits = index.filter(F.col("term").isin(*wanted, *excluded))
+    texts = [*required, *(p if isinstance(p, str) else " ".join(p) for p in phrases)]
+    flat = [*texts, *(x for g in groups for x in g), *excluded]
+    known = iter(analysed(index.sparkSession, flat))
+    must = [a for a in (next(known) for _ in texts) if a]
+    some = [[a for a in (next(known) for _ in g) if a] for g in groups]
+    without = [a for a in (next(known) for _ in excluded) if a]
+    some = [g for g in some if g]
+    wanted = [*dict.fromkeys(t for a in (*must, *(a for g in some for a in g)) for t, _ in a)]
+    terms = [*dict.fromkeys([*wanted, *(t for a in without for t, _ in a)])]
+    hits = index.filter(F.col("term").isin(*terms)) if wanted else index.filter(F.lit(False))
     if "bucket" in index.columns:
-        hits = hits.filter(F.col("bucket").isin(*[_bucket(F.lit(t)) for t in (*wanted, *excluded)]))
+        hits = hits.filter(F.col("bucket").isin(*[bucket_of(F.lit(t), index.buckets) for t in terms]))
     per_term = F.aggregate(F.sequence(F.lit(1), F.col("tf").cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / (i * i))
     found = hits.groupBy(id_col).agg(
         F.collect_set("term").alias("terms"),
         F.sum(F.when(F.col("term").isin(*wanted), per_term)).alias("total"),
         F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("places"),
     )
-    must = [*dict.fromkeys([*required, *(t for p in phrases for t in p)])]
     keep = F.lit(True)
-    for term in must:
-        keep &= F.array_contains("terms", term)
-    if any_of:
-        keep &= F.arrays_overlap("terms", F.array(*map(F.lit, any_of)))
-    if excluded:
-        keep &= ~F.arrays_overlap("terms", F.array(*map(F.lit, excluded)))
-    for phrase in phrases:
-        starts = F.element_at("places", phrase[0])
-        for k, term in enumerate(phrase[1:], 1):
-            starts = F.array_intersect(starts, _moved(F.element_at("places", term), k))
-        keep &= F.coalesce(F.size(starts) > 0, F.lit(False))
-    return found.filter(keep).select(id_col, (F.col("total") / len(wanted)).alias("score"), "places")
+    for asked in must:
+        keep &= _there(asked)
+    for group in some:
+        one = F.lit(False)
+        for asked in group:
+            one |= _there(asked)
+        keep &= one
+    for asked in without:
+        keep &= ~_there(asked)
+    return found.filter(keep).select(id_col, (F.col("total") / max(len(wanted), 1)).alias("score"), "places")
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    """The bucket of a stored index that holds a term."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def top(hits: DataFrame, id_col: str, k: int) -> DataFrame:
@@ -179,14 +204,14 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, *, k: int) -> Data
                 score = left @ right.T
                 least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k, None] - 1e-9 if len(ids) > k else np.full((len(asked), 1), -np.inf)
                 near = score >= least  # with all that may tie at the bound
+                parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for q in range(len(asked)):
                     at = np.flatnonzero(near[q])
                     # a product's last bits depend on its place in a matrix: equal rows must score alike
                     exact = (right[at] * left[q]).sum(axis=1)
                     first = np.lexsort((ids[at], -exact))[:k]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(first), asked[q])), pa.array(ids[at[first]]), pa.array(exact[first])], names=["query_id", "message_id", "score"]
-                    )
+                    parts.append((np.full(len(first), asked[q]), ids[at[first]], exact[first]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["query_id", "message_id", "score"])
 
     if k <= 0:
         raise ValueError("k > 0 is needed")
@@ -213,10 +238,10 @@ def vector_ann(vectors: DataFrame, query: Sequence[float], *, k: int, buckets: f
 
 def hybrid(lexical: DataFrame | None, semantic: DataFrame | None, messages: DataFrame, *, w_lex: float = 0.5, w_sem: float = 0.5) -> DataFrame:
     """Both hit lists on their messages, scored by their weighted sum (a missing side counts 0); with one list
-    its own score stands.  Hits without a message drop out; there is no limit."""
+    its own score stands, and with none nothing is found.  Hits without a message drop out; there is no limit."""
     if lexical is None and semantic is None:
-        raise ValueError("a search needs terms or a vector")
-    if semantic is None:
+        both = messages.filter(F.lit(False)).select("message_id", F.lit(0.0).alias("score"))
+    elif semantic is None:
         both = lexical.select("message_id", F.col("score").alias("score"))
     elif lexical is None:
         both = semantic.select("message_id", F.col("score").alias("score"))

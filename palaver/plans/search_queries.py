@@ -2,43 +2,45 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from ..operators import filters, search as S
-from ..sources.shared import scratch
+from ..operators import filters, search as S, stem
+from ..sources import textindex
+from ..sources.shared import finished, kept_at, scratch
 from .registry import Tables, query
 
 _STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
 
 
-def _index_sql(table: str, key: str, text: str) -> str:
-    """Terms of a table: the same rules as the library's, in the oracle's SQL."""
+def _index_sql(table: str, key: str, text: str, *asked: str) -> str:
+    """Terms of a table (``ix``, ``p``) and of the words asked for (``stems``), in the oracle's SQL."""
+    more = "".join(f" UNION SELECT '{w}'" for w in asked)
     return f"""w AS (SELECT {key}, list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM {table}),
       e AS (SELECT {key}, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w),
-      p AS (SELECT {key}, pos, CASE WHEN length(word) >= 5 AND length(regexp_replace(word, '(?:ing|ed|ly|es|s)$', '')) >= 3
-              THEN regexp_replace(word, '(?:ing|ed|ly|es|s)$', '') ELSE word END AS term FROM e WHERE word NOT IN ({_STOP})),
-      ix AS (SELECT term, {key}, count(*) AS tf FROM p GROUP BY 1, 2)"""
+      v AS MATERIALIZED (SELECT DISTINCT word FROM e WHERE word NOT IN ({_STOP}){more}), {stem.oracle_ctes("v")},
+      p AS MATERIALIZED (SELECT {key}, pos, term FROM e JOIN stems ON stems.word = e.word),
+      ix AS MATERIALIZED (SELECT term, {key}, count(*) AS tf FROM p GROUP BY 1, 2)"""
 
 
-_SCORE = "round(sum(list_sum(list_transform(range(1, tf + 1), lambda i: 1.0 / (i * i)))) / {n}, 6)"
-_DOCS = "WITH " + _index_sql("documents", "doc_id", "text")
-_MESSAGES = ", " + _index_sql("messages", "message_id", "plain_text")
+def _term(word: str) -> str:
+    return f"(SELECT term FROM stems WHERE word = '{word}')"
 
 
-_written: dict[tuple, str] = {}
+_SCORE = "round(sum(list_sum(list_transform(range(1, tf + 1), lambda i: 1.0 / (i * i)))) / {n}, 6)"
+_DOCS = "WITH " + _index_sql("documents", "doc_id", "text", "ering", "shou", "anea", "attion", "er", "thanedble", "whst", "stest", "ing")
+_MESSAGES = ", " + _index_sql("messages", "message_id", "plain_text", "whst")
 
 
 def _index(t: Tables, table: str, key: str, text: str):
-    """The stored index of a table, written at the first search of this session and again once its files change."""
+    """The stored index of a table: a folder named by the table's files, written at the first search of them."""
     rows = getattr(t, table)
     files = [t.spark._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(rows.inputFiles())]
-    stamps = [f.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(f).getModificationTime() for f in files]
-    name = (t.spark.sparkContext.applicationId, t.sf_dir, table, *stamps)
-    if name not in _written:
-        path = scratch(t.spark, f"{table}-index")
-        S.write_index(S.postings(rows, key, text), path, key)
-        _written[name] = path
-    return S.read_index(t.spark, _written[name])
+    status = [f.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(f) for f in files]
+    name = hashlib.sha256(repr([table, key, text, *((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in status)]).encode()).hexdigest()[:32]
+    path = kept_at(t.spark, f"index2-{table}-{name}", lambda at: textindex.create(rows, at, key, text), lambda at: bool(finished(t.spark, at, "whole")))
+    return textindex.read(t.spark, path, key)
 
 
 def _documents(t: Tables):
@@ -52,48 +54,57 @@ def _(t: Tables):
 
 @query(
     "text_match", (),
-    _DOCS + """ SELECT doc_id FROM ix GROUP BY 1 HAVING bool_or(term = 'from') AND bool_or(term IN ('er', 'shou')) AND NOT bool_or(term = 'anea')""",
+    _DOCS + f""" SELECT doc_id FROM ix GROUP BY 1 HAVING bool_or(term = {_term("whst")}) AND bool_or(term IN ({_term("er")}, {_term("shou")})) AND bool_or(term IN ({_term("attion")}, {_term("ing")}))
+      AND NOT bool_or(term = {_term("anea")})""",
 )
 def _(t: Tables):
-    return S.match(_documents(t), "doc_id", required=["from"], any_of=["er", "shou"], excluded=["anea"]).select("doc_id")
+    return S.match(_documents(t), "doc_id", required=["WHST", "the"], any_of=[["Er", "shou"], ["attions", "Ing", "of"]], excluded=["aneas"]).select("doc_id")
 
 
 @query(
     "text_phrase", (),
-    _DOCS + " SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'attion' AND b.term = 'er' "
-    "UNION SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 2 WHERE a.term = 'attion' AND b.term = 'thanedble'",
+    _DOCS + f" SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = {_term('attion')} AND b.term = {_term('er')} "
+    f"UNION SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.pos = a.pos + 2 WHERE a.term = {_term('attion')} AND b.term = {_term('thanedble')}",
 )
 def _(t: Tables):
-    index = _documents(t)
-    one = S.match(index, "doc_id", phrases=[["attion", "er"]]).select("doc_id")
-    # stop words are not indexed, but they keep their places
-    two = index.filter("term in ('attion', 'thanedble')")
-    a = two.filter("term = 'attion'").select("doc_id", F.explode("positions").alias("p"))
-    b = two.filter("term = 'thanedble'").select("doc_id", F.explode(F.transform("positions", lambda p: p - 2)).alias("p"))
-    return one.unionByName(a.join(b, ["doc_id", "p"]).select("doc_id")).distinct()
+    # a phrase's stop words are not indexed, but they keep their places
+    return S.match(_documents(t), "doc_id", any_of=["attion er", "Attions to thanedble"]).select("doc_id")
 
 
 @query(
     "text_search", (),
-    _DOCS + f" SELECT doc_id, {_SCORE.format(n=2)} AS score FROM ix WHERE term IN ('from', 'whst') GROUP BY 1 HAVING count(*) = 2 ORDER BY 2 DESC, 1 LIMIT 50",
+    _DOCS + f" SELECT doc_id, {_SCORE.format(n=2)} AS score FROM ix WHERE term IN ({_term('ing')}, {_term('whst')}) GROUP BY 1 HAVING count(*) = 2 ORDER BY 2 DESC, 1 LIMIT 50",
 )
 def _(t: Tables):
     index = _documents(t)
-    return S.top(S.match(index, "doc_id", required=["from", "whst"]).select("doc_id", F.round("score", 6).alias("score")), "doc_id", 50)
+    return S.top(S.match(index, "doc_id", required=["Ing", "whst"]).select("doc_id", F.round("score", 6).alias("score")), "doc_id", 50)
+
+
+@query("search_total", (), _DOCS + f" SELECT count(*) AS total FROM (SELECT doc_id FROM ix WHERE term IN ({_term('ing')}, {_term('whst')}) GROUP BY 1 HAVING count(*) = 2)")
+def _(t: Tables):
+    return S.match(_documents(t), "doc_id", required=["Ing", "whst"]).agg(F.count("*").alias("total"))
 
 
-@query("search_total", (), _DOCS + " SELECT count(*) AS total FROM (SELECT doc_id FROM ix WHERE term IN ('from', 'whst') GROUP BY 1 HAVING count(*) = 2)")
+@query("index_upkeep", (), _DOCS.replace("FROM documents)", "FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'Whst changed ' || text ELSE text END AS text FROM documents WHERE doc_id % 5 <> 2))") + " SELECT term, count(*) AS documents, CAST(sum(tf) AS BIGINT) AS occurrences FROM ix GROUP BY 1")
 def _(t: Tables):
-    return S.match(_documents(t), "doc_id", required=["from", "whst"]).agg(F.count("*").alias("total"))
+    """An index after two upserts and a deletion."""
+    path = scratch(t.spark, "upkeep")
+    docs = t.documents.select("doc_id", "text")
+    changed = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Whst changed "), "text")).otherwise(F.col("text"))
+    textindex.create(docs.filter("doc_id % 3 > 0"), path, "doc_id", "text")
+    textindex.upsert(docs.filter("doc_id % 3 = 0 OR doc_id % 4 = 1").withColumn("text", F.lit("to be replaced")), path, "doc_id", "text")
+    later = docs.filter("(doc_id % 3 = 0 OR doc_id % 4 = 1) AND doc_id % 5 <> 2").withColumn("text", changed)
+    textindex.upsert(later, path, "doc_id", "text", deleted=docs.filter("doc_id % 5 = 2"))
+    return textindex.read(t.spark, path, "doc_id").groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
 
 
 @query(
     "search_snippets", (),
-    _DOCS + """, h AS (SELECT doc_id FROM ix WHERE term = 'whst'), f AS (SELECT p.doc_id, min(pos) AS a FROM p JOIN h ON h.doc_id = p.doc_id WHERE term = 'whst' GROUP BY 1),
-      g AS (SELECT f.doc_id, a, min(CASE WHEN p.pos >= a + 24 THEN p.pos END) AS b FROM f JOIN p ON p.doc_id = f.doc_id AND p.term = 'whst' GROUP BY 1, 2),
+    _DOCS + """, h AS (SELECT doc_id FROM ix WHERE term = (SELECT term FROM stems WHERE word = 'whst')), f AS (SELECT p.doc_id, min(pos) AS a FROM p JOIN h ON h.doc_id = p.doc_id WHERE term = (SELECT term FROM stems WHERE word = 'whst') GROUP BY 1),
+      g AS (SELECT f.doc_id, a, min(CASE WHEN p.pos >= a + 24 THEN p.pos END) AS b FROM f JOIN p ON p.doc_id = f.doc_id AND p.term = (SELECT term FROM stems WHERE word = 'whst') GROUP BY 1, 2),
       t AS (SELECT doc_id, 1 AS part, greatest(a - 12, 0) AS s FROM g UNION ALL SELECT doc_id, 2, greatest(b - 12, 0) FROM g WHERE b IS NOT NULL),
       r AS (SELECT t.doc_id, part, string_agg(CASE WHEN q.pos IS NOT NULL THEN '<b>' || e.word || '</b>' ELSE e.word END, ' ' ORDER BY e.pos) AS x
-            FROM t JOIN e ON e.doc_id = t.doc_id AND e.pos >= s AND e.pos < s + 24 LEFT JOIN p q ON q.doc_id = e.doc_id AND q.pos = e.pos AND q.term = 'whst' GROUP BY 1, 2)
+            FROM t JOIN e ON e.doc_id = t.doc_id AND e.pos >= s AND e.pos < s + 24 LEFT JOIN p q ON q.doc_id = e.doc_id AND q.pos = e.pos AND q.term = (SELECT term FROM stems WHERE word = 'whst') GROUP BY 1, 2)
       SELECT doc_id, string_agg(x, ' ... ' ORDER BY part) AS snippet FROM r GROUP BY 1""",
 )
 def _(t: Tables):
@@ -131,7 +142,7 @@ def _(t: Tables):
     return S.vector_ann(t.vectors, _query_vector(), k=10).select("message_id", F.round("score", 6).alias("score"))
 
 
-_LEX = _MESSAGES + f", lex AS (SELECT message_id, {_SCORE.format(n=1)} AS lex FROM ix WHERE term = 'whst' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50)"
+_LEX = _MESSAGES + f", lex AS (SELECT message_id, {_SCORE.format(n=1)} AS lex FROM ix WHERE term = (SELECT term FROM stems WHERE word = 'whst') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50)"
 
 
 @query(
@@ -148,7 +159,7 @@ def _(t: Tables):
     return both.select("message_id", F.round("score", 6).alias("score"), "author_id")
 
 
-@query("filtered_search", ("messages",), _MESSAGES + " SELECT m.message_id FROM messages m JOIN ix ON ix.message_id = m.message_id WHERE term = 'whst' AND guild_id = 1 AND author_id = 9")
+@query("filtered_search", ("messages",), _MESSAGES + " SELECT m.message_id FROM messages m JOIN ix ON ix.message_id = m.message_id WHERE term = (SELECT term FROM stems WHERE word = 'whst') AND guild_id = 1 AND author_id = 9")
 def _(t: Tables):
     kept = t.messages.filter(filters.conjunctive(guild_id=1, author_id=9)).select("message_id")
     return S.match(_index(t, "messages", "message_id", "plain_text"), "message_id", required=["whst"]).select("message_id").join(kept, "message_id", "left_semi")

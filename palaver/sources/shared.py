@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,15 +11,33 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the folder that driver and executors share."""
+def _root(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
         found = LOCAL_CHECKPOINT_DIR
         spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/palaver/{name}-{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/palaver"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name under the folder that driver and executors share."""
+    return f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept_at(spark: SparkSession, name: str, make: Callable[[str], None], there: Callable[[str], bool]) -> str:
+    """The folder ``name`` in the shared folder, made where it is not there yet; it appears under its name only when it is whole."""
+    path = f"{_root(spark)}/{name}"
+    if not there(path):
+        made = scratch(spark, name)
+        make(made)
+        at, fs = _folder(spark, path)
+        fs.delete(at, True)
+        if not fs.rename(_folder(spark, made)[0], at) and not there(path):
+            raise RuntimeError(f"{made} could not be renamed to {path}")
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -193,16 +193,74 @@ def test_graph_depth_and_cycles(spark):
 
 def test_search_predicates(spark):
     docs = spark.createDataFrame([(1, "quick brown foxes"), (2, "brown bread quick"), (3, "slow brown fox"), (4, None)], "id long, text string")
-    index = search.postings(docs, "id", "text")
+    index = search.postings(docs, "id", "text").cache()
     ids = lambda **kw: {r["id"] for r in search.match(index, "id", **kw).collect()}
     assert ids(required=["quick", "brown"]) == {1, 2}
     assert ids(required=["brown"], excluded=["quick"]) == {3}
     assert ids(phrases=[["quick", "brown"]]) == {1}
     assert ids(any_of=["fox", "bread"]) == {1, 2, 3}
+    assert ids(required=["Foxes", "the"]) == {1, 3} and ids(required=["QUICKLY brown"]) == {1} and ids(phrases=["brown, quick"]) == set()
+    assert ids(any_of=[["fox", "breads"], ["slow", "quick"]]) == {1, 2, 3} and ids(required=["brown"], excluded=["brown fox"]) == {2}
+    assert ids(required=["of the"]) == set()  # nothing but stop words
     with pytest.raises(ValueError, match="term"):
         search.match(index, "id")
 
 
+def test_search_words_and_phrases_over_stop_words(spark):
+    docs = spark.createDataFrame([(1, "Running channels quoted: the state of play"), (2, "a state play"), (3, "runs")], "id long, text string")
+    index = search.postings(docs, "id", "text").cache()
+    ids = lambda **kw: {r["id"] for r in search.match(index, "id", **kw).collect()}
+    assert [ids(required=[w]) for w in ("running", "channels", "Channels", "RUN", "quote")] == [{1, 3}, {1}, {1}, {1, 3}, {1}]
+    assert ids(phrases=["state of play"]) == ids(phrases=["States at plays"]) == {1} and ids(phrases=["state play"]) == {2}
+
+
+#: A sample of the published vocabulary and its stems.
+STEMS = dict(zip(
+    """consign consigned consigning consignment consist consistency consistently consolations consolatory consoled consolidating consols conspicuously conspirator constables constancy
+    knack knackeries knaves knavish kneading knee kneels knightly knits knitted knives knocker knots luxuriated hopping hoping hoped generously communities arsenal relational sensational skies dying
+    gently news inning succeeded proceeding happily cries ties by say gas this kiwis agreed plastered bled motoring sing controlling rolls national rationally analogies analogously electricity
+    hopefulness goodness formative adjustment adoption allowance replacement irritant probate rate cease controll bowdlerize youth boyish yellow eyed""".split(),
+    """consign consign consign consign consist consist consist consol consolatori consol consolid consol conspicu conspir constabl constanc
+    knack knackeri knave knavish knead knee kneel knight knit knit knive knocker knot luxuri hop hope hope generous communiti arsenal relat sensat sky die
+    gentl news inning succeed proceed happili cri tie by say gas this kiwi agre plaster bled motor sing control roll nation ration analog analog electr
+    hope good format adjust adopt allow replac irrit probat rate ceas control bowdler youth boyish yellow eye""".split(), strict=True,
+))
+
+
+def test_stems_of_the_published_vocabulary(spark):
+    from palaver.operators import stem
+
+    found = stem.stems(spark, [*STEMS, "naïve", "x1s", "ab", "as", "éing"])
+    assert {w: s for w, s in found.items() if w in STEMS} == STEMS
+    assert [found[w] for w in ("naïve", "x1s", "ab", "as", "éing")] == ["naïve", "x1s", "ab", "as", "éing"]
+
+
+def test_index_upkeep_equals_a_fresh_index(spark, tmp_path, monkeypatch):
+    from palaver.sources import textindex
+
+    monkeypatch.setattr(textindex, "SEGMENTS", 2)
+    monkeypatch.setattr(textindex, "BUCKET_WRITERS", 2)
+    path = str(tmp_path / "ix")
+    texts = {k: f"common words number{k} running" for k in range(60)}
+    frame = lambda ids: spark.createDataFrame([(k, texts[k]) for k in ids], "id long, text string")
+    rows = lambda df: {(r["term"], r["id"], tuple(r["positions"])) for r in df.collect()}
+    textindex.create(frame(range(40)), path, "id", "text", buckets=4)
+    base = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "ix" / "whole=0").rglob("*.parquet")}
+    for step in range(4):
+        changed = [k for k in texts if k % 7 == step % 7 or k == 40 + step]
+        for k in changed:
+            texts[k] = f"changed {step} common{k}"
+        gone = [k for k in (3 * step, 3 * step + 1) if k not in changed]
+        textindex.upsert(frame(changed), path, "id", "text", deleted=spark.createDataFrame([(k,) for k in gone], "id long"))
+        held = {i for i in (set(range(40)) if step == 0 else held) | set(changed)} - set(gone)
+        assert rows(textindex.read(spark, path, "id")) == rows(search.postings(frame(sorted(held)), "id", "text"))
+        if step == 0:  # what was there is not written again, and a search reads its bucket of it
+            assert base == {f.name: f.stat().st_mtime_ns for f in (tmp_path / "ix" / "whole=0").rglob("*.parquet")}
+            plan = search.match(textindex.read(spark, path, "id"), "id", required=["common"])._jdf.queryExecution().executedPlan().toString()
+            assert "PartitionFilters" in plan and "EqualTo(term,common)" in plan
+    assert len([p for p in (tmp_path / "ix").iterdir() if p.name.startswith("segment=")]) <= textindex.SEGMENTS
+
+
 def test_vector_errors_and_zero(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0])], "message_id long, embedding array<float>")
     got = [(r["message_id"], round(r["score"], 4)) for r in search.vector_topk(v, [1.0, 0.0], k=3).collect()]
@@ -221,8 +279,7 @@ def test_hybrid_sides(spark):
     assert scores(search.hybrid(lex, sem, m)) == [(1, 0.6), (2, 0.3)]
     assert scores(search.hybrid(lex, None, m)) == [(1, 0.8)]
     assert scores(search.hybrid(lex, sem, m, w_lex=1.0, w_sem=0.0)) == [(1, 0.8), (2, 0.0)]
-    with pytest.raises(ValueError, match="terms"):
-        search.hybrid(None, None, m)
+    assert scores(search.hybrid(None, None, m)) == []
 
 
 def test_filters_push_down(spark, sf_dir):
@@ -423,14 +480,16 @@ def test_weekly_table_replaces_touched_weeks_and_prunes(spark, tmp_path):
 
 def test_stored_index_reads_its_terms_buckets(spark, tmp_path):
     docs = spark.range(300).selectExpr("id", "concat('common term', id % 7, ' word', id) AS text")
-    index = search.postings(docs, "id", "text")
-    search.write_index(index, str(tmp_path / "ix"), "id")
-    kept = search.read_index(spark, str(tmp_path / "ix"))
+    from palaver.sources import textindex
+
+    index = search.postings(docs, "id", "text").cache()
+    textindex.create(docs, str(tmp_path / "ix"), "id", "text", buckets=64)
+    kept = textindex.read(spark, str(tmp_path / "ix"), "id")
     want = {tuple(r) for r in search.match(index, "id", required=["common", "term3"]).select("id", "score").collect()}
     found = search.match(kept, "id", required=["common", "term3"])
     assert {tuple(r) for r in found.select("id", "score").collect()} == want and len(want) == 43
-    read = kept.filter(kept["bucket"].isin(*[search._bucket(F.lit(x)) for x in ("common", "term3")])).select(F.input_file_name().alias("f")).distinct().count()
-    assert read <= 2 * search.BUCKET_WRITERS < len(kept.inputFiles())
+    read = kept.filter(kept["bucket"].isin(*[search.bucket_of(F.lit(x), 64) for x in ("common", "term3")])).select(F.input_file_name().alias("f")).distinct().count()
+    assert read <= 2 * textindex.BUCKET_WRITERS < len(kept.inputFiles())
 
 
 def test_batched_vector_search_is_the_brute_force(spark, monkeypatch):
