@@ -47,7 +47,7 @@ BUFFER = 1 << 21
 #: Side of a tile; tiles (i, j) with (i + 1) * (j + 1) up to ``DENSE`` are counted densely.
 TILE, DENSE = 256, 16
 #: Bits (as a power of two) of the table of frequent pairs, and pairs that are ranked anew for dense tiles.
-BITS, RANKED_PAIRS = 26, 65_536
+BITS, RANKED_PAIRS = 24, 16_384
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
