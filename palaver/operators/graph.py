@@ -1,9 +1,10 @@
 """Reply threads over messages (``message_id``, ``reply_to_id``, ``created_at``).
 
-Both directions are walked level by level, for many roots at once.  Each level joins the last level's frontier
-only and is written to the shared folder, so neither the number of rows nor the depth is
-bounded by one plan; a walk ends where a level is empty.  Cycles end at the depth bound and, as bag
-semantics ask, may repeat rows.
+Both directions are walked level by level, for many roots at once.  The messages are written once, in buckets of what a step
+looks up (the parent downwards, the message upwards), so a level shuffles its frontier and never the messages.  Each level
+is written to the shared folder, so neither the number of rows nor the depth is bounded by one plan; a walk ends
+where a level is empty.  What is returned is one table; levels and buckets are deleted once it is there.  Cycles end at the
+depth bound and, as bag semantics ask, may repeat rows.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
+from ..sources.shared import bucketed, discard, stored
 
 
 def _walk(messages: DataFrame, roots: DataFrame, depth: int, down: bool) -> DataFrame:
@@ -20,15 +21,20 @@ def _walk(messages: DataFrame, roots: DataFrame, depth: int, down: bool) -> Data
     start = start.select("root_id", "message_id", "reply_to_id", "created_at", F.lit(0).alias("depth"))
     if depth <= 0:
         return start.filter("false")
-    out = level = stored(start, "walk")
-    for k in range(1, depth + 1):
-        m = view.alias("m")
-        step = F.col("m.reply_to_id") == F.col("t.message_id") if down else F.col("m.message_id") == F.col("t.reply_to_id")
-        found = level.alias("t").join(m, step).select("t.root_id", "m.message_id", "m.reply_to_id", "m.created_at", F.lit(k).alias("depth"))
-        level = stored(found, "walk")
-        if level.isEmpty():
-            break
-        out = out.unionAll(level)
+    looked_up, has = ("reply_to_id", "message_id") if down else ("message_id", "reply_to_id")
+    with bucketed(view.filter(F.col(looked_up).isNotNull()), looked_up) as adjacent:
+        levels = [stored(start, "walk")]
+        for k in range(1, depth + 1):
+            found = levels[-1].alias("t").join(adjacent.alias("m"), F.col(f"m.{looked_up}") == F.col(f"t.{has}"))
+            levels.append(stored(found.select("t.root_id", "m.message_id", "m.reply_to_id", "m.created_at", F.lit(k).alias("depth")), "walk"))
+            if levels[-1].isEmpty():
+                break
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionAll(level)
+    out = stored(every, "walked")
+    for level in levels:
+        discard(messages.sparkSession, level.stored_at)
     return out
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import stored
+
 
 def dedup_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """The last row of each key.  One partial aggregation: a hot key is combined before the shuffle."""
@@ -54,12 +56,23 @@ def advance_cursors(cursors: DataFrame, seen: DataFrame, page: int = 100) -> Dat
 
 
 def snapshot_changes(df: DataFrame, key: str, order: str, watched: list[str]) -> DataFrame:
-    """Rows whose watched columns differ from the key's row before; a first sighting always counts."""
-    w = Window.partitionBy(key).orderBy(order)
-    before = F.lag(F.struct(*watched)).over(w)
-    first = F.row_number().over(w) == 1
-    marked = df.withColumn("changed", first | ~F.struct(*watched).eqNullSafe(before))
-    return marked.filter("changed").drop("changed")
+    """Rows whose watched columns differ from the key's row before; a first sighting always counts.
+
+    Rows are dealt out by ranges of key and order and compared inside them; a range's first row of a key is compared with the
+    last one of the key in the ranges before, which is carried over.  So a key may have any number of rows.  Rows of one
+    ``order`` stand in the order of all their columns.
+    """
+    seen = F.struct(F.struct(*watched).alias("w"))
+    rest = [c for c in df.columns if c not in (key, order)]
+    ranged = stored(df.repartitionByRange(key, order).withColumn("__part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("__part", key).orderBy(order, *rest)
+    marked = ranged.withColumns({"__before": F.lag(seen).over(inside), "__first": F.row_number().over(inside) == 1})
+    last = ranged.groupBy("__part", key).agg(F.max_by(seen, F.struct(order, *rest)).alias("__last"))
+    carried = last.select("__part", key, F.lag("__last").over(Window.partitionBy(key).orderBy("__part")).alias("__carried"))
+    carried = carried.filter("__carried is not null").select(F.col("__part").alias("__p"), F.col(key).alias("__k"), "__carried", F.lit(True).alias("__f"))
+    both = marked.join(carried, (F.col("__part") == F.col("__p")) & F.col(key).eqNullSafe(F.col("__k")) & (F.col("__first") == F.col("__f")), "left")
+    before = F.coalesce("__before", "__carried")
+    return both.filter(before.isNull() | ~F.struct(*watched).eqNullSafe(before["w"])).select(*df.columns)
 
 
 def _digests(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

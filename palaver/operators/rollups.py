@@ -4,26 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def hourly_counts(messages: DataFrame, at: str = "created_at") -> DataFrame:
     return messages.groupBy("channel_id", F.date_trunc("hour", at).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def refresh_rollup(rollup: DataFrame, messages: DataFrame, *, now: str, days: int = 7, open_hours: int = 1) -> DataFrame:
-    """The rollup with the buckets from ``now`` less ``days`` to ``now`` less ``open_hours`` counted anew.
-
-    Only messages of the touched buckets are read: the bounds reach the scan as filters.
-    """
-    end = F.date_trunc("hour", F.lit(now).cast("timestamp") - F.expr(f"interval {open_hours} hour"))
-    start = F.date_trunc("hour", F.lit(now).cast("timestamp") - F.expr(f"interval {days} day"))
-    inside = (F.col("bucket") >= start) & (F.col("bucket") < end)
-    fresh = hourly_counts(messages.filter((F.col("created_at") >= start) & (F.col("created_at") < end)))
-    return rollup.filter(~inside).unionByName(fresh)
-
-
 def active_channels(hourly: DataFrame, channels: DataFrame, *, guild_id: int | None = None, since_hours: int = 24, now: str) -> DataFrame:
     """Channels by messages since then: ``channel_id``, ``name``, ``total``, ``last_active``."""
     since = F.lit(now).cast("timestamp") - F.expr(f"interval {since_hours} hour")
@@ -40,10 +30,25 @@ def state_counts(states: DataFrame) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, *, by: str, ps: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Nearest-rank percentiles of each group, as ``p50``, ``p95``, ...; each p lies in [0, 1]."""
+    """Nearest-rank percentiles of each group, as ``p50``, ``p95``, ...; each p lies in [0, 1].
+
+    Distinct values are counted and dealt out by ranges of group and value.  A range's counts tell how many rows of a group
+    lie before the next one, so each rank is found inside one range, and no task holds a group's values.
+    """
     if any(not 0 <= p <= 1 for p in ps):
         raise ValueError("percentiles lie between 0 and 1")
-    return df.groupBy(by).agg(*[F.expr(f"percentile_disc({p}) within group (order by {value})").alias(f"p{p * 100:g}") for p in ps])
+    counts = df.groupBy(F.col(by).alias("k"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    ranged = stored(counts.repartitionByRange("k", "v").withColumn("part", F.spark_partition_id()), "ranges")
+    valued = ranged.filter("v is not null")
+    order = Window.partitionBy("k").orderBy("part")
+    parts = valued.groupBy("k", "part").agg(F.sum("n").alias("own"))
+    before = F.coalesce(F.sum("own").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col("k").alias("pk"), F.col("part").alias("pp"), before.alias("before"), F.sum("own").over(Window.partitionBy("k")).alias("total"))
+    within = valued.withColumn("upto", F.sum("n").over(Window.partitionBy("k", "part").orderBy("v")))
+    placed = within.join(parts, (F.col("part") == F.col("pp")) & F.col("k").eqNullSafe(F.col("pk"))).select("k", "v", ((F.col("before") + F.col("upto")) / F.col("total")).alias("share"))
+    found = placed.groupBy("k").agg(*[F.min(F.when(F.col("share") >= p, F.col("v"))).alias(f"p{p * 100:g}") for p in ps])
+    groups = ranged.select(F.col("k").alias("g")).distinct()
+    return groups.join(found, F.col("g").eqNullSafe(F.col("k")), "left").drop("k").withColumnRenamed("g", by)
 
 
 def gap_violations(df: DataFrame, gap: str, threshold: float, *, by: str) -> DataFrame:

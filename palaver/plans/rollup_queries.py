@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import latest as L, rollups as R
-from ..sources import sinks
+from ..sources import rollup, sinks
 from ..sources.shared import scratch
 from .registry import Tables, query
 
@@ -39,7 +39,11 @@ def _(t: Tables):
 def _(t: Tables):
     messages = t.facts.select(F.col("entity_id").alias("channel_id"), F.col("ts").alias("created_at"))
     stale = R.hourly_counts(messages).withColumn("n", F.col("n") * 7)
-    return R.refresh_rollup(stale, messages, now="2024-01-20 12:00:00")
+    path = scratch(t.spark, "rollup")
+    rollup.create(stale, path)
+    rollup.note(messages.filter("channel_id % 2 = 0"), path, 0)
+    rollup.note(messages.filter("channel_id % 2 = 1"), path, 1)
+    return rollup.refresh(messages, path, now="2024-01-20 12:00:00").select("channel_id", "bucket", "n")
 
 
 @query("chunk_counts", ("messages",), "SELECT CAST(floor(epoch(created_at) / 604800) AS BIGINT) AS week, count(*) AS n FROM messages GROUP BY 1")
@@ -165,15 +169,15 @@ def _daily_changes(facts):
     return L.fingerprint_changes(L.set_fingerprint(daily, ["entity_id", "day"], "seq", "none"), "entity_id", "day")
 
 
-@query(
-    "fingerprint_changes", ("facts",),
-    """, d AS (SELECT entity_id, date_trunc('day', ts) AS day, sha256(string_agg(CAST(seq AS STRING) || ':', '|' ORDER BY seq)) AS fingerprint FROM facts GROUP BY 1, 2)
-    SELECT entity_id, day, fingerprint FROM (SELECT *, lag(fingerprint) OVER (PARTITION BY entity_id ORDER BY day) AS before FROM d) WHERE before IS DISTINCT FROM fingerprint""",
-)
+_DAILY = """, d AS (SELECT entity_id, date_trunc('day', ts) AS day, sha256(string_agg(CAST(seq AS STRING) || ':', '|' ORDER BY seq)) AS fingerprint FROM facts GROUP BY 1, 2)
+    SELECT entity_id, day, fingerprint FROM (SELECT *, lag(fingerprint) OVER (PARTITION BY entity_id ORDER BY day) AS before FROM d) WHERE before IS DISTINCT FROM fingerprint"""
+
+
+@query("fingerprint_changes", ("facts",), _DAILY)
 def _(t: Tables):
     return _daily_changes(t.facts)
 
 
-@query("fingerprint_changes_whole")
+@query("fingerprint_changes_whole", ("facts",), _DAILY)
 def _(t: Tables):
     return _daily_changes(t.facts)

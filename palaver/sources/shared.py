@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +45,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, which cuts its lineage."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """``df`` written in buckets of a column, so that joins on it shuffle the other side only; deleted in the end."""
+    spark = df.sparkSession
+    path, name = scratch(spark, "buckets"), f"palaver_{uuid.uuid4().hex}"
+    n = planned_buckets(df)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(spark, path)
 
 
 def _folder(spark: SparkSession, path: str):
@@ -65,3 +82,19 @@ def finished(spark: SparkSession, path: str, key: str) -> list[int]:
 def discard(spark: SparkSession, path: str) -> None:
     at, fs = _folder(spark, path)
     fs.delete(at, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names of what is in a folder."""
+    at, fs = _folder(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+#: Bytes (by the optimizer's estimate) that a bucket stands for, and the fewest and most buckets.
+BUCKET_BYTES, FEWEST_BUCKETS, MOST_BUCKETS = 64 << 20, 8, 4_096
+
+
+def planned_buckets(df: DataFrame) -> int:
+    """How many buckets a table is cut into, by the estimated size of its plan; no job is run."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(MOST_BUCKETS, max(FEWEST_BUCKETS, 1 << (size // BUCKET_BYTES).bit_length()))
