@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .blocks import dealt, in_block_pairs, star_edges, whole_groups
 from .graph import components
 from .tables import discard, fresh_name, store
-from .words import hash_spans, mix, slices, string_buffers, word_bounds
+from .words import as_fraction, hash_spans, mix, slices, string_buffers, word_bounds
 
 #: Entries of the table of rarities: the upper bits of a token's hash.
 RARITY_BITS = 20
@@ -330,11 +330,11 @@ def _small_pairs(edges: np.ndarray, sizes: np.ndarray, across: np.ndarray, own:
         start = end
 
 
-def _similar(i: np.ndarray, j: np.ndarray, n: np.ndarray, firsts: np.ndarray, codes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _similar(i: np.ndarray, j: np.ndarray, n: np.ndarray, firsts: np.ndarray, codes: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
     """Those of the pairs whose sets are similar; each row's codes are sorted."""
     if not len(i):
         return i, j
-    fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    fits = whole * np.minimum(n[i], n[j]) >= part * np.maximum(n[i], n[j])
     i, j = i[fits], j[fits]
     width = np.int64(codes.max()) + 1 if len(codes) else np.int64(1)
     keys = np.repeat(np.arange(len(n)), n) * width + codes
@@ -343,7 +343,7 @@ def _similar(i: np.ndarray, j: np.ndarray, n: np.ndarray, firsts: np.ndarray, co
     wanted = j[pair] * width + codes[token]
     spot = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     both = np.bincount(pair, keys[spot] == wanted, len(i)) if len(i) else np.zeros(0)
-    good = 100 * both >= percent * (n[i] + n[j] - both)
+    good = whole * both >= part * (n[i] + n[j] - both)
     return i[good], j[good]
 
 
@@ -362,7 +362,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, thres
     placed = in_block_pairs(lines.filter("line is not null"), ["component"], "id", F.col("members"), SET_BLOCK)
     names = ["component", "low", "high", "own", "id", "set_a", "set_b", "first_doc", "line_no", "line"]
     rows = dealt(placed.select(*names), ["component", "low", "high"], ["id"])
-    percent = round(threshold * 100)
+    part, whole = as_fraction(threshold)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, bounds in whole_groups(batches, 3, rows=10_000, size=4 << 20):
@@ -397,7 +397,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, thres
             edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(group) else np.zeros(1, np.int64)
             sizes = np.diff(edges)
             for i, j in _small_pairs(edges, sizes, low != high, own):
-                note(*_similar(i, j, n, firsts, codes, percent))
+                note(*_similar(i, j, n, firsts, codes, part, whole))
             for g in np.flatnonzero(sizes > SMALL_CLUMP):
                 s, e = edges[g], edges[g + 1]
                 block = codes[firsts[s] : firsts[e - 1] + n[e - 1]]
@@ -406,10 +406,10 @@ def verified_links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, thres
                 for i in range(e - s - 1):
                     mine = block[starts[i] : starts[i] + n[s + i]]
                     seen[mine] = 1
-                    both = np.add.reduceat(seen[block[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+                    both = np.add.reduceat(seen[block[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1]).astype(np.int64)
                     seen[mine] = 0
                     rest = n[s + i + 1 : e]
-                    hit = 100 * both >= percent * (rest + n[s + i] - both)
+                    hit = whole * both >= part * (rest + n[s + i] - both)
                     if low[s] != high[s]:
                         hit &= own[s + i + 1 : e] != own[s + i]
                     j = s + i + 1 + np.flatnonzero(hit)

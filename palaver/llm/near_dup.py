@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .blocks import linked_components
 from .tables import discard, fresh_name, store
-from .words import hashed_words, mix, shingles, slices
+from .words import as_fraction, hashed_words, mix, shingles, slices
 
 #: Samples of a signature, in bands.
 BANDS, ROWS = 32, 4
@@ -139,14 +139,15 @@ def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
 def sketch_clumps(classes: DataFrame, threshold: float) -> DataFrame:
     """Components of the near sketches that share a band bucket; needs ``id``, ``n``, ``bands``, ``sketch``."""
     most, words = largest_distance(threshold), SKETCH_BITS // 64
+    part, whole = as_fraction(threshold)
     exploded = classes.select(F.explode("bands").alias("group"), "id")
     shared = exploded.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1")
     members = store(exploded.join(shared, "group"), "bucket_members")
 
     def pairs(sizes: pa.Array, sketches: pa.Array, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
-        n = np.asarray(sizes)
+        n = np.asarray(sizes).astype(np.int64)
         bits = np.asarray(sketches.flatten()).view(np.uint64).reshape(-1, words)
-        fits = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
+        fits = whole * np.minimum(n[a], n[b]) >= part * np.maximum(n[a], n[b])
         return fits & (np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= most)
 
     def linker(sizes: pa.Array, sketches: pa.Array) -> Callable:
@@ -173,7 +174,7 @@ def exact_groups(docs: DataFrame, classes: DataFrame, clumps: DataFrame, width:
         named = rows.join(firsts, "id")
         return texts.join(named, (texts["doc_id"] == named["first_doc"]) & (texts["text_key"] == named["first_key"]))
 
-    percent = round(threshold * 100)
+    part, whole = as_fraction(threshold)
 
     def linker(texts: pa.Array) -> Callable:
         values, at = shingle_sets(texts, width)
@@ -185,9 +186,9 @@ def exact_groups(docs: DataFrame, classes: DataFrame, clumps: DataFrame, width:
             if len(rows) * 4 < len(n):
                 both = np.array([mark[codes[at[r] : at[r + 1]]].sum() for r in rows])
             else:
-                both = np.add.reduceat(mark[codes], at[:-1])[rows]
+                both = np.add.reduceat(mark[codes], at[:-1])[rows].astype(np.int64)
             mark[codes[at[i] : at[i + 1]]] = 0
-            return 100 * both >= percent * (n[rows] + n[i] - both)
+            return whole * both >= part * (n[rows] + n[i] - both)
 
         return linked
 

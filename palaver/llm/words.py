@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
+def as_fraction(threshold: float) -> tuple[int, int]:
+    """A threshold as the fraction that its decimal digits say, to a millionth: similarities are compared in whole numbers."""
+    exact = Fraction(str(threshold)).limit_denominator(1_000_000)
+    return exact.numerator, exact.denominator
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer."""
     x = x ^ (x >> np.uint64(33))
