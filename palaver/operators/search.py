@@ -222,20 +222,6 @@ def vector_topk_batch(vectors: DataFrame, queries: DataFrame, *, k: int) -> Data
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def vector_ann(vectors: DataFrame, query: Sequence[float], *, k: int, buckets: float = 0.5, tables: int = 24) -> DataFrame:
-    """Approximate cosine top-k: random-projection buckets of unit vectors, then exact scores."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    rows = vectors.select("message_id", "embedding", array_to_vector("embedding").alias("v"))
-    unit = Normalizer(inputCol="v", outputCol="unit").transform(rows)
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=buckets, numHashTables=tables, seed=5).fit(unit)
-    own = sum(x * x for x in query) ** 0.5 or 1.0
-    near = model.approxNearestNeighbors(unit, Vectors.dense([x / own for x in query]), 4 * k)
-    return vector_topk(near.select("message_id", "embedding"), query, k=k)
-
-
 def hybrid(lexical: DataFrame | None, semantic: DataFrame | None, messages: DataFrame, *, w_lex: float = 0.5, w_sem: float = 0.5) -> DataFrame:
     """Both hit lists on their messages, scored by their weighted sum (a missing side counts 0); with one list
     its own score stands, and with none nothing is found.  Hits without a message drop out; there is no limit."""

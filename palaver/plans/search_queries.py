@@ -7,8 +7,8 @@ import hashlib
 from pyspark.sql import functions as F
 
 from ..operators import filters, search as S, stem
-from ..sources import textindex
-from ..sources.shared import finished, kept_at, scratch
+from ..sources import textindex, vectorindex
+from ..sources.shared import children, finished, kept_at, scratch
 from .registry import Tables, query
 
 _STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
@@ -35,11 +35,8 @@ _MESSAGES = ", " + _index_sql("messages", "message_id", "plain_text", "whst")
 
 def _index(t: Tables, table: str, key: str, text: str):
     """The stored index of a table: a folder named by the table's files, written at the first search of them."""
-    rows = getattr(t, table)
-    files = [t.spark._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(rows.inputFiles())]
-    status = [f.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(f) for f in files]
-    name = hashlib.sha256(repr([table, key, text, *((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in status)]).encode()).hexdigest()[:32]
-    path = kept_at(t.spark, f"index2-{table}-{name}", lambda at: textindex.create(rows, at, key, text), lambda at: bool(finished(t.spark, at, "whole")))
+    make = lambda at: textindex.create(getattr(t, table), at, key, text)
+    path = kept_at(t.spark, f"index2-{table}-{_stamp(t, table, key, text)}", make, lambda at: bool(finished(t.spark, at, "whole")))
     return textindex.read(t.spark, path, key)
 
 
@@ -137,9 +134,36 @@ def _(t: Tables):
     return S.vector_topk_batch(t.vectors, queries, k=5).select("query_id", "message_id", "rank")
 
 
+def _stamp(t: Tables, table: str, *more: object) -> str:
+    """A name for what is derived from a table's files: another one once they change."""
+    files = [t.spark._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(getattr(t, table).inputFiles())]
+    status = [f.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(f) for f in files]
+    return hashlib.sha256(repr([table, *more, *((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in status)]).encode()).hexdigest()[:32]
+
+
+def _vector_index(t: Tables) -> str:
+    make = lambda at: vectorindex.build(t.vectors, at, filters=("guild_id", "tag"))
+    return kept_at(t.spark, f"vectors1-{_stamp(t, 'vectors')}", make, lambda at: bool(children(t.spark, f"{at}/book")))
+
+
 @query("vector_ann", ("vectors",))
 def _(t: Tables):
-    return S.vector_ann(t.vectors, _query_vector(), k=10).select("message_id", F.round("score", 6).alias("score"))
+    asked = t.spark.createDataFrame([(0, _query_vector())], "query_id long, query array<double>")
+    found = vectorindex.search(t.spark, _vector_index(t), asked, k=10)
+    return found.select(F.col("id").alias("message_id"), F.round("score", 6).alias("score"))
+
+
+@query("vector_ann_recall", ("vectors",), "SELECT unnest(['all', 'filtered']) AS searched, true AS enough, (SELECT count(*) FROM vectors WHERE message_id % 50 = 0) AS n_queries")
+def _(t: Tables):
+    """Whether nearly all true neighbours of every fiftieth vector are found, among all rows and among those of one guild."""
+    asked = t.vectors.filter("message_id % 50 = 0").select(F.col("message_id").alias("query_id"), F.col("embedding").alias("query"))
+    out = []
+    for name, where in (("all", F.lit(True)), ("filtered", F.col("guild_id") == 2)):
+        true = S.vector_topk_batch(t.vectors.filter(where), asked, k=10).select("query_id", F.col("message_id").alias("id"))
+        found = vectorindex.search(t.spark, _vector_index(t), asked, k=10, where=None if name == "all" else where).select("query_id", "id", F.lit(1).alias("hit"))
+        both = true.join(found, ["query_id", "id"], "left").agg((F.avg(F.coalesce("hit", F.lit(0))) >= 0.95).alias("enough"), F.count_distinct("query_id").alias("n_queries"))
+        out.append(both.select(F.lit(name).alias("searched"), "enough", "n_queries"))
+    return out[0].unionAll(out[1])
 
 
 _LEX = _MESSAGES + f", lex AS (SELECT message_id, {_SCORE.format(n=1)} AS lex FROM ix WHERE term = (SELECT term FROM stems WHERE word = 'whst') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50)"

@@ -511,14 +511,41 @@ def test_batched_vector_search_is_the_brute_force(spark, monkeypatch):
     assert search.vector_topk_batch(rows, asked.filter("false"), k=3).count() == 0
 
 
-def test_approximate_search_recall(spark, sf_dir):
-    from palaver.plans.registry import Tables
-    from palaver.plans.search_queries import _query_vector
-
-    vectors = Tables(spark, sf_dir).vectors
-    exact = {r["message_id"] for r in search.vector_topk(vectors, _query_vector(), k=10).collect()}
-    near = {r["message_id"] for r in search.vector_ann(vectors, _query_vector(), k=10).collect()}
-    assert len(exact & near) >= 9
+def test_approximate_search_recall_and_odd_vectors(spark, tmp_path):
+    import numpy as np
+    from palaver.sources import vectorindex
+
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(40, 24))
+    data = centers[rng.integers(0, 40, 3000)] + 0.25 * rng.normal(size=(3000, 24))
+    rows = [(k, v, k % 5) for k, v in enumerate(data.tolist())]
+    odd = [(5000, None, 1), (5001, [0.0] * 24, 1), (5002, [float("nan")] * 24, 1), (5003, [1.0] * 3, 1), (None, [1.0] * 24, 1), (5004, data[0].tolist(), 0), (5005, [None] + [1.0] * 23, 1)]
+    df = spark.createDataFrame(rows + odd, "message_id long, embedding array<double>, guild int")
+    path = str(tmp_path / "ix")
+    vectorindex.build(df, path, filters=("guild",))
+    book = vectorindex._open(spark, path)[0]
+    assert book.probes < len(book.centroids) / 2 and book.again < 600  # where vectors lie in clusters few are looked at
+    asked = df.filter("message_id < 3000 AND message_id % 50 = 0").select(F.col("message_id").alias("query_id"), F.col("embedding").alias("query"))
+    unit = np.vstack([data, data[:1]])
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    ids, guilds = np.r_[np.arange(3000), 5004], np.r_[np.arange(3000) % 5, 0]
+    for where, some in ((None, np.ones(3001, bool)), (F.col("guild") == 3, guilds == 3)):
+        found = {}
+        for r in vectorindex.search(spark, path, asked, k=10, where=where).collect():
+            found.setdefault(r["query_id"], {})[r["rank"]] = (r["id"], r["score"])
+        hits = 0
+        for q in range(0, 3000, 50):
+            cosine = unit @ unit[q]
+            true = ids[some][np.lexsort((ids[some], -np.round(cosine[some], 12)))][:10]
+            assert sorted(found[q]) == list(range(1, 11))
+            assert all(abs(s - cosine[np.flatnonzero(ids == i)[0]]) < 1e-9 for i, s in found[q].values())
+            hits += len(set(true.tolist()) & {i for i, _ in found[q].values()})
+        assert hits >= 0.95 * 600
+        if where is None:
+            assert [found[0][k][0] for k in (1, 2)] == [0, 5004]  # equal scores: the smaller id
+    assert vectorindex.search(spark, path, asked, k=3, where=F.col("guild") == 77).collect() == []
+    vectorindex.build(df.limit(0), str(tmp_path / "none"))
+    assert vectorindex.search(spark, str(tmp_path / "none"), asked, k=3).collect() == []
 
 
 def test_embedding_by_a_callable(spark):
