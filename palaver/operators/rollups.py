@@ -80,3 +80,14 @@ def entity_snapshots(states: DataFrame, *, guild_id: int | None = None) -> DataF
     """Latest state rows, with the number of roles (none: 0)."""
     rows = states if guild_id is None else states.filter(F.col("guild_id") == guild_id)
     return rows.withColumn("n_roles", F.coalesce(F.size("roles"), F.lit(0)))
+
+
+def channel_snapshots(states: DataFrame, *, guild_id: int | None = None) -> DataFrame:
+    """Latest states of channels, of one guild's if given: the state, the cursor, and what the last sync found."""
+    rows = states if guild_id is None else states.filter(F.col("guild_id") == guild_id)
+    return rows.select("channel_id", "guild_id", "name", "type", "state", "cursor", "last_synced", "caught_up", "last_count", "pins")
+
+
+def message_state(states: DataFrame, key: str, message_id: int) -> DataFrame:
+    """One message's state, or nothing."""
+    return states.filter(F.col(key) == message_id).limit(1)

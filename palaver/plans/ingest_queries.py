@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, ingest as I, latest as L, payloads as P
+from ..operators import filters, ingest as I, latest as L, payloads as P, rollups as R
 from ..sources import capture, sinks
 from ..streaming import jobs
 from . import message_queries, token_queries  # noqa: F401  (their SQL is counted below)
@@ -175,6 +175,23 @@ def _(t: Tables):
     return jobs.project_stream(t.spark, f"{t.sf_dir}/conversations.parquet")
 
 
+@query(
+    "stream_project_dims", (),
+    "SELECT 'channels' AS table_name, count(*) AS n FROM nation UNION ALL SELECT 'guilds', count(*) FROM region UNION ALL SELECT 'roles', CAST(sum(r_regionkey % 3) AS BIGINT) FROM region",
+)
+def _(t: Tables):
+    on = "timestamp'2024-01-01 00:00:00' AS updated_on"
+    channels = jobs.parquet_stream(t.spark, f"{t.sf_dir}/nation.parquet").selectExpr("n_nationkey AS channel_id", "n_regionkey AS guild_id", "n_name AS name", "0 AS channel_type", "CAST(NULL AS BIGINT) AS parent_id", on, "true AS is_present")
+    roles = "transform(slice(array(1L, 2L, 3L), 1, CAST(r_regionkey % 3 AS INT)), i -> named_struct('id', i, 'name', concat('r', i))) AS roles"
+    guilds = jobs.parquet_stream(t.spark, f"{t.sf_dir}/region.parquet").selectExpr("r_regionkey AS guild_id", "r_name AS name", roles, on)
+    tables = {}
+    for kind, stream in (("channels", channels), ("guilds", guilds)):
+        folder = jobs.scratch(t.spark, kind)
+        jobs.start_projection(stream, folder, kind=kind, every=None).awaitTermination()
+        tables |= jobs.projected(t.spark, folder, stream, kind)
+    return R.store_counts(tables)
+
+
 @query(
     "stream_hourly", ("facts",),
     """, h AS (SELECT entity_id AS channel_id, date_trunc('hour', ts) AS bucket, count(*) AS n FROM facts GROUP BY 1, 2)

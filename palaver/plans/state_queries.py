@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uuid5_key
-from ..operators import filters, ingest as I, lifecycle as Y, models
+from ..operators import filters, ingest as I, lifecycle as Y, models, rollups as R
 from ..streaming import jobs
 from . import views
 from .registry import Tables, query
@@ -136,6 +136,19 @@ def _(t: Tables):
     return Y.fold(facts, "entity_id", Y.CHANNEL).drop("n_facts").select("*", "profile.*").drop("profile")
 
 
+@query("channel_snapshots", (), "SELECT entity_id AS channel_id, entity_id % 5 AS guild_id, name, type, state, cursor, last_synced, caught_up, last_count, pins FROM (" + _CHANNEL_WALK + ") WHERE entity_id % 5 = 2")
+def _(t: Tables):
+    facts = t.facts.selectExpr("entity_id", "seq", f"{_CHANNEL_KINDS} AS kind", f"{_PRESENT} AS ok", *_CARRIED)
+    states = Y.fold(facts, "entity_id", Y.CHANNEL).select("*", "profile.*").withColumns({"channel_id": F.col("entity_id"), "guild_id": F.col("entity_id") % 5})
+    return R.channel_snapshots(states, guild_id=2)
+
+
+@query("message_state", (), "SELECT * FROM (" + _MESSAGE_WALK.format(columns="state, pending, embedded, tagged, n_enriched, created_on, updated_on, settled_on") + ") WHERE entity_id = 7")
+def _(t: Tables):
+    states = Y.fold(_message_facts(t.facts.filter("entity_id = 7")), "entity_id", Y.MESSAGE)
+    return R.message_state(states, "entity_id", 7).select("entity_id", "state", "pending", "embedded", "tagged", "n_enriched", *_STAMPS)
+
+
 @query("guild_lifecycle", (), _GUILD_WALK)
 def _(t: Tables):
     roles = "transform(sequence(0, seq % 3), i -> named_struct('id', i, 'name', concat('r', i))) AS roles"

@@ -8,6 +8,7 @@ goes on where it stopped and leaves no row twice.  An empty source gives empty t
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,22 +61,46 @@ def _fan_out(messages: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def start_projection(messages: DataFrame, folder: str, *, every: str | None = "10 seconds") -> StreamingQuery:
-    """Starts the fan-out of a stream of messages into five tables under ``folder``.
+class Projection(NamedTuple):
+    """What a stream of rows is projected to, the most rows that are flushed as one, and how long rows wait at most."""
 
-    A micro-batch is flushed after ``every`` (None: what is there, then the end) or when the stream's own
-    bound on a batch is reached; its rows are persisted once for the five writes.
+    tables: Callable[[DataFrame], dict[str, DataFrame]]
+    rows: int
+    every: str
+
+
+#: The bounds of a flush, by what is projected.
+PROJECTIONS = {
+    "messages": Projection(_fan_out, 2_000, "10 seconds"),
+    "channels": Projection(lambda changed: {"channels": filters.project_channels(changed)}, 50, "2 seconds"),
+    "guilds": Projection(
+        lambda changed: {
+            "guilds": changed.filter("name <> ''").select("guild_id", "name", F.col("updated_on").alias("updated_at")),
+            "roles": changed.select("guild_id", F.explode("roles").alias("r")).select("guild_id", F.col("r.id").alias("role_id"), "r.name"),
+        },
+        10, "2 seconds",
+    ),
+}
+
+
+def start_projection(rows: DataFrame, folder: str, *, kind: str = "messages", every: str | None = "") -> StreamingQuery:
+    """Starts the fan-out of a stream of messages, channels or guilds into their tables under ``folder``.
+
+    A micro-batch is flushed when its time is over (``every``, by default the kind's own; None: what is there, then the end) or when the
+    stream's own bound on a batch is reached.  It is written in files of no more rows than the kind flushes as one, so a reader that
+    takes a file at a time meets the same bound.  A batch's rows are persisted once for all its tables.
     """
+    projection = PROJECTIONS[kind]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
         try:
-            for name, part in _fan_out(held).items():
-                part.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+            for name, part in projection.tables(held).items():
+                part.write.mode("overwrite").option("maxRecordsPerFile", projection.rows).parquet(f"{folder}/{name}/batch={batch_id}")
         finally:
             held.unpersist()
 
-    return _start(messages, write, folder, every)
+    return _start(rows, write, folder, projection.every if every == "" else every)
 
 
 def project_stream(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
@@ -83,8 +108,13 @@ def project_stream(spark: SparkSession, path: str, folder: str | None = None) ->
     folder = folder or scratch(spark, "projected")
     stream = parquet_stream(spark, path).selectExpr(*views.VIEWS["messages"][1])
     start_projection(stream, folder, every=None).awaitTermination()
-    empty = _fan_out(spark.createDataFrame([], stream.schema))
-    return rollups.store_counts({name: _read(spark, f"{folder}/{name}", like) for name, like in empty.items()})
+    return rollups.store_counts(projected(spark, folder, stream))
+
+
+def projected(spark: SparkSession, folder: str, like: DataFrame, kind: str = "messages") -> dict[str, DataFrame]:
+    """The tables that projections of rows like these have written so far."""
+    empty = PROJECTIONS[kind].tables(spark.createDataFrame([], like.schema))
+    return {name: _read(spark, f"{folder}/{name}", table) for name, table in empty.items()}
 
 
 def hourly_stream(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:

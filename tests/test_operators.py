@@ -303,6 +303,20 @@ def test_render_html(spark):
     )
 
 
+def test_capture_lines_in_any_letter_case_and_unreadable_ones(spark):
+    lines = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
+    good = ingest.parse_lines(lines('{"Kind":"guildChanged","DATA":{"GuildId":5,"name":"g","Roles":[{"Id":1,"NAME":"r"}],"isPresent":true,"updatedOn":"2024-01-01T00:00:00Z"}}', " ", '{"data":null}'))
+    assert sorted(r["kind"] for r in good.collect()) == ["", "guildChanged"]
+    row = ingest.demux(good, "guildChanged").first().asDict(recursive=True)
+    assert (row["guildId"], row["name"], row["roles"], row["isPresent"], str(row["updatedOn"])) == (5, "g", [{"id": 1, "name": "r"}], True, "2024-01-01 00:00:00")
+    for bad in ("{oops", "7", '"text"', "[1]"):
+        with pytest.raises(Exception, match="unreadable line"):
+            ingest.parse_lines(lines('{"kind":"a","data":{}}', bad)).collect()
+    for body in ("null", "3", "[]"):
+        with pytest.raises(Exception, match="without a body"):
+            ingest.demux(ingest.parse_lines(lines('{"kind":"guildChanged","data":' + body + "}")), "guildChanged").collect()
+
+
 def test_capture_log_round_trip(spark, tmp_path):
     records = spark.createDataFrame([("messageCaptured", '{"messageSnowflake":5,"guildId":1}'), ("other", "{}")], "kind string, data string")
     capture.write_log(records, str(tmp_path / "log"), session="s1")

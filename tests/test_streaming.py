@@ -158,3 +158,16 @@ def test_a_stream_of_nothing(spark, tmp_path):
     spark.createDataFrame([], FACT).write.parquet(source)
     assert jobs.lifecycle_stream(jobs.parquet_stream(spark, source), "id", lifecycle.MESSAGE, str(tmp_path / "a")).collect() == []
     assert jobs.timer_stream(jobs.parquet_stream(spark, source), "id", sets=("x",), seconds=1, folder=str(tmp_path / "b")).collect() == []
+
+
+def test_projections_are_flushed_in_bounded_parts(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(k, 1, f"c{k}", 0, None, at(k), True) for k in range(180)]
+    kind = "channel_id long, guild_id long, name string, channel_type int, parent_id long, updated_on timestamp, is_present boolean"
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(source)
+    stream = jobs.parquet_stream(spark, source)
+    jobs.start_projection(stream, folder, kind="channels", every=None).awaitTermination()
+    table = jobs.projected(spark, folder, stream, "channels")["channels"]
+    sizes = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 180 and max(sizes) <= jobs.PROJECTIONS["channels"].rows
+    assert {k: (p.rows, p.every) for k, p in jobs.PROJECTIONS.items()} == {"messages": (2000, "10 seconds"), "channels": (50, "2 seconds"), "guilds": (10, "2 seconds")}
