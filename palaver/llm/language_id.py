@@ -9,7 +9,8 @@ language with the lowest cross-entropy per character wins.
 
 Rejection is calibrated on labelled documents that were kept out of the counts: the limit lies
 midway between their mean cross-entropy and that of their own letters in random order (and never
-within eight deviations of the mean), with more room for short texts.  A text whose best
+within eight deviations of the mean), with more room for short texts.  A language of too few documents to keep
+any out takes the widest limit of the others; where none has one, all are accepted.  A text whose best
 cross-entropy is above it is not ``accepted``; nor is a text without letters.
 
 Scale: learning collects n-grams of a sample of about ``SAMPLE_DOCS`` documents for each language,
@@ -260,7 +261,7 @@ def learn(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Model:
     sizes = store(usable.groupBy("lang").agg(F.count("*").alias("docs")), "languages")
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000))
     share = F.ceil(F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("docs")) * 1e6)
-    # a language of few documents is learned from all of them, and then accepts whatever it is nearest to
+    # a language of few documents is learned from all of them
     aside = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibrate")), F.lit(CALIBRATION)) == 0) & (F.col("docs") >= 2 * CALIBRATION)
     sample = store(usable.join(sizes, "lang").filter(draw < share).select("text", "lang", aside.alias("aside")), "sample")
 
@@ -297,6 +298,9 @@ def learn(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Model:
     for r in stats:
         limit = max(r["mean"] + 8 * r["sd"], (r["mean"] + r["noise"]) / 2)
         model.limit[model.languages.index(r["lang"])] = limit
+    known = np.isfinite(model.limit)
+    if known.any():  # a language without a limit of its own takes the widest of the others
+        model.limit[~known] = model.limit[known].max()
     return model
 
 
