@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, stored
+
 
 class Field(NamedTuple):
     """A field of a state: its value at first, the next one, and how two runs of facts combine.
@@ -132,20 +134,30 @@ GUILD: Transitions = {
 def guild_facts(facts: DataFrame, key: str, before: DataFrame | None = None) -> DataFrame:
     """Guild facts with ``stale``: whether the guild's last sync lies before a heartbeat's ``cutoff``.
 
-    A ``changed`` counts from the guild's first ``sync_due`` on.  It is a running window, so a guild's facts stream
-    through it and the fold needs no more than a boolean.  ``before``: states that earlier facts led to.
+    A ``changed`` counts after the guild's first ``sync_due``.  Facts are dealt out by ranges of key and ``seq``, and the last
+    sync of the ranges before is carried over, so a guild may have any number of facts, and the fold needs no more than a
+    boolean.  ``before``: states that earlier facts led to.
     """
-    held = facts
+    ranged = stored(facts.repartitionByRange(key, "seq").withColumn("_part", F.spark_partition_id()), "ranges")
+    due = ranged.filter("kind = 'sync_due'").groupBy(F.col(key).alias("_key")).agg(F.min("seq").alias("_due"))
+    held = ranged.join(due, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     if before is not None:
-        held = facts.join(before.select(key, F.col("last_synced").alias("_held"), (F.col("state") != "").alias("_known")), key, "left")
+        states = before.select(F.col(key).alias("_key"), F.col("last_synced").alias("_held"), (F.col("state") != "").alias("_known"))
+        held = held.join(states, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     else:
-        held = facts.withColumns({"_held": F.expr(_TIME), "_known": F.lit(False)})
-    past = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    known = F.coalesce("_known", F.lit(False)) | F.coalesce(F.max(F.col("kind") == "sync_due").over(past), F.lit(False))
-    held = held.withColumn("_counts", known & (F.col("kind") == "changed"))
-    synced = F.coalesce(F.last(F.when(F.col("_counts"), F.coalesce("synced_at", "at")), ignorenulls=True).over(past), "_held")
+        held = held.withColumns({"_held": F.expr(_TIME), "_known": F.lit(False)})
+    known = F.coalesce("_known", F.lit(False)) | F.coalesce(F.col("seq") > F.col("_due"), F.lit(False))
+    held = held.withColumn("_sync", F.when(known & (F.col("kind") == "changed"), F.coalesce("synced_at", "at")))
+    inside = Window.partitionBy("_part", key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = held.filter("_sync is not null").groupBy("_part", key).agg(F.max_by("_sync", "seq").alias("_end"))
+    parts = held.select("_part", key).distinct().join(ends.select(F.col("_part").alias("_p"), F.col(key).alias("_key"), "_end"), (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_key")), "left")
+    parts = parts.select(F.col("_part").alias("_p"), F.col(key).alias("_key"), F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    held = held.withColumn("_last", F.last("_sync", ignorenulls=True).over(inside))
+    held = held.join(parts, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_key")))
+    synced = F.coalesce("_last", "_carried", "_held")
     stale = F.when(F.col("kind") == "heartbeat", synced.isNull() | (synced < F.col("cutoff")))
-    return held.withColumn("stale", stale).drop("_held", "_known", "_counts")
+    return held.withColumn("stale", stale).select(*facts.columns, "stale")
 
 
 #: Facts of a key that are folded as one array; a busier key's are cut into runs of about so many.
@@ -199,14 +211,16 @@ def fold(facts: DataFrame, key: str, rules: Transitions, before: DataFrame | Non
     so memory is bounded by a run and its states (facts of one ``seq`` are one run).
     """
     first = _struct({name: field.start for name, field in rules.items()})
-    counts = facts.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK)
-    busy = [tuple(r) for r in counts.collect()]  # at most a CHUNK-th of the facts
+    counts = facts.groupBy(F.col(key).alias("_busy")).agg(F.count("*").alias("n")).filter(F.col("n") > CHUNK)
+    names = stored(counts, "busy_keys")  # its size tells the optimizer how to join it
+    busy = names.agg(F.sum("n")).first()[0] or 0
     some = facts
     if busy:
-        names = F.broadcast(facts.sparkSession.createDataFrame([(x,) for x, _ in busy], facts.select(key).schema))
-        there = facts[key].eqNullSafe(names[key])
+        there = F.col(key).eqNullSafe(F.col("_busy"))
         some = facts.join(names, there, "left_anti")
-        many = _fold_busy(facts.join(names, there, "left_semi"), key, rules, sum(n for _, n in busy))
+        many = _fold_busy(facts.join(names, there, "left_semi"), key, rules, busy)
+    else:
+        discard(facts.sparkSession, names.stored_at)
 
     def end(grouped: DataFrame, size: str, folded: str) -> DataFrame:
         start, grouped = first, grouped.withColumn("n_before", F.lit(0))
@@ -229,9 +243,15 @@ def fold(facts: DataFrame, key: str, rules: Transitions, before: DataFrame | Non
 
 
 def timeouts(facts: DataFrame, key: str, at: str, *, pending: tuple[str, ...], seconds: int = 30) -> DataFrame:
-    """Requests that no fact of their key followed in time, with the moment at which each times out."""
-    following = F.lead(at).over(Window.partitionBy(key).orderBy(at, "seq"))
-    marked = facts.withColumn("next_at", following)
-    late = F.col("next_at").isNull() | (F.col("next_at") > F.col(at) + F.expr(f"interval {seconds} seconds"))
-    waiting = marked.filter(F.col("kind").isin(*pending) & late)
-    return waiting.select(key, "seq", (F.col(at) + F.expr(f"interval {seconds} seconds")).alias("timeout_at"))
+    """Requests that no fact of their key followed in time, with the moment at which each times out.
+
+    Facts are dealt out by ranges of key and time; a range's last fact of a key is followed by the key's first one in the ranges after.
+    """
+    ranged = stored(facts.select(key, at, "seq", "kind").repartitionByRange(key, at, "seq").withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = F.lead(at).over(Window.partitionBy("_part", key).orderBy(at, "seq"))
+    firsts = ranged.groupBy("_part", key).agg(F.min(at).alias("_first"))
+    after = firsts.select(F.col("_part").alias("_p"), F.col(key).alias("_key"), F.lead("_first").over(Window.partitionBy(key).orderBy("_part")).alias("_after"))
+    marked = ranged.withColumn("_next", inside).join(after, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_key")))
+    following, due = F.coalesce("_next", "_after"), F.col(at) + F.expr(f"interval {seconds} seconds")
+    waiting = marked.filter(F.col("kind").isin(*pending) & (following.isNull() | (following > due)))
+    return waiting.select(key, "seq", due.alias("timeout_at"))

@@ -141,3 +141,42 @@ def test_planned_buckets_follow_the_size(spark):
     assert shared.planned_buckets(spark.range(10)) == shared.FEWEST_BUCKETS
     big = shared.planned_buckets(spark.range(1 << 30))
     assert big == 1 << math.ceil(math.log2((8 << 30) / shared.BUCKET_BYTES + 1))
+
+
+def test_a_busy_guild_and_a_busy_key_are_spread(spark, monkeypatch, all_ranges):
+    """Running values are carried over ranges: the same as by hand, over facts in order."""
+    from palaver.operators import lifecycle
+
+    rnd = random.Random(3)
+    hours = lambda h: None if h is None else f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00"
+    rows = []
+    for k in range(1500):
+        key = 1 if k % 10 else k % 7
+        kind = rnd.choice(["sync_due", "changed", "heartbeat", "heartbeat", "else"]) if k > 20 else "changed"
+        rows.append((key, k, kind, hours(k // 4), hours(rnd.randrange(600)) if rnd.random() < 0.7 else None, hours(rnd.randrange(600))))
+    df = spark.createDataFrame(rows, "k long, seq long, kind string, a string, s string, c string").repartition(5)
+    df = df.selectExpr("k", "seq", "kind", "CAST(a AS TIMESTAMP) AS at", "CAST(s AS TIMESTAMP) AS synced_at", "CAST(c AS TIMESTAMP) AS cutoff")
+    seen = []
+    keep = shared.stored
+    monkeypatch.setattr(lifecycle, "stored", lambda df, name: seen.append(keep(df, name)) or seen[-1])
+    found = {r["seq"]: r["stale"] for r in lifecycle.guild_facts(df, "k").collect()}
+    known, synced, want = set(), {}, {}
+    for key, seq, kind, a, s, c in rows:
+        want[seq] = (synced.get(key) is None or synced[key] < c) if kind == "heartbeat" else None
+        if kind == "changed" and key in known:
+            synced[key] = s or a
+        if kind == "sync_due":
+            known.add(key)
+    assert found == want
+    assert seen[0].filter("k = 1").select("_part").distinct().count() > 1
+    late = {(r["k"], r["seq"]) for r in lifecycle.timeouts(df, "k", "at", pending=("sync_due", "changed"), seconds=3600).collect()}
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    wanted = set()
+    for key, own in by.items():
+        for r, after in zip(own, [*own[1:], None], strict=True):
+            gap = None if after is None else int(after[1]) // 4 - int(r[1]) // 4
+            if r[2] in ("sync_due", "changed") and (gap is None or gap > 1):
+                wanted.add((key, r[1]))
+    assert late == wanted
