@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import snippet_words
+from ..sources.shared import planned_bytes, stored
 from .stem import stemmed
 
 #: English words that are not indexed.
@@ -27,6 +28,8 @@ STOP_WORDS = tuple(
     "again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can "
     "will just don should now".split()
 )
+#: Bytes of a stored table of words up to which it is sent to all tasks; a larger one is joined by a shuffle.
+SENT_BYTES = 16 << 20
 #: Vectors of a block: rows, and queries.
 ROW_BLOCK, QUERY_BLOCK = 8_192, 1_024
 
@@ -35,12 +38,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
-def postings(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``term``, the id, ``tf`` and the sorted ``positions`` (counted over all words)."""
+def occurrences(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``term``, the id and ``pos`` (counted over all words) of every indexed word; writes the table of distinct words."""
     each = messages.select(id_col, F.posexplode(words(F.col(text_col))).alias("pos", "word")).filter(~F.col("word").isin(*STOP_WORDS))
-    known = stemmed(each.select("word").distinct())
-    terms = each.join(known, "word").groupBy("term", id_col)
-    return terms.agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    known = stored(stemmed(each.select("word").distinct()), "stems")
+    # what is exploded is larger than the optimizer thinks, so which side may be sent is not left to it
+    small = planned_bytes(known) <= SENT_BYTES
+    return each.join(F.broadcast(known) if small else known.hint("merge"), "word").select("term", id_col, "pos")
+
+
+def gathered(each: DataFrame, keys: list[str]) -> DataFrame:
+    """Occurrences as postings; they are dealt out by (some of) ``keys``, as hardly two of a task are of one posting."""
+    return each.groupBy(*keys).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def postings(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``term``, the id, ``tf`` and the sorted ``positions``."""
+    return gathered(occurrences(messages, id_col, text_col).repartition("term", id_col), ["term", id_col])
 
 
 #: An asked text's terms, each with its place among the text's words.

@@ -96,5 +96,9 @@ BUCKET_BYTES, FEWEST_BUCKETS, MOST_BUCKETS = 64 << 20, 8, 4_096
 
 def planned_buckets(df: DataFrame) -> int:
     """How many buckets a table is cut into, by the estimated size of its plan; no job is run."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(MOST_BUCKETS, max(FEWEST_BUCKETS, 1 << (size // BUCKET_BYTES).bit_length()))
+    return min(MOST_BUCKETS, max(FEWEST_BUCKETS, 1 << (planned_bytes(df) // BUCKET_BYTES).bit_length()))
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's size: of a stored one, that of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.search import bucket_of, postings
+from ..operators.search import bucket_of, gathered, occurrences
 from .shared import discard, finished
 
 #: Bytes of text that a bucket of terms stands for, and the most buckets.
@@ -29,9 +29,18 @@ def _buckets(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(f"{path}/settings").first()["buckets"]
 
 
-def _write(index: DataFrame, path: str, id_col: str, buckets: int) -> None:
-    dealt = index.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(BUCKET_WRITERS)))
-    dealt.sortWithinPartitions("bucket", "term", id_col).write.mode("overwrite").partitionBy("bucket").parquet(path)
+def _dealt(rows: DataFrame, id_col: str, buckets: int) -> DataFrame:
+    placed = rows.withColumns({"bucket": bucket_of(F.col("term"), buckets), "_writer": F.pmod(F.xxhash64(id_col), F.lit(BUCKET_WRITERS))})
+    return placed.repartition("bucket", "_writer")
+
+
+def _write(index: DataFrame, path: str, id_col: str) -> None:
+    index.drop("_writer").sortWithinPartitions("bucket", "term", id_col).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def _indexed(messages: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """Postings where they are to be written: one shuffle, of the occurrences."""
+    return gathered(_dealt(occurrences(messages, id_col, text_col), id_col, buckets), ["bucket", "_writer", "term", id_col])
 
 
 def create(messages: DataFrame, path: str, id_col: str, text_col: str, *, buckets: int | None = None) -> None:
@@ -40,7 +49,7 @@ def create(messages: DataFrame, path: str, id_col: str, text_col: str, *, bucket
         size = messages.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
         buckets = min(MOST_BUCKETS, 1 << max(3, math.ceil(math.log2(size / BUCKET_BYTES + 1))))
     messages.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(f"{path}/settings")
-    _write(postings(messages, id_col, text_col), f"{path}/whole=0", id_col, buckets)
+    _write(_indexed(messages, id_col, text_col, buckets), f"{path}/whole=0", id_col)
 
 
 def upsert(changed: DataFrame, path: str, id_col: str, text_col: str, *, deleted: DataFrame | None = None) -> None:
@@ -48,7 +57,7 @@ def upsert(changed: DataFrame, path: str, id_col: str, text_col: str, *, deleted
     spark = changed.sparkSession
     n = 1 + max([*finished(spark, path, "whole"), *finished(spark, path, "replaced")])
     ids = changed.select(id_col) if deleted is None else changed.select(id_col).unionByName(deleted.select(id_col))
-    _write(postings(changed, id_col, text_col), f"{path}/segment={n}", id_col, _buckets(spark, path))
+    _write(_indexed(changed, id_col, text_col, _buckets(spark, path)), f"{path}/segment={n}", id_col)
     ids.distinct().write.mode("overwrite").parquet(f"{path}/replaced={n}")  # last: only now the segment counts
     if n - finished(spark, path, "whole")[-1] > SEGMENTS:
         merge(spark, path, id_col)
@@ -87,7 +96,7 @@ def merge(spark: SparkSession, path: str, id_col: str) -> None:
     upto = max([*whole, *replaced])
     if upto == whole[-1]:
         return
-    _write(read(spark, path, id_col).drop("bucket"), f"{path}/whole={upto}", id_col, _buckets(spark, path))
+    _write(_dealt(read(spark, path, id_col).drop("bucket"), id_col, _buckets(spark, path)), f"{path}/whole={upto}", id_col)
     for old in whole:
         discard(spark, f"{path}/whole={old}")
     for old in replaced:
