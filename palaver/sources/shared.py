@@ -92,11 +92,14 @@ def children(spark: SparkSession, path: str) -> list[str]:
 
 #: Bytes (by the optimizer's estimate) that a bucket stands for, and the fewest and most buckets.
 BUCKET_BYTES, FEWEST_BUCKETS, MOST_BUCKETS = 64 << 20, 8, 4_096
+#: Estimates from here on say that the size is not known (rows that come from Python have none); and the buckets then.
+NOT_KNOWN, BUCKETS_NOT_KNOWN = 1 << 55, 32
 
 
 def planned_buckets(df: DataFrame) -> int:
     """How many buckets a table is cut into, by the estimated size of its plan; no job is run."""
-    return min(MOST_BUCKETS, max(FEWEST_BUCKETS, 1 << (planned_bytes(df) // BUCKET_BYTES).bit_length()))
+    size = planned_bytes(df)
+    return BUCKETS_NOT_KNOWN if size >= NOT_KNOWN else min(MOST_BUCKETS, max(FEWEST_BUCKETS, 1 << (size // BUCKET_BYTES).bit_length()))
 
 
 def planned_bytes(df: DataFrame) -> int:

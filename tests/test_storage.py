@@ -139,6 +139,7 @@ def test_a_level_of_a_walk_shuffles_its_frontier_only(spark, tmp_path):
 
 def test_planned_buckets_follow_the_size(spark):
     assert shared.planned_buckets(spark.range(10)) == shared.FEWEST_BUCKETS
+    assert shared.planned_buckets(spark.sparkContext.parallelize([(1,)]).toDF("k long")) == shared.BUCKETS_NOT_KNOWN
     big = shared.planned_buckets(spark.range(1 << 30))
     assert big == 1 << math.ceil(math.log2((8 << 30) / shared.BUCKET_BYTES + 1))
 
