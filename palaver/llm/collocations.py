@@ -43,7 +43,7 @@ CHUNK_BYTES, GATHERED_BYTES = 8 << 20, 32 << 20
 #: Chunks that a task is given at once.
 CHUNK_ROWS = 4
 #: Occurrences that a task counts at once.
-BUFFER = 1 << 21
+BUFFER = 1 << 20
 #: Side of a tile; tiles (i, j) with (i + 1) * (j + 1) up to ``DENSE`` are counted densely.
 TILE, DENSE = 256, 16
 #: Bits (as a power of two) of the table of frequent pairs, and pairs that are ranked anew for dense tiles.

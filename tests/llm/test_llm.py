@@ -68,7 +68,8 @@ def test_registered_sql(name, spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    for table in ("conversations", "documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     cursor = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in cursor.description]
     assert sorted(tuple(r[n] for n in names) for r in QUERIES[name](spark, sf_dir).collect()) == sorted(cursor.fetchall())
