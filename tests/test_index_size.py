@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import collections
 
+from pyspark.sql import functions as F
+
 from palaver.operators import search
 from palaver.sources import textindex
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_an_index_shuffles_blocks_and_holds_every_place(spark, tmp_path):
     texts = [(k, "run the RUNNING " * 200 + f"word{k % 5} runs") for k in range(60)] + [(7, "runs again"), (None, "running"), (90, None), (91, "the of")]
     docs = spark.createDataFrame(texts, "id long, text string").repartition(2)
@@ -24,3 +30,13 @@ def test_an_index_shuffles_blocks_and_holds_every_place(spark, tmp_path):
         assert collections.Counter((r["term"], r["id"], p) for r in held for p in r["positions"]) == want
         assert all(list(r["positions"]) == sorted(r["positions"]) and r["tf"] == len(r["positions"]) for r in held)
         assert len({(r["term"], r["id"]) for r in held}) == len(held)
+
+
+def test_snippets_shuffle_texts_as_they_are(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(100)) + " hit hits " + "x " * 60 + "hit") for k in range(5)], "id long, text string")
+    hits = search.match(search.postings(docs, "id", "text").cache(), "id", required=["hit"])
+    got = search.snippets(hits, docs, "id", "text", length=240)
+    assert "SortMergeJoin" not in _plan(got) and "ShuffledHashJoin" in _plan(got)
+    first, second = got.filter("id = 3").first()["snippet"].split(" ... ")
+    assert first.count("<b>hit</b>") == first.count("<b>hits</b>") == 1 and first.startswith("w88 ") and second.endswith("<b>hit</b>")
+    assert got.select(F.count_distinct("id")).first()[0] == 5
