@@ -32,6 +32,17 @@ def test_an_index_shuffles_blocks_and_holds_every_place(spark, tmp_path):
         assert len({(r["term"], r["id"]) for r in held}) == len(held)
 
 
+def test_reading_a_changed_index_sorts_no_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "SENT_BYTES", 0)  # more changed ids than may be sent
+    path = str(tmp_path / "ix")
+    frame = lambda ids, text: spark.createDataFrame([(k, f"{text} {k}") for k in ids], "id long, text string")
+    textindex.create(frame(range(50), "old"), path, "id", "text", buckets=4)
+    textindex.upsert(frame(range(0, 50, 2), "new"), path, "id", "text")
+    index = textindex.read(spark, path, "id")
+    assert {r["id"] for r in index.filter("term = 'old'").collect()} == set(range(1, 50, 2))
+    assert "SortMergeJoin" not in _plan(index)
+
+
 def test_snippets_shuffle_texts_as_they_are(spark):
     docs = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(100)) + " hit hits " + "x " * 60 + "hit") for k in range(5)], "id long, text string")
     hits = search.match(search.postings(docs, "id", "text").cache(), "id", required=["hit"])
