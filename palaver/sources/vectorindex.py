@@ -1,18 +1,18 @@
 """A stored approximate index of vectors by cosine: coarse lists with product-quantised codes.
 
 Unit vectors are assigned to the nearest of the coarse centroids (a list), and what is left of them is cut into
-parts, each replaced by the number of its nearest codeword.  The table is partitioned by list and holds id,
+parts, each replaced by the number of its nearest codeword.  The table is written by parts, in the order of lists, and holds id,
 codes, the vector and the columns that searches filter by, each read only where it is needed.  A search
 
 1. ranks the lists for each query and probes the first ones,
-2. scores the probed lists' codes against the query's table of codeword products, filters first,
+2. scores what the probed lists' codes stand for, filters first,
 3. scores the best ones again, exactly, on their vectors, which are read of those lists only.
 
 How many lists are probed and how many codes scored again is calibrated against exact search until the wanted
 recall is reached.  A filter that keeps a share of the rows widens the probes by as much.
 
-Scale: centroids and codewords are learned from a bounded sample and are all that is sent to tasks.  Codes meet queries by
-list and block of bounded size; vectors are not repeated for queries.
+Scale: centroids and codewords are learned from a bounded sample and are all that is sent to tasks.  Codes and queries
+meet as blocks of bounded size, of which a query's best codes are kept; neither are repeated by list.
 
 Edge cases: null and zero vectors, those with null or non-finite components or of another length than most, and rows
 without an id are not indexed; equal scores go to the smaller id; an empty table gives an index in which nothing is found.
@@ -24,7 +24,7 @@ import json
 import math
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +32,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.search import vector_topk_batch
+from ..operators.search import QUERIES_AT_ONCE, QUERY_BLOCK, WRITERS, packed, vector_topk_batch
 from .shared import stored
 
 #: Vectors that centroids and codewords are learned from; the most lists; parts of a vector; codewords of a part.
 SAMPLE, MOST_LISTS, PARTS, WORDS = 16_384, 4_096, 16, 256
 #: Calibration queries, and the recall that they have to reach.
 CALIBRATION, RECALL = 64, 0.97
-#: Codes of a list that one task scores at once.
-BLOCK = 65_536
+#: Codes of a block that one task scores at once, and the most parts that lists are written in.
+BLOCK, MOST_PARTS = 65_536, 64
 
 
 @dataclass
@@ -52,6 +52,7 @@ class Codebook:
     dim: int
     probes: int = 1
     again: int = 64
+    parts: int = 1
 
     def _cut(self, vectors: np.ndarray) -> np.ndarray:
         """Vectors as parts of equal length, filled up with zeros."""
@@ -66,14 +67,19 @@ class Codebook:
         codes = np.stack([nearest(parts[:, j], self.words[j]) for j in range(len(self.words))], axis=1)
         return own, codes.astype(np.uint8)
 
-    def lists(self, query: np.ndarray, n: int) -> np.ndarray:
-        """The ``n`` lists whose centroids are nearest to a query."""
-        return np.argsort(((self.centroids - query) ** 2).sum(axis=1), kind="stable")[:n]
+    def visits(self, queries: np.ndarray, n: int) -> np.ndarray:
+        """For each query which lists are among the ``n`` whose centroids are nearest to it."""
+        if n >= len(self.centroids):
+            return np.ones((len(queries), len(self.centroids)), bool)
+        out = np.zeros((len(queries), len(self.centroids)), bool)
+        far = (self.centroids * self.centroids).sum(axis=1) / 2 - queries @ self.centroids.T
+        np.put_along_axis(out, np.argsort(far, axis=1, kind="stable")[:, :n], True, axis=1)
+        return out
 
-    def scores(self, query: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
-        """Products of a query with what the codes of a list stand for."""
-        table = np.einsum("jw,jkw->jk", self._cut(query[None])[0], self.words)
-        return query @ self.centroids[own] + table[np.arange(len(self.words)), codes].sum(axis=1)
+    def decode(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes of lists stand for."""
+        cut = np.concatenate([self.words[j][codes[:, j]] for j in range(len(self.words))], axis=1)
+        return self.centroids[own] + cut[:, : self.dim]
 
 
 def nearest(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -136,8 +142,11 @@ def build(vectors: DataFrame, path: str, *, id_col: str = "message_id", vector_c
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), packed, *batch.columns], names=["list", "codes", *batch.schema.names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    coded = rows.mapInArrow(encode, f"list long, codes binary, {kinds}")
-    coded.repartition("list", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("list").parquet(f"{path}/rows")
+    # few files, whatever the number of lists: a list is some row groups of its part's files
+    book.parts = min(MOST_PARTS, len(book.centroids), max(1, n // BLOCK))
+    coded = rows.mapInArrow(encode, f"list long, codes binary, {kinds}").withColumn("part", F.pmod("list", F.lit(book.parts)).cast("int"))
+    dealt = coded.repartition("part", F.pmod(F.xxhash64("id"), F.lit(WRITERS))).sortWithinPartitions("part", "list")
+    dealt.write.partitionBy("part").parquet(f"{path}/rows")
     _save(spark, path, book, coded.schema.json(), overwrite=False)
     if n:
         _calibrate(spark, path, book, taken, coded.schema.json(), n)
@@ -165,7 +174,7 @@ def _calibrate(spark: SparkSession, path: str, book: Codebook, sample: pa.Table,
         share = found.join(true, ["query_id", "id"], "left_semi").count() / max(total, 1)
         if share >= RECALL or (book.probes == lists and book.again >= n):
             break
-        wide = search(spark, path, queries, k=k, book=Codebook(book.centroids, book.words, book.dim, book.probes, 8 * book.again))
+        wide = search(spark, path, queries, k=k, book=replace(book, again=8 * book.again))
         more = wide.join(true, ["query_id", "id"], "left_semi").count() / max(total, 1)
         # where more codes scored again would help more than half of what is missing, that; else more lists
         if book.probes == lists or more - share > (1 - share) / 2:
@@ -182,54 +191,72 @@ def search(spark: SparkSession, path: str, queries: DataFrame, *, k: int, where:
     """
     known, rows = _open(spark, path)
     book = book or known
-    sizes = {r["list"]: (r["n"], r["m"]) for r in rows.groupBy("list").agg(F.count("*").alias("n"), F.count(F.when(F.lit(True) if where is None else where, 1)).alias("m")).collect()}
-    share = sum(m for _, m in sizes.values()) / max(sum(n for n, _ in sizes.values()), 1)
+    share = 1.0 if where is None else rows.agg(F.avg(F.when(where, 1.0).otherwise(0.0))).first()[0] or 0.0
     probes = min(len(book.centroids), math.ceil(book.probes / share)) if share else 0
-    blocks = np.ones(len(book.centroids), np.int64)
-    for own, (n, _) in sizes.items():
-        blocks[own] = max(1, -(-n // BLOCK))
     depth = max(k, book.again)
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
     asked = asked.filter(F.col("query_id").isNotNull() & usable(F.col("query")) & (F.size("query") == book.dim))
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            at, lists, places = [], [], []
-            for i, query in enumerate(_unit(_matrix(batch.column(1)))):
-                for own in book.lists(query, probes).tolist():
-                    for block in range(blocks[own]):
-                        at.append(i)
-                        lists.append(own)
-                        places.append(block)
-            picked = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64()), pa.array(places, pa.int64()), *picked.columns], names=["list", "block", "query_id", "query"])
-
-    visits = stored(asked.mapInArrow(walk, "list long, block long, query_id long, query array<double>"), "visits")
-    probed = [r["list"] for r in visits.select("list").distinct().collect()]  # as many as there are lists, at most
-    held = rows.filter(F.col("list").isin(probed)) if probed else rows.filter(F.lit(False))
-    number = F.create_map(*[x for own, b in enumerate(blocks.tolist()) if b > 1 for x in (F.lit(own).cast("long"), F.lit(b))]) if (blocks > 1).any() else None
-    parts = F.lit(1) if number is None else F.coalesce(number[F.col("list")], F.lit(1))
-    codes = (held if where is None else held.filter(where)).select("list", F.pmod(F.xxhash64("id"), parts).alias("block"), "id", "codes")
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            own = left["list"][0].as_py()
-            ids = np.asarray(left["id"])
-            packed = np.frombuffer(b"".join(left["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            queries = _unit(_matrix(right["query"].combine_chunks()))
-            for query_id, query in zip(np.asarray(right["query_id"]).tolist(), queries, strict=True):
-                near = book.scores(query, own, packed)
-                rows = np.argpartition(-near, depth - 1)[:depth] if len(near) > depth else np.arange(len(near))
-                out.append((np.full(len(rows), query_id), ids[rows], near[rows]))
-        parts = list(zip(*out, strict=True))
-        query_ids, found, near = (np.concatenate(p) for p in parts) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        own = left["list"][0].as_py() if left.num_rows else 0
-        return pa.table({"query_id": query_ids, "list": np.full(len(found), own), "id": found, "near": near})
-
-    scored = codes.groupBy("list", "block").cogroup(visits.groupBy("list", "block")).applyInArrow(score, "query_id long, list long, id long, near double")
+            if batch.num_rows:
+                seen = book.visits(_unit(_matrix(batch.column(1))), probes).any(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], names=["list"])
+
+    if probes == len(book.centroids):
+        held = rows
+    else:
+        probed = sorted(r["list"] for r in asked.mapInArrow(visited, "list long").distinct().collect())  # as many as there are lists, at most
+        held = rows.filter(F.col("part").isin(sorted({x % book.parts for x in probed})) & F.col("list").isin(probed)) if probed else rows.filter(F.lit(False))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def block() -> pa.RecordBatch:
+            table = pa.Table.from_batches(waiting)
+            own = np.asarray(table["list"])
+            order = np.argsort(own, kind="stable")
+            codes = np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(len(own), -1)
+            data = [own[order].tobytes(), np.asarray(table["id"])[order].tobytes(), codes[order].tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in data], names=["lists", "ids", "codes"])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                if sum(x.num_rows for x in waiting) + part.num_rows > BLOCK:
+                    yield block()
+                    waiting = []
+                waiting.append(part)
+        if waiting:
+            yield block()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, ids, query_ids = (np.frombuffer(batch[c][i].as_buffer(), np.int64) for c in ("lists", "ids", "query_ids"))
+                codes = np.frombuffer(batch["codes"][i].as_buffer(), np.uint8).reshape(len(ids), -1)
+                queries = np.frombuffer(batch["query_unit"][i].as_buffer()).reshape(len(query_ids), -1)
+                meant, starts = book.decode(own, codes), np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                ends = np.r_[starts[1:], len(own)]
+                for at in range(0, len(queries), QUERIES_AT_ONCE):
+                    some = queries[at : at + QUERIES_AT_ONCE]
+                    near = np.full((len(some), len(ids)), -np.inf)
+                    visits = book.visits(some, probes)[:, own[starts]]
+                    for j in np.flatnonzero(visits.any(axis=0)).tolist():
+                        who = np.flatnonzero(visits[:, j])
+                        # a product's last bits depend on its place in a matrix: equal codes must score alike
+                        near[who, starts[j] : ends[j]] = np.round(some[who] @ meant[starts[j] : ends[j]].T, 9)
+                    least = np.partition(near, len(ids) - depth, axis=1)[:, len(ids) - depth] if len(ids) > depth else np.full(len(some), -np.inf)
+                    out = []
+                    for q in range(len(some)):
+                        there = np.flatnonzero((near[q] >= least[q]) & (near[q] > -np.inf))
+                        there = there[np.lexsort((ids[there], -near[q, there]))[:depth]]
+                        out.append((np.full(len(there), query_ids[at + q]), own[there], ids[there], near[q, there]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "list", "id", "near"])
+
+    blocks = (held if where is None else held.filter(where)).select("list", "id", "codes").mapInArrow(pack, "lists binary, ids binary, codes binary")
+    many = packed(asked, "query_id", "query", QUERY_BLOCK).select(F.col("ids").alias("query_ids"), F.col("unit").alias("query_unit"))
+    scored = blocks.crossJoin(many).mapInArrow(score, "query_id long, list long, id long, near double")
     first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "id"))
     some = scored.withColumn("place", first).filter(F.col("place") <= depth).select("query_id", "list", "id")
     # the vectors are read of the probed lists only
