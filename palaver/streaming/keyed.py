@@ -12,15 +12,17 @@ is known now; ``step`` numbers a key's rows.
 from __future__ import annotations
 
 import datetime
+import pickle
 from collections.abc import Callable, Iterator
 from typing import Any, NamedTuple
 
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..operators import lifecycle
 
+KEPT = StructType([StructField("kept", BinaryType())])
 State = dict[str, Any]
 Step = Callable[[State, Row], State]
 
@@ -147,16 +149,22 @@ class _Ordered(StatefulProcessor):
     def __init__(self, state: StructType, fact: StructType, out: StructType):
         self.state_schema, self.fact_schema = state, fact
         self.names, self.out = fact.names, out.names
+        self.seq = fact.names.index("seq")
 
     def init(self, handle) -> None:
         self.handle = handle
         self.held = handle.getValueState("state", self.state_schema)
-        self.waiting = handle.getListState("waiting", self.fact_schema)
+        # the facts that wait and the timers that are set, as one value: a turn reads and writes it once, however many they are
+        self.kept = handle.getValueState("kept", KEPT)
 
     def _facts(self, rows: Iterator[Row]) -> list[Row]:
-        held = [Row(**dict(zip(self.names, map(_local, r), strict=True))) for r in self.waiting.get()] if self.waiting.exists() else []
-        new = [Row(**{n: _local(r[n]) for n in self.names}) for r in rows]
-        return sorted([*held, *new], key=lambda f: [(x is not None, x if not isinstance(x, (list, Row)) else str(x)) for x in (f["seq"], *f)])
+        kept = self.kept.get()
+        held, self.timers = pickle.loads(bytes(kept[0])) if kept is not None else ([], [])
+        fact, at = Row(*self.names), self.seq
+        facts = [fact(*f) for f in (*held, *(tuple(_local(r[n]) for n in self.names) for r in rows))]
+        if None not in (seqs := {f[at] for f in facts}) and len(seqs) == len(facts):
+            return sorted(facts, key=lambda f: f[at])
+        return sorted(facts, key=lambda f: [(x is not None, x if not isinstance(x, (list, Row)) else str(x)) for x in (f[at], *f)])
 
     def _released(self, facts: list[Row], now: int) -> tuple[list[Row], list[Row]]:
         n = next((k for k, f in enumerate(facts) if f["at"] is not None and _us(f["at"]) > 1000 * now), len(facts))
@@ -166,18 +174,15 @@ class _Ordered(StatefulProcessor):
         """Writes the state, and a timer for the first fact that waits and for what is due."""
         timers = [_timer(at) for at in (*(f["at"] for f in waiting[:1]), due) if at is not None]
         self.held.update(value)
-        if waiting:
-            self.waiting.put([tuple(f) for f in waiting])
-        elif self.waiting.exists():
-            self.waiting.clear()
-        known = set(self.handle.listTimers())
+        self.kept.update((pickle.dumps(([tuple(f) for f in waiting], timers)),))
+        known = set(self.timers)
         for old in known - set(timers):
             self.handle.deleteTimer(old)
         for new in set(timers) - known:
             self.handle.registerTimer(new)
 
     def _row(self, *values: Any) -> Row:
-        return Row(**dict(zip(self.out, values, strict=True)))
+        return Row(*self.out)(*values)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
         yield from self.turn(key, rows, timerValues.getCurrentWatermarkInMs())
@@ -219,8 +224,8 @@ class Lifecycle(_Ordered):
 
     def turn(self, key, rows: Iterator[Row], now: int) -> Iterator[Row]:
         step, deadline, n, s = 0, None, 0, dict(self.start)
-        if self.held.exists():
-            step, deadline, n, *values = map(_local, self.held.get())
+        if (held := self.held.get()) is not None:
+            step, deadline, n, *values = map(_local, held)
             s = dict(zip(self.start, values, strict=True))
         folded, waiting = self._released(self._facts(rows), now)
         s, deadline, n = self._fold(s, deadline, n, folded)
@@ -244,7 +249,8 @@ class Timers(_Ordered):
         self.sets, self.seconds, self.cancels = sets, seconds, cancels
 
     def turn(self, key, rows: Iterator[Row], now: int) -> Iterator[Row]:
-        step, seq, due = map(_local, self.held.get()) if self.held.exists() else (0, None, None)
+        held = self.held.get()
+        step, seq, due = map(_local, held) if held is not None else (0, None, None)
         folded, waiting = self._released(self._facts(rows), now)
         ended: list[tuple] = []
 
